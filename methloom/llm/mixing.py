@@ -3,8 +3,8 @@
 Every source's documents are dealt to shards by a hash of doc_id and stand there in a seeded
 order, end to end, as one line of tokens cut into blocks of equal size. Blocks are apportioned to
 sources by the highest quotients target / (2 s + 1), each source's blocks to its shards likewise
-by shard size; a shard then takes its quota of blocks, whole rounds first and the rest by seeded
-choice. A document takes as many tokens as it has in the chosen blocks.
+by shard size; a shard then takes its quota of blocks, whole rounds first and the rest spread
+evenly over its line from a seeded place. A document takes as many tokens as it has in the chosen blocks.
 """
 
 from __future__ import annotations
@@ -90,7 +90,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     blocks = -(-shards["tokens"].to_numpy() // block)
     shards["blocks"] = blocks
     caps = shards.groupby("k")["blocks"].sum().to_numpy() * int(most)
-    quota = sainte_lague(goal, round(goal.sum() / block), caps)
+    # Targets in blocks as full as the source's own are on average (the last of a shard is cut short).
+    votes = goal * (caps / int(most)) / np.maximum(sizes.to_numpy(), 1)
+    quota = sainte_lague(votes, round(votes.sum()), caps)
     rows = []
     for k, t, size, q in zip(ks, goal, sizes, quota, strict=True):
         own = shards[shards["k"] == k]
@@ -107,7 +109,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     placed = base.withColumn("stop", F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)))
     placed = placed.withColumn("start", F.col("stop") - F.col("size"))
     joined = placed.join(plan, (F.col("source").eqNullSafe(F.col("_source"))) & (F.col("shard") == F.col("_shard")))
-    # Chosen blocks of a shard: those of the smallest seeded ranks, as a permutation i -> (a i + c) mod blocks.
     chosen = _chosen_tokens(F.col("start"), F.col("stop"), block, seed)
     whole = F.floor(F.col("quota") / F.greatest("blocks", F.lit(1)))
     return joined.select(

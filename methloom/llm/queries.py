@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, warc
+from . import mixing, simhash, substrings, suffix_tree, warc
 from .common import table
 
 
@@ -18,12 +18,21 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.parse(table(spark, sf_dir, "documents"), with_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_warc_revisits, op10_source_mixing,
+    op1_simhash_near_dedup, op2_warc_revisits, op3_suffix_tree_scores, op8_substring_dedup, op10_source_mixing,
 )}
 
 ORACLES: dict[str, str] = {}
