@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, substrings, suffix_tree, warc
+from . import decontaminate, language, licenses, mixing, simhash, substrings, suffix_tree, warc
 from .common import table
 
 
@@ -22,6 +22,18 @@ def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scores(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.parse(table(spark, sf_dir, "documents"), with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -32,7 +44,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_warc_revisits, op3_suffix_tree_scores, op8_substring_dedup, op10_source_mixing,
+    op1_simhash_near_dedup, op2_warc_revisits, op3_suffix_tree_scores, op4_license_scan,
+    op5_benchmark_decontamination, op7_language_id, op8_substring_dedup, op10_source_mixing,
 )}
 
 ORACLES: dict[str, str] = {}
