@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, simhash, substrings, suffix_tree, warc
+from . import decontaminate, embeddings, language, licenses, lines, mixing, simhash, substrings, suffix_tree, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.decisions(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -39,13 +43,18 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_warc_revisits, op3_suffix_tree_scores, op4_license_scan,
-    op5_benchmark_decontamination, op7_language_id, op8_substring_dedup, op10_source_mixing,
+    op5_benchmark_decontamination, op6_line_dedup, op7_language_id, op8_substring_dedup, op9_embedding_near_dedup,
+    op10_source_mixing,
 )}
 
 ORACLES: dict[str, str] = {}
