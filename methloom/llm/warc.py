@@ -25,11 +25,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, target_uri string"
 
 
-def digest32(payload: Column) -> Column:
-    """Bare upper-case base-32 SHA-1: each five hex digits of the SHA-1 are four characters."""
-    out, hexed = [], F.sha1(payload)
+def base32(sha1: Column) -> Column:
+    """Bare upper-case base-32 of a hex SHA-1: each five hex digits are four characters."""
+    out = []
     for g in range(8):
-        v = F.conv(F.substring(hexed, 5 * g + 1, 5), 16, 10).cast("int")
+        v = F.conv(F.substr(sha1, F.lit(5 * g + 1), F.lit(5)), 16, 10).cast("int")
         out += [F.substring(F.lit(BASE32), F.shiftright(v, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
     return F.concat(*out)
 
@@ -43,20 +43,22 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     payload one (by url) stands for the page and the others revisit it."""
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    base = base.withColumn("payload_digest", digest32(F.encode("html", "utf-8")))
-    heads = base.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
+    # The lambda binds the SHA-1, which would else be taken again for each of its pieces.
+    base = base.withColumn("payload_digest", F.get(F.transform(F.array(F.sha1(F.col("html").cast("binary"))), base32), F.lit(0)))
+    base = base.withColumn("_k", F.coalesce("page_id", F.lit(-(1 << 63))))  # null comes by its own key
+    heads = base.where(F.col("payload_bytes") >= least).select("_k", "page_id", "payload_digest")
     # Counts meet the maps' partial sums, so a digest of many pages is one row a task.
     first = heads.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
     first = first.where("n > 1").drop("n")
     revisits = (
         heads.join(first, "payload_digest")
         .where("page_id is null or page_id > refers_to")
-        .select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to")
+        .select(F.col("_k").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to")
         .distinct()
     )
-    same = W.partitionBy("page_id", "payload_digest").orderBy("url")
+    same = W.partitionBy("_k", "payload_digest").orderBy("url")  # dealt as the join is, so payloads move once
     out = base.join(
-        revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left"
+        revisits, (F.col("_k") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left"
     ).withColumn("_n", F.row_number().over(same))
     again = (F.col("_n") > 1) & (F.col("payload_bytes") >= least)
     return out.select(
