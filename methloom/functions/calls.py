@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let_all
+
 
 def half_up(x: Column, scale: float) -> Column:
     """x to 1/scale, halves up: the same in every engine."""
@@ -63,12 +65,15 @@ def deepest(depths: Column) -> Column:
 def bisulfite(ref: Column, called: Column, unmodified: Column, reverse: Column) -> Column:
     """Reference slice in which a CG's base (C, or G on reverse reads) is N if the site is not called as
     modified, T (A on reverse reads) if it is called unmodified, and itself if modified."""
-    at = lambda i: F.when(reverse, i - 1).otherwise(i)  # noqa: E731  the site of letter i
-    letter = lambda i: F.substr(ref, i + 1, F.lit(1))
-    is_site = lambda i: (at(i) >= 0) & (F.substr(ref, at(i) + 1, F.lit(2)) == "CG")
-    new = lambda i: (
-        F.when(F.array_contains(unmodified, at(i)), F.when(reverse, "A").otherwise("T"))
-        .when(is_site(i) & ~F.array_contains(called, at(i)), "N").otherwise(letter(i))
-    )
-    places = F.when(F.length(ref) > 0, F.sequence(F.lit(0), F.length(ref) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(places, new), "")
+    def projected(v: Column) -> Column:
+        ref, back = v["ref"], v["reverse"]
+        at = lambda i: F.when(back, i - 1).otherwise(i)  # noqa: E731  the site of letter i
+        is_site = lambda i: (at(i) >= 0) & (F.substr(ref, at(i) + 1, F.lit(2)) == "CG")
+        new = lambda i: (
+            F.when(F.array_contains(v["unmodified"], at(i)), F.when(back, "A").otherwise("T"))
+            .when(is_site(i) & ~F.array_contains(v["called"], at(i)), "N").otherwise(F.substr(ref, i + 1, F.lit(1)))
+        )
+        places = F.when(F.length(ref) > 0, F.sequence(F.lit(0), F.length(ref) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_join(F.transform(places, new), "")
+
+    return let_all(projected, ref=ref, called=called, unmodified=unmodified, reverse=reverse)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let, let_all
+
 MATCHES = ("M", "=", "X")
 
 
@@ -55,7 +57,7 @@ def blocks(ops: Column) -> Column:
 def to_reference(blocks_: Column, query: Column) -> Column:
     """Offset on the reference of a query place (alignment order), null where it is not aligned."""
     hit = F.filter(blocks_, lambda b: b["op"].isin(*MATCHES) & (query >= b["q"]) & (query < b["q"] + b["len"]))
-    return F.try_element_at(hit, F.lit(1))["r"] + query - F.try_element_at(hit, F.lit(1))["q"]
+    return let(F.try_element_at(hit, F.lit(1)), lambda b: b["r"] + query - b["q"])
 
 
 def alignment_place(read_loc: Column, length: Column, reverse: Column) -> Column:
@@ -86,15 +88,18 @@ def map_code(read_blocks: Column, q: Column, seq: Column, ref: Column) -> Column
 
     read_blocks are in read direction without clips, q counts from the first unclipped base, seq and
     ref are the unclipped read and the reference slice in read direction."""
-    r = to_reference(read_blocks, q)
-    prior = to_reference(read_blocks, q - 1)
-    differs = F.upper(F.substr(seq, q + 1, F.lit(1))) != F.upper(F.substr(ref, r + 1, F.lit(1)))
-    jump = (q > 0) & prior.isNotNull() & (r != prior + 1)
-    return F.when(r.isNull(), 1).otherwise(F.when(differs, 4).otherwise(0) + F.when(jump, 2).otherwise(0))
+    def code(v: Column) -> Column:
+        r, prior = v["r"], v["prior"]
+        differs = F.upper(F.substr(seq, q + 1, F.lit(1))) != F.upper(F.substr(ref, r + 1, F.lit(1)))
+        jump = (q > 0) & prior.isNotNull() & (r != prior + 1)
+        return F.when(r.isNull(), 1).otherwise(F.when(differs, 4).otherwise(0) + F.when(jump, 2).otherwise(0))
+
+    return let_all(code, r=to_reference(read_blocks, q), prior=to_reference(read_blocks, q - 1))
 
 
 def map_codes(read_blocks: Column, centre: Column, flank: int, length: Column, seq: Column, ref: Column, flip: bool = False) -> Column:
     """Codes of the places within ``flank`` of ``centre``; 1 beyond the read's aligned part."""
     places = F.sequence(centre - flank, centre + flank)
-    codes = F.transform(places, lambda q: F.when((q < 0) | (q >= length), 1).otherwise(map_code(read_blocks, q, seq, ref)))
+    code = lambda q, b, s, r: F.when((q < 0) | (q >= length), 1).otherwise(map_code(b, q, s, r))
+    codes = let_all(lambda v: F.transform(places, lambda q: code(q, v["b"], v["s"], v["r"])), b=read_blocks, s=seq, r=ref)
     return F.reverse(codes) if flip else codes

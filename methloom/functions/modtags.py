@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let, let_all
 from .sequence import motif_hits
 
 
@@ -30,23 +31,27 @@ def base_ordinals(mm: Column, base: str = "C", code: str = "m") -> Column:
 def decode(mm: Column, ml: Column, forward_seq: Column, reverse: Column, base: str = "C", code: str = "m") -> Column:
     """(loc, prob) of each call, loc in alignment order. No calls if the tags differ in length or an
     ordinal is beyond the read's bases."""
-    hits = motif_hits(forward_seq, [base])
-    n = base_ordinals(mm, base, code)
-    sound = n.isNotNull() & (F.size(n) == F.size(ml)) & (F.coalesce(F.array_max(n), F.lit(0)) <= F.size(hits))
-    place = lambda i: F.get(hits, F.get(n, i) - 1)
-    loc = lambda i: F.when(reverse, F.length(forward_seq) - 1 - place(i)).otherwise(place(i))
-    index = F.sequence(F.lit(0), F.size(n) - 1)
-    calls = F.transform(index, lambda i: F.struct(loc(i).alias("loc"), byte_probability(F.get(ml, i)).alias("prob")))
-    return F.when(sound, calls).otherwise(F.array().cast("array<struct<loc:int,prob:double>>"))
+    def calls(b: Column) -> Column:
+        n, hits, bytes_ = b["n"], b["hits"], b["ml"]
+        sound = n.isNotNull() & (F.size(n) == F.size(bytes_)) & (F.coalesce(F.array_max(n), F.lit(0)) <= F.size(hits))
+        place = lambda i: F.get(hits, F.get(n, i) - 1)
+        loc = lambda i: F.when(b["reverse"], b["length"] - 1 - place(i)).otherwise(place(i))
+        one = lambda i: F.struct(loc(i).alias("loc"), byte_probability(F.get(bytes_, i)).alias("prob"))
+        none = F.array().cast("array<struct<loc:int,prob:double>>")
+        return F.when(sound, F.transform(F.sequence(F.lit(0), F.size(n) - 1), one)).otherwise(none)
+
+    read = lambda s: let_all(calls, n=base_ordinals(mm, base, code), hits=motif_hits(s, [base]), length=F.length(s), ml=ml, reverse=reverse)
+    return let(forward_seq, read)
 
 
 def encode_skips(locs: Column, forward_seq: Column, base: str = "C") -> Column:
     """Skips of an MM tag for ascending places in sequenced orientation; null if one is not that base."""
-    hits = motif_hits(forward_seq, [base])
-    order = F.transform(locs, lambda x: F.array_position(hits, x).cast("int"))
-    prior = F.concat(F.array(F.lit(0)), F.slice(order, 1, F.greatest(F.size(order) - 1, F.lit(0))))
-    skips = F.zip_with(order, prior, lambda a, b: a - b - 1)
-    return F.when((F.size(locs) > 0) & ~F.exists(order, lambda o: o == 0), skips)
+    def skips(order: Column) -> Column:
+        prior = F.concat(F.array(F.lit(0)), F.slice(order, 1, F.greatest(F.size(order) - 1, F.lit(0))))
+        return F.when(~F.exists(order, lambda o: o == 0), F.zip_with(order, prior, lambda a, b: a - b - 1))
+
+    placed = lambda b: let(F.transform(b["locs"], lambda x: F.array_position(b["hits"], x).cast("int")), skips)
+    return F.when(F.size(locs) > 0, let_all(placed, locs=locs, hits=motif_hits(forward_seq, [base])))
 
 
 def mm_text(skips: Column, base: str = "C", code: str = "m", suffix: str = "?") -> Column:

@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # The IUPAC nucleotide letters, their complements and the bases that they stand for.
 LETTERS = "ACGTRYSWKMBDHVN"
 COMPLEMENTS = "TGCAYRSWMKVHDBN"
@@ -37,10 +39,14 @@ def expand_motifs(motifs: str) -> list[str]:
 
 def motif_hits(seq: Column | str, motifs: list[str], mod_loc: int = 0) -> Column:
     """Ascending places (from 0) of the modified base of every hit, overlapping ones too."""
-    seq, k = _col(seq), len(motifs[0])
-    places = F.when(F.length(seq) >= k, F.sequence(F.lit(0), F.length(seq) - k)).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(places, lambda i: F.substr(seq, i + 1, F.lit(k)).isin(motifs))
-    return F.transform(hits, lambda i: i + mod_loc) if mod_loc else hits
+    k = len(motifs[0])
+
+    def found(s: Column) -> Column:
+        places = F.when(F.length(s) >= k, F.sequence(F.lit(0), F.length(s) - k)).otherwise(F.array().cast("array<int>"))
+        hits = F.filter(places, lambda i: F.substr(s, i + 1, F.lit(k)).isin(motifs))
+        return F.transform(hits, lambda i: i + mod_loc) if mod_loc else hits
+
+    return let(_col(seq), found)
 
 
 def base_codes(seq: Column | str) -> Column:

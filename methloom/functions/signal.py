@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let, let_all
+
 #: Fixed value: the normal distribution's 75 % quantile, which scales a median deviation to a standard deviation.
 MAD_SCALE = 0.6744897501960817
 
@@ -31,25 +33,29 @@ def _median(a: Column) -> Column:
 
 
 def normalised(signal: Column, method: str = "zscore", decimals: int = 6) -> Column:
+    """``signal`` normalised by ``method``; see ``_normalised``."""
+    return let(F.transform(signal, lambda x: x.cast("double")), lambda a: _normalised(a, method, decimals))
+
+
+def _normalised(a: Column, method: str, decimals: int) -> Column:
     """(x - shift) / scale: zscore (mean, population sd), min-max, min-mean (min, mean), mad, none.
     A zero scale gives zeros; half steps of the last decimal go up."""
-    a = F.transform(signal, lambda x: x.cast("double"))
-    if method == "none":
-        shift, scale = F.lit(0.0), F.lit(1.0)
-    elif method == "zscore":
-        shift = _mean(a)
-        scale = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - shift) * (x - shift)) / F.size(a))
-    elif method == "min-max":
-        shift, scale = F.array_min(a), F.array_max(a) - F.array_min(a)
-    elif method == "min-mean":
-        shift, scale = F.array_min(a), _mean(a)
-    elif method == "mad":
-        shift = _median(a)
-        scale = _median(F.transform(a, lambda x: F.abs(x - shift))) / MAD_SCALE
-    else:
+    shifts = {"none": lambda: F.lit(0.0), "zscore": lambda: _mean(a), "min-max": lambda: F.array_min(a), "min-mean": lambda: F.array_min(a), "mad": lambda: _median(a)}
+    if method not in shifts:
         raise ValueError(f"unknown normalisation: {method}")
+
+    def scale(shift: Column) -> Column:
+        if method == "none":
+            return F.lit(1.0)
+        if method == "zscore":
+            return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - shift) * (x - shift)) / F.size(a))
+        if method == "min-max":
+            return F.array_max(a) - shift
+        if method == "min-mean":
+            return _mean(a)
+        return let(F.transform(a, lambda x: F.abs(x - shift)), _median) / MAD_SCALE
+
     k = float(10**decimals)
-    # shift and scale are computed once a row, not once an element: a lambda over a one-element array binds them
-    bound = F.array(F.struct(shift.alias("shift"), scale.alias("scale")))
     value = lambda x, p: F.when(p["scale"] == 0, 0.0).otherwise(F.floor((x - p["shift"]) / p["scale"] * k + 0.5) / k)
-    return F.get(F.transform(bound, lambda p: F.transform(a, lambda x: value(x, p))), F.lit(0))
+    scaled = lambda p: F.transform(a, lambda x: value(x, p))
+    return let(shifts[method](), lambda m: let_all(scaled, shift=m, scale=scale(m)))

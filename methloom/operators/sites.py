@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import calls as X
 from ..functions import cigar as C
 from ..functions import signal as S
+from ..functions.binding import let_all
 from ..functions.sequence import motif_hits, reverse_complement
 from .filters import REVERSE, outside_clips, window_fits, with_cigar
 from .joins import union_all
@@ -38,23 +39,32 @@ def extract_features(alignments: DataFrame, motifs: list[str], mod_loc: int = 0,
         df = df.withColumn("_skip", F.when(reverse, C.clip(F.col("cigar"), end=True)).otherwise(C.clip(F.col("cigar"))))
         df = df.withColumn("_solid", F.col("_n") - C.clip(F.col("cigar")) - C.clip(F.col("cigar"), end=True))
 
-    def site(loc: Column) -> Column:
-        other = F.col("_n") - 1 - loc - shift
-        place = C.alignment_place(loc, F.col("_n"), reverse)
-        fields = {
-            "pos": F.coalesce(F.col("start") + C.to_reference(F.col("_blocks"), place), F.lit(-1)), "loc": loc,
-            "f_kmer": F.substr(F.col("_fwd"), loc - flank + 1, F.lit(seq_len)), "r_kmer": F.substr(F.col("_rc"), other - flank + 1, F.lit(seq_len)),
-        }
-        if has_kinetics:
-            for name, array, at in (("f_ipd", "_fi", loc), ("f_pw", "_fp", loc), ("r_ipd", "_ri", other), ("r_pw", "_rp", other)):
-                fields[name] = F.slice(array, at - flank + 1, seq_len)
-        if maps:
-            codes = lambda at, flip: C.map_codes(F.col("_walk"), at - F.col("_skip"), flank, F.col("_solid"), F.substr(F.col("_fwd"), F.col("_skip") + 1, F.col("_solid")), F.col("ref_seq"), flip)
-            fields |= {"f_map": codes(loc, False), "r_map": codes(loc + shift, True)}
-        return F.struct(*[c.alias(k) for k, c in fields.items()])
-
-    fits = lambda loc: window_fits(loc, F.col("_n"), flank, shift) & (outside_clips(loc, F.col("_n"), F.col("cigar"), reverse) if skip_unmapped else F.lit(True))
-    rows = df.withColumn("site", F.explode(F.transform(F.filter("_hits", fits), site)))
+    names = ["_n", "_fwd", "_rc", "_blocks", "_hits", "cigar", "start", *([f"_{c}" for c in ("fi", "ri", "fp", "rp")] if has_kinetics else []), *(["_walk", "_skip", "_solid", "ref_seq"] if maps else [])]
+
+    def rows_of(v: Column) -> Column:
+        """The sites of one read, v: its values, taken once."""
+        n, back = v["_n"], v["reverse"]
+
+        def site(loc: Column) -> Column:
+            other = n - 1 - loc - shift
+            place = C.alignment_place(loc, n, back)
+            fields = {
+                "pos": F.coalesce(v["start"] + C.to_reference(v["_blocks"], place), F.lit(-1)), "loc": loc,
+                "f_kmer": F.substr(v["_fwd"], loc - flank + 1, F.lit(seq_len)), "r_kmer": F.substr(v["_rc"], other - flank + 1, F.lit(seq_len)),
+            }
+            if has_kinetics:
+                for name, array, at in (("f_ipd", "_fi", loc), ("f_pw", "_fp", loc), ("r_ipd", "_ri", other), ("r_pw", "_rp", other)):
+                    fields[name] = F.slice(v[array], at - flank + 1, seq_len)
+            if maps:
+                seq = F.substr(v["_fwd"], v["_skip"] + 1, v["_solid"])
+                codes = lambda at, flip: C.map_codes(v["_walk"], at - v["_skip"], flank, v["_solid"], seq, v["ref_seq"], flip)
+                fields |= {"f_map": codes(loc, False), "r_map": codes(loc + shift, True)}
+            return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+        inside = lambda loc: outside_clips(loc, n, v["cigar"], back) if skip_unmapped else F.lit(True)
+        return F.transform(F.filter(v["_hits"], lambda loc: window_fits(loc, n, flank, shift) & inside(loc)), site)
+
+    rows = df.withColumn("site", F.explode(let_all(rows_of, reverse=reverse, **{c: F.col(c) for c in names})))
     passes = [F.col(c) for c in ("fn", "rn", "sn") if c in df.columns]
     return rows.select("contig", "site.pos", F.when(reverse, "-").otherwise("+").alias("strand"), "read_id", *[f"site.{f.name}" for f in rows.schema["site"].dataType.fields if f.name != "pos"], *passes, F.lit(label).alias("label"))
 
