@@ -215,6 +215,10 @@ HIST = f"""(select contig, pos, strand, count(*) as coverage, list_transform(ran
     from (select contig, case when strand = '-' then pos - 1 else pos end as pos, '+' as strand, prob_1 from {C}) f group by 1, 2, 3 having count(*) >= 4)"""
 
 
+#: The same with unit length and 6 decimals.
+UNIT = f"(select contig, pos, strand, coverage, list_transform(h, lambda x: floor(x / sqrt(list_sum(list_transform(h, lambda y: y * y))) * 1e6 + 0.5) / 1e6) as h from {HIST} g0)"
+
+
 @query(f"""select contig, pos, strand, coverage, array_to_string(list_transform(h, lambda x: cast(cast(floor(x / sqrt(list_sum(list_transform(h, lambda y: y * y))) * 1e4 + 0.5) as int) as varchar)), ',') as hist
     from {HIST} g""")
 def a7_site_histogram(spark, d):
@@ -235,7 +239,7 @@ def w1_neighbour_windows(spark, d):
     return got.select(*SITE, "coverage", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("offsets"))
 
 
-@query(f"""with h as (select contig, pos, strand, coverage, list_sum(list_transform(range(0, 20), lambda k: (k + 0.5e0) / 20 * h[k + 1])) / list_sum(h) as score from {HIST} g),
+@query(f"""with h as (select contig, pos, strand, coverage, list_sum(list_transform(range(0, 20), lambda k: (k + 0.5e0) / 20 * h[k + 1])) / list_sum(h) as score from {UNIT} g),
   m as (select *, floor(score * 1e6 + 0.5) / 1e6 as sc from h),
   x as (select *, case when sc > 0.66e0 then ceil(sc * coverage) when sc <= 0.33e0 then floor(sc * coverage) else floor(sc * coverage * 100 + 0.5) / 100 end as mod_reads from m),
   low as (select contig, pos, '+' as strand, count(*) as coverage, cast(sum(case when prob_1 > 0.5e0 then 1 else 0 end) as double) as n_mod from (select contig, case when strand = '-' then pos - 1 else pos end as pos, prob_1 from {C}) f group by 1, 2 having count(*) < 4)

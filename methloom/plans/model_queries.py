@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.calls import half_up
 from ..operators import compare, diff, scoring, sites, windows
 from . import fixtures as fx
-from .call_queries import HIST, C
+from .call_queries import UNIT, C
 from .registry import query
 
 SITE = ["contig", "pos", "strand"]
@@ -35,7 +35,7 @@ def p2_scored_sites(spark, d):
     return scoring.score_sites(got, keep=["vec_id"]).select("vec_id", half_up(F.col("prob_1"), 1e4).alias("prob_1"), "label")
 
 
-@query(f"""select contig, pos, strand, coverage, floor(list_sum(list_transform(range(0, 20), lambda k: (k + 0.5e0) / 20 * h[k + 1])) / list_sum(h) * 1e4 + 0.5) / 1e4 as score from {HIST} g""")
+@query(f"""select contig, pos, strand, coverage, floor(floor(list_sum(list_transform(range(0, 20), lambda k: (k + 0.5e0) / 20 * h[k + 1])) / list_sum(h) * 1e6 + 0.5) / 1e6 * 1e4 + 0.5) / 1e4 as score from {UNIT} g""")
 def p3_scored_windows(spark, d):
     w = windows.neighbour_windows(sites.site_histogram(sites.fold_strands(fx.calls(spark, d))))
     return scoring.score_windows(w).select(*SITE, "coverage", half_up(F.col("score"), 1e4).alias("score"))
