@@ -208,3 +208,28 @@ def test_splits_keep_counts_and_reads_apart(spark):
 def test_filters_of_lists(spark):
     df = spark.createDataFrame([([1, 5],), ([1, 1],), ([],)], "depths array<int>")
     assert filters.filter_mean_depth(df, 3).count() == 1
+
+
+def test_scores_to_calls_and_pushed_scores(spark):
+    r = one(spark, c=X.call_of_scores(F.lit(1.0), F.lit(3.0), F.lit("AACCGTTGA")), u=X.pushed(F.lit(0.7), F.lit(10)), d=X.pushed(F.lit(0.3), F.lit(5)), m=X.pushed(F.lit(0.5), F.lit(3)))
+    assert (r.c.prob_0, r.c.prob_1, r.c.label, r.c.kmer) == (0.25, 0.75, 1, "CCGTT")
+    assert (r.u.n_mod, r.d.n_mod, r.m.n_mod) == (7.0, 1.0, 1.5)
+
+
+def test_refilled_tags(spark):
+    tags = F.create_map(F.lit("MM"), F.lit("Z:C+m,1;"), F.lit("fi"), F.lit("B:C,1"), F.lit("RG"), F.lit("Z:a"))
+    new = M.refill_tags(tags, F.lit("C+m?,0;"), F.array(F.lit(7)))
+    kept = M.refill_tags(tags, F.lit(None).cast("string"), F.array(F.lit(7)), drop_pulse=False)
+    r = one(spark, new=new, kept=kept)
+    assert r.new == {"RG": "Z:a", "MM": "Z:C+m?,0;", "ML": "B:C,7"} and r.kept == {"RG": "Z:a", "fi": "B:C,1"}
+
+
+def test_features_of_forward_and_reverse_reads(spark):
+    # 2 clipped, 6 matched, a base put in, 3 matched; the CG at 5 of the sequenced read
+    seq = "TTACACGTATAC"
+    rows = [("f", 0, "c", 100, "2S6=1I3=", seq), ("r", 16, "c", 100, "2S6=1I3=", seq)]
+    df = spark.createDataFrame(rows, "read_id string, flag int, contig string, start long, cigar string, seq string")
+    got = {r.read_id: r for r in sites.extract_features(df, ["CG"], seq_len=5).collect()}
+    assert (got["f"].loc, got["f"].pos, got["f"].strand, got["f"].f_kmer, got["f"].r_kmer) == (5, 103, "+", "CACGT", "TACGT")
+    # on the reverse read the sequenced read is the reverse complement, its CG is at 5 and lies on base 6 of the alignment
+    assert (got["r"].loc, got["r"].pos, got["r"].strand, got["r"].f_kmer) == (5, 104, "-", "TACGT")
