@@ -175,6 +175,19 @@ def test_suffix_tree_distributions_sum_to_one_and_learn(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 100
 
 
+def test_suffix_tree_keeps_contexts_that_are_a_small_share(spark):
+    """Contexts below p_context, entries below p_min and contexts of three words count."""
+    rng = random.Random(2)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    phrase = "p q r s t u"
+    rows = [(i, sentence(rng, 40, 30) + (f" {phrase}" if i % 40 == 1 and i not in held else "")) for i in range(400)]
+    rows[held[0]] = (held[0], phrase)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tight = {"p_context": 0.05, "p_symbol": 0.05, "p_min": 0.05}  # the phrase is far below these shares
+    got = {r.doc_id: r for r in suffix_tree.scores(df, **tight).collect()}
+    assert got[held[0]].score > got[held[0]].base_score + 6
+
+
 def test_licenses(spark, none):
     low = lambda t: t.lower() if t.isascii() else "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
     rng = random.Random(2)
