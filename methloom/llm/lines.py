@@ -2,9 +2,8 @@
 
 A line is the set of its runs of ``SHINGLE`` characters (UTF-16 units, so that a run is cut out in
 constant time). A MinHash value is the least of the runs' hashes after an exclusive-or with a seed,
-that is the hash nearest to a random point. Long lines use a sample of their runs, chosen by the
-runs' own hashes, that is the same for lines of like length (see ``_variants``), so the work for a
-line is bounded. Lines that agree in a band of values, and in enough of a sketch of the others, are candidates; the
+that is the hash nearest to a random point. All runs of a line take part, so a run's repeats change
+nothing and lines of equal sets have equal values, whatever their lengths. Lines that agree in a band of values, and in enough of a sketch of the others, are candidates; the
 exact Jaccard similarity decides. In a bucket, members are first compared with one representative, in a few rounds with
 others; what is then still in different components of one bucket is compared pair by pair. So a
 bucket of n copies costs about n comparisons, and no link between candidates is lost; a bucket of many
@@ -26,8 +25,6 @@ BANDS, ROWS = 6, 4
 SIMILARITY = 0.8
 #: Of the 16 values in a line's sketch so many agree before two lines are compared.
 ALIKE = 9
-#: From twice so many runs on a line is sampled.
-LEAST_RUNS = 48
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -42,27 +39,14 @@ def _runs(lines: DataFrame) -> DataFrame:
     return u.withColumn("m", F.greatest(F.expr(f"cast(octet_length(u) div 2 as int) - {SHINGLE - 1}"), F.lit(1)))
 
 
-def _variants(similarity: float):
-    """Sampling masks of a line. With m runs, 1 in 2**level is kept, level = floor(log2(m / LEAST_RUNS)).
-    Lines near the lower bound of a level get the level below as well, so that any two lines whose
-    sizes allow the similarity have a level in common."""
-    level = F.greatest(F.floor(F.log2(F.col("m") / F.lit(float(LEAST_RUNS)))), F.lit(0)).cast("int")
-    low = F.col("m") * F.lit(similarity * 0.94) < F.expr("shiftleft(1, level)") * LEAST_RUNS
-    mask = lambda x: F.expr(f"shiftleft(1, {x}) - 1")
-    return level, F.when((F.col("level") > 0) & low, F.array(mask("level"), mask("level - 1"))).otherwise(F.array(mask("level")))
-
-
-def band_keys(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def band_keys(lines: DataFrame) -> DataFrame:
     """(lid, sketch, key) of every distinct line and band. Equal lines meet in the partial aggregate."""
-    level, masks = _variants(similarity)
-    v = _runs(lines.select("lid", "line")).withColumn("level", level).select("lid", "u", "m", F.explode(masks).alias("mask"))
-    runs = v.select("lid", "mask", "u", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
-    runs = runs.select("lid", "mask", F.hash(F.expr(f"substring(u, 2 * i + 1, {2 * SHINGLE})")).alias("h"))
-    runs = runs.where(F.col("h").bitwiseAND(F.col("mask")) == 0)
+    runs = _runs(lines.select("lid", "line")).select("lid", "u", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
+    runs = runs.select("lid", F.hash(F.expr(f"substring(u, 2 * i + 1, {2 * SHINGLE})")).alias("h"))
     rng = random.Random(6)
     seeds = [rng.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
-    mins = runs.groupBy("lid", "mask").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{k}") for k, s in enumerate(seeds)])
-    keys = [F.xxhash64(F.lit(b), "mask", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
+    mins = runs.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{k}") for k, s in enumerate(seeds)])
+    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     nibble = lambda k: F.shiftleft(F.shiftright(f"m{k}", 12).bitwiseAND(15).cast("long"), 4 * k)
     sketch = reduce(lambda a, b: a.bitwiseOR(b), map(nibble, range(16)))
     return mins.select("lid", sketch.alias("sketch"), F.explode(F.array(*keys)).alias("key"))
@@ -98,7 +82,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, rounds: int = 2) -> DataFrame:
     """(node, component): the distinct lines (lid) that have a similar one."""
     # Dealt once by key: finding shared keys and their members reads the same exchange, 24 bytes a row.
-    keys = band_keys(lines, similarity).repartition("key")
+    keys = band_keys(lines).repartition("key")
     # The maximum of the sketch is there so that both need the same columns, else there would be two exchanges.
     shared = keys.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("z"), F.max("sketch").alias("s"))
     members = written(keys.join(shared.where("a <> z and s is not null").select("key"), "key"))

@@ -315,6 +315,16 @@ def test_big_groups_of_near_lines_stay_whole(spark):
     assert got.where("n_removed = 0").count() == len(set(comp))
 
 
+def test_repetitive_lines_meet(spark):
+    """Lines of equal sets of runs are found however often the runs repeat, and however few there are."""
+    rng = random.Random(8)
+    words = sentence(rng, 40, 5000)[:131] + " "
+    groups = [[words * 2, words * 4, words * 9], ["-" * 100, "-" * 1000, "-" * 7], ["ha " * 40, "ha " * 300], ["| 0 " * 30, "| 0 " * 99]]
+    rows = [(10 * g + k, line) for g, own in enumerate(groups) for k, line in enumerate(own)]
+    got = lines.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_removed == 0} == {0, 10, 20, 30}
+
+
 def test_language(spark, none):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     extra = [(10**6, None, "en"), (10**6 + 1, "", "en"), (10**6 + 2, "123 ... 456", "de"), (10**6 + 3, "ab" * 20_000, None), (None, "the of and", None)]
