@@ -79,16 +79,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return found.where(F.col("both") >= similarity * F.col("any")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, rounds: int = 2) -> DataFrame:
-    """(node, component): the distinct lines (lid) that have a similar one."""
+def met(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` (key, lid, sketch) whose key more than one lid has."""
     # Dealt once by key: finding shared keys and their members reads the same exchange, 24 bytes a row.
-    keys = band_keys(lines).repartition("key")
+    keys = keys.repartition("key")
     # The maximum of the sketch is there so that both need the same columns, else there would be two exchanges.
     shared = keys.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("z"), F.max("sketch").alias("s"))
-    members = written(keys.join(shared.where("a <> z and s is not null").select("key"), "key"))
-    wanted = members.select("lid").distinct()
-    # Equal lines meet in the partial aggregate; dealt by lid, as the join needs them, texts move once.
-    texts = written(lines.groupBy("lid").agg(F.min("line").alias("line")).join(wanted, "lid", "left_semi"))
+    return written(keys.join(shared.where("a <> z and s is not null").select("key"), "key"))
+
+
+def grouped(members: DataFrame, verified, promising=_promising, rounds: int = 2) -> DataFrame:
+    """(node, component) of the lids of ``members`` that ``verified`` pairs (a, b) link (src, dst)."""
     labelled, links, comps = members.withColumn("component", F.col("lid")), None, None
     for r in range(rounds + 1):
         if r < rounds:
@@ -98,8 +99,8 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, rounds: int
         else:
             other = labelled.select("key", F.col("lid").alias("b"), F.col("component").alias("other"), F.col("sketch").alias("theirs"))
             differ = F.col("component") < F.col("other")
-        pairs = labelled.join(other, "key").where(differ & _promising("sketch", "theirs")).select(F.col("lid").alias("a"), "b")
-        found = written(_verified(pairs.distinct(), texts, similarity))
+        pairs = labelled.join(other, "key").where(differ & promising("sketch", "theirs")).select(F.col("lid").alias("a"), "b")
+        found = written(verified(pairs.distinct()))
         links = found if links is None else links.union(found)
         comps = components(links)
         labelled = members.join(comps, members["lid"] == comps["node"], "left").select(
@@ -111,6 +112,15 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, rounds: int
     return comps
 
 
+def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+    """(node, component): the distinct lines (lid) that have a similar one."""
+    members = met(band_keys(lines))
+    wanted = members.select("lid").distinct()
+    # Equal lines meet in the partial aggregate; dealt by lid, as the join needs them, texts move once.
+    texts = written(lines.groupBy("lid").agg(F.min("line").alias("line")).join(wanted, "lid", "left_semi"))
+    return grouped(members, lambda pairs: _verified(pairs, texts, similarity), rounds=rounds)
+
+
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, tid, removed): the numbers of the lines to remove, of each document that has any.
 

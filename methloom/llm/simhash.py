@@ -21,34 +21,50 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, pieces, written
+from .common import BASE, components, mixed, pieces, written
+from .lines import grouped, met
 
 RADIUS = 3
 SHINGLE = 3
+#: The pipeline's stage: words a shingle, similarity, bands and values a band, and the most bits that
+#: fingerprints of similar texts differ in (10 expected at 0.8; 24 is five standard deviations more).
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 12, 5
+APART = 24
 #: Generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
 #: (lowest bit, number of bits) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Unsigned fingerprint of one text (UTF-8). Bit set if more than half the shingle hashes set it."""
+def shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hash of each run of ``shingle`` words of a text (UTF-8), in order; of a shorter text one, of no words none."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype=">u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
+
+
+def _folded(hashes: np.ndarray) -> int:
+    """Fingerprint of shingle hashes."""
+    n, hashes = len(hashes), hashes.astype(">u8")
     counts = np.zeros(64, dtype=np.int64)
     for a in range(0, n, 1 << 16):
         counts += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Unsigned fingerprint of one text (UTF-8). Bit set if more than half the shingle hashes set it."""
+    return _folded(shingles(text, shingle))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): one row a document, fp the fingerprint as a signed long."""
 
@@ -147,8 +163,71 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component (the smallest doc_id; of repeated rows all)."""
-    kept = near_duplicates(docs, radius).where("component_id is null or doc_id = component_id")
-    kept = kept.select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of MinHash values of a set of shingle hashes."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(hashes), 4096):
+        part = mixed(hashes[None, i : i + 4096] ^ a[:, None])
+        low = np.minimum(low, part.min(axis=1))
+    keys = np.zeros(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        keys = mixed(keys * np.uint64(BASE) + low[r::ROWS] + b[r::ROWS])
+    return keys
+
+
+def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, tid, component) of each row: tid is the hash of its text, component joins texts whose
+    sets of five-word shingles are alike. Texts of the same words are one from the start, so are texts
+    without words."""
+    text = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text"))
+
+    def run(batches):
+        for b in pieces(batches, "text"):
+            texts = b.column("text").to_pylist()
+            lids = np.array([xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split())) for t in texts], dtype=np.uint64)
+            sets = [np.unique(shingles(t, STAGE_SHINGLE)) for t in texts]
+            sketch = np.array([_folded(s) for s in sets], dtype=np.uint64)
+            keys = np.concatenate([band_keys(s) for s in sets]).view(np.int64)
+            ends = pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("tid"), pa.array(lids.view(np.int64)), pa.array(sketch.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys))],
+                names=["doc_id", "tid", "lid", "sketch", "keys"],
+            )
+
+    rows = written(text.mapInArrow(run, "doc_id long, tid long, lid long, sketch long, keys array<long>"))
+    distinct = rows.groupBy("lid").agg(F.min(F.struct("tid", "sketch", "keys")).alias("x"))
+    members = met(distinct.select("lid", "x.sketch", F.explode("x.keys").alias("key")))
+    wanted = distinct.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "x.tid")
+    texts = written(text.join(wanted, "tid").groupBy("lid").agg(F.min("text").alias("text")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs)
+        n = 1 + pairs.count() // 2000
+        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+
+        def compare(batches):
+            for b in pieces(batches, "text_a"):
+                keep = []
+                for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True):
+                    x, y = np.unique(shingles(x, STAGE_SHINGLE)), np.unique(shingles(y, STAGE_SHINGLE))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both >= similarity * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["src", "dst"])
+
+        return both.repartition(n, "a", "b").mapInArrow(compare, "src long, dst long")
+
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= APART
+    comps = grouped(members, verified, near)
+    found = rows.select("doc_id", "tid", "lid").join(comps, rows["lid"] == comps["node"], "left")
+    return found.select("doc_id", "tid", F.coalesce("component", "lid").alias("component"))
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each component (the smallest doc_id, null last, then the smallest
+    text hash; of repeated rows all)."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
+    kept = similar_texts(docs, similarity).groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.tid")
+    kept = kept.toDF("_doc", "_tid")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_doc"]) & (F.xxhash64(docs["text"]) == kept["_tid"]), "left_semi")

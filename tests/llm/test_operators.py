@@ -98,6 +98,27 @@ def test_golay_keys_find_all_pairs_in_radius(spark):
     assert got == want and len(want) > 300
 
 
+def test_stage_keeps_one_of_similar_texts(spark):
+    """The pipeline's stage: five-word Jaccard of 0.8 or more, whatever the fingerprints' distance."""
+    rng = random.Random(12)
+    rows, close = [], 0
+    for g in range(40):
+        base = [f"x{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append((2 * g, " ".join(base)))
+        for k in rng.sample(range(300), 5):
+            base[k] = "changed"
+        rows.append((2 * g + 1, " ".join(base)))
+        close += (brute_fingerprint(rows[-1][1]) ^ brute_fingerprint(rows[-2][1])).bit_count() <= 3
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    comp = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert len(set(comp)) <= 45 and close < 30
+    rows += [(None, "a clean text of a null id"), (None, "another clean text, null id too"), (None, rows[0][1])]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = [r.doc_id for r in got if r.doc_id is not None]
+    assert len(set(comp)) <= len(kept) <= len(set(comp)) + 2 and {2 * g for g in range(40)} <= set(kept)
+    assert sorted(r.text for r in got if r.doc_id is None) == ["a clean text of a null id", "another clean text, null id too"]
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(2, 30)] + [(5, 5), (None, 3), (2, 1)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(chain, "src long, dst long")).collect()}
