@@ -102,24 +102,48 @@ def _groups(words: list[str], rows: int = 20_000):
         a = b
 
 
+def _rescaled(values: np.ndarray, a: int, b: int, running: np.ndarray) -> np.ndarray:
+    """Bring values[a:b], what is still to be used of a pass, within the range of doubles; the new running scale."""
+    reach = values[a:b].max(axis=0)
+    by = np.where(reach > 0, reach, 1.0)
+    values[a:b] /= by
+    return running + np.log(by)
+
+
 def _forward(width: int, arcs: dict, n: int, p: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """alpha[end, word, language] scaled by exp(scale[end, word]); p: piece by language."""
+    """alpha[end, word, language] and its scale: the value is alpha * exp(scale); p: piece by language."""
     alpha = np.zeros((width + 1, n, p.shape[1]))
-    scale = np.zeros((width + 1, n))
+    scale, running = np.zeros_like(alpha), np.zeros(alpha.shape[1:])
     alpha[0] = 1.0
     for start in range(width):
-        if start and start % 8 == 0:  # keep what is still to be used within the range of doubles
-            reach = alpha[start : min(start + longest, width) + 1].max(axis=(0, 2))
-            by = np.where(reach > 0, reach, 1.0)
-            alpha[start : start + longest + 1] /= by[:, None]
-            scale[start:] += np.log(by)
+        if start and start % 8 == 0:
+            running = _rescaled(alpha, start, start + longest + 1, running)
+        scale[start] = running
         for k in range(1, longest + 1):
             if arc := arcs.get((start, k)):
                 rows, piece = arc
                 alpha[start + k, rows] += alpha[start, rows] * p[piece]
+    scale[width] = running
     return alpha, scale
 
 
+def _backward(width: int, arcs: dict, ends: np.ndarray, p: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the words' ends: beta[start, word, language] and its scale."""
+    beta = np.zeros((width + 1, len(ends), p.shape[1]))
+    scale, running = np.zeros_like(beta), np.zeros(beta.shape[1:])
+    beta[ends, np.arange(len(ends))] = 1.0
+    for start in range(width - 1, -1, -1):
+        if start % 8 == 0:
+            running = _rescaled(beta, start + 1, start + longest + 1, running)
+            scale[start + 1 : start + longest + 1] = running
+        # Where a word ends its value is 1 and, nothing of it being scaled before, its scale 0.
+        scale[start] = running
+        for k in range(1, longest + 1):
+            if arc := arcs.get((start, k)):
+                beta[start, arc[0]] += beta[start + k, arc[0]] * p[arc[1]]
+    return beta, scale
+
+
 def word_scores(words: list[str], index: Pieces, p: np.ndarray) -> np.ndarray:
     """Log probability of each (marked) word in each language."""
     out = np.zeros((len(words), p.shape[1]))
@@ -128,36 +152,23 @@ def word_scores(words: list[str], index: Pieces, p: np.ndarray) -> np.ndarray:
         width, arcs = index.lattice(group)
         alpha, scale = _forward(width, arcs, len(group), p, index.longest)
         ends, row = np.array([len(w) for w in group]), np.arange(len(group))
-        out[own] = np.log(np.maximum(alpha[ends, row], 1e-300)) + scale[ends, row][:, None]
+        out[own] = np.log(np.maximum(alpha[ends, row], 1e-300)) + scale[ends, row]
     return out
 
 
 def expected_counts(words: list[str], weights: np.ndarray, index: Pieces, p: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in each language: words of up to 48 characters, whose products stay
-    within the range of doubles (longer ones are no evidence of a language)."""
+    """Expected uses of each piece in each language, in words of any length."""
     out = np.zeros((index.other + 1, p.shape[1]))
-    short = [i for i, w in enumerate(words) if len(w) <= 48]
-    for own in _groups([words[i] for i in short]):
-        group = [words[short[i]] for i in own]
-        g_weights = weights[[short[i] for i in own]]
+    for own in _groups(words):
+        group, g_weights = [words[i] for i in own], weights[own]
         width, arcs = index.lattice(group)
-        n, ends, row = len(group), np.array([len(w) for w in group]), np.arange(len(group))
-        alpha = np.zeros((width + 1, n, p.shape[1]))
-        alpha[0] = 1.0
-        beta = np.zeros_like(alpha)
-        beta[ends, row] = 1.0
-        for start in range(width):
-            for k in range(1, index.longest + 1):
-                if arc := arcs.get((start, k)):
-                    alpha[start + k, arc[0]] += alpha[start, arc[0]] * p[arc[1]]
-        for start in range(width - 1, -1, -1):
-            for k in range(1, index.longest + 1):
-                if arc := arcs.get((start, k)):
-                    beta[start, arc[0]] += beta[start + k, arc[0]] * p[arc[1]]
-        total = np.maximum(alpha[ends, row], 1e-300)
+        ends, row = np.array([len(w) for w in group]), np.arange(len(group))
+        alpha, up = _forward(width, arcs, len(group), p, index.longest)
+        beta, down = _backward(width, arcs, ends, p, index.longest)
+        total = np.log(np.maximum(alpha[ends, row], 1e-300)) + up[ends, row]
         for (start, k), (rows, piece) in arcs.items():
-            share = alpha[start, rows] * p[piece] * beta[start + k, rows] / total[rows]
-            np.add.at(out, piece, share * g_weights[rows])
+            scale = np.exp(up[start, rows] + down[start + k, rows] - total[rows])
+            np.add.at(out, piece, alpha[start, rows] * p[piece] * beta[start + k, rows] * scale * g_weights[rows])
     return out
 
 

@@ -366,6 +366,25 @@ def test_language(spark, none):
     assert {r.lang_pred for r in language.identify(more.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_without_spaces(spark):
+    """Texts of one long token teach, too: three languages whose words are not parted."""
+    rng = random.Random(6)
+    own = {"de": "und nicht eine werden durch zwischen", "en": "the and that with which through", "fr": "les vous dans pour avec toujours"}
+    rows = [(3 * i + k, "".join(rng.choice(words.split()) for _ in range(rng.choice([25, 60, 400]))), lang) for i in range(40) for k, (lang, words) in enumerate(own.items())]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {i: k for i, _, k in rows}
+    assert all(r.lang_pred == lang[r.doc_id] and r.score > 0.99 for r in got)
+
+
+def test_expected_counts_of_long_words():
+    names = ("▁a", "▁ab", "b", "c", "bc", "▁", "a", "abca")
+    index, size = language.Pieces(names), np.array([len(n) for n in ("▁a", "▁ab", "b", "c", "bc", "▁", "a", "abca", "?")])
+    p = np.random.default_rng(2).random((len(names) + 1, 2)) * 1e-4
+    words = ["▁" + "abc" * 4000, "▁" + "abc" * 3 + "x", "▁", "▁" + "a" * 49, "▁" + "ab" * 30]
+    got = language.expected_counts(words, np.ones((len(words), 1)), index, p)
+    assert size @ got == pytest.approx(np.full(2, sum(map(len, words))), rel=1e-9)
+
+
 def test_forward_sums_all_segmentations():
     names = ("▁a", "▁ab", "b", "c", "bc", "▁", "a")
     index = language.Pieces(names)
