@@ -46,6 +46,12 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (null or not) and hash of text no row of ``bad`` (doc_id, tid) has."""
+    bad = bad.select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"]) == bad["_tid"]), "left_anti")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that ``column`` holds about ``most`` bytes in each (one row at least)."""
     for batch in batches:

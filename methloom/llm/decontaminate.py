@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, pieces, rolling
+from .common import WordHashes, pieces, rolling, without
 from .licenses import words_of
 
 SHINGLE = 5
-MATCH = "doc_id long, item_id long, start int, n_words int, similarity double"
+MATCH = "doc_id long, tid long, item_id long, start int, n_words int, similarity double"
 
 
 def simhash(shingles: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -121,10 +121,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     fewer than ``shingle`` words is one shingle; items and texts that are null or without words match
     nothing; a text shorter than an item is one window. Equal items are found each, rows equal in
     doc_id count as one document, null ids are kept as null; other columns are ignored."""
+    best = F.min_by(F.struct("start", "n_words", "similarity"), F.struct(-F.col("similarity"), "start")).alias("best")
+    found = _found(docs, benchmark, shingle, radius, least, part_bytes).groupBy("doc_id", "item_id").agg(best)
+    return found.select("doc_id", "item_id", "best.start", "best.n_words", "best.similarity")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, radius: int = 20, least: float = 0.8,
+           part_bytes: int = 32 << 20) -> DataFrame:
+    """One row (MATCH) for each row of ``docs`` and item found in it; tid is the hash of the row's text."""
     items = benchmark.select(F.col("item_id"), F.col("text").cast("binary").alias("text"))
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = 1 + n_bytes // part_bytes
-    text = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    text = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text"))
     found = None
     for part in range(n_parts):
         chosen = items if n_parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part)
@@ -137,27 +145,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
             index, seen = shared.value, WordHashes()
             for b in pieces(batches, "text"):
                 out = []
-                for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                for doc_id, tid, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tid", "text")), strict=True):
                     words = words_of(t)
                     best: dict[int, tuple] = {}
                     for item, start, n, sim in index.matches(words, seen.of(words), radius, least):
                         if item not in best or (-sim, start) < (-best[item][3], best[item][1]):
                             best[item] = (item, start, n, sim)
-                    out += [(doc_id, *x) for x in best.values()]
+                    out += [(doc_id, tid, *x) for x in best.values()]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-        names = ["doc_id", "item_id", "start", "n_words", "similarity"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+        names = ["doc_id", "tid", "item_id", "start", "n_words", "similarity"]
         got = text.mapInArrow(run, MATCH)
         found = got if found is None else found.unionByName(got)
     if found is None:
         return docs.sparkSession.createDataFrame([], MATCH)
-    best = F.min_by(F.struct("start", "n_words", "similarity"), F.struct(-F.col("similarity"), "start")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.start", "best.n_words", "best.similarity")
+    return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without those in which an item is found."""
+    """``docs`` without those in which an item is found; rows equal in doc_id are one document."""
     bad = contaminated(docs, benchmark, **parameters).select("doc_id").distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
+    """``docs`` without the rows in which an item is found: a row goes for its own text, so clean rows
+    of the same doc_id, or of none, stay."""
+    return without(docs, _found(docs, benchmark, **parameters))

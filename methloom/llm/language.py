@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, without
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -238,6 +238,11 @@ def identify(docs: DataFrame, path: str | None = None, folds: int = 4, fold: int
     by name), score its posterior from equal priors. A null text, a text without a letter, or no
     learned language at all gives ``und`` and score 0. lang, source and doc_id are never inputs of a
     prediction. Repeated rows come back each; other columns are ignored; an empty table gives no rows."""
+    return _identified(docs, path, folds, fold, **learning).drop("tid")
+
+
+def _identified(docs: DataFrame, path: str | None = None, folds: int = 4, fold: int = 2, **learning) -> DataFrame:
+    """As ``identify``, with tid, the hash of the row's text."""
     names = vocabulary(path)
     langs, p = learn(docs, names, folds, fold, **learning)
     shared = docs.sparkSession.sparkContext.broadcast((names, p))
@@ -267,16 +272,16 @@ def identify(docs: DataFrame, path: str | None = None, folds: int = 4, fold: int
                     pred.append(langs[k])
                     score.append(float(1 / np.exp(total - total[k]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([held_out(i, folds, fold) for i in ids], pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"],
+                [b.column("doc_id"), b.column("tid"), pa.array([held_out(i, folds, fold) for i in ids], pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+                names=["doc_id", "tid", "held_out", "lang_pred", "score"],
             )
 
-    text = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return text.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    text = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text"))
+    return text.mapInArrow(run, "doc_id long, tid long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, least: float = 0.5, **parameters) -> DataFrame:
-    """``docs`` whose language is found with a score of ``least`` or more; rejected ids go, so rows
-    equal in doc_id share their fate (all of them go if one does)."""
-    bad = identify(docs, **parameters).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """``docs`` whose language is found with a score of ``least`` or more. A row goes for its own text:
+    rows equal in doc_id (or null there) are told apart by the text's hash."""
+    bad = _identified(docs, **parameters).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
+    return without(docs, bad)

@@ -264,6 +264,19 @@ def test_benchmark(spark, docs, none):
     assert decontaminate.contaminated(docs, bench.where("item_id = 21")).count() == 0
 
 
+def test_stages_reject_rows_not_ids(spark):
+    """Of rows of one id, or of none, those with a leak or without letters go and the others stay."""
+    leak = "one two three four five six seven eight nine ten eleven twelve"
+    clean_ = [(k, f"the cat and the dog of the {w}") for k in (None, 7) for w in ("house", "garden")]
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    df = spark.createDataFrame([*clean_, (None, f"a {leak} b"), (7, leak), (7, leak)], "doc_id long, text string")
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(map(tuple, decontaminate.clean_rows(df, bench).collect()), key=key) == sorted(clean_, key=key)
+    rows = [(*r, "en") for r in clean_] + [(None, "12 34", "en"), (7, "...", "en"), (None, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(((r.doc_id, r.text) for r in language.accepted(df).collect()), key=key) == sorted(clean_, key=key)
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
