@@ -1,30 +1,39 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations alone.
 
 A line is the set of its runs of ``SHINGLE`` characters (UTF-16 units, so that a run is cut out in
-constant time). A MinHash value is the least of the runs' hashes after an exclusive-or with a seed,
-that is the hash nearest to a random point. All runs of a line take part, so a run's repeats change
-nothing and lines of equal sets have equal values, whatever their lengths. Lines that agree in a band of values, and in enough of a sketch of the others, are candidates; the
-exact Jaccard similarity decides. In a bucket, members are first compared with one representative, in a few rounds with
-others; what is then still in different components of one bucket is compared pair by pair. So a
-bucket of n copies costs about n comparisons, and no link between candidates is lost; a bucket of many
-lines that are mostly just below the similarity costs up to all its pairs (see the README's figures).
+constant time). Each band has a permutation of the runs' hashes of its own; a band's values are the
+hashes nearest, in it, to random points. All runs of a line take part, so a run's repeats change
+nothing and lines of equal sets have equal values, whatever their lengths. Lines that agree in a
+band, and in enough of a sketch of their values, are candidates; the exact Jaccard similarity decides.
+
+A bucket is not compared pair by pair. Its members first meet a few representatives, whose rows
+then leave the bucket, so small buckets are done. What is still in several components is compared
+with the bucket's largest component by a semi-join on the exact similarity (one row a line, however
+many partners it has there), and the few lines outside of it with each other by a join on the exact
+similarity, which gives links between different components only. No link between candidates is lost.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, discard, written
 
 SHINGLE = 6
 BANDS, ROWS = 6, 4
 SIMILARITY = 0.8
 #: Of the 16 values in a line's sketch so many agree before two lines are compared.
 ALIKE = 9
+#: Representatives of a bucket in each round.
+REPRESENTATIVES = (1, 3)
+#: Lines of more runs than this are compared by rows of runs, others by arrays of runs.
+LONG = 20_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -33,122 +42,188 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return split.where(F.trim("line") != "").withColumn("lid", F.xxhash64("line"))
 
 
-def _runs(lines: DataFrame) -> DataFrame:
-    """``lines`` with u (the line in UTF-16) and m (its number of runs, 1 for short lines)."""
+def _count(u: Column) -> Column:
+    """Number of runs of a line in UTF-16, 1 for short lines."""
+    return F.greatest(F.floor(F.octet_length(u) / 2).cast("int") - (SHINGLE - 1), F.lit(1))
+
+
+def _run(u: Column, i: Column) -> Column:
+    return F.substring(u, 2 * i + 1, F.lit(2 * SHINGLE))
+
+
+def _exploded(lines: DataFrame, *columns: str) -> DataFrame:
+    """(columns, u, i): a row for each run of ``line``."""
     u = lines.withColumn("u", F.encode("line", "UTF-16BE"))
-    return u.withColumn("m", F.greatest(F.expr(f"cast(octet_length(u) div 2 as int) - {SHINGLE - 1}"), F.lit(1)))
+    return u.select(*columns, "u", F.explode(F.sequence(F.lit(0), _count(F.col("u")) - 1)).alias("i"))
+
+
+def run_set(line: Column) -> Column:
+    """The distinct hashes of a line's runs. The outer lambda binds the encoded line, which would else be made for each run."""
+    one = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _count(u) - 1), lambda i: F.xxhash64(_run(u, i))))
+    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), one), F.lit(0))
+
+
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """Have two sets (arrays) a Jaccard similarity of ``similarity`` or more? In whole numbers, sizes first."""
+    p, q = round(similarity * 10**6), 10**6
+    x, y = F.size(a).cast("long"), F.size(b).cast("long")
+    return (F.least(x, y) * q >= F.greatest(x, y) * p) & (F.size(F.array_intersect(a, b)) * F.lit(p + q).cast("long") >= (x + y) * p)
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
     """(lid, sketch, key) of every distinct line and band. Equal lines meet in the partial aggregate."""
-    runs = _runs(lines.select("lid", "line")).select("lid", "u", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
-    runs = runs.select("lid", F.hash(F.expr(f"substring(u, 2 * i + 1, {2 * SHINGLE})")).alias("h"))
     rng = random.Random(6)
-    seeds = [rng.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
-    mins = runs.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{k}") for k, s in enumerate(seeds)])
+    low = (1 << 31) - 1
+    runs = _exploded(lines, "lid").select("lid", F.hash(_run(F.col("u"), F.col("i"))).bitwiseAND(low).cast("long").alias("h"))
+    # A product with an odd number modulo 2**31 permutes the hashes, for each band in another way.
+    mixed = [(F.col("h") * F.lit(rng.getrandbits(31) | 1)).bitwiseAND(low).cast("int").alias(f"b{b}") for b in range(BANDS)]
+    least = [F.min(F.col(f"b{k // ROWS}").bitwiseXOR(F.lit(rng.getrandbits(31)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
+    mins = runs.select("lid", *mixed).groupBy("lid").agg(*least)
     keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     nibble = lambda k: F.shiftleft(F.shiftright(f"m{k}", 12).bitwiseAND(15).cast("long"), 4 * k)
     sketch = reduce(lambda a, b: a.bitwiseOR(b), map(nibble, range(16)))
     return mins.select("lid", sketch.alias("sketch"), F.explode(F.array(*keys)).alias("key"))
 
 
-def _promising(a: str, b: str):
+def _promising(a: Column, b: Column) -> Column:
     """Do two sketches (four bits of 16 values each) agree in ALIKE places? Two lines of the similarity
     wanted do with a probability above 0.997, unrelated ones that share a band hardly ever."""
-    x = F.col(a).bitwiseXOR(F.col(b))
+    x = a.bitwiseXOR(b)
     apart = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3)).bitwiseAND(F.lit(0x1111111111111111))
     return F.bit_count(apart) <= 16 - ALIKE
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is high enough.
-
-    Both lines' runs become rows of the pair, counted by run and then by pair where the pair is; so
-    the work is generated code over rows, not lambdas over arrays, and a task's share is bounded."""
-    pairs = written(pairs)
-    n = 1 + pairs.count() // 4000
-    a = texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"))
-    b = texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b"))
-    both = pairs.join(a, "a").join(b, "b").repartition(n, "a", "b")
-    side = lambda k, line: F.struct(F.lit(k).alias("side"), F.col(line).alias("line"))
-    sides = both.select("a", "b", F.explode(F.array(side(1, "line_a"), side(2, "line_b"))).alias("s")).select("a", "b", "s.side", "s.line")
-    runs = _runs(sides).select("a", "b", "side", "u", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
-    runs = runs.select("a", "b", "side", F.xxhash64(F.expr(f"substring(u, 2 * i + 1, {2 * SHINGLE})")).alias("h"))
-    union = runs.groupBy("a", "b", "h").agg(F.bit_or("side").alias("side"))
-    found = union.groupBy("a", "b").agg(F.count("*").alias("any"), F.count_if(F.col("side") == 3).alias("both"))
-    return found.where(F.col("both") >= similarity * F.col("any")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-
-
 def met(keys: DataFrame) -> DataFrame:
     """The rows of ``keys`` (key, lid, sketch) whose key more than one lid has."""
-    # Dealt once by key: finding shared keys and their members reads the same exchange, 24 bytes a row.
-    keys = keys.repartition("key")
-    # The maximum of the sketch is there so that both need the same columns, else there would be two exchanges.
-    shared = keys.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("z"), F.max("sketch").alias("s"))
-    return written(keys.join(shared.where("a <> z and s is not null").select("key"), "key"))
-
-
-def grouped(members: DataFrame, verified, promising=_promising, rounds: int = 2) -> DataFrame:
-    """(node, component) of the lids of ``members`` that ``verified`` pairs (a, b) link (src, dst)."""
-    labelled, links, comps = members.withColumn("component", F.col("lid")), None, None
-    for r in range(rounds + 1):
-        if r < rounds:
-            rep = F.min_by(F.struct("lid", "component", "sketch"), F.xxhash64("lid", F.lit(r))).alias("rep")
-            other = labelled.groupBy("key").agg(rep).select("key", F.col("rep.lid").alias("b"), F.col("rep.component").alias("other"), F.col("rep.sketch").alias("theirs"))
-            differ = F.col("component") != F.col("other")
-        else:
-            other = labelled.select("key", F.col("lid").alias("b"), F.col("component").alias("other"), F.col("sketch").alias("theirs"))
-            differ = F.col("component") < F.col("other")
-        pairs = labelled.join(other, "key").where(differ & promising("sketch", "theirs")).select(F.col("lid").alias("a"), "b")
-        found = written(verified(pairs.distinct()))
-        links = found if links is None else links.union(found)
-        comps = components(links)
-        labelled = members.join(comps, members["lid"] == comps["node"], "left").select(
-            "key", "lid", "sketch", F.coalesce("component", "lid").alias("component")
+    return written(keys.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").drop("n"))
+
+
+def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """``rows`` (key, lid, sketch) with their component, of the buckets that are not all of one."""
+    labelled = rows.join(comps, rows["lid"] == comps["node"], "left").select("key", "lid", "sketch", F.coalesce("component", "lid").alias("component"))
+    bucket = W.partitionBy("key")
+    ends = labelled.withColumn("a", F.min("component").over(bucket)).withColumn("z", F.max("component").over(bucket))
+    return written(ends.where("a <> z").drop("a", "z"))
+
+
+def _rest(left: DataFrame, sets: DataFrame, similar: Callable[[DataFrame], DataFrame], promising, similarity: float) -> DataFrame:
+    """(src, dst): the links that are left in buckets of several components. ``left`` has key, lid, sketch,
+    component; ``sets`` the lids' sets (lid, runs; null for a line that is long, which ``similar`` compares)."""
+    counts = left.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    rows = written(left.join(sets, "lid").join(counts, "key"))
+    x, y = rows.alias("x"), rows.alias("y")
+    near = promising(F.col("x.sketch"), F.col("y.sketch")) & (F.col("x.component") != F.col("y.component"))
+    exact = near & alike(F.col("x.runs"), F.col("y.runs"), similarity)
+    same = F.col("x.key") == F.col("y.key")
+    away, home = x.where("component <> main"), y.where("component = main")
+    links = away.join(home, same & exact, "left_semi").select(F.col("lid").alias("src"), F.col("main").alias("dst"))
+    others = away.join(y.where("component <> main"), same & (F.col("x.component") < F.col("y.component")) & exact)
+    links = links.union(others.select(F.col("x.lid").alias("src"), F.col("y.lid").alias("dst")))
+    if not rows.where("runs is null").isEmpty():
+        long = F.col("x.runs").isNull() & (F.col("y.runs").isNotNull() | (F.col("x.component") < F.col("y.component")))
+        pairs = x.join(y, same & long & near).select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b"))
+        links = links.union(similar(pairs.distinct()))
+    found = written(links)
+    discard(rows)
+    return found
+
+
+def grouped(members: DataFrame, similar: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame],
+            similarity: float, promising=_promising, representatives: tuple[int, ...] = REPRESENTATIVES) -> DataFrame:
+    """(node, component) of the lids of ``members`` (key, lid, sketch) that are similar to another of their buckets.
+
+    ``similar`` gives the links (src, dst) among pairs (a, b), ``sets`` the sets (lid, runs) of some lids."""
+    left, found, comps = members.withColumn("component", F.col("lid")), [], None
+    for r, n in enumerate(representatives):
+        bucket = W.partitionBy("key")
+        picks = [F.min_by(F.struct("lid", "component", "sketch"), F.xxhash64("lid", F.lit(10 * r + k))).over(bucket) for k in range(n)]
+        met_ = left.withColumn("reps", F.array_distinct(F.array(*picks)))
+        pairs = met_.withColumn("rep", F.explode("reps")).where(
+            (F.col("component") != F.col("rep.component")) & promising(F.col("sketch"), F.col("rep.sketch"))
         )
-        # Buckets all of one component are done.
-        open_ = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("key")
-        labelled = written(labelled.join(open_, "key", "left_semi"))
+        pairs = pairs.select(F.least("lid", "rep.lid").alias("a"), F.greatest("lid", "rep.lid").alias("b")).distinct()
+        found.append(written(similar(pairs)))
+        comps = components(reduce(DataFrame.union, found))
+        # A representative has met its whole bucket.
+        rest = met_.where(~F.exists("reps", lambda x: x["lid"] == F.col("lid"))).select("key", "lid", "sketch")
+        new = _open(rest, comps)
+        if r:
+            discard(left)
+        left = new
+    if not left.isEmpty():
+        own = written(sets(left.select("lid").distinct()))
+        found.append(_rest(left, own, similar, promising, similarity))
+        discard(own)
+        comps = components(reduce(DataFrame.union, found))
+    discard(left)
     return comps
 
 
-def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, long: int = LONG, **parameters) -> DataFrame:
     """(node, component): the distinct lines (lid) that have a similar one."""
     members = met(band_keys(lines))
     wanted = members.select("lid").distinct()
-    # Equal lines meet in the partial aggregate; dealt by lid, as the join needs them, texts move once.
-    texts = written(lines.groupBy("lid").agg(F.min("line").alias("line")).join(wanted, "lid", "left_semi"))
-    return grouped(members, lambda pairs: _verified(pairs, texts, similarity), rounds=rounds)
+    texts = written(lines.select("lid", "line").join(wanted, "lid", "left_semi").groupBy("lid").agg(F.min("line").alias("line")))
+    is_long = F.length("line") > long
+    any_long = not texts.where(is_long).isEmpty()
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs)
+        n = 1 + pairs.count() // 2000
+        a = texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"))
+        b = texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b"))
+        both = pairs.join(a, "a").repartition(n, "b").join(b, "b")
+        long_pair = (F.length("line_a") > long) | (F.length("line_b") > long)
+        short = both.where(~long_pair) if any_long else both
+        links = short.where(alike(run_set(F.col("line_a")), run_set(F.col("line_b")), similarity)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        return links.union(_by_rows(both.where(long_pair), similarity)) if any_long else links
+
+    def sets(lids: DataFrame) -> DataFrame:
+        return texts.join(lids, "lid").select("lid", F.when(~is_long, run_set(F.col("line"))).alias("runs"))
+
+    comps = grouped(members, similar, sets, similarity, **parameters)
+    discard(members)
+    discard(texts)
+    return comps
+
+
+def _by_rows(both: DataFrame, similarity: float) -> DataFrame:
+    """The links (src, dst) among pairs (a, b, line_a, line_b) of long lines: runs become rows of the
+    pair, counted by run and then by pair, so no array holds a long line's runs."""
+    side = lambda k, line: F.struct(F.lit(k).alias("side"), F.col(line).alias("line"))
+    sides = both.select("a", "b", F.explode(F.array(side(1, "line_a"), side(2, "line_b"))).alias("s")).select("a", "b", "s.side", "s.line")
+    runs = _exploded(sides, "a", "b", "side").select("a", "b", "side", F.xxhash64(_run(F.col("u"), F.col("i"))).alias("h"))
+    union = runs.groupBy("a", "b", "h").agg(F.bit_or("side").alias("side"))
+    found = union.groupBy("a", "b").agg(F.count("*").alias("any"), F.count_if(F.col("side") == 3).alias("both"))
+    p, q = round(similarity * 10**6), 10**6
+    return found.where(F.col("both") * q >= F.col("any") * p).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, **parameters) -> DataFrame:
     """(doc_id, tid, removed): the numbers of the lines to remove, of each document that has any.
 
     Of each component of equal or similar lines the first place (by doc_id, text hash, line number;
     null ids last) stays. Blank lines are never removed. Lines shorter than a run of characters have
-    one, themselves. Rows equal in doc_id and text are one document; null texts have no lines."""
+    one, themselves; lines of any length count whole. Rows equal in doc_id and text are one document;
+    null texts have no lines."""
     lines = lines_of(docs)
-    comps = similar_lines(lines, similarity)
+    comps = similar_lines(lines, similarity, **parameters)
     places = lines.select("doc_id", "tid", "line_no", "lid")
-    found = places.join(comps, places["lid"] == comps["node"], "left").select(
-        "doc_id", "tid", "line_no", F.coalesce("component", "lid").alias("component")
-    )
-    found = written(found.distinct())
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tid", "line_no")).alias("first")
-    keepers = found.groupBy("component").agg(first, F.count("*").alias("n")).where("n > 1").select("component", "first")
-    gone = found.join(keepers, "component").where(
-        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tid") == F.col("first.tid")) & (F.col("line_no") == F.col("first.line_no")))
-    )
-    return gone.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tid", "line_no")
+    found = written(places.join(comps, places["lid"] == comps["node"], "left").select(F.coalesce("component", "lid").alias("component"), place.alias("place")))
+    # Repeated rows are the same place, so places are not counted.
+    keepers = found.groupBy("component").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
+    gone = found.join(keepers, "component").where("place <> first")
+    return gone.groupBy("place.doc_id", "place.tid").agg(F.array_sort(F.collect_set("place.line_no")).alias("removed"))
 
 
-def decisions(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def decisions(docs: DataFrame, similarity: float = SIMILARITY, **parameters) -> DataFrame:
     """One row a row of ``docs``: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending).
 
     A null text has no lines, an empty one a single blank line. Other columns are ignored; an empty
     table gives no rows."""
     heads = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n"))
-    gone = duplicate_lines(docs, similarity).withColumnsRenamed({"doc_id": "_doc", "tid": "_tid"})
+    gone = duplicate_lines(docs, similarity, **parameters).withColumnsRenamed({"doc_id": "_doc", "tid": "_tid"})
     on = heads["doc_id"].eqNullSafe(gone["_doc"]) & (heads["tid"] == gone["_tid"])
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return heads.join(gone, on, "left").select(
@@ -156,14 +231,15 @@ def decisions(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
 
 
-def without_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the text's duplicate lines removed (and n_chars, where there is one, counted anew)."""
-    gone = duplicate_lines(docs, similarity).withColumnsRenamed({"doc_id": "_doc", "tid": "_tid"})
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_doc"]) & (keyed["_t"] == gone["_tid"]), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", text)
+def without_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **parameters) -> DataFrame:
+    """``docs`` with the text's duplicate lines removed (and n_chars, where there is one, counted anew).
+    Other columns pass as they are, whatever their names."""
+    gone = duplicate_lines(docs, similarity, **parameters)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("t"))
+    on = keyed["row"]["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["t"] == gone["tid"])
+    joined = keyed.join(gone, on, "left").select("row", "removed")
+    kept = F.array_join(F.filter(F.split(F.col("row")["text"], "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    new = {"text": F.when(F.col("removed").isNull(), F.col("row")["text"]).otherwise(kept)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("removed").isNull(), F.col("row")["n_chars"]).otherwise(F.length(new["text"]).cast("long"))
+    return joined.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

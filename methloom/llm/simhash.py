@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, components, mixed, pieces, written
-from .lines import grouped, met
+from .lines import LONG, grouped, met
 
 RADIUS = 3
 SHINGLE = 3
@@ -202,10 +202,10 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     wanted = distinct.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "x.tid")
     texts = written(text.join(wanted, "tid").groupBy("lid").agg(F.min("text").alias("text")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def similar(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs)
         n = 1 + pairs.count() // 2000
-        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        both = pairs.join(texts.toDF("a", "text_a"), "a").repartition(n, "b").join(texts.toDF("b", "text_b"), "b")
 
         def compare(batches):
             for b in pieces(batches, "text_a"):
@@ -216,10 +216,19 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                     keep.append(both >= similarity * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["src", "dst"])
 
-        return both.repartition(n, "a", "b").mapInArrow(compare, "src long, dst long")
+        return both.mapInArrow(compare, "src long, dst long")
 
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= APART
-    comps = grouped(members, verified, near)
+    def sets(lids: DataFrame) -> DataFrame:
+        def run(batches):
+            for b in pieces(batches, "text"):
+                own = [np.unique(shingles(t, STAGE_SHINGLE)) for t in b.column("text").to_pylist()]
+                runs = pa.array([x.view(np.int64) if len(x) <= LONG else None for x in own], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("lid"), runs], names=["lid", "runs"])
+
+        return texts.join(lids, "lid").mapInArrow(run, "lid long, runs array<long>")
+
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= APART
+    comps = grouped(members, similar, sets, similarity, near)
     found = rows.select("doc_id", "tid", "lid").join(comps, rows["lid"] == comps["node"], "left")
     return found.select("doc_id", "tid", F.coalesce("component", "lid").alias("component"))
 
