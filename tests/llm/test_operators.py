@@ -158,21 +158,69 @@ def test_warc(spark, tmp_path):
     assert warc.archived(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def test_suffix_tree_base_and_sums(docs, none):
-    rows = docs.collect()
-    toks = [(r.text or "").encode().lower() for r in rows]
-    toks = [WORD.findall(t) + [b"\n"] for t in toks]
-    held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in rows]
+def _token_lists(rows):
+    return [WORD.findall((r.text or "").encode().lower()) + [b"\n"] for r in rows]
+
+
+def _held(rows):
+    return [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in rows]
+
+
+def brute_tree(toks, held, depth=3, least=2, gain=1.0, p_min=1e-6):
+    """(probability of a symbol after a context, log10 score of each text) of the suffix tree, context by context."""
     counts = collections.Counter(w for t, h in zip(toks, held, strict=True) if not h for w in t)
     n, v = sum(counts.values()), len(counts)
+    whole, common = n + 0.1 * (v + 1), {w for w, c in counts.items() if c >= p_min * n or w == b"\n"}
+    n_rare = v - len(common) + 1
+    rare = (sum(c for w, c in counts.items() if w not in common) + 0.1 * n_rare) / whole / n_rare
+    after = collections.defaultdict(collections.Counter)
+    context = lambda t, i, k: tuple(t[i - j] if i >= j else None for j in range(1, k + 1))
+    for t, h in zip(toks, held, strict=True):
+        if not h:
+            for i, w in enumerate(t):
+                for k in range(1, depth + 1):
+                    after[context(t, i, k)][w] += 1
+    states = set()
+
+    def p(c, w):
+        if not c:
+            return (counts[w] + 0.1) / whole if w in common else rare
+        if c not in states:
+            return p(c[:-1], w)
+        own = after[c]
+        return (own[w] + len(own) * p(c[:-1], w)) / (own.total() + len(own))
+
+    for k in range(1, depth + 1):
+        for c in [c for c in after if len(c) == k]:
+            own = after[c]
+            won = sum(x * math.log(x / own.total() / p(c[:-1], w)) for w, x in own.items())
+            if own.total() >= least and won > gain * len(own):
+                states.add(c)
+    return p, counts, states, [sum(math.log10(p(context(t, i, depth), w)) for i, w in enumerate(t)) for t in toks]
+
+
+def test_suffix_tree(docs, none):
+    rows = docs.collect()
+    toks, held = _token_lists(rows), _held(rows)
+    p, counts, _, want_score = brute_tree(toks, held)
+    n, v = sum(counts.values()), len(counts)
     base = lambda t: sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
-    want = sorted((-1 if r.doc_id is None else r.doc_id, h, len(t), sum(counts[w] > 0 for w in t), n, round(base(t), 6)) for r, h, t in zip(rows, held, toks, strict=True))
-    got = suffix_tree.scores(docs, p_context=1e-3).collect()
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
-    # rare words come by the join: the same scores however few words are sent to the tasks
-    few = suffix_tree.scores(docs, p_min=1e-3, p_context=1e-3).collect()
-    assert sorted((-1 if r.doc_id is None else r.doc_id, round(r.base_score, 6)) for r in few) == sorted((x[0], x[5]) for x in want)
+    want = [(-1 if r.doc_id is None else r.doc_id, h, len(t), sum(counts[w] > 0 for w in t), n, base(t), s) for r, h, t, s in zip(rows, held, toks, want_score, strict=True)]
+    order = lambda r: (r[0], r[2], r[5])
+
+    def compare(want, **parameters):
+        got = sorted(((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in suffix_tree.scores(docs, **parameters).collect()), key=order)
+        for g, w in zip(got, sorted(want, key=order), strict=True):
+            assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-5)
+
+    compare(want)
+    # the head (contexts too large for a part) says the same where no entry is too rare for it
+    compare(want, part_tokens=40)
+    # rare words share a probability without context; their counts come from the parts
+    compare([(*w[:6], s) for w, s in zip(want, brute_tree(toks, held, p_min=1e-3)[3], strict=True)], p_min=1e-3)
+    compare([(*w[:6], s) for w, s in zip(want, brute_tree(toks, held, depth=1, least=5, gain=0.5)[3], strict=True)], depth=1, least=5, gain=0.5)
+    got = suffix_tree.scores(docs, p_min=1e-2, part_tokens=40).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_known, round(r.base_score, 6)) for r in got) == sorted((w[0], w[3], round(w[5], 6)) for w in want)
     assert suffix_tree.scores(none).count() == 0
 
 
@@ -180,32 +228,35 @@ def test_suffix_tree_distributions_sum_to_one_and_learn(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("ab cd ef".split()[k % 3] if rng.random() < 0.9 else f"w{rng.randrange(50)}" for k in range(60))) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    tree, vocabulary = suffix_tree.learn(df, p_context=1e-3)
-    assert len(tree.levels[0][0]) >= 3
-    total, distinct = tree.total, tree.distinct
-    unseen = 0.1 / (total + 0.1 * (distinct + 1))
-    index = np.append(np.arange(len(tree.words)), -1)
-    for before in range(0, min(5, tree.n_contexts + 1)):
-        for before2 in range(0, 3):
-            n = len(index)
-            logs = tree.log10(index, tree.symbol[index], np.full(n, before), np.full(n, before2))
-            p = 10.0**logs
-            p[-1] *= unseen
-            assert p.sum() == pytest.approx(1, abs=1e-9)
-    got = [r for r in suffix_tree.scores(df, p_context=1e-3).collect() if r.held_out]
+    rows = df.collect()
+    toks, held = _token_lists(rows), _held(rows)
+    p, counts, states, _ = brute_tree(toks, held)
+    assert {(b"ab",), (b"cd",), (b"ef",)} <= states and any(len(c) > 1 for c in states)
+    for c in [*sorted(states, key=repr)[:20], (), (b"never",)]:
+        assert sum(p(c, w) for w in [*counts, b"unseen"]) == pytest.approx(1, abs=1e-9)
+    # A head with few entries leaves the rest to the unigrams and still sums to one.
+    model = suffix_tree.learn_head(df, 10, 0, 3, 2, 1.0, 0.01, 500)
+    assert len(model.levels) == 3 and all(level[1].any() for level in model.levels[:1])
+    symbols = np.append(np.arange(1, len(model.counts), dtype=np.uint64), np.uint64(suffix_tree.RARE))
+    n_rare = model.distinct - (len(model.counts) - 1) + 1
+    for k, level in enumerate(model.levels, 1):
+        for c in level[0][:5].tolist():
+            words = [np.full(len(symbols), c >> 20 * (k - 1 - i) & ((1 << 20) - 1), dtype=np.uint64) for i in range(k)]
+            q = np.exp(model.head_log(words, symbols, np.full(len(symbols), k)))
+            assert q[:-1].sum() + n_rare * q[-1] == pytest.approx(1, abs=1e-9)
+    got = [r for r in suffix_tree.scores(df).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 100
 
 
 def test_suffix_tree_keeps_contexts_that_are_a_small_share(spark):
-    """Contexts below p_context, entries below p_min and contexts of three words count."""
+    """Contexts and entries that occur a few times, and contexts of three words, count."""
     rng = random.Random(2)
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0]
     phrase = "p q r s t u"
     rows = [(i, sentence(rng, 40, 30) + (f" {phrase}" if i % 40 == 1 and i not in held else "")) for i in range(400)]
     rows[held[0]] = (held[0], phrase)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    tight = {"p_context": 0.05, "p_symbol": 0.05, "p_min": 0.05}  # the phrase is far below these shares
-    got = {r.doc_id: r for r in suffix_tree.scores(df, **tight).collect()}
+    got = {r.doc_id: r for r in suffix_tree.scores(df, p_min=0.05).collect()}  # the phrase is far below this share
     assert got[held[0]].score > got[held[0]].base_score + 6
 
 
@@ -236,6 +287,34 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_license_notices_with_words_put_in_and_repeated(spark):
+    """Each notice by itself gives its own label alone, with words of its beginning or end repeated
+    around it and with words put in; texts of other words give none."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for n, (notice, label) in enumerate(licenses.NOTICES.items()):
+        words = notice.split()
+        made = [words, words[:2] * 4 + words, words[:2] * 40 + words, words + words[-2:] * 30, words[:3] * 12 + words]
+        for k in range(1, 4):
+            w = list(words)
+            for _ in range(1 if len(words) < 30 else k):
+                w.insert(rng.randrange(len(w) // 3, len(w) - len(w) // 3), "zz")
+            made.append(w if len(words) >= 12 else words)
+        for k, w in enumerate(made):
+            rows.append((100 * n + k, " ".join([*sentence(rng, 30).split(), *w, *sentence(rng, 30).split()])))
+            want[rows[-1][0]] = label
+    two = [next(k for k, own in licenses.NOTICES.items() if own == label) for label in ("isc", "gpl")]
+    rows += [(9000, " ".join(two)), (9001, sentence(rng, 20_000)), (9002, " ".join(["permission", "is", "hereby"] * 3000)), (9000, None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {r.doc_id: r for r in got if r.n_words}
+    wrong = {i: (by[i].labels, label) for i, label in want.items() if set(by[i].labels.split(",")) - set(by[i].base_labels.split(",")) - {label} or label not in by[i].labels.split(",")}
+    assert not wrong
+    assert set(by[9000].labels.split(",")) == {"isc", "gpl"} and by[9001].labels == by[9002].labels == ""
+    for r in by.values():
+        spans = sorted((x.start, x.length) for x in r.spans)
+        assert all(a + n <= b + n // 2 for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
+
+
 def test_benchmark(spark, docs, none):
     rng = random.Random(8)
     items = [sentence(rng, n, 5000) for n in (5, 3, 14, 20, 37, 37, 59)]
