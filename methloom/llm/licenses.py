@@ -170,9 +170,10 @@ def _merged(diagonals: DataFrame, is_notice, least, drift) -> DataFrame:
 
 
 def _best(spans: DataFrame, is_notice) -> DataFrame:
-    """Of notices that stand on the same words (the middle halves of their spans overlap, directly or over
-    others) the one with the most places matched, then the largest share. Other rows pass as they are."""
-    cut = (F.col("words") / 4).cast("int")
+    """Of notices that stand on the same words (their spans overlap by more than some words at the ends,
+    directly or over others) the one with the most places matched, then the largest share. Other rows
+    pass as they are."""
+    cut = F.least((F.col("words") / 4).cast("int"), F.lit(6))
     cores = spans.withColumn("notice", is_notice).withColumn("a", F.col("first") + cut).withColumn("z", F.col("last") - cut)
     line = W.partitionBy("row", "notice").orderBy("a", "z", "template")
     before = F.max("z").over(line.rowsBetween(W.unboundedPreceding, -1))
