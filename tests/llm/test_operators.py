@@ -526,6 +526,21 @@ def test_substrings(spark, docs, none):
         covered = {k for s in r.spans for k in range(s.start, s.start + s.length)}
         assert len(covered) == r.n_removed and all(s.length >= 35 for s in r.spans)
         assert len(r.kept_text.split()) >= 0
+    # Every factor stands, word for word, at another place, the one that it names.
+    words = {}
+    for (i, _), w in zip(rows, split, strict=True):
+        words.setdefault(i, []).append(w)
+    n = 0
+    for r in got:
+        for s in r.spans:
+            n += 1
+            own = [w[s.start : s.start + s.length] for w in words[r.doc_id]]
+            ref = [w[s.ref_start : s.ref_start + s.length] for w in words[s.ref_doc_id]]
+            assert any(x == y and len(x) == s.length for x in own for y in ref)
+            assert (s.ref_doc_id, s.ref_start) != (r.doc_id, s.start) or len(own) > 1
+    assert n > 10
+    few = substrings.parse(df, block_bytes=2000, range_words=500, with_text=False).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in few) == sorted(want)
     assert substrings.parse(none).count() == 0
 
 
