@@ -6,11 +6,12 @@ hashes nearest, in it, to random points. All runs of a line take part, so a run'
 nothing and lines of equal sets have equal values, whatever their lengths. Lines that agree in a
 band, and in enough of a sketch of their values, are candidates; the exact Jaccard similarity decides.
 
-A bucket is not compared pair by pair. Its members first meet a few representatives, whose rows
-then leave the bucket, so small buckets are done. What is still in several components is compared
-with the bucket's largest component by a semi-join on the exact similarity (one row a line, however
-many partners it has there), and the few lines outside of it with each other by a join on the exact
-similarity, which gives links between different components only. No link between candidates is lost.
+A bucket is not compared pair by pair. Its members first meet a representative, whose row then leaves
+the bucket, so small buckets are done. Where several components are left, the lines outside of a
+bucket's largest component are compared with that by a semi-join on the exact similarity (one row a
+line, however many partners it has there), and the few that find none with the others outside of it by a
+join on the exact similarity, which gives links between different components only. No link between
+candidates is lost.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ BANDS, ROWS = 6, 4
 SIMILARITY = 0.8
 #: Of the 16 values in a line's sketch so many agree before two lines are compared.
 ALIKE = 9
-#: Representatives of a bucket in each round.
-REPRESENTATIVES = (1, 3)
 #: Lines of more runs than this are compared by rows of runs, others by arrays of runs.
 LONG = 20_000
 
@@ -71,14 +70,19 @@ def alike(a: Column, b: Column, similarity: float) -> Column:
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
-    """(lid, sketch, key) of every distinct line and band. Equal lines meet in the partial aggregate."""
+    """(lid, sketch, key) of every distinct line and band. Equal lines meet in the partial aggregate. A row
+    holds four runs, so the aggregate looks a line up once for them (a line's last run may come again)."""
     rng = random.Random(6)
-    low = (1 << 31) - 1
-    runs = _exploded(lines, "lid").select("lid", F.hash(_run(F.col("u"), F.col("i"))).bitwiseAND(low).cast("long").alias("h"))
+    low, places = (1 << 31) - 1, range(4)
+    u = lines.withColumn("u", F.encode("line", "UTF-16BE")).withColumn("m", _count(F.col("u")))
+    rows = u.select("lid", "u", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1, F.lit(len(places)))).alias("i"))
+    hashed = lambda j: F.hash(_run(F.col("u"), F.least(F.col("i") + j, F.col("m") - 1))).bitwiseAND(low).cast("long")
+    runs = rows.select("lid", *[hashed(j).alias(f"h{j}") for j in places])
     # A product with an odd number modulo 2**31 permutes the hashes, for each band in another way.
-    mixed = [(F.col("h") * F.lit(rng.getrandbits(31) | 1)).bitwiseAND(low).cast("int").alias(f"b{b}") for b in range(BANDS)]
-    least = [F.min(F.col(f"b{k // ROWS}").bitwiseXOR(F.lit(rng.getrandbits(31)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
-    mins = runs.select("lid", *mixed).groupBy("lid").agg(*least)
+    factors = [rng.getrandbits(31) | 1 for _ in range(BANDS)]
+    mixed = runs.select("lid", *[(F.col(f"h{j}") * F.lit(f)).bitwiseAND(low).cast("int").alias(f"b{b}_{j}") for b, f in enumerate(factors) for j in places])
+    nearest = lambda k, seed: F.min(F.least(*[F.col(f"b{k // ROWS}_{j}").bitwiseXOR(F.lit(seed)) for j in places]))
+    mins = mixed.groupBy("lid").agg(*[nearest(k, rng.getrandbits(31)).alias(f"m{k}") for k in range(BANDS * ROWS)])
     keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     nibble = lambda k: F.shiftleft(F.shiftright(f"m{k}", 12).bitwiseAND(15).cast("long"), 4 * k)
     sketch = reduce(lambda a, b: a.bitwiseOR(b), map(nibble, range(16)))
@@ -106,60 +110,60 @@ def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return written(ends.where("a <> z").drop("a", "z"))
 
 
-def _rest(left: DataFrame, sets: DataFrame, similar: Callable[[DataFrame], DataFrame], promising, similarity: float) -> DataFrame:
-    """(src, dst): the links that are left in buckets of several components. ``left`` has key, lid, sketch,
-    component; ``sets`` the lids' sets (lid, runs; null for a line that is long, which ``similar`` compares)."""
+def _rest(left: DataFrame, sets: DataFrame, similar: Callable[[DataFrame], DataFrame], promising, similarity: float) -> list[DataFrame]:
+    """Tables (src, dst) of the links that are left in buckets of several components. ``left`` has key, lid,
+    sketch, component; ``sets`` the lids' sets (lid, runs; null for a line that is long, which ``similar`` compares).
+
+    A bucket's largest component is its home. A line away from it is compared with the home's lines of all
+    open buckets at once, so a line's set moves once, whatever the number of its buckets."""
     counts = left.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    rows = written(left.join(sets, "lid").join(counts, "key"))
-    x, y = rows.alias("x"), rows.alias("y")
-    near = promising(F.col("x.sketch"), F.col("y.sketch")) & (F.col("x.component") != F.col("y.component"))
-    exact = near & alike(F.col("x.runs"), F.col("y.runs"), similarity)
-    same = F.col("x.key") == F.col("y.key")
-    away, home = x.where("component <> main"), y.where("component = main")
-    links = away.join(home, same & exact, "left_semi").select(F.col("lid").alias("src"), F.col("main").alias("dst"))
-    others = away.join(y.where("component <> main"), same & (F.col("x.component") < F.col("y.component")) & exact)
-    links = links.union(others.select(F.col("x.lid").alias("src"), F.col("y.lid").alias("dst")))
-    if not rows.where("runs is null").isEmpty():
-        long = F.col("x.runs").isNull() & (F.col("y.runs").isNotNull() | (F.col("x.component") < F.col("y.component")))
-        pairs = x.join(y, same & long & near).select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b"))
-        links = links.union(similar(pairs.distinct()))
-    found = written(links)
+    rows = written(left.join(counts, "key"))
+    x, y = F.col("x.sketch"), F.col("y.sketch")
+    exact = promising(x, y) & alike(F.col("x.runs"), F.col("y.runs"), similarity)
+    away, home = rows.where("component <> main"), rows.where("component = main")
+    faces = away.select("lid", "sketch", "main").distinct().join(sets, "lid").alias("x")
+    homes = home.select("lid", "sketch", "main").distinct().join(sets, "lid").alias("y")
+    found = written(faces.join(homes, (F.col("x.main") == F.col("y.main")) & exact, "left_semi").select("lid", "main"))
+    # Lines without a partner at home, with the others that are away in their buckets.
+    lone = written(away.join(found, ["lid", "main"], "left_anti").select("key", "lid", "sketch", "component").join(sets, "lid"))
+    others = away.join(lone.select("key").distinct(), "key", "left_semi").select("key", "lid", "sketch", "component").join(sets, "lid")
+    differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+    met_ = written(lone.alias("x").join(others.alias("y"), differ & exact).select(F.col("x.lid").alias("src"), F.col("y.lid").alias("dst")).distinct())
+    out = [found.select(F.col("lid").alias("src"), F.col("main").alias("dst")), met_]
+    long = sets.where("runs is null").select("lid")
+    if not long.isEmpty():
+        pairs = rows.join(long, "lid", "left_semi").alias("x").join(rows.alias("y"), differ & promising(x, y))
+        pairs = pairs.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct()
+        out.append(written(similar(pairs)))
     discard(rows)
-    return found
+    discard(lone)
+    return out
 
 
 def grouped(members: DataFrame, similar: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame],
-            similarity: float, promising=_promising, representatives: tuple[int, ...] = REPRESENTATIVES) -> DataFrame:
+            similarity: float, promising=_promising) -> DataFrame:
     """(node, component) of the lids of ``members`` (key, lid, sketch) that are similar to another of their buckets.
 
     ``similar`` gives the links (src, dst) among pairs (a, b), ``sets`` the sets (lid, runs) of some lids."""
-    left, found, comps = members.withColumn("component", F.col("lid")), [], None
-    for r, n in enumerate(representatives):
-        bucket = W.partitionBy("key")
-        picks = [F.min_by(F.struct("lid", "component", "sketch"), F.xxhash64("lid", F.lit(10 * r + k))).over(bucket) for k in range(n)]
-        met_ = left.withColumn("reps", F.array_distinct(F.array(*picks)))
-        pairs = met_.withColumn("rep", F.explode("reps")).where(
-            (F.col("component") != F.col("rep.component")) & promising(F.col("sketch"), F.col("rep.sketch"))
-        )
-        pairs = pairs.select(F.least("lid", "rep.lid").alias("a"), F.greatest("lid", "rep.lid").alias("b")).distinct()
-        found.append(written(similar(pairs)))
-        comps = components(reduce(DataFrame.union, found))
-        # A representative has met its whole bucket.
-        rest = met_.where(~F.exists("reps", lambda x: x["lid"] == F.col("lid"))).select("key", "lid", "sketch")
-        new = _open(rest, comps)
-        if r:
-            discard(left)
-        left = new
+    bucket = W.partitionBy("key")
+    led = members.withColumn("rep", F.min_by(F.struct("lid", "sketch"), F.xxhash64("lid", F.lit(1))).over(bucket))
+    pairs = led.where((F.col("lid") != F.col("rep.lid")) & promising(F.col("sketch"), F.col("rep.sketch")))
+    found = written(similar(pairs.select(F.least("lid", "rep.lid").alias("a"), F.greatest("lid", "rep.lid").alias("b")).distinct()))
+    comps = components(found)
+    # A representative has met its whole bucket, and a bucket of two lines is done.
+    left = _open(led.where("lid <> rep.lid").select("key", "lid", "sketch"), comps)
     if not left.isEmpty():
         own = written(sets(left.select("lid").distinct()))
-        found.append(_rest(left, own, similar, promising, similarity))
-        discard(own)
-        comps = components(reduce(DataFrame.union, found))
+        rest = _rest(left, own, similar, promising, similarity)
+        comps = components(reduce(DataFrame.union, rest, found))
+        for df in (own, *rest):
+            discard(df)
     discard(left)
+    discard(found)
     return comps
 
 
-def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, long: int = LONG, **parameters) -> DataFrame:
+def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, long: int = LONG) -> DataFrame:
     """(node, component): the distinct lines (lid) that have a similar one."""
     members = met(band_keys(lines))
     wanted = members.select("lid").distinct()
@@ -181,7 +185,7 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, long: int =
     def sets(lids: DataFrame) -> DataFrame:
         return texts.join(lids, "lid").select("lid", F.when(~is_long, run_set(F.col("line"))).alias("runs"))
 
-    comps = grouped(members, similar, sets, similarity, **parameters)
+    comps = grouped(members, similar, sets, similarity)
     discard(members)
     discard(texts)
     return comps
