@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, without
+from .common import Numbers, pieces, without
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -172,14 +172,6 @@ def expected_counts(words: list[str], weights: np.ndarray, index: Pieces, p: np.
     return out
 
 
-class Index(dict):
-    """Number of each word in the order of first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def marked(words) -> list[str]:
     return [MARK + w.decode("utf-8", "replace") for w in words]
 
@@ -208,10 +200,10 @@ def learn(docs: DataFrame, names: tuple[str, ...], folds: int = 4, fold: int = 2
             names, p = shared.value
             index, out = Pieces(names), {}
             for b in pieces(batches, "text"):
-                by_lang: dict[str, Index] = {}
+                by_lang: dict[str, Numbers] = {}
                 seen: dict[str, list[int]] = {}
                 for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    own = by_lang.setdefault(lang, Index())
+                    own = by_lang.setdefault(lang, Numbers())
                     seen.setdefault(lang, []).extend(map(own.__getitem__, t.split()))
                 for lang, own in by_lang.items():
                     if own:
@@ -249,11 +241,11 @@ def _identified(docs: DataFrame, path: str | None = None, folds: int = 4, fold:
 
     def run(batches):
         names, p = shared.value
-        index, own, logs = Pieces(names), Index(), np.zeros((0, p.shape[1]))
+        index, own, logs = Pieces(names), Numbers(), np.zeros((0, p.shape[1]))
         for b in pieces(batches, "text"):
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             if len(own) > 400_000:
-                own, logs = Index(), np.zeros((0, p.shape[1]))
+                own, logs = Numbers(), np.zeros((0, p.shape[1]))
             rows = []
             for t in texts:
                 ok = bool(langs) and t is not None and LETTER.search(t.decode("utf-8", "replace")) is not None
