@@ -5,6 +5,8 @@ A CIGAR is ``ARRAY<STRUCT<op:STRING,len:INT>>``. Lookups walk the operations, ne
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,23 +85,25 @@ def pair_count(blocks_: Column, matches_only: bool = True) -> Column:
     return F.aggregate(blocks_, F.lit(0), lambda s, b: s + F.when(b["op"].isin(*MATCHES) if matches_only else ~b["op"].isin("H", "P"), b["len"]).otherwise(0))
 
 
-def map_code(read_blocks: Column, q: Column, seq: Column, ref: Column) -> Column:
+def map_code(at: Callable[[Column], Column], q: Column, seq: Column, ref: Column) -> Column:
     """Code of one query place: 1 inserted, 4 mismatch, and 2 more (or alone) after a deletion.
 
-    read_blocks are in read direction without clips, q counts from the first unclipped base, seq and
-    ref are the unclipped read and the reference slice in read direction."""
+    ``at`` gives a query place's reference offset in read direction, q counts from the first unclipped
+    base, seq and ref are the unclipped read and the reference slice in read direction."""
     def code(v: Column) -> Column:
         r, prior = v["r"], v["prior"]
         differs = F.upper(F.substr(seq, q + 1, F.lit(1))) != F.upper(F.substr(ref, r + 1, F.lit(1)))
         jump = (q > 0) & prior.isNotNull() & (r != prior + 1)
         return F.when(r.isNull(), 1).otherwise(F.when(differs, 4).otherwise(0) + F.when(jump, 2).otherwise(0))
 
-    return let_all(code, r=to_reference(read_blocks, q), prior=to_reference(read_blocks, q - 1))
+    return let_all(code, r=at(q), prior=at(q - 1))
 
 
-def map_codes(read_blocks: Column, centre: Column, flank: int, length: Column, seq: Column, ref: Column, flip: bool = False) -> Column:
-    """Codes of the places within ``flank`` of ``centre``; 1 beyond the read's aligned part."""
+def map_codes(read_blocks: Column, centre: Column, flank: int, length: Column, seq: Column, ref: Column, flip: bool = False, offsets: bool = False) -> Column:
+    """Codes of the places within ``flank`` of ``centre``; 1 beyond the read's aligned part. ``read_blocks``
+    are in read direction without clips, or with ``offsets`` the reference offsets of all places."""
     places = F.sequence(centre - flank, centre + flank)
-    code = lambda q, b, s, r: F.when((q < 0) | (q >= length), 1).otherwise(map_code(b, q, s, r))
+    at = lambda b: lambda q: F.when(q >= 0, F.get(b, F.greatest(q, F.lit(0)))) if offsets else to_reference(b, q)
+    code = lambda q, b, s, r: F.when((q < 0) | (q >= length), 1).otherwise(map_code(at(b), q, s, r))
     codes = let_all(lambda v: F.transform(places, lambda q: code(q, v["b"], v["s"], v["r"])), b=read_blocks, s=seq, r=ref)
     return F.reverse(codes) if flip else codes

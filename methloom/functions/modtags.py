@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binding import let, let_all
-from .sequence import motif_hits
+from .binding import let
+from .walks import places_of, skips_of
 
 
 def byte_probability(ml: Column) -> Column:
@@ -20,38 +20,26 @@ def probability_byte(p: Column) -> Column:
     return F.least(F.floor(p * 256), F.lit(255)).cast("int")
 
 
-def base_ordinals(mm: Column, base: str = "C", code: str = "m") -> Column:
-    """Ordinals (from 1) of the modified bases by an MM tag: running sum of skips; null if the tag has no such part."""
-    part = F.regexp_extract(mm, rf"(?:^|;){base}\+{code}[?.]?,([0-9,]+)", 1)
-    skips = F.transform(F.split(part, ","), lambda x: x.cast("int"))
-    add = lambda out, x: F.array_append(out, F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) + x + 1)
-    return F.when(part != "", F.aggregate(skips, F.array().cast("array<int>"), add))
+def skips(mm: Column, base: str = "C", code: str = "m") -> Column:
+    """Skips of the modified bases by an MM tag; null if the tag has no such part."""
+    part = F.nullif(F.regexp_extract(mm, rf"(?:^|;){base}\+{code}[?.]?,([0-9,]+)", 1), F.lit(""))
+    return F.split(part, ",").cast("array<int>")
 
 
 def decode(mm: Column, ml: Column, forward_seq: Column, reverse: Column, base: str = "C", code: str = "m") -> Column:
     """(loc, prob) of each call, loc in alignment order. No calls if the tags differ in length or an
-    ordinal is beyond the read's bases."""
-    def calls(b: Column) -> Column:
-        n, hits, bytes_ = b["n"], b["hits"], b["ml"]
-        sound = n.isNotNull() & (F.size(n) == F.size(bytes_)) & (F.coalesce(F.array_max(n), F.lit(0)) <= F.size(hits))
-        place = lambda i: F.get(hits, F.get(n, i) - 1)
-        loc = lambda i: F.when(b["reverse"], b["length"] - 1 - place(i)).otherwise(place(i))
-        one = lambda i: F.struct(loc(i).alias("loc"), byte_probability(F.get(bytes_, i)).alias("prob"))
-        none = F.array().cast("array<struct<loc:int,prob:double>>")
-        return F.when(sound, F.transform(F.sequence(F.lit(0), F.size(n) - 1), one)).otherwise(none)
-
-    read = lambda s: let_all(calls, n=base_ordinals(mm, base, code), hits=motif_hits(s, [base]), length=F.length(s), ml=ml, reverse=reverse)
-    return let(forward_seq, read)
+    ordinal is beyond the read's bases. Not within a lambda."""
+    length = F.length(forward_seq)
+    call = lambda i, b: F.struct(F.when(reverse, length - 1 - i).otherwise(i).alias("loc"), byte_probability(b).alias("prob"))
+    none = F.array().cast("array<struct<loc:int,prob:double>>")
+    calls = lambda places: F.when(F.size(places) == F.size(ml), F.zip_with(places, ml, call)).otherwise(none)
+    return let(places_of(skips(mm, base, code), forward_seq, base), calls)
 
 
 def encode_skips(locs: Column, forward_seq: Column, base: str = "C") -> Column:
-    """Skips of an MM tag for ascending places in sequenced orientation; null if one is not that base."""
-    def skips(order: Column) -> Column:
-        prior = F.concat(F.array(F.lit(0)), F.slice(order, 1, F.greatest(F.size(order) - 1, F.lit(0))))
-        return F.when(~F.exists(order, lambda o: o == 0), F.zip_with(order, prior, lambda a, b: a - b - 1))
-
-    placed = lambda b: let(F.transform(b["locs"], lambda x: F.array_position(b["hits"], x).cast("int")), skips)
-    return F.when(F.size(locs) > 0, let_all(placed, locs=locs, hits=motif_hits(forward_seq, [base])))
+    """Skips of an MM tag for ascending places in sequenced orientation; null if one is not that base.
+    Not within a lambda."""
+    return skips_of(locs, forward_seq, base)
 
 
 def mm_text(skips: Column, base: str = "C", code: str = "m", suffix: str = "?") -> Column:

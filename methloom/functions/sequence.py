@@ -41,12 +41,13 @@ def motif_hits(seq: Column | str, motifs: list[str], mod_loc: int = 0) -> Column
     """Ascending places (from 0) of the modified base of every hit, overlapping ones too."""
     k = len(motifs[0])
 
+    # Bytes are cut out in constant time, characters by walking from the text's start.
     def found(s: Column) -> Column:
-        places = F.when(F.length(s) >= k, F.sequence(F.lit(0), F.length(s) - k)).otherwise(F.array().cast("array<int>"))
-        hits = F.filter(places, lambda i: F.substr(s, i + 1, F.lit(k)).isin(motifs))
+        places = F.when(F.octet_length(s) >= k, F.sequence(F.lit(0), F.octet_length(s) - k)).otherwise(F.array().cast("array<int>"))
+        hits = F.filter(places, lambda i: F.substring(s, i + 1, F.lit(k)).isin([m.encode() for m in motifs]))
         return F.transform(hits, lambda i: i + mod_loc) if mod_loc else hits
 
-    return let(_col(seq), found)
+    return let(_col(seq).cast("binary"), found)
 
 
 def base_codes(seq: Column | str) -> Column:

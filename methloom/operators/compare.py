@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calls import half_up
@@ -15,13 +15,24 @@ def compare_sites(a: DataFrame, b: DataFrame, keys: list[str], value: str = "fre
     coverage on; zeros below two common sites. ``round_b`` rounds b's values to 2 decimals before ranking."""
     a, b = a.where(F.col("coverage") >= cov_cf_a), b.where(F.col("coverage") >= cov_cf_b)
     pairs = pair_sites(a, b, keys, [value]).withColumn("y", half_up(F.col(f"{value}_b"), 100.0) if round_b else F.col(f"{value}_b"))
-    x_rank = average_rank(pairs, value).select(value, F.col("rank").alias("rx"))
-    y_rank = average_rank(pairs, "y").select("y", F.col("rank").alias("ry"))
+    # Equal pairs are counted first: frequencies of 0 and 1 are most sites, and one row each from here on.
+    pairs = pairs.groupBy(value, f"{value}_b", "y").agg(F.count("*").alias("n"))
+    x_rank = average_rank(pairs, value, count="n").select(value, F.col("rank").alias("rx"))
+    y_rank = average_rank(pairs, "y", count="n").select("y", F.col("rank").alias("ry"))
     d = F.col(value) - F.col(f"{value}_b")
-    zero = lambda c: F.when(F.count("*") > 1, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
-    stats = pairs.join(x_rank, value).join(y_rank, "y").agg(
-        F.count("*").alias("n_both"), zero(F.corr(value, f"{value}_b")).alias("pearson"), zero(F.corr("rx", "ry")).alias("spearman"),
-        zero(F.sqrt(F.avg(d * d))).alias("rmse"),
+    counted = pairs.join(x_rank, value).join(y_rank, "y")
+    mean = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"_{c}")
+    means = counted.agg(mean(value), mean(f"{value}_b"), mean("rx"), mean("ry"))  # one row
+
+    def correlation(a: str, b: str) -> Column:
+        x, y, n = F.col(a) - F.col(f"_{a}"), F.col(b) - F.col(f"_{b}"), F.col("n")
+        spread = F.sqrt(F.sum(n * x * x) * F.sum(n * y * y))
+        return F.when(spread > 0, F.sum(n * x * y) / spread)
+
+    zero = lambda c: F.when(F.coalesce(F.sum("n"), F.lit(0)) > 1, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
+    stats = counted.crossJoin(F.broadcast(means)).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_both"), zero(correlation(value, f"{value}_b")).alias("pearson"), zero(correlation("rx", "ry")).alias("spearman"),
+        zero(F.sqrt(F.sum(F.col("n") * d * d) / F.sum("n"))).alias("rmse"),
     )
     counts = a.agg(F.count("*").alias("n_a")).crossJoin(b.agg(F.count("*").alias("n_b")))  # one row each
     return counts.crossJoin(stats).withColumn("r2", F.col("pearson") * F.col("pearson"))

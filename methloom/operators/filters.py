@@ -46,11 +46,15 @@ def window_fits(loc: Column, length: Column, flank: int, span: int = 1) -> Colum
     return loc.between(flank, length - flank - 1) & (length - 1 - loc - span).between(flank, length - flank - 1)
 
 
+def unclipped(length: Column, ops: Column, reverse: Column) -> tuple[Column, Column]:
+    """First place in sequenced orientation that isn't soft-clipped, and the first one after those."""
+    left, right = C.clip(ops), C.clip(ops, end=True)
+    return F.when(reverse, right).otherwise(left), length - F.when(reverse, left).otherwise(right)
+
+
 def outside_clips(loc: Column, length: Column, ops: Column, reverse: Column) -> Column:
     """a place in sequenced orientation that isn't soft-clipped."""
-    left, right = C.clip(ops), C.clip(ops, end=True)
-    first = F.when(reverse, right).otherwise(left)
-    last = length - F.when(reverse, left).otherwise(right)
+    first, last = unclipped(length, ops, reverse)
     return (loc >= first) & (loc < last)
 
 

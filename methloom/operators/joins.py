@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calls as X
 from ..functions import cigar as C
 from ..functions import modtags as M
+from ..functions import walks as V
 from ..functions.sequence import motif_hits, reverse_complement
 from .filters import REVERSE, clipped_pairs, with_cigar
 
@@ -82,13 +83,17 @@ def project_calls(alignments: DataFrame, base_clip: int = 0, matches_only: bool
     through the CIGAR. No shuffle."""
     df = with_cigar(alignments)
     reverse = F.col("flag").bitwiseAND(REVERSE) != 0
-    calls = df.select(
+    reads = df.select(
         "read_id", "contig", "start", F.when(reverse, "-").otherwise("+").alias("strand"), F.coalesce("hap", F.lit(0)).alias("hap"),
-        C.blocks(F.col("cigar")).alias("blocks"), F.explode(M.decode(F.col("mm"), F.col("ml"), forward_sequence(df), reverse)).alias("call"),
+        V.walk(F.col("cigar")).alias("blocks"), M.decode(F.col("mm"), F.col("ml"), forward_sequence(df), reverse).alias("calls"),
     )
+    offsets = V.to_references(F.col("blocks"), F.transform("calls", lambda c: c["loc"]))
+    both = F.zip_with("calls", "offsets", lambda c, o: F.struct(c["loc"].alias("loc"), c["prob"].alias("prob"), o.alias("offset")))
+    kept = ["read_id", "contig", "start", "strand", "hap", *(["blocks"] if base_clip else [])]
+    calls = reads.withColumn("offsets", offsets).select(*kept, F.explode(F.filter(both, lambda c: c["offset"].isNotNull())).alias("call"))
     if base_clip:
         calls = calls.where(clipped_pairs(F.col("blocks"), F.col("call.loc"), base_clip, matches_only))
-    placed = calls.withColumn("offset", C.to_reference(F.col("blocks"), F.col("call.loc"))).where("offset is not null")
+    placed = calls.withColumn("offset", F.col("call.offset"))
     return placed.select("read_id", "contig", (F.col("start") + F.col("offset")).alias("pos"), "strand", F.col("call.prob").alias("prob"), "hap")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, islice
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,7 +15,14 @@ from .sites import kmer_distribution
 
 
 def _hash(df: DataFrame, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *df.columns)
+    """A row's place in random order: not negative, the same for equal rows."""
+    return F.xxhash64(F.lit(seed), *df.columns).bitwiseAND((1 << 63) - 1)
+
+
+def text_order(key: Column, seed: int = 1) -> Column:
+    """A place in random order that other engines repeat: 60 bits of the MD5 of seed and key, from 0 to 2**63."""
+    digits = F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), key).cast("binary")), 1, 15)
+    return F.conv(digits, 16, 10).cast("long") * 8
 
 
 def genome_order(df: DataFrame) -> DataFrame:
@@ -31,26 +40,37 @@ def coordinate_sort(alignments: DataFrame, contigs: DataFrame | None = None, par
     return df.repartitionByRange(*args, *cols, "contig", "start").sortWithinPartitions(*cols, "contig", "start").drop("_rank")
 
 
-def sample_n(df: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """O3: n rows (all if fewer), as a top-n by hash: no sort of the whole table."""
-    return df.orderBy(_hash(df, seed), *df.columns).limit(n)
+def sample_n(df: DataFrame, n: int, seed: int = 1, order: Column | None = None) -> DataFrame:
+    """O3: n rows (all if fewer), the first in random order (``order``: 0 to 2**63); any n, no task sees all rows."""
+    return ranked(df, _hash(df, seed) if order is None else order, most=F.lit(n)).drop("rank")
 
 
-def shuffle_rows(df: DataFrame, seed: int = 1, *others: DataFrame) -> DataFrame:
+def shuffle_rows(df: DataFrame, seed: int = 1, *others: DataFrame, order: Column | None = None) -> DataFrame:
     """A full shuffle of one table, or of several together."""
     for o in others:
         df = df.unionByName(o)
-    return df.withColumn("_h", _hash(df, seed)).repartitionByRange("_h").sortWithinPartitions("_h").drop("_h")
-
-
-def ranked(df: DataFrame, order: Column, buckets: int = 64) -> DataFrame:
-    """``df`` with rank (from 1) in hash order: counts of hash ranges first, then ranks within a range,
-    so no task sees all rows."""
-    df = df.withColumn("_h", order).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(buckets)))
-    sums = df.groupBy("_b").agg(F.count("*").alias("_n"))  # a row a range
-    starts = sums.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    line = W.partitionBy("_b").orderBy("_h", *[c for c in df.columns if c not in ("_h", "_b")])
-    return df.withColumn("_r", F.row_number().over(line)).join(F.broadcast(starts), "_b").withColumn("rank", F.col("_start") + F.col("_r")).drop("_h", "_b", "_r", "_start")
+    return df.withColumn("_h", _hash(df, seed) if order is None else order).repartitionByRange("_h").sortWithinPartitions("_h").drop("_h")
+
+
+def ranked(df: DataFrame, order: Column, by: tuple[str, ...] = (), most: Column | None = None, bits: int = 10) -> DataFrame:
+    """``df`` with rank (from 1) in the order of a number from 0 to 2**63, within each of ``by``; of rows of
+    one number the columns decide. Counts of the number's 2**bits ranges first, then ranks within a range:
+    no task sees all rows, or all of one of ``by``. With ``most`` (of the columns ``by``) only ranks up to it:
+    later ranges are left out before rows are dealt."""
+    own = list(df.columns)
+    df = df.withColumn("_h", order).withColumn("_b", F.shiftright("_h", 63 - bits))
+    sums = df.groupBy(*by, "_b").agg(F.count("*").alias("_n"))  # a row a range
+    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    starts = sums.select(*by, "_b", F.coalesce(before, F.lit(0)).alias("_start"))
+    if most is not None:
+        starts = starts.where(F.col("_start") < most)
+    named = [f"_by_{c}" for c in by]
+    starts = starts.toDF(*named, "_c", "_start")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, named, strict=True)], F.col("_b") == F.col("_c"))
+    near = df.join(starts if by else F.broadcast(starts), same).drop("_c", *named)  # without ``by`` 2**bits rows
+    line = W.partitionBy(*by, "_b").orderBy("_h", *own)
+    out = near.withColumn("rank", F.col("_start") + F.row_number().over(line)).drop("_h", "_b", "_start")
+    return out.where(F.col("rank") <= most) if most is not None else out
 
 
 def train_valid_split(pos: DataFrame, neg: DataFrame, ratio: float = 0.9, seed: int = 1) -> DataFrame:
@@ -74,55 +94,51 @@ def balance_by_kmer(neg: DataFrame, pos: DataFrame, total: int | None = None, se
 
     A k-mer's quota is ceil (or floor) of total times its share. What is missing is filled first from
     k-mers without a quota, evenly, in hash order of k-mers until they give ``random_frac`` of it, then
-    from the negatives of any k-mer that were left over. Rows are taken in hash order; the quotas are a
-    table of k-mers, the rows stay distributed."""
+    from the negatives of any k-mer that were left over. Rows are taken in hash order. What is to be taken
+    of each k-mer is settled on the table of k-mers; rows are ranked within hash ranges of their k-mer."""
     shares = kmer_distribution(pos)
     if total is None:
         total = pos.count()
     up = F.floor if floor else F.ceil
     quotas = shares.select("kmer", up(F.lit(total) * F.col("share")).alias("quota")).where("quota > 0")
-    line = W.partitionBy("kmer").orderBy("_h", *neg.columns)
-    rows = neg.withColumn("_h", _hash(neg, seed)).withColumn("_r", F.row_number().over(line)).join(quotas, "kmer", "left")
-    first = rows.where("_r <= quota")
-    missing = total - first.count()
-    chosen = first
-    left = rows.where("_r > quota")
+    sizes = neg.groupBy("kmer").agg(F.count("*").alias("n")).join(quotas, "kmer", "left")
+    own = F.when(F.col("quota").isNotNull(), F.least("n", "quota"))
+    first, n_kmers = sizes.agg(F.coalesce(F.sum(own), F.lit(0)), F.count_if(F.col("quota").isNull())).first()
+    missing, take = total - first, F.coalesce(own, F.lit(0))
+    each = (missing // n_kmers if floor else -(-missing // n_kmers)) if n_kmers and missing > 0 else 0
+    if each > 0:
+        # k-mers in hash order until they give enough: a running sum over the table of k-mers
+        run = W.orderBy(F.xxhash64(F.lit(seed), "kmer"), "kmer").rowsBetween(W.unboundedPreceding, -1)
+        even = F.when(F.col("quota").isNull(), F.least("n", F.lit(each))).otherwise(0)
+        before = F.coalesce(F.sum(even).over(run), F.lit(0))
+        take = take + F.when(before < random_frac * missing, even).otherwise(0)
+    plan = sizes.select("kmer", "n", take.alias("_take"))
+    rows = ranked(neg, _hash(neg, seed), by=("kmer",)).join(plan, "kmer")
+    chosen = rows.where(F.col("rank") <= F.col("_take"))
+    missing = total - plan.agg(F.coalesce(F.sum("_take"), F.lit(0))).first()[0]
     if missing > 0:
-        others = rows.where("quota is null")
-        sizes = others.groupBy("kmer").agg(F.count("*").alias("n"))
-        n_kmers = sizes.count()
-        each = (missing // n_kmers if floor else -(-missing // n_kmers)) if n_kmers else 0
-        if each > 0:
-            # k-mers in hash order until they give enough; a running sum over the table of k-mers
-            run = W.orderBy(F.xxhash64(F.lit(seed), "kmer"), "kmer").rowsBetween(W.unboundedPreceding, -1)
-            before = F.coalesce(F.sum(F.least("n", F.lit(each))).over(run), F.lit(0))
-            used = sizes.withColumn("_before", before).where(F.col("_before") < random_frac * missing).select("kmer")
-            second = others.join(used, "kmer", "left_semi").where(F.col("_r") <= each)
-            left = left.unionByName(others.join(used, "kmer", "left_semi").where(F.col("_r") > each))
-            chosen = chosen.unionByName(second)
-            missing -= second.count()
-        if missing > 0:
-            chosen = chosen.unionByName(left.orderBy("_h", *neg.columns).limit(missing))
+        left = rows.where(F.col("rank") > F.col("_take")).select(*neg.columns)
+        chosen = chosen.select(*neg.columns).unionByName(ranked(left, _hash(left, seed), most=F.lit(missing)).select(*neg.columns))
     return chosen.select(*neg.columns)
 
 
 def subsample_coverage(reads: DataFrame, coverage: float, genome_size: int, seed: int = 1, length: str | Column = "length") -> DataFrame:
-    """Reads kept by hash so that their bases come to about coverage times genome size."""
+    """Reads kept by ``text_order`` of their id so that their bases come to about coverage times genome size."""
     length = F.col(length) if isinstance(length, str) else length
     bases = reads.agg(F.sum(length).alias("_bases"))
     share = F.least(F.lit(float(coverage * genome_size)) / F.col("_bases"), F.lit(1.0))
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "read_id"), 11) / F.lit(float(1 << 53))
+    place = text_order(F.col("read_id"), seed) / F.lit(float(1 << 63))
     return reads.crossJoin(F.broadcast(bases)).where(place < share).drop("_bases")
 
 
 def repeated_metrics(df: DataFrame, sizes: list[int], rounds: int = 5, seed: int = 1, label: str = "is_true", predicted: str = "predicted", score: str = "score") -> DataFrame:
     """For each size, ``rounds`` draws of that many rows of each class; mean and sd of the metrics.
-    Rounds and sizes are columns of one plan; each round ranks rows by its own hash."""
+    Rounds and sizes are columns of one plan. Each round has its own hash order; counts of hash ranges say
+    which ranges the draw needs, and only their rows are dealt."""
     drawn = df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    line = W.partitionBy("round", label).orderBy(F.xxhash64(F.lit(seed), "round", *df.columns), *df.columns)
-    most = max(sizes)
-    drawn = drawn.withColumn("_r", F.row_number().over(line)).where(F.col("_r") <= most)
-    drawn = drawn.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where(F.col("_r") <= F.col("size")).drop("_r")
+    order = F.xxhash64(F.lit(seed), "round", *df.columns).bitwiseAND((1 << 63) - 1)
+    drawn = ranked(drawn, order, by=("round", label), most=F.lit(max(sizes)))
+    drawn = drawn.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where(F.col("rank") <= F.col("size")).drop("rank")
     runs = classification_metrics(drawn, label, predicted, ["size", "round"]).join(roc_auc(drawn, label, score, ["size", "round"]), ["size", "round"])
     return summarise_runs(runs, [c for c in runs.columns if c not in ("size", "round")], ["size"])
 

@@ -100,11 +100,11 @@ def fit_classifier(features: DataFrame, label: str = "label", vector: str = "vec
 
 
 def apply_classifier(model, features: DataFrame, vector: str = "vector") -> DataFrame:
-    """``features`` with prob_1 and predicted by a fitted classifier."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    out = model.transform(features.withColumn("features", array_to_vector(F.col(vector))))
-    return out.withColumn("prob_1", vector_to_array("probability")[1]).withColumn("predicted", F.col("prediction").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
+    """``features`` with prob_1 and predicted by a fitted classifier: its weights as an expression, so the plan
+    holds no fitted object."""
+    weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
+    z = F.aggregate(F.zip_with(F.col(vector), weights, lambda x, w: x * w), F.lit(float(model.intercept)), lambda s, x: s + x)
+    return features.withColumn("prob_1", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("prob_1") > 0.5).cast("int"))
 
 
 def fit_regressor(windows: DataFrame, target: str = "freq", rounds: int = 10):

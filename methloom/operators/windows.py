@@ -50,14 +50,14 @@ def position_gaps(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame
     return df.withColumn("gap", F.col(pos) - F.lag(pos).over(W.partitionBy(*keys).orderBy(pos)))
 
 
-def average_rank(df: DataFrame, column: str, by: list[str] | None = None, buckets: int = 64) -> DataFrame:
+def average_rank(df: DataFrame, column: str, by: list[str] | None = None, buckets: int = 64, count: str | None = None) -> DataFrame:
     """(by..., column, n, rank): the average rank of each distinct value among all rows.
 
     Counts are summed by value, values are dealt to ranges of like number (``repartitionByRange`` keeps
     them in order), and each range starts from the sum of those before it: a running sum with no task
-    that sees all values. ``by`` ranks within groups."""
+    that sees all values. ``by`` ranks within groups; ``count`` names a column that says how many rows a row stands for."""
     by = by or []
-    counts = df.groupBy(*by, column).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*by, column).agg((F.sum(count) if count else F.count("*")).alias("n"))
     if by:
         line = W.partitionBy(*by).orderBy(column).rowsBetween(W.unboundedPreceding, -1)
         before = F.coalesce(F.sum("n").over(line), F.lit(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import calls as X
 from ..functions import cigar as C
 from ..functions import modtags as M
+from ..functions import walks as V
 from ..functions import sequence as Q
 from ..functions import signal as S
 from ..operators import filters, joins, sampling, sites
@@ -139,8 +140,8 @@ def x9_identity(spark, d):
 @query(f"""select read_id, sum(case when q < 5 or q in (15, 16) then 0 when q < 15 then q - 5 when q < 25 then q - 7 else q - 4 end)::bigint as total,
     count(*) filter (where q < 5 or q in (15, 16)) as unaligned from (select read_id, unnest(range(0, length(seq))) as q from {A}) x group by read_id""")
 def x10_query_to_reference(spark, d):
-    df = fx.alignments(spark, d).select("read_id", C.blocks(C.parse(F.col("cigar"))).alias("b"), F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("q"))
-    r = C.to_reference(F.col("b"), F.col("q"))
+    df = fx.alignments(spark, d).select("read_id", V.walk(C.parse(F.col("cigar"))).alias("b"), F.sequence(F.lit(0), F.length("seq") - 1).alias("q"))
+    r = F.explode(V.to_references(F.col("b"), F.col("q")))
     return df.select("read_id", r.alias("r")).groupBy("read_id").agg(F.sum(F.coalesce("r", F.lit(0))).alias("total"), F.count_if(F.col("r").isNull()).alias("unaligned"))
 
 
