@@ -58,7 +58,7 @@ def _exploded(lines: DataFrame, *columns: str) -> DataFrame:
 
 def run_set(line: Column) -> Column:
     """The distinct hashes of a line's runs. The outer lambda binds the encoded line, which would else be made for each run."""
-    one = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _count(u) - 1), lambda i: F.xxhash64(_run(u, i))))
+    one = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _count(u) - 1), lambda i: F.hash(_run(u, i))))
     return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), one), F.lit(0))
 
 
@@ -110,9 +110,9 @@ def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return written(ends.where("a <> z").drop("a", "z"))
 
 
-def _rest(left: DataFrame, sets: DataFrame, similar: Callable[[DataFrame], DataFrame], promising, similarity: float) -> list[DataFrame]:
+def _rest(left: DataFrame, sets: Callable[[DataFrame], DataFrame], long: DataFrame | None, similar: Callable[[DataFrame], DataFrame], promising, similarity: float) -> list[DataFrame]:
     """Tables (src, dst) of the links that are left in buckets of several components. ``left`` has key, lid,
-    sketch, component; ``sets`` the lids' sets (lid, runs; null for a line that is long, which ``similar`` compares).
+    sketch, component.
 
     A bucket's largest component is its home. A line away from it is compared with the home's lines of all
     open buckets at once, so a line's set moves once, whatever the number of its buckets."""
@@ -121,17 +121,16 @@ def _rest(left: DataFrame, sets: DataFrame, similar: Callable[[DataFrame], DataF
     x, y = F.col("x.sketch"), F.col("y.sketch")
     exact = promising(x, y) & alike(F.col("x.runs"), F.col("y.runs"), similarity)
     away, home = rows.where("component <> main"), rows.where("component = main")
-    faces = away.select("lid", "sketch", "main").distinct().join(sets, "lid").alias("x")
-    homes = home.select("lid", "sketch", "main").distinct().join(sets, "lid").alias("y")
+    faces = sets(away.select("lid", "sketch", "main").distinct()).alias("x")
+    homes = sets(home.select("lid", "sketch", "main").distinct()).alias("y")
     found = written(faces.join(homes, (F.col("x.main") == F.col("y.main")) & exact, "left_semi").select("lid", "main"))
     # Lines without a partner at home, with the others that are away in their buckets.
-    lone = written(away.join(found, ["lid", "main"], "left_anti").select("key", "lid", "sketch", "component").join(sets, "lid"))
-    others = away.join(lone.select("key").distinct(), "key", "left_semi").select("key", "lid", "sketch", "component").join(sets, "lid")
+    lone = written(away.join(found, ["lid", "main"], "left_anti").select("key", "lid", "sketch", "component"))
+    others = away.join(lone.select("key").distinct(), "key", "left_semi").select("key", "lid", "sketch", "component")
     differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-    met_ = written(lone.alias("x").join(others.alias("y"), differ & exact).select(F.col("x.lid").alias("src"), F.col("y.lid").alias("dst")).distinct())
+    met_ = written(sets(lone).alias("x").join(sets(others).alias("y"), differ & exact).select(F.col("x.lid").alias("src"), F.col("y.lid").alias("dst")).distinct())
     out = [found.select(F.col("lid").alias("src"), F.col("main").alias("dst")), met_]
-    long = sets.where("runs is null").select("lid")
-    if not long.isEmpty():
+    if long is not None:
         pairs = rows.join(long, "lid", "left_semi").alias("x").join(rows.alias("y"), differ & promising(x, y))
         pairs = pairs.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct()
         out.append(written(similar(pairs)))
@@ -141,10 +140,11 @@ def _rest(left: DataFrame, sets: DataFrame, similar: Callable[[DataFrame], DataF
 
 
 def grouped(members: DataFrame, similar: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame],
-            similarity: float, promising=_promising) -> DataFrame:
+            similarity: float, promising=_promising, long: DataFrame | None = None) -> DataFrame:
     """(node, component) of the lids of ``members`` (key, lid, sketch) that are similar to another of their buckets.
 
-    ``similar`` gives the links (src, dst) among pairs (a, b), ``sets`` the sets (lid, runs) of some lids."""
+    ``similar`` gives the links (src, dst) among pairs (a, b); ``sets`` adds their sets (runs) to rows of
+    lids, null for those of ``long``, which ``similar`` compares."""
     bucket = W.partitionBy("key")
     led = members.withColumn("rep", F.min_by(F.struct("lid", "sketch"), F.xxhash64("lid", F.lit(1))).over(bucket))
     pairs = led.where((F.col("lid") != F.col("rep.lid")) & promising(F.col("sketch"), F.col("rep.sketch")))
@@ -153,10 +153,9 @@ def grouped(members: DataFrame, similar: Callable[[DataFrame], DataFrame], sets:
     # A representative has met its whole bucket, and a bucket of two lines is done.
     left = _open(led.where("lid <> rep.lid").select("key", "lid", "sketch"), comps)
     if not left.isEmpty():
-        own = written(sets(left.select("lid").distinct()))
-        rest = _rest(left, own, similar, promising, similarity)
+        rest = _rest(left, sets, long, similar, promising, similarity)
         comps = components(reduce(DataFrame.union, rest, found))
-        for df in (own, *rest):
+        for df in rest:
             discard(df)
     discard(left)
     discard(found)
@@ -182,10 +181,10 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, long: int =
         links = short.where(alike(run_set(F.col("line_a")), run_set(F.col("line_b")), similarity)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         return links.union(_by_rows(both.where(long_pair), similarity)) if any_long else links
 
-    def sets(lids: DataFrame) -> DataFrame:
-        return texts.join(lids, "lid").select("lid", F.when(~is_long, run_set(F.col("line"))).alias("runs"))
+    def sets(rows: DataFrame) -> DataFrame:
+        return rows.join(texts, "lid").select(*rows.columns, F.when(~is_long, run_set(F.col("line"))).alias("runs"))
 
-    comps = grouped(members, similar, sets, similarity)
+    comps = grouped(members, similar, sets, similarity, long=texts.where(is_long).select("lid") if any_long else None)
     discard(members)
     discard(texts)
     return comps

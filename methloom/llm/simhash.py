@@ -218,17 +218,20 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
         return both.mapInArrow(compare, "src long, dst long")
 
-    def sets(lids: DataFrame) -> DataFrame:
+    is_long = F.octet_length("text") > 8 * LONG
+    any_long = not texts.where(is_long).isEmpty()
+
+    def sets(rows: DataFrame) -> DataFrame:
         def run(batches):
             for b in pieces(batches, "text"):
-                own = [np.unique(shingles(t, STAGE_SHINGLE)) for t in b.column("text").to_pylist()]
-                runs = pa.array([x.view(np.int64) if len(x) <= LONG else None for x in own], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column("lid"), runs], names=["lid", "runs"])
+                runs = [None if t is None else np.unique(shingles(t, STAGE_SHINGLE)).view(np.int64) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rows.columns), pa.array(runs, pa.list_(pa.int64()))], names=[*rows.columns, "runs"])
 
-        return texts.join(lids, "lid").mapInArrow(run, "lid long, runs array<long>")
+        here = rows.join(texts, "lid").select(*rows.columns, F.when(~is_long, F.col("text")).alias("text"))
+        return here.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in [*rows.dtypes, ("runs", "array<bigint>")]))
 
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= APART
-    comps = grouped(members, similar, sets, similarity, near)
+    comps = grouped(members, similar, sets, similarity, near, texts.where(is_long).select("lid") if any_long else None)
     found = rows.select("doc_id", "tid", "lid").join(comps, rows["lid"] == comps["node"], "left")
     return found.select("doc_id", "tid", F.coalesce("component", "lid").alias("component"))
 
