@@ -2,31 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import overlap_join
+
+
+#: Positions of a bin: what one task orders of a contig, with the rows next to it.
+BIN = 1_000_000
+
+
+def _starts(df: DataFrame, keys: list[str], value: Column, name: str, *more: Column) -> DataFrame:
+    """(keys, _bin, name): the sum of ``value`` in the bins before each; a row a bin. ``more`` are further aggregates."""
+    sums = df.groupBy(*keys, "_bin").agg(F.sum(value).alias("_sum"), *more)
+    before = F.sum("_sum").over(W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))
+    return sums.withColumn(name, F.coalesce(before, F.lit(0))).drop("_sum")
 
-def neighbour_windows(sites: DataFrame, seq_len: int = 11, only_close: bool = False, bins: int = 20, chunk_len: int | None = None) -> DataFrame:
+
+def _by_bin(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their bin's row of a small table."""
+    named = {c: f"_of_{c}" for c in (*keys, "_bin")}
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()])
+    return df.join(table.withColumnsRenamed(named), same).drop(*named.values())
+
+
+def neighbour_windows(sites: DataFrame, seq_len: int = 11, only_close: bool = False, bins: int = 20, chunk: int = 100_000) -> DataFrame:
     """For each site (contig, pos, strand[, hap], coverage, hist) the histograms of the seq_len sites
     around it and their distances; beyond the first and last site histograms are zeros and places are
     1000 away from them. ``only_close``: instead of a distance whether the place before is exactly 2 away.
-    With ``chunk_len`` frames restart in each chunk of a contig, which also bounds a task's sites."""
+
+    Sites are numbered along their contig by counts of bins and dealt in chunks of ``chunk`` sites, with
+    copies of those next to a chunk's ends, so frames are the same as over the whole contig."""
     keys = [c for c in ("contig", "strand", "hap") if c in sites.columns]
-    df = sites
-    if chunk_len:
-        df = df.withColumn("_chunk", (F.col("pos") / chunk_len).cast("long"))
-        keys = [*keys, "_chunk"]
     pad = seq_len // 2
-    line = W.partitionBy(*keys).orderBy("pos")
-    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    if chunk <= pad:
+        raise ValueError("a chunk has more sites than half a window")
+    df = sites.withColumn("_bin", F.floor(F.col("pos") / BIN))
+    ends = F.min("pos").alias("_min"), F.max("pos").alias("_max")
+    whole = W.partitionBy(*keys)
+    starts = _starts(df, keys, F.lit(1), "_start", *ends).withColumn("_low", F.min("_min").over(whole) - 1000).withColumn("_high", F.max("_max").over(whole) + 1000)
+    numbered = _by_bin(df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_bin").orderBy("pos"))), starts.drop("_min", "_max"), keys)
+    rank = F.col("_start") + F.col("_rank") - 1
+    own, at = F.floor(rank / chunk), rank % chunk
+    homes = F.array_compact(F.array(own, F.when(at <= pad, own - 1), F.when(at >= chunk - pad - 1, own + 1)))
+    df = numbered.withColumn("_own", own).withColumn("_chunk", F.explode(homes))
+    line = W.partitionBy(*keys, "_chunk").orderBy("pos")
     near = line.rowsBetween(-pad, pad)
     before, after = line.rowsBetween(-pad, -1), line.rowsBetween(1, pad)
     zeros = F.array_repeat(F.lit(0.0), bins)
     df = df.withColumns({
         "_near": F.collect_list(F.struct("pos", "hist")).over(near), "_b": F.count("*").over(before), "_a": F.count("*").over(after),
-        "_low": F.first("pos").over(whole) - 1000, "_high": F.last("pos").over(whole) + 1000, "_prior": F.lag("pos", pad + 1).over(line),
-    })
+        "_prior": F.lag("pos", pad + 1).over(line),
+    }).where("_chunk = _own")
     left, right = F.greatest(pad - F.col("_b"), F.lit(0)).cast("int"), F.greatest(pad - F.col("_a"), F.lit(0)).cast("int")
     hists = F.concat(F.array_repeat(zeros, left), F.transform("_near", lambda s: s["hist"]), F.array_repeat(zeros, right))
     places = F.concat(F.array_repeat(F.col("_low"), left), F.transform("_near", lambda s: s["pos"]), F.array_repeat(F.col("_high"), right))
@@ -38,16 +69,29 @@ def neighbour_windows(sites: DataFrame, seq_len: int = 11, only_close: bool = Fa
     return df.select(*sites.columns, offsets.alias("offsets"), hists.alias("hists"))
 
 
-def assign_islands(df: DataFrame, keys: list[str], pos: str = "pos", gap: int = 300_000) -> DataFrame:
-    """Number of a row's island among its keys: a new one where the gap before is ``gap`` or more."""
+def assign_islands(df: DataFrame, keys: list[str], pos: str = "pos", gap: int = 300_000, width: int | None = None) -> DataFrame:
+    """Number of a row's island among its keys: a new one where the gap before is ``gap`` or more.
+    With ``width`` keys are cut into bins of so many positions, for keys with more rows than a task should order."""
+    if width:
+        placed = position_gaps(df, keys, pos, width).withColumn("_bin", F.floor(F.col(pos) / width))
+        placed = placed.withColumn("_new", F.coalesce((F.col("gap") >= gap).cast("int"), F.lit(1))).drop("gap")
+        line = W.partitionBy(*keys, "_bin").orderBy(pos)
+        within = placed.withColumn("_within", F.sum("_new").over(line))
+        numbered = _by_bin(within, _starts(placed, keys, F.col("_new"), "_start"), keys)
+        return numbered.withColumn("island", F.col("_start") + F.col("_within")).drop("_bin", "_new", "_within", "_start")
     line = W.partitionBy(*keys).orderBy(pos)
     new = F.coalesce((F.col(pos) - F.lag(pos).over(line) >= gap).cast("int"), F.lit(1))
     return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(line)).drop("_new")
 
 
-def position_gaps(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
-    """Distance to the place before, null for the first."""
-    return df.withColumn("gap", F.col(pos) - F.lag(pos).over(W.partitionBy(*keys).orderBy(pos)))
+def position_gaps(df: DataFrame, keys: list[str], pos: str = "pos", width: int = BIN) -> DataFrame:
+    """Distance to the place before, null for the first. Keys are cut into bins of ``width`` positions;
+    a bin's first row takes the last place of the bins before from a table of bins."""
+    binned = df.withColumn("_bin", F.floor(F.col(pos) / width))
+    last = binned.groupBy(*keys, "_bin").agg(F.max(pos).alias("_last"))
+    last = last.withColumn("_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_bin"))).drop("_last")
+    prior = binned.withColumn("_prior", F.lag(pos).over(W.partitionBy(*keys, "_bin").orderBy(pos)))
+    return _by_bin(prior, last, keys).withColumn("gap", F.col(pos) - F.coalesce("_prior", "_before")).drop("_bin", "_prior", "_before")
 
 
 def average_rank(df: DataFrame, column: str, by: list[str] | None = None, buckets: int = 64, count: str | None = None) -> DataFrame:
@@ -71,24 +115,25 @@ def average_rank(df: DataFrame, column: str, by: list[str] | None = None, bucket
     return ranked.select(column, "n", (F.col("_start") + F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def smooth_sites(df: DataFrame, span: int = 500) -> DataFrame:
-    """(n, x) sites with the level sum(x) / sum(n) over span/2 on either side."""
-    near = W.partitionBy(*[c for c in ("contig", "group") if c in df.columns]).orderBy("pos").rangeBetween(-(span // 2), span // 2)
-    return df.withColumn("smooth_n", F.sum("n").over(near)).withColumn("smooth_x", F.sum("x").over(near)).withColumn("level", F.col("smooth_x") / F.col("smooth_n"))
+def smooth_sites(df: DataFrame, span: int = 500, width: int = BIN) -> DataFrame:
+    """(n, x) sites with the level sum(x) / sum(n) over span/2 on either side. Contigs are cut into bins of
+    ``width`` positions; a bin has copies of the sites within span/2 of it."""
+    keys, half = [c for c in ("contig", "group") if c in df.columns], span // 2
+    bin_of = lambda c: F.floor(c / width)
+    dealt = df.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("pos") - half), bin_of(F.col("pos") + half))))
+    near = W.partitionBy(*keys, "_bin").orderBy("pos").rangeBetween(-half, half)
+    out = dealt.withColumn("smooth_n", F.sum("n").over(near)).withColumn("smooth_x", F.sum("x").over(near))
+    return out.where(F.col("_bin") == bin_of(F.col("pos"))).drop("_bin").withColumn("level", F.col("smooth_x") / F.col("smooth_n"))
 
 
 def call_regions(tests: DataFrame, dis_merge: int = 1500, minlen: int = 100, min_sites: int = 15, pct_sig: float = 0.5) -> DataFrame:
     """Regions of tested sites (contig, pos, significant): from the first to the last significant
     site of an island (gaps below dis_merge), long enough, with enough sites and share of significant ones."""
-    islands = assign_islands(tests.where("significant"), ["contig"], "pos", dis_merge)
+    islands = assign_islands(tests.where("significant").select("contig", "pos"), ["contig"], "pos", dis_merge, BIN)
     spans = islands.groupBy("contig", "island").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.count("*").alias("n_significant"))
-    # each tested site's last significant island before or at it
-    marks = tests.select("contig", "pos", F.lit(None).cast("long").alias("island")).unionByName(islands.select("contig", "pos", F.col("island").cast("long").alias("island")))
-    line = W.partitionBy("contig").orderBy("pos", F.col("island").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    at = marks.withColumn("_at", F.last("island", ignorenulls=True).over(line)).where("island is null and _at is not null")
-    counted = at.select("contig", "pos", F.col("_at").alias("island")).join(spans.select("contig", "island", "end"), ["contig", "island"]).where("pos < end")
-    n = counted.groupBy("contig", "island").agg(F.count("*").alias("n_sites"))
-    out = spans.join(n, ["contig", "island"]).withColumn("length", F.col("end") - F.col("start"))
+    tested = tests.select("contig", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+    n = overlap_join(spans, tested).groupBy("contig", "island", "start", "end", "n_significant").agg(F.count("*").alias("n_sites"))
+    out = n.withColumn("length", F.col("end") - F.col("start"))
     keep = (F.col("length") >= minlen) & (F.col("n_sites") >= min_sites) & (F.col("n_significant") >= pct_sig * F.col("n_sites"))
     return out.where(keep).select("contig", "start", "end", "length", "n_sites", "n_significant")
 
