@@ -5,7 +5,8 @@ their word shingles: fingerprints are cut into radius + 1 blocks, and two of the
 agree in some block, so looking up each block finds them all. What is found is verified exactly by
 the weighted Jaccard similarity of the shingles (weights: how often a shingle occurs). A window
 that shares no shingle with an item has similarity 0, so only windows over a shared shingle are
-fingerprinted; that loses nothing.
+fingerprinted, and compared with the items that have one of the shingles that are shared there; that
+loses nothing, and at a wide radius, where a block has few bits, it is what keeps the lists short.
 
 The items' index goes to every task, in parts of ``part_bytes`` of text; a larger benchmark is
 several parts and so several passes over the documents.
@@ -72,8 +73,11 @@ class Index:
             grams = [rolling(seen.of(items[k][1]), size) for k in own]
             fps = np.concatenate([simhash(g, np.array([0]), len(g)) for g in grams])
             self.lengths[n] = (np.array(own), fps)
-            self.sizes.setdefault(size, {}).update({n: np.unique(np.concatenate(grams))})
-        self.all = {size: np.unique(np.concatenate(list(by.values()))) for size, by in self.sizes.items()}
+            # Shingles of the items of one length, sorted, and which of the items has each.
+            of, flat = np.repeat(np.arange(len(own)), [len(g) for g in grams]), np.concatenate(grams)
+            order = np.argsort(flat, kind="stable")
+            self.sizes.setdefault(size, {}).update({n: (flat[order], of[order])})
+        self.all = {size: np.unique(np.concatenate([flat for flat, _ in by.values()])) for size, by in self.sizes.items()}
 
     def matches(self, words: list[bytes], hashes: np.ndarray, radius: int, least: float):
         """(item, start, words, similarity) of each window that is found and verified."""
@@ -86,7 +90,7 @@ class Index:
             hits = np.flatnonzero(table[at] == grams)
             if not len(hits):
                 continue
-            for n, own in by_length.items():
+            for n, (own, of) in by_length.items():
                 here = hits[np.isin(grams[hits], own)]
                 if not len(here):
                     continue
@@ -97,14 +101,18 @@ class Index:
                 np.add.at(marks, first[first <= last], 1)
                 np.add.at(marks, last[first <= last] + 1, -1)
                 starts = np.flatnonzero(np.cumsum(marks)[: most + 1] > 0)
-                for a in range(0, len(starts), 4096):
-                    part = starts[a : a + 4096]
-                    yield from self._verified(words, grams, part, n, n_here, size, radius, least)
-
-    def _verified(self, words, grams, starts, n, n_here, size, radius, least):
+                for a in range(0, len(starts), 1024):
+                    part = starts[a : a + 1024]
+                    shared = np.unique(grams[here[(here >= part[0]) & (here <= part[-1] + n_here - size)]])
+                    low, high = np.searchsorted(own, shared, "left"), np.searchsorted(own, shared, "right")
+                    items = np.unique(np.concatenate([of[x:y] for x, y in zip(low, high, strict=True)] or [of[:0]]))
+                    for z in range(0, len(items), 4096):
+                        yield from self._verified(words, grams, part, items[z : z + 4096], n, n_here, size, radius, least)
+
+    def _verified(self, words, grams, starts, items, n, n_here, size, radius, least):
         places = np.unique((starts[:, None] + np.arange(n_here - size + 1)[None, :]).ravel())
         local = np.searchsorted(places, starts)  # windows are whole runs, so they stay runs
-        own, fps = self.lengths[n]
+        own, fps = (x[items] for x in self.lengths[n])
         i, j = within(simhash(grams[places], local, n_here - size + 1), fps, radius)
         for s, k in zip(starts[i].tolist(), own[j].tolist(), strict=True):
             sim = similarity(words[s : s + n_here], self.items[k][1], size)
@@ -119,8 +127,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
 
     Words are runs of letters and digits (A-Z lower-cased) and of non-ASCII characters. An item of
     fewer than ``shingle`` words is one shingle; items and texts that are null or without words match
-    nothing; a text shorter than an item is one window. Equal items are found each, rows equal in
-    doc_id count as one document, null ids are kept as null; other columns are ignored."""
+    nothing; a text shorter than an item is one window, texts of any length are searched whole. Equal
+    items are found each, rows equal in doc_id count as one document, null ids are kept as null; other
+    columns are ignored."""
     best = F.min_by(F.struct("start", "n_words", "similarity"), F.struct(-F.col("similarity"), "start")).alias("best")
     found = _found(docs, benchmark, shingle, radius, least, part_bytes).groupBy("doc_id", "item_id").agg(best)
     return found.select("doc_id", "item_id", "best.start", "best.n_words", "best.similarity")

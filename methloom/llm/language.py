@@ -25,6 +25,9 @@ LETTER = regex.compile(r"\p{L}")
 #: Mark of a word's beginning in the vocabulary (fixed value).
 MARK = "▁"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of a word that are segmented together: a longer run without spaces is cut at every so many,
+#: and of its segmentations those that have a piece across such a place aren't summed. It bounds memory.
+TOGETHER = 4096
 
 
 @cache
@@ -144,8 +147,23 @@ def _backward(width: int, arcs: dict, ends: np.ndarray, p: np.ndarray, longest:
     return beta, scale
 
 
+def _cut(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """Words with long ones cut, and the index of the word that each part is of."""
+    if max(map(len, words), default=0) <= TOGETHER:
+        return words, np.arange(len(words))
+    parts = [(i, w[a : a + TOGETHER]) for i, w in enumerate(words) for a in range(0, max(len(w), 1), TOGETHER)]
+    return [w for _, w in parts], np.array([i for i, _ in parts])
+
+
 def word_scores(words: list[str], index: Pieces, p: np.ndarray) -> np.ndarray:
     """Log probability of each (marked) word in each language."""
+    parts, of = _cut(words)
+    out = np.zeros((len(words), p.shape[1]))
+    np.add.at(out, of, _part_scores(parts, index, p))
+    return out
+
+
+def _part_scores(words: list[str], index: Pieces, p: np.ndarray) -> np.ndarray:
     out = np.zeros((len(words), p.shape[1]))
     for own in _groups(words):
         group = [words[i] for i in own]
@@ -158,6 +176,8 @@ def word_scores(words: list[str], index: Pieces, p: np.ndarray) -> np.ndarray:
 
 def expected_counts(words: list[str], weights: np.ndarray, index: Pieces, p: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in each language, in words of any length."""
+    words, of = _cut(words)
+    weights = weights[of]
     out = np.zeros((index.other + 1, p.shape[1]))
     for own in _groups(words):
         group, g_weights = [words[i] for i in own], weights[own]
@@ -228,7 +248,8 @@ def identify(docs: DataFrame, path: str | None = None, folds: int = 4, fold: int
 
     lang_pred is the learned language under which the text is most probable (of equal ones the first
     by name), score its posterior from equal priors. A null text, a text without a letter, or no
-    learned language at all gives ``und`` and score 0. lang, source and doc_id are never inputs of a
+    learned language at all gives ``und`` and score 0. Texts of any length count whole; a run without
+    spaces is summed in parts of TOGETHER characters. lang, source and doc_id are never inputs of a
     prediction. Repeated rows come back each; other columns are ignored; an empty table gives no rows."""
     return _identified(docs, path, folds, fold, **learning).drop("tid")
 

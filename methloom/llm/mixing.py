@@ -61,25 +61,29 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0,
-        block: int = 32, shard_docs: int = 20_000, seed: int = 1) -> DataFrame:
-    """One row a document: doc_id, size, source, source_size, target, taken.
+        block: int = 32, shard_docs: int = 20_000, seed: int = 1, whole: bool = False) -> DataFrame:
+    """One row a document: doc_id, size, source, source_size, target, taken; with ``whole`` all its columns,
+    too (of equal names the mixture's count).
 
     Sources go by code point, null last (a source of its own), and take ``weights`` in turn. A null
     or empty text has size 0 and takes 0. Equal doc_ids are ordered by a hash of their text; fully
-    equal rows share one place and are interchangeable. The tables that meet on the driver hold a
+    equal rows share one place and are interchangeable; texts of any length are counted whole. The tables that meet on the driver hold a
     row a source and a row a shard (``shard_docs`` documents): the mixture's own table. Other
     columns are ignored."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []
     base = docs.select(
-        "doc_id", "source", F.xxhash64("text").alias("_t"),
+        "doc_id", "source", F.xxhash64("text").alias("_t"), *row,
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     spark = docs.sparkSession
     n_shards = max(8, -(-base.count() // shard_docs))
-    base = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n_shards)).cast("int"))
+    base = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", "_t", F.lit(seed)), F.lit(n_shards)).cast("int"))
     shards = base.groupBy("source", "shard").agg(F.sum("size").alias("tokens")).toPandas()
+    mixed = ("doc_id", "size", "source", "source_size", "target", "taken")
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in mixed] if whole else []
     if shards.empty:
         return base.select("doc_id", "size", "source", F.lit(0).cast("long").alias("source_size"),
-                           F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+                           F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), *kept)
     named = sorted({s for s in shards["source"] if isinstance(s, str)}, key=lambda s: [ord(c) for c in s])
     order = {s: i for i, s in enumerate(named)}
     shards["k"] = [order.get(s, len(named)) if isinstance(s, str) else len(named) for s in shards["source"]]
@@ -110,10 +114,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     placed = placed.withColumn("start", F.col("stop") - F.col("size"))
     joined = placed.join(plan, (F.col("source").eqNullSafe(F.col("_source"))) & (F.col("shard") == F.col("_shard")))
     chosen = _chosen_tokens(F.col("start"), F.col("stop"), block, seed)
-    whole = F.floor(F.col("quota") / F.greatest("blocks", F.lit(1)))
+    rounds = F.floor(F.col("quota") / F.greatest("blocks", F.lit(1)))
     return joined.select(
         "doc_id", "size", "source", "source_size", "target",
-        F.when(F.col("size") == 0, F.lit(0)).otherwise(whole * F.col("size") + chosen).cast("long").alias("taken"),
+        F.when(F.col("size") == 0, F.lit(0)).otherwise(rounds * F.col("size") + chosen).cast("long").alias("taken"), *kept,
     )
 
 

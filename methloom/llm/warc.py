@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,8 +35,10 @@ def base32(sha1: Column) -> Column:
     return F.concat(*out)
 
 
-def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to) of ``pages``.
+def with_revisits(pages: DataFrame, least: int = 0, part_bytes: int = 128 << 20) -> DataFrame:
+    """(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to, n) of ``pages``; n
+    counts the rows of one page_id and payload. Payloads are dealt once, to parts of about ``part_bytes``,
+    which become files; payloads of any length are whole.
 
     Of equal payloads of ``least`` bytes or more the smallest page_id is the response, the others
     revisit it; shorter ones are all responses. A null html is an empty payload. A null page_id
@@ -46,6 +49,8 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     # The lambda binds the SHA-1, which would else be taken again for each of its pieces.
     base = base.withColumn("payload_digest", F.get(F.transform(F.array(F.sha1(F.col("html").cast("binary"))), base32), F.lit(0)))
     base = base.withColumn("_k", F.coalesce("page_id", F.lit(-(1 << 63))))  # null comes by its own key
+    n_bytes = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    n_parts = max(pages.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // part_bytes))
     heads = base.where(F.col("payload_bytes") >= least).select("_k", "page_id", "payload_digest")
     # Counts meet the maps' partial sums, so a digest of many pages is one row a task.
     first = heads.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
@@ -57,7 +62,7 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
         .distinct()
     )
     same = W.partitionBy("_k", "payload_digest").orderBy("url")  # dealt as the join is, so payloads move once
-    out = base.join(
+    out = base.repartition(n_parts, "_k", "payload_digest").join(
         revisits, (F.col("_k") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left"
     ).withColumn("_n", F.row_number().over(same))
     again = (F.col("_n") > 1) & (F.col("payload_bytes") >= least)
@@ -65,13 +70,16 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
         "page_id", "url", "html", "payload_bytes", "payload_digest",
         F.when(F.col("_digest").isNotNull() | again, "revisit").otherwise("response").alias("record_type"),
         F.when(F.col("_digest").isNotNull(), F.col("refers_to")).when(again, F.col("page_id")).alias("refers_to"),
+        F.col("_n").alias("n"),
     )
 
 
-def write_archives(records: DataFrame, path: str, records_per_file: int = 2000, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write the rows of ``with_revisits`` as gzipped WARC files with fresh headers."""
-    crlf = "\r\n"
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+def write_archives(records: DataFrame, path: str, records_per_file: int = 2000, date: str | None = None) -> None:
+    """Write the rows of ``with_revisits`` as gzipped WARC files with fresh headers (date: now). A record's
+    id names page, payload and number, so no two records share one."""
+    crlf, date = "\r\n", date or f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}"
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    urn = lambda c, n: F.concat(F.lit("<urn:page:"), text(c), F.lit(":"), "payload_digest", F.lit(":"), n, F.lit(">"))
     is_revisit = F.col("record_type") == "revisit"
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "),
@@ -83,13 +91,13 @@ def write_archives(records: DataFrame, path: str, records_per_file: int = 2000,
         crlf,
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), "record_type"),
-        F.concat(F.lit("WARC-Record-ID: "), urn("page_id")),
+        F.concat(F.lit("WARC-Record-ID: "), urn("page_id", text("n"))),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), uri),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), "payload_digest"),
         F.when(is_revisit, F.lit(f"WARC-Profile: {PROFILE}")),
-        F.when(is_revisit, F.concat(F.lit("WARC-Refers-To: "), urn("refers_to"))),
+        F.when(is_revisit, F.concat(F.lit("WARC-Refers-To: "), urn("refers_to", F.lit("1")))),
         F.concat(F.lit("Content-Length: "), F.octet_length("_block").cast("string")),
     )
     text = records.withColumn("_block", block).select(F.concat(lines, F.lit(crlf + crlf), "_block", F.lit("\r\n\r")).alias("value"))
@@ -131,7 +139,7 @@ def _records(content: bytes):
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below ``path``: digest and length are a response's own payload's,
     a revisit's as its header states them (length null: ``resolve`` finds it)."""
-    number = lambda urn: int(s) if (s := urn.removeprefix("<urn:page:").removesuffix(">")) else None
+    number = lambda urn: int(s) if (s := urn.removeprefix("<urn:page:").split(":")[0]) else None
 
     def run(batches):
         for batch in batches:
