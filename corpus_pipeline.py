@@ -1,55 +1,5 @@
-"""The corpus pipeline: language, lines, near-duplicates, benchmark leaks, mixture."""
+"""The corpus pipeline; its stages are in ``methloom.llm.pipeline``."""
 
-from __future__ import annotations
+from methloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from methloom.llm import decontaminate, language, lines, mixing, simhash
-from methloom.llm.common import scratch, table
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; texts without a letter and undecided ones go."""
-    return language.accepted(docs)
-
-
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand, equal or nearly so, at an earlier place."""
-    return lines.without_duplicates(docs)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_first(docs)
-
-
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
-    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: each document with its source's target and the words taken of it."""
-    return mixing.mix(docs)
-
-
-STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", drop_lines),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("benchmark_decontamination", drop_leaks),
-    ("source_mixing", mix_sources),
-]
-
-#: Learned models and fingerprints of fuzzy lines have no SQL form; tests hold each stage against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each one's result written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        path = scratch(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
