@@ -10,32 +10,38 @@ from .joins import pair_sites
 from .windows import average_rank
 
 
-def compare_sites(a: DataFrame, b: DataFrame, keys: list[str], value: str = "freq", cov_cf_a: int = 0, cov_cf_b: int = 0, round_b: bool = False) -> DataFrame:
-    """One row: n_a, n_b, n_both, pearson, r2, spearman, rmse of two tables' sites from a
-    coverage on; zeros below two common sites. ``round_b`` rounds b's values to 2 decimals before ranking."""
-    a, b = a.where(F.col("coverage") >= cov_cf_a), b.where(F.col("coverage") >= cov_cf_b)
-    pairs = pair_sites(a, b, keys, [value]).withColumn("y", half_up(F.col(f"{value}_b"), 100.0) if round_b else F.col(f"{value}_b"))
-    # Equal pairs are counted first: frequencies of 0 and 1 are most sites, and one row each from here on.
-    pairs = pairs.groupBy(value, f"{value}_b", "y").agg(F.count("*").alias("n"))
-    x_rank = average_rank(pairs, value, count="n").select(value, F.col("rank").alias("rx"))
-    y_rank = average_rank(pairs, "y", count="n").select("y", F.col("rank").alias("ry"))
-    d = F.col(value) - F.col(f"{value}_b")
-    counted = pairs.join(x_rank, value).join(y_rank, "y")
-    mean = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"_{c}")
-    means = counted.agg(mean(value), mean(f"{value}_b"), mean("rx"), mean("ry"))  # one row
+def agreement(pairs: DataFrame, x: str = "x", y: str = "y", by: list[str] | None = None, ranked_y: Column | None = None) -> DataFrame:
+    """(by..., n_both, pearson, r2, spearman, rmse) of pairs of values; zeros below two pairs. ``ranked_y``: what
+    of y is ranked. Equal pairs are counted first: frequencies of 0 and 1 are most sites, and one row each from there on."""
+    by = by or []
+    own = pairs.select(*by, F.col(x).alias("x"), F.col(y).alias("y"), (F.col(y) if ranked_y is None else ranked_y).alias("v"))
+    counted = own.groupBy(*by, "x", "y", "v").agg(F.count("*").alias("n"))
+    rank = lambda c: average_rank(counted, c, by, count="n").select(*by, c, F.col("rank").alias(f"r{c}"))
+    counted = counted.join(rank("x"), [*by, "x"]).join(rank("v"), [*by, "v"])
+    means = counted.groupBy(*by).agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"_{c}") for c in ("x", "y", "rx", "rv")])
+    centred = counted.join(means, by) if by else counted.crossJoin(F.broadcast(means))  # one row
 
     def correlation(a: str, b: str) -> Column:
-        x, y, n = F.col(a) - F.col(f"_{a}"), F.col(b) - F.col(f"_{b}"), F.col("n")
-        spread = F.sqrt(F.sum(n * x * x) * F.sum(n * y * y))
-        return F.when(spread > 0, F.sum(n * x * y) / spread)
+        u, v, n = F.col(a) - F.col(f"_{a}"), F.col(b) - F.col(f"_{b}"), F.col("n")
+        spread = F.sqrt(F.sum(n * u * u) * F.sum(n * v * v))
+        return F.when(spread > 0, F.sum(n * u * v) / spread)
 
-    zero = lambda c: F.when(F.coalesce(F.sum("n"), F.lit(0)) > 1, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
-    stats = counted.crossJoin(F.broadcast(means)).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_both"), zero(correlation(value, f"{value}_b")).alias("pearson"), zero(correlation("rx", "ry")).alias("spearman"),
+    d, total = F.col("x") - F.col("y"), F.coalesce(F.sum("n"), F.lit(0))
+    zero = lambda c: F.when(total > 1, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
+    out = centred.groupBy(*by).agg(
+        total.alias("n_both"), zero(correlation("x", "y")).alias("pearson"), zero(correlation("rx", "rv")).alias("spearman"),
         zero(F.sqrt(F.sum(F.col("n") * d * d) / F.sum("n"))).alias("rmse"),
     )
-    counts = a.agg(F.count("*").alias("n_a")).crossJoin(b.agg(F.count("*").alias("n_b")))  # one row each
-    return counts.crossJoin(stats).withColumn("r2", F.col("pearson") * F.col("pearson"))
+    return out.withColumn("r2", F.col("pearson") * F.col("pearson"))
+
+
+def compare_sites(a: DataFrame, b: DataFrame, keys: list[str], value: str = "freq", cov_cf_a: int = 0, cov_cf_b: int = 0, round_b: bool = False) -> DataFrame:
+    """One row: n_a, n_b, n_both, pearson, r2, spearman, rmse of two tables' sites from a
+    coverage on; zeros below two common sites. ``round_b`` rounds b's values to 2 decimals before ranking."""
+    a, b = a.where(F.col("coverage") >= cov_cf_a), b.where(F.col("coverage") >= cov_cf_b)
+    pairs = pair_sites(a, b, keys, [value])
+    stats = agreement(pairs, value, f"{value}_b", ranked_y=half_up(F.col(f"{value}_b"), 100.0) if round_b else None)
+    return a.agg(F.count("*").alias("n_a")).crossJoin(b.agg(F.count("*").alias("n_b"))).crossJoin(stats)  # one row each
 
 
 def summarise_runs(df: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import random
 from functools import reduce
-from itertools import combinations, islice
+from itertools import combinations
+from math import comb
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .compare import classification_metrics, roc_auc, summarise_runs
-from .sites import kmer_distribution
+from ..functions.calls import half_up
+from .compare import agreement, classification_metrics, roc_auc, summarise_runs
+from .sites import kmer_distribution, site_frequency_aggregate
 
 
 def _hash(df: DataFrame, seed: int) -> Column:
@@ -19,9 +22,10 @@ def _hash(df: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *df.columns).bitwiseAND((1 << 63) - 1)
 
 
-def text_order(key: Column, seed: int = 1) -> Column:
+def text_order(key: Column, seed: int | Column = 1) -> Column:
     """A place in random order that other engines repeat: 60 bits of the MD5 of seed and key, from 0 to 2**63."""
-    digits = F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), key).cast("binary")), 1, 15)
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+    digits = F.substring(F.md5(F.concat_ws("/", seed.cast("string"), key).cast("binary")), 1, 15)
     return F.conv(digits, 16, 10).cast("long") * 8
 
 
@@ -52,6 +56,18 @@ def shuffle_rows(df: DataFrame, seed: int = 1, *others: DataFrame, order: Column
     return df.withColumn("_h", _hash(df, seed) if order is None else order).repartitionByRange("_h").sortWithinPartitions("_h").drop("_h")
 
 
+def out_of_order(df: DataFrame, order: Column) -> DataFrame:
+    """``df`` with out_of_order: 1 where a row's ``order`` is below that of the row before it, as partitions and
+    their rows stand now, else 0. The rows before partitions' first ones come from a table of partitions."""
+    placed = df.withColumn("_o", order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    last = placed.groupBy("_p").agg(F.max_by("_o", "_i").alias("_last"))
+    before = last.select(F.col("_p").alias("_q"), F.lag("_last").over(W.orderBy("_p")).alias("_before"))  # a row a partition
+    prior = F.lag("_o").over(W.partitionBy("_p").orderBy("_i"))
+    out = placed.withColumn("_prior", prior).join(F.broadcast(before), F.col("_p") == F.col("_q"))
+    wrong = F.coalesce((F.coalesce("_prior", "_before") > F.col("_o")).cast("int"), F.lit(0))
+    return out.withColumn("out_of_order", wrong).drop("_o", "_p", "_i", "_prior", "_q", "_before")
+
+
 def ranked(df: DataFrame, order: Column, by: tuple[str, ...] = (), most: Column | None = None, bits: int = 10) -> DataFrame:
     """``df`` with rank (from 1) in the order of a number from 0 to 2**63, within each of ``by``; of rows of
     one number the columns decide. Counts of the number's 2**bits ranges first, then ranks within a range:
@@ -73,19 +89,19 @@ def ranked(df: DataFrame, order: Column, by: tuple[str, ...] = (), most: Column
     return out.where(F.col("rank") <= most) if most is not None else out
 
 
-def train_valid_split(pos: DataFrame, neg: DataFrame, ratio: float = 0.9, seed: int = 1) -> DataFrame:
+def train_valid_split(pos: DataFrame, neg: DataFrame, ratio: float = 0.9, seed: int = 1, order: Column | None = None) -> DataFrame:
     """Positives and negatives in random order with ``split``: exactly round(n ratio) rows train."""
     both = pos.unionByName(neg)
     total = both.agg(F.floor(F.count("*") * ratio + 0.5).alias("_train"))
-    out = ranked(both, _hash(both, seed)).crossJoin(F.broadcast(total))
+    out = ranked(both, _hash(both, seed) if order is None else order).crossJoin(F.broadcast(total))
     return out.withColumn("split", F.when(F.col("rank") <= F.col("_train"), "train").otherwise("valid")).drop("rank", "_train")
 
 
-def split_by_read(df: DataFrame, ratio: float = 0.9, seed: int = 1, key: str = "read_id") -> DataFrame:
+def split_by_read(df: DataFrame, ratio: float = 0.9, seed: int = 1, key: str = "read_id", order: Column | None = None) -> DataFrame:
     """As O5, but a read's rows stay together: exactly round(reads ratio) reads train."""
     ids = df.select(key).distinct()
     total = ids.agg(F.floor(F.count("*") * ratio + 0.5).alias("_train"))
-    placed = ranked(ids, _hash(ids, seed)).crossJoin(F.broadcast(total))
+    placed = ranked(ids, _hash(ids, seed) if order is None else order).crossJoin(F.broadcast(total))
     return df.join(placed.select(key, F.when(F.col("rank") <= F.col("_train"), "train").otherwise("valid").alias("split")), key)
 
 
@@ -131,46 +147,83 @@ def subsample_coverage(reads: DataFrame, coverage: float, genome_size: int, seed
     return reads.crossJoin(F.broadcast(bases)).where(place < share).drop("_bases")
 
 
-def repeated_metrics(df: DataFrame, sizes: list[int], rounds: int = 5, seed: int = 1, label: str = "is_true", predicted: str = "predicted", score: str = "score") -> DataFrame:
+def repeated_metrics(df: DataFrame, sizes: list[int], rounds: int = 5, seed: int = 1, label: str = "is_true", predicted: str = "predicted", score: str = "score", key: str | None = None) -> DataFrame:
     """For each size, ``rounds`` draws of that many rows of each class; mean and sd of the metrics.
-    Rounds and sizes are columns of one plan. Each round has its own hash order; counts of hash ranges say
+    Rounds and sizes are columns of one plan; a ``key`` of rows makes draws that other engines repeat. Each round has its own hash order; counts of hash ranges say
     which ranges the draw needs, and only their rows are dealt."""
     drawn = df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    order = F.xxhash64(F.lit(seed), "round", *df.columns).bitwiseAND((1 << 63) - 1)
+    order = text_order(F.concat_ws("/", F.col("round").cast("string"), F.col(key).cast("string")), seed) if key else F.xxhash64(F.lit(seed), "round", *df.columns).bitwiseAND((1 << 63) - 1)
     drawn = ranked(drawn, order, by=("round", label), most=F.lit(max(sizes)))
     drawn = drawn.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where(F.col("rank") <= F.col("size")).drop("rank")
     runs = classification_metrics(drawn, label, predicted, ["size", "round"]).join(roc_auc(drawn, label, score, ["size", "round"]), ["size", "round"])
     return summarise_runs(runs, [c for c in runs.columns if c not in ("size", "round")], ["size"])
 
 
-def coverage_effect(tables: dict[str, DataFrame], truth: DataFrame, most: int = 10, least_cov: int = 1) -> DataFrame:
-    """For every number k of replicates, up to ``most`` of their k-subsets: metrics of the pooled table
-    against the truth (freq), then mean and sd by k. Subsets are a small table; one aggregate by subset and site."""
-    spark, names = truth.sparkSession, sorted(tables)
-    rows = [(i, k, n) for k in range(1, len(names) + 1) for i, c in enumerate(islice(combinations(names, k), most)) for n in c]
-    subsets = spark.createDataFrame(rows, "subset int, k int, replicate string")
-    tagged = None
-    for name in names:
-        own = tables[name].select("contig", "pos", "strand", "coverage", "n_mod").withColumn("replicate", F.lit(name))
-        tagged = own if tagged is None else tagged.unionByName(own)
+def _subsets(names: list[str], k: int, most: int, seed: int) -> list[tuple[str, ...]]:
+    """Up to ``most`` of the k-subsets of names, drawn with a seed."""
+    rng = random.Random(f"{seed}/{k}")
+    if comb(len(names), k) <= 4 * most:
+        every = list(combinations(names, k))
+        rng.shuffle(every)
+        return every[:most]
+    out: set[tuple[str, ...]] = set()
+    while len(out) < most:
+        out.add(tuple(sorted(rng.sample(names, k))))
+    return sorted(out)
+
+
+RUN_METRICS = ["n_sites", "n_truth", "n_both", "pearson", "r2", "spearman", "spearman_rounded", "rmse"]
+
+
+def _runs(sites: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
+    """RUN_METRICS of each run of ``sites`` (by..., site, freq) against the truth (site, freq)."""
+    keys = ["contig", "pos", "strand"]
+    pairs = sites.select(*by, *keys, F.col("freq").alias("x")).join(truth.select(*keys, F.col("freq").alias("y")), keys)
+    plain, rounded = agreement(pairs, by=by), agreement(pairs, by=by, ranked_y=half_up(F.col("y"), 100.0))
+    n = sites.groupBy(*by).agg(F.count("*").alias("n_sites")).crossJoin(F.broadcast(truth.agg(F.count("*").alias("n_truth"))))
+    return n.join(plain, by).join(rounded.select(*by, F.col("spearman").alias("spearman_rounded")), by)
+
+
+def _truth(truth: DataFrame | list[DataFrame]) -> DataFrame:
+    """One truth table, or the mean of several by site."""
+    if isinstance(truth, DataFrame):
+        return truth
+    both = reduce(DataFrame.unionByName, [t.select("contig", "pos", "strand", "freq") for t in truth])
+    return both.groupBy("contig", "pos", "strand").agg(F.avg("freq").alias("freq"))
+
+
+def coverage_effect(tables: dict[str, DataFrame], truth: DataFrame | list[DataFrame], most: int = 10, least_cov: int = 1, seed: int = 1) -> DataFrame:
+    """For every number k of replicates, up to ``most`` of their k-subsets, drawn with a seed: RUN_METRICS
+    of the pooled table against the truth (freq), then mean and sd by k. Subsets are a small table; one
+    aggregate by subset and site."""
+    truth, names = _truth(truth), sorted(tables)
+    rows = [(i, k, n) for k in range(1, len(names) + 1) for i, c in enumerate(_subsets(names, k, most, seed)) for n in c]
+    subsets = truth.sparkSession.createDataFrame(rows, "subset int, k int, replicate string")
+    tagged = reduce(DataFrame.unionByName, [tables[n].select("contig", "pos", "strand", "coverage", "n_mod").withColumn("replicate", F.lit(n)) for n in names])
     pooled = tagged.join(F.broadcast(subsets), "replicate").groupBy("k", "subset", "contig", "pos", "strand").agg(F.sum("coverage").alias("coverage"), F.sum("n_mod").alias("n_mod"))
-    pairs = pooled.where(F.col("coverage") >= least_cov).withColumn("x", F.col("n_mod") / F.col("coverage")).join(truth.select("contig", "pos", "strand", F.col("freq").alias("y")), ["contig", "pos", "strand"])
-    d = F.col("x") - F.col("y")
-    runs = pairs.groupBy("k", "subset").agg(F.count("*").alias("n"), F.avg("coverage").alias("coverage"), F.corr("x", "y").alias("pearson"), F.sqrt(F.avg(d * d)).alias("rmse"))
-    return summarise_runs(runs, ["n", "coverage", "pearson", "rmse"], ["k"])
+    pooled = pooled.where(F.col("coverage") >= least_cov).withColumn("freq", F.col("n_mod") / F.col("coverage"))
+    return summarise_runs(_runs(pooled, truth, ["k", "subset"]), RUN_METRICS, ["k"])
 
 
-def coverage_sweep(calls: DataFrame, truth: DataFrame, coverages: list[float], seeds: list[int], genome_size: int, read_length: int = 1, prob: str = "prob_1") -> DataFrame:
-    """Reads subsampled to each coverage with each seed, counted by site and held against the truth;
-    mean and sd by coverage. Coverage and seed are columns of one plan."""
-    spark = calls.sparkSession
-    grid = spark.createDataFrame([(float(c), int(s)) for c in coverages for s in seeds], "target double, seed int")
+def coverage_sweep(calls: DataFrame, truth: DataFrame | list[DataFrame], coverages: list[float], seeds: list[int], genome_size: int,
+                   read_length: int = 1, prob: str = "prob_1", mode: str = "count") -> DataFrame:
+    """Reads subsampled to each coverage with each seed, their sites by count or aggregate mode held against
+    the truth: mean and sd of RUN_METRICS by coverage. In count mode coverage and seed are columns of one plan;
+    aggregate mode, whose windows are of one table, is a plan a run, united."""
+    spark, truth = calls.sparkSession, _truth(truth)
+    grid = [(float(c), int(s)) for c in coverages for s in seeds]
     n_reads = calls.agg(F.count_distinct("read_id").alias("_reads"))
     share = F.least(F.col("target") * F.lit(float(genome_size)) / (F.col("_reads") * F.lit(float(read_length))), F.lit(1.0))
-    place = F.shiftrightunsigned(F.xxhash64("seed", "read_id"), 11) / F.lit(float(1 << 53))
-    kept = calls.crossJoin(F.broadcast(grid)).crossJoin(F.broadcast(n_reads)).where(place < share)
-    sites = kept.groupBy("target", "seed", "contig", "pos", "strand").agg(F.count("*").alias("coverage"), F.count_if(F.col(prob) > 0.5).alias("n_mod"))
-    pairs = sites.withColumn("x", F.col("n_mod") / F.col("coverage")).join(truth.select("contig", "pos", "strand", F.col("freq").alias("y")), ["contig", "pos", "strand"])
-    d = F.col("x") - F.col("y")
-    runs = pairs.groupBy("target", "seed").agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.sqrt(F.avg(d * d)).alias("rmse"))
-    return summarise_runs(runs, ["n", "pearson", "rmse"], ["target"])
+    place = text_order(F.col("read_id"), F.col("seed")) / F.lit(float(1 << 63))
+    draw = lambda runs: calls.crossJoin(F.broadcast(runs)).crossJoin(F.broadcast(n_reads)).where(place < share)
+    if mode == "count":
+        kept = draw(spark.createDataFrame(grid, "target double, seed int"))
+        sites = kept.groupBy("target", "seed", "contig", "pos", "strand").agg(F.count("*").alias("coverage"), F.count_if(F.col(prob) > 0.5).alias("n_mod"))
+    elif mode == "aggregate":
+        one = lambda c, s: site_frequency_aggregate(draw(spark.createDataFrame([(c, s)], "target double, seed int")).drop("target", "seed", "_reads"))
+        runs = [one(c, s).select("contig", "pos", "strand", "coverage", "n_mod").withColumns({"target": F.lit(c), "seed": F.lit(s)}) for c, s in grid]
+        sites = reduce(DataFrame.unionByName, runs)
+    else:
+        raise ValueError(f"unknown mode: {mode}")
+    sites = sites.withColumn("freq", F.col("n_mod") / F.col("coverage"))
+    return summarise_runs(_runs(sites, truth, ["target", "seed"]), RUN_METRICS, ["target"])

@@ -246,9 +246,11 @@ def a22_kmer_distribution(spark, d):
     return sites.kmer_distribution(df).withColumn("share", X.half_up(F.col("share"), 1e9))
 
 
-@query(f"select count(*) as n, sum(start)::bigint as total from {A}")
+@query(f"select count(*) as n, sum(start)::bigint as total, 0::bigint as n_out_of_order from {A}")
 def o2_sorted_alignments(spark, d):
-    return sampling.coordinate_sort(fx.alignments(spark, d)).agg(F.count("*").alias("n"), F.sum("start").alias("total"))
+    """All alignments come back, in the order of contig and start."""
+    got = sampling.out_of_order(sampling.coordinate_sort(fx.alignments(spark, d)), F.struct("contig", "start"))
+    return got.agg(F.count("*").alias("n"), F.sum("start").alias("total"), F.sum("out_of_order").alias("n_out_of_order"))
 
 
 @query(f"select contig, count(*) as n from {A} where (flag & 1284) = 0 and mapq >= 1 group by contig")

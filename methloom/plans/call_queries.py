@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import calls as X
 from ..functions import modtags as M
 from ..operators import compare, filters, joins, reads, sampling, sets, sites, windows
-from ..sources import writers
+from ..sources import readers, writers
 from . import fixtures as fx
 from .fixtures import CALLS, LABELLED, SITEFREQ, TRUTH
 from .registry import query
@@ -27,14 +27,30 @@ def _truth(spark, d):
     return fx.truth(spark, d).withColumn("freq", F.col("pct") / 100.0)
 
 
-@query(CALLS)
+@query(f"select contig, pos, strand, read_id, read_loc, cast(depth as varchar) || ',' || cast(depth % 7 as varchar) as depth, prob_0, prob_1, label, 'CG' as kmer, depth as depth_f, depth % 7 as depth_r from {C}")
 def s6_calls(spark, d):
-    return fx.calls(spark, d)
+    """Calls written as text and read again."""
+    path = fx.scratch(spark)
+    both = F.concat_ws(",", F.col("depth").cast("string"), (F.col("depth") % 7).cast("string"))
+    writers.write_calls(fx.calls(spark, d).withColumn("depth", both).withColumn("kmer", F.lit("CG")), path, gzip=True)
+    return readers.read_calls(spark, path)
 
 
-@query(f"select contig, pos, strand, coverage, pct, pct / 100e0 as freq from {T}")
+@query(f"select contig, pos, strand, coverage, pct, pct / 100e0 as freq from (select contig, pos, strand, coverage, cast(floor(n_mod / coverage::double * 100 + 0.001 + 0.5) as int) as pct from {S}) b")
 def s8_truth(spark, d):
-    return _truth(spark, d)
+    """Site frequencies written as bedMethyl and read again."""
+    path = fx.scratch(spark)
+    writers.write_bedmethyl(fx.sitefreq(spark, d), path)
+    return readers.read_bedmethyl(spark, path).select("contig", "pos", "strand", "coverage", "pct", "freq")
+
+
+@query(f"""select contig, pos, strand, floor(p1_sum * 1e3 + 0.5) / 1e3 as p1_sum, n_mod, coverage - n_mod as n_unmod, coverage, floor((n_mod / coverage::double + 1e-6) * 1e4 + 0.5) / 1e4 as freq from {S}""")
+def s7_site_frequencies(spark, d):
+    """Site frequencies written as text and read again."""
+    path = fx.scratch(spark)
+    df = fx.sitefreq(spark, d).withColumn("n_unmod", F.col("coverage") - F.col("n_mod")).withColumn("kmer", F.lit("CG"))
+    writers.write_site_freq(df, path)
+    return readers.read_site_freq(spark, path).select("contig", "pos", "strand", X.half_up(F.col("p1_sum"), 1e3).alias("p1_sum"), "n_mod", "n_unmod", "coverage", "freq")
 
 
 @query(f"""select contig, pos as start, pos + 1 as "end", '.' as name, coverage as score, strand, pos as thick_start, pos + 1 as thick_end,
@@ -416,30 +432,49 @@ def o1_genome_order(spark, d):
     return sampling.genome_order(fx.sitefreq(spark, d).select(*SITE, "coverage", "n_mod"))
 
 
-@query(f"select count(*) as n, sum(prob_1) as total from {C}")
+def drawn(seed: int, *parts: str) -> str:
+    """SQL of ``text_order``, over 8."""
+    key = " || '/' || ".join(f"cast({p} as varchar)" for p in parts)
+    return f"cast('0x' || substr(md5('{seed}/' || {key}), 1, 15) as bigint)"
+
+
+def _drawn(*parts: str):
+    return F.concat_ws("/", *[F.col(p).cast("string") for p in parts])
+
+
+KEY = ("read_id", "read_loc", "pos")
+ROW = "contig, pos, strand, read_id, read_loc, depth, ml, prob_0, prob_1, label, hap"
+
+
+@query(f"select count(*) as n, sum(prob_1) as total, 0::bigint as n_out_of_order from {C}")
 def o4_shuffled_rows(spark, d):
-    return sampling.shuffle_rows(fx.calls(spark, d), 7).agg(F.count("*").alias("n"), F.sum("prob_1").alias("total"))
+    """All rows come back, in the order of their draws."""
+    order = sampling.text_order(_drawn(*KEY), 7)
+    got = sampling.out_of_order(sampling.shuffle_rows(fx.calls(spark, d), order=order), order)
+    return got.agg(F.count("*").alias("n"), F.sum("prob_1").alias("total"), F.sum("out_of_order").alias("n_out_of_order"))
 
 
-@query(f"select case when pct then 1 else 0 end as is_sample, 1000 as n from (select true as pct from {C} limit 1) q".replace("1000 as n", "1000::bigint as n"))
+@query(f"select {ROW} from (select *, row_number() over (order by {drawn(1, *KEY)}, {ROW}) as rn from {C}) q where rn <= 1000")
 def o3_sample_n(spark, d):
-    return sampling.sample_n(fx.calls(spark, d), 1000).agg(F.lit(1).alias("is_sample"), F.count("*").alias("n"))
+    return sampling.sample_n(fx.calls(spark, d), 1000, order=sampling.text_order(_drawn(*KEY)))
 
 
-@query(f"select split, case when split = 'train' then cast(floor(n * 0.9e0 + 0.5) as bigint) else n - cast(floor(n * 0.9e0 + 0.5) as bigint) end as n from (select count(*) as n from {C}) q, (values ('train'), ('valid')) v(split)")
+@query(f"select {ROW}, case when rn <= floor(n * 0.9e0 + 0.5) then 'train' else 'valid' end as split from (select *, row_number() over (order by {drawn(1, *KEY)}, {ROW}) as rn, count(*) over () as n from {C}) q")
 def o5_train_valid_split(spark, d):
     df = fx.calls(spark, d)
-    return sampling.train_valid_split(df.where("label = 1"), df.where("label = 0")).groupBy("split").agg(F.count("*").alias("n"))
+    return sampling.train_valid_split(df.where("label = 1"), df.where("label = 0"), order=sampling.text_order(_drawn(*KEY)))
 
 
-@query(f"select split, case when split = 'train' then cast(floor(n * 0.9e0 + 0.5) as bigint) else n - cast(floor(n * 0.9e0 + 0.5) as bigint) end as n_reads from (select count(distinct read_id) as n from {C}) q, (values ('train'), ('valid')) v(split)")
+@query(f"""with r as (select read_id, row_number() over (order by {drawn(1, "read_id")}, read_id) as rn, count(*) over () as n from (select distinct read_id from {C}) u)
+  select c.read_id, count(*) as n, case when min(rn) <= floor(min(r.n) * 0.9e0 + 0.5) then 'train' else 'valid' end as split from {C} join r on c.read_id = r.read_id group by c.read_id""")
 def o6_split_by_read(spark, d):
-    return sampling.split_by_read(fx.calls(spark, d)).groupBy("split").agg(F.count_distinct("read_id").alias("n_reads"))
+    got = sampling.split_by_read(fx.calls(spark, d), order=sampling.text_order(F.col("read_id")))
+    return got.groupBy("read_id", "split").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"select read_id, seq, doc_id, contig, start, flag, mapq, cigar, ref_end from ({fx.D_ALIGNMENTS}) a")
 def o2_coordinate_sort(spark, d):
-    return sampling.coordinate_sort(fx.alignments(spark, d))
+    return sampling.coordinate_sort(fx.alignments(spark, d)).select("read_id", "seq", "doc_id", "contig", "start", "flag", "mapq", "cigar", "ref_end")
 
 
 @query()
@@ -448,26 +483,65 @@ def o7_balanced_negatives(spark, d):
     return sampling.balance_by_kmer(df.where("label = 0 and pos % 3 > 0"), df.where("label = 1 and depth > 30"))
 
 
-@query()
+@query(f"select doc_id, read_id, seq, length from (select *, length(seq) as length, sum(length(seq)) over () as bases from ({fx.D_READS}) r) q where {drawn(1, 'read_id')} * 8 / 9223372036854775808e0 < least(40000e0 / bases, 1e0)")
 def o8_subsampled_reads(spark, d):
     return sampling.subsample_coverage(fx.reads(spark, d).withColumn("length", F.length("seq")), 2.0, 20_000)
 
 
-@query()
+def _rounded(df, by: list[str], metrics: list[str]):
+    return df.select(*by, "n_runs", *[X.half_up(F.col(f"{m}_{s}"), 1e5).alias(f"{m}_{s}") for m in metrics for s in ("mean", "sd")])
+
+
+def _means(metrics: list[str]) -> str:
+    return ", ".join(f"floor({f}({m}) * 1e5 + 0.5) / 1e5 as {m}_{s}" for m in metrics for s, f in (("mean", "avg"), ("sd", "stddev_pop")))
+
+
+DRAWS = ["tp", "accuracy", "recall", "precision", "fall_out", "auc"]
+
+
+@query(f"""with q as (select l.*, r.round, row_number() over (partition by r.round, is_true order by {drawn(1, 'r.round', 'event_id')}, event_id) as rn from {L} cross join (select unnest([1, 2, 3, 4, 5]) as round) r),
+  s as (select q.*, z.size from q join (select unnest([100, 1000]) as size) z on rn <= z.size),
+  k as (select *, rank() over (partition by size, round order by score) + (count(*) over (partition by size, round, score) - 1) / 2e0 as rk from s),
+  n as (select size, round, count(*) filter (where is_true = 1) as p, count(*) filter (where is_true = 0) as q, count(*) filter (where is_true = 1 and predicted = 1) as tp,
+    count(*) filter (where is_true = 0 and predicted = 1) as fp, sum(case when is_true = 1 then rk else 0 end) as rks from k group by size, round),
+  m as (select size, round, tp, (tp + q - fp) / (p + q)::double as accuracy, tp / p::double as recall, tp / (tp + fp)::double as precision, fp / q::double as fall_out, (rks - p * (p + 1) / 2e0) / (p * q) as auc from n)
+  select size, count(*) as n_runs, {_means(DRAWS)} from m group by size""")
 def o9_repeated_metrics(spark, d):
-    return sampling.repeated_metrics(fx.labelled(spark, d), [100, 1000])
+    return _rounded(sampling.repeated_metrics(fx.labelled(spark, d), [100, 1000], key="event_id"), ["size"], DRAWS)
 
 
-@query()
+def _runs(by: str, group: str) -> str:
+    """SQL of RUN_METRICS, from sites s ({by}, site, freq) and the truth t, and their summary by ``group``."""
+    return f"""p as (select {by}, s.freq as x, t.freq as y, floor(t.freq * 100 + 0.5) / 100 as v from s join t using (contig, pos, strand)),
+  r as (select *, {", ".join(f"rank() over (partition by {by} order by {c}) + (count(*) over (partition by {by}, {c}) - 1) / 2e0 as r{c}" for c in "xyv")} from p),
+  m as (select {by}, count(*) as n_both, corr(x, y) as pearson, corr(x, y) * corr(x, y) as r2, corr(rx, ry) as spearman, corr(rx, rv) as spearman_rounded, sqrt(avg((x - y) * (x - y))) as rmse from r group by {by}),
+  n as (select {by}, count(*) as n_sites, (select count(*) from t) as n_truth from s group by {by})
+  select {group}, count(*) as n_runs, {_means(sampling.RUN_METRICS)} from m join n using ({by}) group by {group}"""
+
+
+TRUE = f"t as (select contig, pos, strand, pct / 100e0 as freq from {T})"
+
+
+@query(f"""with {TRUE}, u as (select * from (values (1, 0, 0), (1, 1, 1), (1, 2, 2), (2, 3, 0), (2, 3, 1), (2, 4, 0), (2, 4, 2), (2, 5, 1), (2, 5, 2), (3, 6, 0), (3, 6, 1), (3, 6, 2)) v(k, subset, hap)),
+  s as (select k, subset, contig, pos, strand, count(*) filter (where prob_1 > 0.5) / count(*)::double as freq from {C} join u using (hap) group by 1, 2, 3, 4, 5), {_runs("k, subset", "k")}""")
 def o10_coverage_effect(spark, d):
     df = fx.calls(spark, d)
     tables = {f"rep{h}": sites.site_frequency_count(df.where(F.col("hap") == h)) for h in (0, 1, 2)}
-    return sampling.coverage_effect(tables, _truth(spark, d))
+    return _rounded(sampling.coverage_effect(tables, _truth(spark, d)), ["k"], sampling.RUN_METRICS)
 
 
-@query()
+@query(f"""with {TRUE}, g as (select a.target, b.seed from (select unnest([1e0, 2e0]) as target) a cross join (select unnest([1, 2, 3]) as seed) b),
+  c2 as (select c.*, (select count(distinct read_id) from {C}) as reads from {C}),
+  s as (select target, seed, contig, pos, strand, count(*) filter (where prob_1 > 0.5) / count(*)::double as freq from c2 cross join g
+    where {drawn(0, 'read_id').replace("'0/' || ", "cast(seed as varchar) || '/' || ")} * 8 / 9223372036854775808e0 < least(target * 5000e0 / reads, 1e0) group by 1, 2, 3, 4, 5), {_runs("target, seed", "target")}""")
 def o11_coverage_sweep(spark, d):
-    return sampling.coverage_sweep(fx.calls(spark, d), _truth(spark, d), [1.0, 2.0], [1, 2, 3], 5000)
+    return _rounded(sampling.coverage_sweep(fx.calls(spark, d), _truth(spark, d), [1.0, 2.0], [1, 2, 3], 5000), ["target"], sampling.RUN_METRICS)
+
+
+@query()
+def o11_coverage_sweep_aggregate(spark, d):
+    got = sampling.coverage_sweep(fx.calls(spark, d), _truth(spark, d), [1.0, 2.0], [1], 5000, mode="aggregate")
+    return _rounded(got, ["target"], sampling.RUN_METRICS)
 
 
 @query(f"select contig, pos, strand, read_id, prob_1, hap from {C}")

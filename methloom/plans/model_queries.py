@@ -28,8 +28,14 @@ def p1_assembled(spark, d):
     return got.select("vec_id", "n", half_up(total, 1e6).alias("total"))
 
 
-@query(f"""with s as (select vec_id, list_sum(list_transform(range(0, 21), lambda i: ipd[i + 1]::double * ((i + 8) % 7 - 3) / 16e0)) + list_sum(list_transform(range(0, 21), lambda i: pw[i + 1]::double * ((i + 29) % 7 - 3) / 16e0)) as z from {FEATURES})
-  select vec_id, floor(floor(1e0 / (1e0 + exp(-z)) * 1e6 + 0.5) / 1e6 * 1e4 + 0.5) / 1e4 as prob_1, case when z > 0 then 1 else 0 end as label from s""")
+SCORES = f"""with s as (select vec_id, list_sum(list_transform(range(0, 21), lambda i: ipd[i + 1]::double * ((i + 8) % 7 - 3) / 16e0)) + list_sum(list_transform(range(0, 21), lambda i: pw[i + 1]::double * ((i + 29) % 7 - 3) / 16e0)) as z from {FEATURES})
+"""
+ONE = "floor(floor({p} * 1e6 + 0.5) / 1e6 * 1e4 + 0.5) / 1e4"
+P = "1e0 / (1e0 + exp(-z))"
+P2 = f"{SCORES} select vec_id, {ONE.format(p=P)} as prob_1, case when z > 0 then 1 else 0 end as label from s"
+
+
+@query(P2)
 def p2_scored_sites(spark, d):
     got = scoring.assemble(_features(spark, d).withColumn("kmer", F.lit("NN")), "kmer", ["ipd", "pw"])
     return scoring.score_sites(got, keep=["vec_id"]).select("vec_id", half_up(F.col("prob_1"), 1e4).alias("prob_1"), "label")
@@ -41,7 +47,8 @@ def p3_scored_windows(spark, d):
     return scoring.score_windows(w).select(*SITE, "coverage", half_up(F.col("score"), 1e4).alias("score"))
 
 
-@query()
+@query(f"""{SCORES} select vec_id, 0 as loc, {ONE.format(p=P)} as prob_1, case when z > 0 then 1 else 0 end as label from s
+  union all select vec_id, 1, {ONE.format(p=f"(1e0 - {P})")}, case when z < 0 then 1 else 0 end from s""")
 def p4_per_strand_scores(spark, d):
     import numpy as np
 
@@ -50,7 +57,8 @@ def p4_per_strand_scores(spark, d):
         return lambda x: np.stack([one(x), 1 - one(x)], axis=1)
 
     got = scoring.assemble(_features(spark, d).withColumn("kmer", F.lit("NN")), "kmer", ["ipd", "pw"]).withColumn("loc", F.lit(0))
-    return scoring.score_sites(got, load, keep=["vec_id", "loc"], per_strand=True)
+    got = scoring.score_sites(got, load, keep=["vec_id", "loc"], per_strand=True)
+    return got.select("vec_id", "loc", half_up(F.col("prob_1"), 1e4).alias("prob_1"), "label")
 
 
 @query()
