@@ -211,9 +211,13 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, **parameter
     null texts have no lines."""
     lines = lines_of(docs)
     comps = similar_lines(lines, similarity, **parameters)
-    places = lines.select("doc_id", "tid", "line_no", "lid")
+    places = written(lines.select("doc_id", "tid", "line_no", "lid"))
+    # Most lines stand once and are like no other: only the rest is dealt and ordered.
+    repeated = places.groupBy("lid").agg(F.count("*").alias("n")).where("n > 1").select("lid")
+    labels = repeated.join(comps, repeated["lid"] == comps["node"], "full").select(F.coalesce("lid", "node").alias("lid"), F.coalesce("component", "lid").alias("component"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tid", "line_no")
-    found = written(places.join(comps, places["lid"] == comps["node"], "left").select(F.coalesce("component", "lid").alias("component"), place.alias("place")))
+    found = written(places.join(labels, "lid").select("component", place.alias("place")))
+    discard(places)
     # Repeated rows are the same place, so places are not counted.
     keepers = found.groupBy("component").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
     gone = found.join(keepers, "component").where("place <> first")
@@ -225,12 +229,13 @@ def decisions(docs: DataFrame, similarity: float = SIMILARITY, **parameters) ->
 
     A null text has no lines, an empty one a single blank line. Other columns are ignored; an empty
     table gives no rows."""
-    heads = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    heads = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"))
     gone = duplicate_lines(docs, similarity, **parameters).withColumnsRenamed({"doc_id": "_doc", "tid": "_tid"})
     on = heads["doc_id"].eqNullSafe(gone["_doc"]) & (heads["tid"] == gone["_tid"])
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return heads.join(gone, on, "left").select(
-        "doc_id", F.when(F.col("n") < 0, 0).otherwise(F.col("n")).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed")
+        "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed")
     )
 
 
