@@ -179,6 +179,32 @@ def j13_projected_calls(spark, d):
     return got.select("read_id", "contig", "pos", "strand", M.probability_byte(F.col("prob")).alias("ml"), "hap")
 
 
+#: A CIGAR of as many repeats as the read's number gives, with every kind of operation.
+MIXED = "'3S' || repeat('7=2I1X3D', (doc_id % 5 + 1)::int) || cast(length(seq) - 3 - 10 * (doc_id % 5 + 1) as varchar) || '='"
+MIXED_AT = """(case when q < 3 then null when q - 3 >= 10 * (doc_id % 5 + 1) then 11 * (doc_id % 5 + 1) + q - 3 - 10 * (doc_id % 5 + 1)
+    when (q - 3) % 10 < 7 then (q - 3) // 10 * 11 + (q - 3) % 10 when (q - 3) % 10 = 9 then (q - 3) // 10 * 11 + 7 end)"""
+
+
+def _mixed(df):
+    k = (F.col("doc_id") % 5 + 1).cast("int")
+    return df.withColumn("cigar", F.concat(F.lit("3S"), F.repeat(F.lit("7=2I1X3D"), k), (F.length("seq") - 3 - 10 * k).cast("string"), F.lit("=")))
+
+
+@query(f"select read_id, cigar, sum(coalesce(r, 0))::bigint as total, count(*) filter (where r is null) as unaligned from (select read_id, {MIXED} as cigar, {MIXED_AT} as r from (select *, unnest(range(0, length(seq))) as q from {A}) x) y group by read_id, cigar")
+def x10_mixed_cigars(spark, d):
+    df = _mixed(fx.alignments(spark, d)).withColumn("b", V.walk(C.parse(F.col("cigar"))))
+    r = V.to_references(F.col("b"), F.sequence(F.lit(0), F.length("seq") - 1))
+    return df.select("read_id", "cigar", F.explode(r).alias("r")).groupBy("read_id", "cigar").agg(F.sum(F.coalesce("r", F.lit(0))).alias("total"), F.count_if(F.col("r").isNull()).alias("unaligned"))
+
+
+@query(f"""with h as (select *, length(seq) as n, unnest(list_filter(range(0, length(seq) - 1), lambda i: substring(seq, i + 1, 2) = 'CG')) as i from {A}),
+  p as (select *, case when {REV} then n - 1 - i else i end as q from h)
+  select read_id, contig, start + {MIXED_AT} as pos, case when {REV} then '-' else '+' end as strand, ((doc_id * 31 + i * 17) % 256)::int as ml, (doc_id % 3)::int as hap from p where {MIXED_AT} is not null""")
+def j13_projected_mixed_cigars(spark, d):
+    got = joins.project_calls(_mixed(_tagged(spark, d)))
+    return got.select("read_id", "contig", "pos", "strand", M.probability_byte(F.col("prob")).alias("ml"), "hap")
+
+
 CHUNK = 200
 
 
