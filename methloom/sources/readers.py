@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
@@ -52,15 +53,38 @@ def read_alignments(spark: SparkSession, path: Paths) -> DataFrame:
     })
 
 
+def _lines(spark: SparkSession, path: Paths) -> DataFrame:
+    """(value, file, block, id) of every line: a file's blocks are in the order of ``block``, a block's lines in that of ``id``."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+
+
 def read_reference(spark: SparkSession, path: Paths, chunk_len: int = 100_000, overlap: int = 32) -> DataFrame:
-    """S3: FASTA as upper-case chunks (contig, chunk_start, seq) of chunk_len bases and an overlap."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    head = F.split_part("value", F.lit("\n"), F.lit(1))
-    body = F.upper(F.regexp_replace(F.substr("value", F.length(head) + 2), r"\s", ""))
-    seqs = records.select(F.split_part(F.trim(head), F.lit(" "), F.lit(1)).alias("contig"), body.alias("whole")).where(F.length("whole") > 0)
-    starts = F.sequence(F.lit(0).cast("long"), F.length("whole").cast("long") - 1, F.lit(chunk_len).cast("long"))
-    chunks = seqs.select("contig", "whole", F.explode(starts).alias("chunk_start"))
-    return chunks.select("contig", "chunk_start", F.substr("whole", (F.col("chunk_start") + 1).cast("int"), F.lit(chunk_len + overlap)).alias("seq"))
+    """S3: FASTA as upper-case chunks (contig, chunk_start, seq) of chunk_len bases and an overlap.
+
+    A line's place in its contig is a running sum within its block of the file and, from a table of blocks,
+    the bases before that; lines meet in chunks, so no contig is one row or one task."""
+    lines = _lines(spark, path).withColumn("head", F.col("value").startswith(">"))
+    name = F.when(F.col("head"), F.split_part(F.trim(F.substr("value", F.lit(2))), F.lit(" "), F.lit(1)))
+    bases = F.when(F.col("head"), "").otherwise(F.upper(F.regexp_replace("value", r"\s", "")))
+    block = W.partitionBy("file", "block").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
+    lines = lines.select("file", "block", "id", name.alias("name"), bases.alias("bases")).withColumn("run", F.sum(F.length("bases")).over(block))
+    lines = lines.withColumn("from", F.max(F.when(F.col("name").isNotNull(), F.col("run"))).over(block)).withColumn("contig", F.last("name", ignorenulls=True).over(block))
+    # At a block's end: the contig, and its bases since its header or the block's beginning.
+    ends = lines.groupBy("file", "block").agg(F.max_by("contig", "id").alias("contig"), (F.max("run") - F.coalesce(F.max("from"), F.lit(0))).alias("tail"))
+    files = W.partitionBy("file").orderBy("block")
+    ends = ends.withColumn("part", F.sum(F.col("contig").isNotNull().cast("int")).over(files))
+    ends = ends.withColumn("length", F.sum("tail").over(W.partitionBy("file", "part").orderBy("block"))).withColumn("last", F.last("contig", ignorenulls=True).over(files))
+    before = ends.select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.lag("length", 1, 0).over(files).alias("carry"), F.lag("last").over(files).alias("prior"))
+    placed = lines.where("bases <> ''").join(before, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    start = F.col("run") - F.length("bases") + F.when(F.col("contig").isNull(), F.col("carry")).otherwise(-F.col("from"))
+    placed = placed.select(F.coalesce("contig", "prior").alias("contig"), start.alias("at"), "bases").where("contig is not null")
+    stop = F.col("at") + F.length("bases")
+    first, last = F.greatest(F.floor((F.col("at") - overlap) / chunk_len), F.lit(0)), F.floor((stop - 1) / chunk_len)
+    parts = placed.withColumn("stop", stop).withColumn("k", F.explode(F.sequence(first, last))).withColumn("chunk_start", F.col("k") * chunk_len)
+    low, high = F.greatest("at", "chunk_start"), F.least(F.col("stop"), F.col("chunk_start") + chunk_len + overlap)
+    part = F.struct(low.alias("at"), F.substr("bases", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("bases"))
+    got = parts.groupBy("contig", "chunk_start").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return got.select("contig", "chunk_start", F.array_join(F.transform("parts", lambda x: x["bases"]), "").alias("seq"))
 
 
 def contig_lengths(reference: DataFrame) -> DataFrame:
@@ -117,12 +141,16 @@ def read_bs_report(spark: SparkSession, path: Paths) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: Paths) -> DataFrame:
-    """(read_id, comment, seq, qual) of four-line records. Spark has no line numbers for text, so
-    lines are numbered across partitions once and pivoted by record."""
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] // 4, x[1] % 4, x[0][0]))
-    lines = spark.createDataFrame(numbered, "record long, k long, value string")
-    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
-    got = lines.groupBy("record").agg(pick(0).alias("head"), pick(1).alias("seq"), pick(3).alias("qual")).where(F.col("head").startswith("@"))
+    """(read_id, comment, seq, qual) of four-line records. A line's number in its file is its place in its
+    block and, from a table of blocks, the lines before that; lines are then pivoted by record."""
+    lines = _lines(spark, path)
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select(F.col("file").alias("_file"), F.col("block").alias("_block"), (before - F.col("first")).alias("shift"))
+    numbered = lines.join(starts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))).withColumn("line", F.col("id") + F.col("shift"))
+    pick = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
+    records = numbered.groupBy("file", F.floor(F.col("line") / 4).alias("record"))
+    got = records.agg(pick(0).alias("head"), pick(1).alias("seq"), pick(3).alias("qual")).where(F.col("head").startswith("@"))
     name = F.split_part(F.substr("head", F.lit(2)), F.lit(" "), F.lit(1))
     return got.select(name.alias("read_id"), F.substr("head", F.length(name) + 3).alias("comment"), "seq", "qual")
 

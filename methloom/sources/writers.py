@@ -70,8 +70,9 @@ def write_bedmethyl(df: DataFrame, path: str, gzip: bool = False) -> None:
 
 
 def write_by_hap(df: DataFrame, path: str) -> None:
-    """K5: one folder a haplotype (0: all calls); a haplotype without rows has none."""
-    df.withColumn("hap", F.coalesce("hap", F.lit(0))).write.partitionBy("hap").parquet(path)
+    """K5: one folder a haplotype: ``all`` for rows of all calls (null), 0 for unphased calls; a haplotype
+    without rows has none."""
+    df.withColumn("hap", F.coalesce(F.col("hap").cast("string"), F.lit("all"))).write.partitionBy("hap").parquet(path)
 
 
 def write_by_contig(df: DataFrame, path: str) -> None:

@@ -1,5 +1,7 @@
 """Hand-made reads: reverse strand, indels, clips, tags, motifs at the ends."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +235,41 @@ def test_features_of_forward_and_reverse_reads(spark):
     assert (got["f"].loc, got["f"].pos, got["f"].strand, got["f"].f_kmer, got["f"].r_kmer) == (5, 103, "+", "CACGT", "TACGT")
     # on the reverse read the sequenced read is the reverse complement, its CG is at 5 and lies on base 6 of the alignment
     assert (got["r"].loc, got["r"].pos, got["r"].strand, got["r"].f_kmer) == (5, 104, "-", "TACGT")
+
+
+def test_reference_and_reads_over_many_blocks(spark, tmp_path):
+    """Contigs and records that lie across the blocks of a file come back whole."""
+    rng = random.Random(3)
+    contigs = {f"c{k}": "".join(rng.choice("acgtN") for _ in range(n)) for k, n in enumerate((1, 700, 3000, 64))}
+    wrapped = lambda s, n: "\n".join(s[i : i + n] for i in range(0, len(s), n))
+    (tmp_path / "r.fa").write_text("".join(f">{name} text\n{wrapped(s, 61)}\n" for name, s in contigs.items()))
+    reads = [(f"r{i}", "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 90)))) for i in range(60)]
+    (tmp_path / "r.fq").write_text("".join(f"@{n} c{n}\n{s}\n+\n{'@' * len(s)}\n" for n, s in reads))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = {(r.contig, r.chunk_start): r.seq for r in readers.read_reference(spark, str(tmp_path / "r.fa"), 100, 7).collect()}
+        assert got == {(n, k): s.upper()[k : k + 107] for n, s in contigs.items() for k in range(0, len(s), 100)}
+        back = readers.read_fastq(spark, str(tmp_path / "r.fq")).collect()
+        assert sorted((r.read_id, r.comment, r.seq, r.qual) for r in back) == sorted((n, f"c{n}", s, "@" * len(s)) for n, s in reads)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_window_chunks_are_seamless(spark):
+    rng = random.Random(4)
+    rows = [(c, p, s, rng.randrange(3, 9), [float(rng.randrange(5)) for _ in range(20)]) for c in ("a", "b") for s in "+-" for p in sorted(rng.sample(range(0, 5_000_000, 1000), 60))]
+    df = spark.createDataFrame(rows, "contig string, pos long, strand string, coverage int, hist array<double>")
+    for only_close in (False, True):
+        whole = {tuple(r[:3]): (r.offsets, r.hists) for r in windows.neighbour_windows(df, only_close=only_close).collect()}
+        cut = {tuple(r[:3]): (r.offsets, r.hists) for r in windows.neighbour_windows(df, only_close=only_close, chunk=7).collect()}
+        assert whole == cut and len(cut) == 240
+    sites_ = df.select("contig", "pos", F.col("coverage").alias("n"), F.lit(1).alias("x")).where("strand = '+'")
+    smooth = lambda w: {(r.contig, r.pos): r.level for r in windows.smooth_sites(sites_, 300_000, w).collect()}
+    assert smooth(200_000) == smooth(10**9)
+    keyed = df.select("contig", "strand", "pos")
+    gaps = lambda w: {tuple(r[:3]): r.gap for r in windows.position_gaps(keyed, ["contig", "strand"], width=w).collect()}
+    islands = lambda w: {tuple(r[:3]): r.island for r in windows.assign_islands(keyed, ["contig", "strand"], gap=60_000, width=w).collect()}
+    assert gaps(50_000) == gaps(10**9) and islands(50_000) == islands(None)
