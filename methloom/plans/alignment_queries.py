@@ -151,12 +151,20 @@ def x17_shrunk_kmers(spark, d):
 
 
 @query(f"""with h as (select *, length(seq) as n, unnest(list_filter(range(0, length(seq) - 1), lambda i: substring(seq, i + 1, 2) = 'CG')) as i from {A} where (flag & 1284) = 0 and mapq >= 1),
-  p as (select *, case when {REV} then n - 1 - i else i end as q from h where i between 10 and n - 11 and n - 2 - i between 10 and n - 11)
+  p as (select *, case when {REV} then n - 1 - i else i end as q from h where i between 10 and n - 11 and n - 2 - i between 10 and n - 11),
+  u as (select read_id, k, j, {FRAME}::double as x from (select read_id, k, j, (doc_id * 31 + j * 17 + k * 5) % 256 as c from (select *, unnest(range(0, length(seq))) as j from {A}) b, (select unnest(range(0, 4)) as k) ks) v),
+  s as (select read_id, k, avg(x) as m, stddev_pop(x) as sd from u group by read_id, k),
+  z as (select u.read_id, u.k, u.j, {NORM.format(x='(x - m) / sd')} as x from u join s on u.read_id = s.read_id and u.k = s.k)
   select contig, case when q < 5 or q in (15, 16) then -1 else start + (case when q < 15 then q - 5 when q < 25 then q - 7 else q - 4 end) end as pos,
-    case when {REV} then '-' else '+' end as strand, read_id, i::int as loc, substring(seq, i - 9, 21) as f_kmer, {RC.format(s='substring(seq, i - 8, 21)')} as r_kmer from p""")
+    case when {REV} then '-' else '+' end as strand, p.read_id, i::int as loc, substring(seq, i - 9, 21) as f_kmer, {RC.format(s='substring(seq, i - 8, 21)')} as r_kmer,
+    a.x as f_ipd, b.x as r_ipd, c.x as f_pw, e.x as r_pw
+  from p join z a on a.read_id = p.read_id and a.k = 0 and a.j = i join z b on b.read_id = p.read_id and b.k = 1 and b.j = n - 2 - i
+    join z c on c.read_id = p.read_id and c.k = 2 and c.j = i join z e on e.read_id = p.read_id and e.k = 3 and e.j = n - 2 - i""")
 def a1_extracted_features(spark, d):
+    """Place, k-mers and the middle of each kinetics window."""
     got = sites.extract_features(filters.filter_alignments(_kinetics(_aligned(spark, d))), ["CG"])
-    return got.select("contig", "pos", "strand", "read_id", "loc", "f_kmer", "r_kmer")
+    middle = lambda c: X.half_up(F.get(c, F.lit(10)), 1e3).alias(c)
+    return got.select("contig", "pos", "strand", "read_id", "loc", "f_kmer", "r_kmer", *map(middle, ("f_ipd", "r_ipd", "f_pw", "r_pw")))
 
 
 def _tagged(spark, d):

@@ -243,16 +243,19 @@ def a7_site_histogram(spark, d):
     return got.select(*SITE, "coverage", text.alias("hist"))
 
 
-@query(f"""with s as (select contig, pos, strand, coverage from {HIST} g), w as (
-    select *, count(*) over b as nb, count(*) over a as na, first_value(pos) over z - 1000 as low, last_value(pos) over z + 1000 as high,
+@query(f"""with s as (select contig, pos, strand, coverage, list_sum(list_transform(range(0, 20), lambda k: (k + 1) * h[k + 1])) as t from {UNIT} g), w as (
+    select *, {" + ".join(f"{d + 6} * coalesce({'lag' if d < 0 else 'lead'}(t, {abs(d)}) over o, 0)" for d in range(-5, 6))} as weight, count(*) over b as nb, count(*) over a as na, first_value(pos) over z - 1000 as low, last_value(pos) over z + 1000 as high,
       list(pos) over n as near from s
     window b as (partition by contig, strand order by pos rows between 5 preceding and 1 preceding), a as (partition by contig, strand order by pos rows between 1 following and 5 following),
-      z as (partition by contig, strand order by pos rows between unbounded preceding and unbounded following), n as (partition by contig, strand order by pos rows between 5 preceding and 5 following))
-  select contig, pos, strand, coverage, array_to_string(list_transform(list_concat(list_concat(list_transform(range(0, 5 - nb), lambda i: low), near), list_transform(range(0, 5 - na), lambda i: high)), lambda p: cast(abs(p - pos) as varchar)), ',') as offsets
+      o as (partition by contig, strand order by pos), z as (partition by contig, strand order by pos rows between unbounded preceding and unbounded following), n as (partition by contig, strand order by pos rows between 5 preceding and 5 following))
+  select contig, pos, strand, coverage, array_to_string(list_transform(list_concat(list_concat(list_transform(range(0, 5 - nb), lambda i: low), near), list_transform(range(0, 5 - na), lambda i: high)), lambda p: cast(abs(p - pos) as varchar)), ',') as offsets,
+    floor(weight * 1e3 + 0.5) / 1e3 as weight
   from w""")
 def w1_neighbour_windows(spark, d):
     got = windows.neighbour_windows(sites.site_histogram(sites.fold_strands(fx.calls(spark, d))))
-    return got.select(*SITE, "coverage", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("offsets"))
+    total = lambda a, of: F.aggregate(F.transform(a, of), F.lit(0.0), lambda s, x: s + x)
+    weight = total("hists", lambda h, j: (j + 1) * total(h, lambda x, k: (k + 1) * x))
+    return got.select(*SITE, "coverage", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("offsets"), X.half_up(weight, 1e3).alias("weight"))
 
 
 @query(f"""with h as (select contig, pos, strand, coverage, list_sum(list_transform(range(0, 20), lambda k: (k + 0.5e0) / 20 * h[k + 1])) / list_sum(h) as score from {UNIT} g),
