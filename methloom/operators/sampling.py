@@ -105,7 +105,8 @@ def split_by_read(df: DataFrame, ratio: float = 0.9, seed: int = 1, key: str = "
     return df.join(placed.select(key, F.when(F.col("rank") <= F.col("_train"), "train").otherwise("valid").alias("split")), key)
 
 
-def balance_by_kmer(neg: DataFrame, pos: DataFrame, total: int | None = None, seed: int = 1, floor: bool = False, random_frac: float = 0.5) -> DataFrame:
+def balance_by_kmer(neg: DataFrame, pos: DataFrame, total: int | None = None, seed: int = 1, floor: bool = False, random_frac: float = 0.5,
+                    order: Column | None = None, kmer_order: Column | None = None) -> DataFrame:
     """Negatives chosen to the positives' k-mer shares.
 
     A k-mer's quota is ceil (or floor) of total times its share. What is missing is filled first from
@@ -124,17 +125,18 @@ def balance_by_kmer(neg: DataFrame, pos: DataFrame, total: int | None = None, se
     each = (missing // n_kmers if floor else -(-missing // n_kmers)) if n_kmers and missing > 0 else 0
     if each > 0:
         # k-mers in hash order until they give enough: a running sum over the table of k-mers
-        run = W.orderBy(F.xxhash64(F.lit(seed), "kmer"), "kmer").rowsBetween(W.unboundedPreceding, -1)
+        run = W.orderBy(F.xxhash64(F.lit(seed), "kmer") if kmer_order is None else kmer_order, "kmer").rowsBetween(W.unboundedPreceding, -1)
         even = F.when(F.col("quota").isNull(), F.least("n", F.lit(each))).otherwise(0)
         before = F.coalesce(F.sum(even).over(run), F.lit(0))
         take = take + F.when(before < random_frac * missing, even).otherwise(0)
     plan = sizes.select("kmer", "n", take.alias("_take"))
-    rows = ranked(neg, _hash(neg, seed), by=("kmer",)).join(plan, "kmer")
+    order = _hash(neg, seed) if order is None else order
+    rows = ranked(neg, order, by=("kmer",)).join(plan, "kmer")
     chosen = rows.where(F.col("rank") <= F.col("_take"))
     missing = total - plan.agg(F.coalesce(F.sum("_take"), F.lit(0))).first()[0]
     if missing > 0:
         left = rows.where(F.col("rank") > F.col("_take")).select(*neg.columns)
-        chosen = chosen.select(*neg.columns).unionByName(ranked(left, _hash(left, seed), most=F.lit(missing)).select(*neg.columns))
+        chosen = chosen.select(*neg.columns).unionByName(ranked(left, order, most=F.lit(missing)).select(*neg.columns))
     return chosen.select(*neg.columns)
 
 

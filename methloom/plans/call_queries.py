@@ -480,10 +480,23 @@ def o2_coordinate_sort(spark, d):
     return sampling.coordinate_sort(fx.alignments(spark, d)).select("read_id", "seq", "doc_id", "contig", "start", "flag", "mapq", "cigar", "ref_end")
 
 
-@query()
+@query(f"""with c as (select *, 'K' || cast(pos % 13 as varchar) as kmer, {drawn(1, *KEY)} as h from {C}), neg as (select * from c where label = 0 and pos % 3 > 0),
+  pos as (select kmer, count(*) as n from c where label = 1 and depth > 30 and pos % 13 < 9 group by kmer), total as (select sum(n)::bigint as total from pos),
+  quotas as (select kmer, ceil(total * (n / total::double)) as quota from pos, total),
+  sizes as (select kmer, n, quota from (select kmer, count(*) as n from neg group by kmer) s left join quotas using (kmer)),
+  first as (select total - coalesce(sum(least(n, quota)) filter (where quota is not null), 0) as missing, count(*) filter (where quota is null) as n_kmers from sizes, total group by total),
+  even as (select kmer, n, quota, missing, case when quota is null then least(n, case when n_kmers > 0 and missing > 0 then ceil(missing / n_kmers::double) else 0 end) else 0 end as even, {drawn(1, 'kmer')} as kh from sizes, first),
+  run as (select *, coalesce(sum(even) over (order by kh, kmer rows between unbounded preceding and 1 preceding), 0) as before from even),
+  plan as (select kmer, (case when quota is null then 0 else least(n, quota) end) + case when before < 0.5e0 * missing then even else 0 end as take from run),
+  ranks as (select neg.*, take, row_number() over (partition by kmer order by h, {ROW}) as rn from neg join plan using (kmer)),
+  rest as (select *, row_number() over (order by h, {ROW}) as r2 from ranks where rn > take)
+  select {ROW}, kmer from ranks where rn <= take union all select {ROW}, kmer from rest where r2 <= (select total - (select sum(take) from plan) from total)""")
 def o7_balanced_negatives(spark, d):
     df = fx.calls(spark, d).withColumn("kmer", F.concat(F.lit("K"), (F.col("pos") % 13).cast("string")))
-    return sampling.balance_by_kmer(df.where("label = 0 and pos % 3 > 0"), df.where("label = 1 and depth > 30"))
+    return sampling.balance_by_kmer(
+        df.where("label = 0 and pos % 3 > 0"), df.where("label = 1 and depth > 30 and pos % 13 < 9"),
+        order=sampling.text_order(_drawn(*KEY)), kmer_order=sampling.text_order(F.col("kmer")),
+    )
 
 
 @query(f"select doc_id, read_id, seq, length from (select *, length(seq) as length, sum(length(seq)) over () as bases from ({fx.D_READS}) r) q where {drawn(1, 'read_id')} * 8 / 9223372036854775808e0 < least(40000e0 / bases, 1e0)")
