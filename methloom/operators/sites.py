@@ -84,7 +84,7 @@ def site_frequency(calls: DataFrame, by_strand: bool = True) -> DataFrame:
         F.sum(1 - F.col("label").cast("long")).alias("n_unmod"), F.count("*").alias("coverage"),
     ]
     if not by_strand:
-        aggs.append(F.min_by("strand", first).alias("strand"))
+        aggs.append(F.min_by("strand", F.struct("read_id", "read_loc", "strand")).alias("strand"))
     if "kmer" in calls.columns:
         aggs.append(F.min_by("kmer", first).alias("kmer"))
     return calls.groupBy(*keys).agg(*aggs).withColumn("freq", F.col("n_mod") / F.col("coverage"))

@@ -196,10 +196,10 @@ def a2_site_frequency(spark, d):
 
 
 @query(f"""select contig, pos, first(strand order by read_id, read_loc, strand) as strand, sum(prob_1) as p1_sum, cast(sum(label) as bigint) as n_mod, count(*) as coverage
-    from {C} group by contig, pos""")
+    from (select * replace (case when depth % 2 = 0 then '+' else '-' end as strand) from {C}) s group by contig, pos""")
 def a3_site_frequency_unstranded(spark, d):
-    df = fx.calls(spark, d)
-    # places are 7k on one strand and 7k + 1 on the other, so a place has one strand here
+    # strands by depth, so that a place has calls of both
+    df = fx.calls(spark, d).withColumn("strand", F.when(F.col("depth") % 2 == 0, "+").otherwise("-"))
     return sites.site_frequency(df, by_strand=False).select("contig", "pos", "strand", "p1_sum", "n_mod", "coverage")
 
 

@@ -81,6 +81,35 @@ def p6_diff_sites(spark, d):
     return got.select("contig", "pos", half_up(F.col("level_a"), 1e6).alias("level_a"), half_up(F.col("level_b"), 1e6).alias("level_b"), half_up(F.col("z"), 1e5).alias("z"))
 
 
+POOLED = """(with f as (select contig, case when strand = '-' then pos - 1 else pos end as pos, depth % 2 as replicate, count(*) as n, cast(sum(label) as bigint) as x from {c} where hap = {h} group by 1, 2, 3),
+  g as (select contig, pos, sum(n)::bigint as n, sum(x)::bigint as x, count(*) as k, sum(x * x / n::double) as s from f group by 1, 2),
+  e as (select *, greatest(1e0, coalesce(case when k > 1 and x > 0 and x < n then (s - x * (x / n::double)) / (x / n::double * (1 - x / n::double)) / (k - 1) end, 1e0)) as disp from g),
+  l as (select contig, pos, disp, sum(x) over w / (sum(n) over w)::double as level, sum(n) over w as sn from e window w as (partition by contig order by pos range between 250 preceding and 250 following))
+  select contig, pos, level, level * (1 - level) / sn * disp as v from l)"""
+# The same rational approximation of the normal tail as the operator's, fixed coefficients.
+TAIL = "((1 / (1 + 0.3275911e0 * abs({z}) / sqrt(2e0))) * (0.254829592e0 + (1 / (1 + 0.3275911e0 * abs({z}) / sqrt(2e0))) * (-0.284496736e0 + (1 / (1 + 0.3275911e0 * abs({z}) / sqrt(2e0))) * (1.421413741e0 + (1 / (1 + 0.3275911e0 * abs({z}) / sqrt(2e0))) * (-1.453152027e0 + (1 / (1 + 0.3275911e0 * abs({z}) / sqrt(2e0))) * 1.061405429e0)))) * exp(-{z} * {z} / 2e0))"
+ABOVE = "(case when {z} > 0 then " + TAIL + " / 2 else 1 - " + TAIL + " / 2 end)"
+REPLICATES = f"""with j as (select a.contig, a.pos, a.level - b.level as diff, sqrt(a.v + b.v) as se from {POOLED.format(c=C, h=1)} a join {POOLED.format(c=C, h=2)} b on a.contig = b.contig and a.pos = b.pos),
+  t as (select *, case when se > 0 then diff / se else 0e0 end as z, (0.3e0 - diff) / se as up, (0.3e0 + diff) / se as down from j)
+"""
+
+
+def _replicates(spark, d, hap):
+    df = fx.calls(spark, d).where(F.col("hap") == hap).withColumn("pos", F.when(F.col("strand") == "-", F.col("pos") - 1).otherwise(F.col("pos")))
+    return df.groupBy("contig", "pos", (F.col("depth") % 2).alias("replicate")).agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("x"))
+
+
+@query(f"{REPLICATES} select contig, pos, floor(z * 1e5 + 0.5) / 1e5 as z, floor({TAIL.format(z='z')} * 1e5 + 0.5) / 1e5 as p, {TAIL.format(z='z')} < 0.05e0 as significant from t")
+def p6_diff_replicates(spark, d):
+    got = diff.diff_sites(_replicates(spark, d, 1), _replicates(spark, d, 2), p=0.05)
+    return got.select("contig", "pos", half_up(F.col("z"), 1e5).alias("z"), half_up(F.col("p"), 1e5).alias("p"), "significant")
+
+
+@query(f"{REPLICATES} select contig, pos, case when se > 0 then {ABOVE.format(z='up')} + {ABOVE.format(z='down')} > 0.5e0 else abs(diff) > 0.3e0 end as significant from t")
+def p6_diff_delta(spark, d):
+    return diff.diff_sites(_replicates(spark, d, 1), _replicates(spark, d, 2), delta=0.3, p=0.5).select("contig", "pos", "significant")
+
+
 @query(f"select contig, pos, strand, cast(least(floor(prob_1 * 20), 19) as int) as bin, count(*) as n from {C} group by 1, 2, 3, 4")
 def p7_sql_hooks(spark, d):
     scoring.register_hooks(spark)

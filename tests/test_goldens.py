@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from methloom.functions import calls as X
@@ -10,7 +12,7 @@ from methloom.functions import cigar as C
 from methloom.functions import modtags as M
 from methloom.functions import sequence as Q
 from methloom.functions import signal as S
-from methloom.operators import filters, joins, reads, sampling, sites, windows
+from methloom.operators import filters, joins, reads, sampling, scoring, sites, windows
 from methloom.sources import readers, writers
 
 
@@ -273,3 +275,38 @@ def test_window_chunks_are_seamless(spark):
     gaps = lambda w: {tuple(r[:3]): r.gap for r in windows.position_gaps(keyed, ["contig", "strand"], width=w).collect()}
     islands = lambda w: {tuple(r[:3]): r.island for r in windows.assign_islands(keyed, ["contig", "strand"], gap=60_000, width=w).collect()}
     assert gaps(50_000) == gaps(10**9) and islands(50_000) == islands(None)
+
+
+def test_layouts_and_lookups(spark, tmp_path):
+    """The older site-frequency layouts, features and read calls written and read, FASTA of mapped reads."""
+    (tmp_path / "v10.tsv").write_text("chr1\t5\t+\t1.5\t2.5\t3\t1\t4\t0.75\tCGA\n")
+    (tmp_path / "o11.tsv").write_text("chr1\t5\t-\t77\t1.5\t2.5\t3\t1\t4\t0.75\t.\n")
+    old, offset = (readers.read_site_freq(spark, str(tmp_path / f), k).first() for f, k in (("v10.tsv", "v10"), ("o11.tsv", "offset11")))
+    assert (old.pos, old.p1_sum, old.coverage, old.kmer) == (5, 2.5, 4, "CGA") and (offset.pos_in_strand, offset.freq, offset.kmer) == (77, 0.75, None)
+    side = {c: v for c, v in zip(readers.STRAND_FIELDS, ("ACG", 3, [1.0, 2.0], None, [4.0], None, [0.5], None), strict=True)}
+    kinds = dict(zip(readers.STRAND_FIELDS, ("string", "int", *["array<double>"] * 6), strict=True))
+    schema = "contig string, pos long, strand string, read_id string, loc int, " + ", ".join(f"{s}{c} {kinds[c]}" for s in ("f_", "r_") for c in side) + ", label int"
+    features = spark.createDataFrame([("chr1", 7, "+", "r", 2, *side.values(), *side.values(), 1)], schema)
+    writers.write_features(features, str(tmp_path / "features"), gzip=True)
+    assert readers.read_features(spark, str(tmp_path / "features")).collect() == features.collect()
+    lists = spark.createDataFrame([(f"r{k}", [(k, 0.5)]) for k in range(20)], "read_id string, calls array<struct<loc:int,prob:double>>")
+    writers.write_read_calls(lists, str(tmp_path / "lists"))
+    assert sorted(spark.read.parquet(str(tmp_path / "lists")).collect()) == sorted(lists.collect())
+    assert [r.calls[0].loc for r in spark.read.parquet(str(tmp_path / "lists")).where("read_id = 'r7'").collect()] == [7]
+    reads_ = spark.createDataFrame([("a", 0, "ACG"), ("b", 16, "AAC"), ("c", 4, "TTT"), ("d", 256, "TTT")], "read_id string, flag int, seq string")
+    writers.alignments_to_fasta(reads_, str(tmp_path / "fa"), str(tmp_path / "ids"))
+    assert sorted(r.seq for r in readers.read_reference(spark, str(tmp_path / "fa")).collect()) == ["ACG", "GTT"]
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "ids")).collect()) == ["a", "b"]
+
+
+def test_sql_hooks_and_regressor(spark):
+    scoring.register_hooks(spark)
+    assert [r.loc for r in spark.sql("select loc from motif_sites('CGACG', 'CG') order by loc").collect()] == [0, 3]
+    v = [0.5, -1.0, 0.25, 2.0]
+    want = float(scoring.Linear()(np.array([v]))[0])
+    assert spark.createDataFrame([(v,)], "v array<double>").selectExpr("site_score(v) as s").first().s == pytest.approx(want)
+    rows = [([abs(k) for k in range(-5, 6)], [[float(i % 7 == b) for b in range(4)] for _ in range(11)], (i % 7) / 7) for i in range(140)]
+    df = spark.createDataFrame(rows, "offsets array<long>, hists array<array<double>>, freq double")
+    model = scoring.fit_regressor(df, rounds=5)
+    flat = [float(x) for x in rows[3][0]] + [x for h in rows[3][1] for x in h]
+    assert model.predict(Vectors.dense(flat)) == pytest.approx(rows[3][2], abs=0.15)
