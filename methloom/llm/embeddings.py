@@ -166,7 +166,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, **parameters) ->
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing and
     are kept, as are rows without a vec_id (component null). Vectors of different lengths do not link.
-    Repeated rows are vectors of their own, linked as copies. Other columns (labels) are ignored; an
+    A cosine of exactly ``cosine`` links. Repeated rows are vectors of their own, linked as copies. Other columns (labels) are ignored; an
     empty table gives no rows."""
     rows = vectors.select("vec_id", "embedding").withColumn("gid", F.xxhash64("embedding"))
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)

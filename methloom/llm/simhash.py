@@ -147,7 +147,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id.
 
     Equal texts and equal fingerprints are one class from the start, so copies cost one row; a null
-    or empty text has fingerprint zero and is linked like any other. Repeated rows come back as
+    or empty text has fingerprint zero and is linked like any other; texts of any length count whole; a
+    bit that half the shingles set, a tie, is not set. Repeated rows come back as
     often as they came. A null doc_id is never a component's id (null if its component has no
     other). Columns besides doc_id and text are ignored; an empty table gives an empty result."""
     if not 0 <= radius <= 3:
@@ -238,7 +239,8 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each component (the smallest doc_id, null last, then the smallest
-    text hash; of repeated rows all)."""
+    text hash; of repeated rows all). Texts without words are one component; texts of any length count
+    whole; other columns pass, whatever their names; an empty table stays empty."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
     kept = similar_texts(docs, similarity).groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.tid")
     kept = kept.toDF("_doc", "_tid")

@@ -468,6 +468,26 @@ def test_language_without_spaces(spark):
     assert all(r.lang_pred == lang[r.doc_id] and r.score > 0.99 for r in got)
 
 
+def test_long_texts_and_repeated_rows(spark):
+    """Texts of tens of thousands of words are searched to their ends; equal rows come back each."""
+    rng = random.Random(13)
+    item = sentence(rng, 30, 5000)
+    notice = next(k for k, v in licenses.NOTICES.items() if v == "isc")
+    far = f"{sentence(rng, 60_000, 5000)} {item} under the MIT license {notice}"
+    df = spark.createDataFrame([(1, far, "en"), (2, item, "en"), (2, item, "en"), (3, notice, "de"), (3, notice, "de")], "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(got) == {1, 2} and got[1].start == 60_000 and got[1].similarity == 1.0
+    assert [r.doc_id for r in decontaminate.clean_rows(df, bench).collect()] == [3, 3]
+    found = licenses.scan(df).collect()
+    assert len(found) == 5 and sum(r.labels == "isc" for r in found if r.doc_id == 3) == 2
+    one = next(r for r in found if r.doc_id == 1)
+    assert one.labels == "isc,mit" and one.first_word == 60_030 and one.spans[0].start >= 60_034
+    said = language.identify(df).collect()
+    assert sorted(r.doc_id for r in said) == [1, 2, 2, 3, 3]
+    assert len({(r.lang_pred, r.score) for r in said if r.doc_id == 2}) == 1
+
+
 def test_expected_counts_of_long_words():
     names = ("▁a", "▁ab", "b", "c", "bc", "▁", "a", "abca")
     index, size = language.Pieces(names), np.array([len(n) for n in ("▁a", "▁ab", "b", "c", "bc", "▁", "a", "abca", "?")])
