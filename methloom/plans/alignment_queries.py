@@ -287,12 +287,14 @@ def o2_sorted_alignments(spark, d):
     return got.agg(F.count("*").alias("n"), F.sum("start").alias("total"), F.sum("out_of_order").alias("n_out_of_order"))
 
 
-@query(f"select contig, count(*) as n from {A} where (flag & 1284) = 0 and mapq >= 1 group by contig")
+@query(f"""with f as (select *, list_filter(range(0, length(seq)), lambda i: substring(seq, i + 1, 1) = 'C') as cs from {A} where (flag & 1284) = 0 and mapq >= 1),
+  o as (select *, list_filter(range(1, len(cs) + 1), lambda k: substring(seq, cs[k] + 1, 2) = 'CG') as o from f)
+  select read_id, contig, case when len(o) > 0 then 'Z:C+m?,' || array_to_string(list_transform(range(1, len(o) + 1), lambda j: cast(o[j] - (case when j = 1 then 0 else o[j - 1] end) - 1 as varchar)), ',') || ';' end as mm,
+    case when len(o) > 0 then 'B:C,' || array_to_string(list_transform(o, lambda k: cast((doc_id * 31 + cs[k] * 17) % 256 as varchar)), ',') end as ml, null::varchar as fi from o""")
 def j4_attached_tags(spark, d):
-    """Tags attached from call lists and decoded again: all reads come back, with their calls."""
+    """Tags attached from call lists: the text of every read's."""
     df = filters.filter_alignments(_tagged(spark, d))
     lists = df.where("size(_h) > 0").select("read_id", F.zip_with("_h", "ml", lambda h, b: F.struct(h.alias("loc"), M.byte_probability(b).alias("prob"))).alias("calls"))
-    bare = df.select("read_id", "flag", "contig", "seq", F.create_map(F.lit("fi"), F.lit("B:C,1")).alias("tags"), F.col("ml").alias("_ml"))
+    bare = df.select("read_id", "flag", "contig", "seq", F.create_map(F.lit("fi"), F.lit("B:C,1")).alias("tags"))
     got = joins.attach_mod_tags(bare, lists)
-    back = F.coalesce(F.substr(F.try_element_at("tags", F.lit("ML")), F.lit(5)), F.lit(""))
-    return got.where(back == _text(F.col("_ml"))).groupBy("contig").agg(F.count("*").alias("n"))
+    return got.select("read_id", "contig", *[F.try_element_at("tags", F.lit(t)).alias(t.lower()) for t in ("MM", "ML", "fi")])

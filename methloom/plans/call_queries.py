@@ -577,6 +577,11 @@ def u3_removed_sites(spark, d):
     return sets.remove_unlisted(fx.sitefreq(spark, d), fx.truth(spark, d), SITE)[1]
 
 
+@query(f"select contig, pos, strand, coverage, n_mod from {S} where exists (select 1 from {T} where t.contig = s.contig and t.pos = s.pos and t.strand = s.strand)")
+def u3_kept_sites(spark, d):
+    return sets.remove_unlisted(fx.sitefreq(spark, d), fx.truth(spark, d), SITE)[0].select(*SITE, "coverage", "n_mod")
+
+
 @query(f"select distinct contig from {C} order by contig")
 def u4_contigs(spark, d):
     return sets.contig_names(fx.calls(spark, d))

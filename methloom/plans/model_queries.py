@@ -21,11 +21,12 @@ def _features(spark, d):
 FEATURES = "(select vec_id, label, embedding[1:21] as ipd, embedding[22:42] as pw from embeddings) e"
 
 
-@query(f"select vec_id, 50 as n, floor((list_sum(list_transform(ipd, lambda x: x::double)) + list_sum(list_transform(pw, lambda x: x::double))) * 1e6 + 0.5) / 1e6 as total from {FEATURES}")
+@query(f"""select vec_id, 50 as n, floor((list_sum(list_transform(range(0, 21), lambda i: ipd[i + 1]::double * (i + 9))) + list_sum(list_transform(range(0, 21), lambda i: pw[i + 1]::double * (i + 30))) + 2 + 5) * 1e4 + 0.5) / 1e4 as total from {FEATURES}""")
 def p1_assembled(spark, d):
-    got = scoring.assemble(_features(spark, d).withColumn("kmer", F.lit("NN")), "kmer", ["ipd", "pw"]).withColumn("n", F.size("vector"))
-    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
-    return got.select("vec_id", "n", half_up(total, 1e6).alias("total"))
+    # places weigh 1, 2, ...: C and A are at 2 and 5
+    got = scoring.assemble(_features(spark, d).withColumn("kmer", F.lit("CA")), "kmer", ["ipd", "pw"]).withColumn("n", F.size("vector"))
+    total = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return got.select("vec_id", "n", half_up(total, 1e4).alias("total"))
 
 
 SCORES = f"""with s as (select vec_id, list_sum(list_transform(range(0, 21), lambda i: ipd[i + 1]::double * ((i + 8) % 7 - 3) / 16e0)) + list_sum(list_transform(range(0, 21), lambda i: pw[i + 1]::double * ((i + 29) % 7 - 3) / 16e0)) as z from {FEATURES})

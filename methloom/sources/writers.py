@@ -98,8 +98,8 @@ def sam_rows(df: DataFrame) -> DataFrame:
 
 
 def write_alignments(df: DataFrame, header: list[str], path: str, program: str = "methloom", fmt: str = "sam") -> None:
-    """K7: SAM text (header lines and a PG line first) or parquet. The header is a row set of its own,
-    united on a sort key, so the alignments keep their order."""
+    """K7: SAM text (header lines and a PG line first) or parquet. The header is the first partition of the
+    written table, the alignments' partitions follow in their order."""
     if fmt == "parquet":
         df.write.parquet(path)
         return
