@@ -223,12 +223,14 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     any_long = not texts.where(is_long).isEmpty()
 
     def sets(rows: DataFrame) -> DataFrame:
+        kept = list(rows.columns)
+
         def run(batches):
             for b in pieces(batches, "text"):
                 runs = [None if t is None else np.unique(shingles(t, STAGE_SHINGLE)).view(np.int64) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rows.columns), pa.array(runs, pa.list_(pa.int64()))], names=[*rows.columns, "runs"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(runs, pa.list_(pa.int64()))], names=[*kept, "runs"])
 
-        here = rows.join(texts, "lid").select(*rows.columns, F.when(~is_long, F.col("text")).alias("text"))
+        here = rows.join(texts, "lid").select(*kept, F.when(~is_long, F.col("text")).alias("text"))
         return here.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in [*rows.dtypes, ("runs", "array<bigint>")]))
 
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= APART

@@ -119,6 +119,24 @@ def test_stage_keeps_one_of_similar_texts(spark):
     assert sorted(r.text for r in got if r.doc_id is None) == ["a clean text of a null id", "another clean text, null id too"]
 
 
+def test_stage_keeps_one_of_big_groups(spark):
+    """Groups of near texts of which most pairs are below the similarity and are linked by a few."""
+    rng = random.Random(15)
+    rows = []
+    for g in range(3):
+        base = [f"y{rng.randrange(10**6)}" for _ in range(60)]
+        rows.append((100 * g + 99, " ".join(base)))
+        for k in range(50):
+            w = list(base)
+            for _ in range(1 if k < 40 else 4):
+                w[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
+            rows.append((100 * g + k, " ".join(w)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    comp = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert len(set(comp)) <= kept <= len(set(comp)) + 3 and len(set(comp)) < 40
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(2, 30)] + [(5, 5), (None, 3), (2, 1)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(chain, "src long, dst long")).collect()}
