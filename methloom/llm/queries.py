@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, language, licenses, lines, mixing, oracles, simhash, substrings, suffix_tree, warc
 from .common import table
