@@ -35,3 +35,25 @@ c as (select x, least(x, min(y)) as component from r group by x),
 n as (select x, count(*) as n from l group by x)
 select e.vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(c.component, e.vec_id) as component_id, coalesce(c.component, e.vec_id) = e.vec_id as kept
 from embeddings e left join n on n.x = e.vec_id left join c on c.x = e.vec_id"""
+
+OP11 = r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+l as (select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as l, list_transform(range(0, 4), lambda k: ('0x' || substring(h, 8 * k + 1, 8))::bigint) as r from d),
+c as (select doc_id, t, l, len(l) as n, least(r[1] % (len(l) + 1), r[2] % (len(l) + 1)) as a, greatest(r[1] % (len(l) + 1), r[2] % (len(l) + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 100 then 'plain' when r[4] % 100 < 50 then 'spm' else 'psm' end as form from l),
+p as (select *, coalesce(array_to_string(l[1:a], ''), '') as pre, coalesce(array_to_string(l[a + 1:b], ''), '') as mid, coalesce(array_to_string(l[b + 1:n], ''), '') as suf from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(pre)::bigint end as prefix_chars, case when form <> 'plain' then length(mid)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(t) as restored_sha256
+from p"""
+
+OP12 = """
+with v as (select distinct vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label, embedding::double[] as e from embeddings
+    where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+w as (select vec_id, label, list_transform(e, lambda x: floor(256 * x)) as e from v),
+s as (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.e, b.e)::bigint as score
+    from w a join w b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.e) = len(b.e)),
+p as (select anchor_id, other_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id)::int as rank, other_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) <= 3"""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, language, licenses, lines, mixing, oracles, simhash, substrings, suffix_tree, warc
+from . import decontaminate, embeddings, fim, language, licenses, lines, mixing, negatives, oracles, pii, simhash, substrings, suffix_tree, warc
 from .common import table
 
 
@@ -50,14 +51,30 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(table(spark, sf_dir, "documents")).withColumn("restored", fim.restored(F.col("output"), F.col("form")))
+    digests = (F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_warc_revisits, op3_suffix_tree_scores, op4_license_scan,
     op5_benchmark_decontamination, op6_line_dedup, op7_language_id, op8_substring_dedup, op9_embedding_near_dedup,
-    op10_source_mixing,
+    op10_source_mixing, op11_fill_in_middle, op12_hard_negatives, op13_personal_data,
 )}
 
 #: The others learn a model, hash with XXH64 or match approximately, which SQL does not express; tests hold
 #: them against brute force.
 ORACLES: dict[str, str] = {
     "op2_warc_revisits": oracles.OP2, "op8_substring_dedup": oracles.OP8, "op9_embedding_near_dedup": oracles.OP9,
+    "op11_fill_in_middle": oracles.OP11, "op12_hard_negatives": oracles.OP12,
 }

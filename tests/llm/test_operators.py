@@ -658,4 +658,4 @@ def test_sainte_lague_by_single_seats():
 
 
 def test_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
