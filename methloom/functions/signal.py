@@ -23,7 +23,7 @@ def frames(codes: Column) -> Column:
 
 
 def _mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(a), F.lit(1))
 
 
 def _median(a: Column) -> Column:
@@ -48,7 +48,7 @@ def _normalised(a: Column, method: str, decimals: int) -> Column:
         if method == "none":
             return F.lit(1.0)
         if method == "zscore":
-            return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - shift) * (x - shift)) / F.size(a))
+            return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - shift) * (x - shift)) / F.greatest(F.size(a), F.lit(1)))
         if method == "min-max":
             return F.array_max(a) - shift
         if method == "min-mean":

@@ -13,11 +13,13 @@ QUERY, REFERENCE, BOTH = ("M", "=", "X", "I", "S"), ("M", "=", "X", "D", "N"), (
 BLOCKS = "array<struct<op:string,len:int,q:int,r:int>>"
 
 
-def _sizes(a: pa.Array) -> np.ndarray:
+def sizes(a: pa.Array) -> np.ndarray:
+    """Length of each list, 0 for null."""
     return np.asarray(pc.fill_null(pc.list_value_length(a), 0), dtype=np.int64)
 
 
-def _ints(a: pa.Array) -> np.ndarray:
+def ints(a: pa.Array) -> np.ndarray:
+    """Whole numbers, 0 for null."""
     return np.asarray(pc.fill_null(a, 0), dtype=np.int64)
 
 
@@ -39,16 +41,39 @@ def _bases(seq: pa.Array, base: str) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.flatnonzero(data == ord(base)), np.cumsum(sizes) - sizes, sizes
 
 
+def blocks_of(ops: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of operations of each read, and of all reads' operations one after another the kind, the length and
+    the query and reference places where they begin."""
+    n, flat = sizes(ops), ops.flatten()
+    op, length = flat.field("op"), ints(flat.field("len"))
+    moves = lambda kinds: _before(np.where(np.asarray(pc.is_in(op, pa.array(kinds))), length, 0), n)
+    return n, op, length, moves(QUERY), moves(REFERENCE)
+
+
+def offsets_of(n: np.ndarray, op: pa.Array, length: np.ndarray, q: np.ndarray, r: np.ndarray, row: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Reference offsets of query places of the reads ``row``, and whether they are aligned (0 where not); the
+    rest as ``blocks_of`` gives it."""
+    match = np.asarray(pc.is_in(op, pa.array(BOTH)))
+    # Reads one after another on one line, so that a single search serves them all; of blocks that
+    # begin at one place the last one is the one that has it.
+    line, first = np.arange(len(n)) << 33, np.cumsum(n) - n
+    at = np.searchsorted(q + np.repeat(line, n), places + line[row], "right") - 1
+    inside = (at >= first[row]) & (places >= 0)
+    at = np.where(inside, at, 0)
+    if not len(q):
+        return np.zeros(len(places), dtype=np.int64), np.zeros(len(places), dtype=bool)
+    inside &= match[at] & (places < q[at] + length[at])
+    return np.where(inside, r[at] + places - q[at], 0), inside
+
+
 def walk(ops: Column) -> Column:
     """Each operation with the query and reference places where it begins; see ``cigar.blocks``."""
 
     @F.arrow_udf(BLOCKS)
     def cigar_walk(ops: pa.Array) -> pa.Array:
-        sizes, flat = _sizes(ops), ops.flatten()
-        op, length = flat.field("op"), _ints(flat.field("len"))
-        moves = lambda kinds: _before(np.where(np.asarray(pc.is_in(op, pa.array(kinds))), length, 0), sizes)
-        out = [op, *(pa.array(x, pa.int32()) for x in (length, moves(QUERY), moves(REFERENCE)))]
-        return _lists(pa.StructArray.from_arrays(out, ["op", "len", "q", "r"]), sizes, ops.is_null())
+        n, op, length, q, r = blocks_of(ops)
+        out = [op, *(pa.array(x, pa.int32()) for x in (length, q, r))]
+        return _lists(pa.StructArray.from_arrays(out, ["op", "len", "q", "r"]), n, ops.is_null())
 
     return cigar_walk(ops)
 
@@ -58,20 +83,11 @@ def to_references(blocks: Column, queries: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def reference_offsets(blocks: pa.Array, queries: pa.Array) -> pa.Array:
-        n, m = _sizes(blocks), _sizes(queries)
-        flat, places = blocks.flatten(), _ints(queries.flatten())
-        q, r, length = (_ints(flat.field(c)) for c in ("q", "r", "len"))
-        match = np.asarray(pc.is_in(flat.field("op"), pa.array(BOTH)))
-        # Reads one after another on one line, so that a single search serves them all; of blocks that
-        # begin at one place the last one is the one that has it.
-        row, first = np.arange(len(n)) << 33, np.cumsum(n) - n
-        at = np.searchsorted(q + np.repeat(row, n), places + np.repeat(row, m), "right") - 1
-        inside = (at >= np.repeat(first, m)) & (places >= 0)
-        at = np.where(inside, at, 0)
-        if len(q):
-            inside &= match[at] & (places < q[at] + length[at])
-        offsets = r[at] + places - q[at] if len(q) else places
-        return _lists(pa.array(np.where(inside, offsets, 0), pa.int32(), mask=~inside), m, queries.is_null())
+        m, flat = sizes(queries), blocks.flatten()
+        moves = (ints(flat.field(c)) for c in ("len", "q", "r"))
+        row = np.repeat(np.arange(len(m)), m)
+        offsets, inside = offsets_of(sizes(blocks), flat.field("op"), *moves, row, ints(queries.flatten()))
+        return _lists(pa.array(offsets, pa.int32(), mask=~inside), m, queries.is_null())
 
     return reference_offsets(blocks, queries)
 
@@ -81,7 +97,7 @@ def skips_of(locs: Column, seq: Column, base: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def base_skips(locs: pa.Array, seq: pa.Array) -> pa.Array:
-        n, places = _sizes(locs), _ints(locs.flatten())
+        n, places = sizes(locs), ints(locs.flatten())
         hits, start, size = _bases(seq, base)
         row = np.repeat(np.arange(len(n)), n)
         at = np.searchsorted(hits, places + start[row])
@@ -101,7 +117,7 @@ def places_of(skips: Column, seq: Column, base: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def base_places(skips: pa.Array, seq: pa.Array) -> pa.Array:
-        n, value = _sizes(skips), _ints(skips.flatten())
+        n, value = sizes(skips), ints(skips.flatten())
         hits, start, size = _bases(seq, base)
         row, low = np.repeat(np.arange(len(n)), n), np.searchsorted(hits, start)
         ordinal = _before(value + 1, n) + value

@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import calls as X
 from ..functions import cigar as C
-from ..functions import signal as S
-from ..functions import walks as V
-from ..functions.binding import let_all
-from ..functions.sequence import motif_hits, reverse_complement
-from .filters import REVERSE, unclipped, window_fits, with_cigar
+from ..functions.gather import KINETICS, Plan, site_windows
+from .filters import REVERSE, unclipped, with_cigar
 from .joins import union_all
 from .scoring import score_windows
 from .windows import neighbour_windows
@@ -23,55 +20,27 @@ SITE = ["contig", "pos", "strand"]
 def extract_features(alignments: DataFrame, motifs: list[str], mod_loc: int = 0, seq_len: int = 21, norm: str = "zscore",
                      skip_unmapped: bool = True, label: int = 1, maps: bool = False) -> DataFrame:
     """A1: one row a motif site of a read: locus, and for each strand the k-mer, passes, IPD and pulse
-    width windows. seq is in alignment order; filter the alignments first. Arrays are decoded and
-    normalised once a read and cut before they are exploded; nothing is shuffled. With ``maps`` the
-    alignments carry ref_seq (``attach_ref_slice``) and rows the map codes of both windows."""
-    df, flank = with_cigar(alignments), (seq_len - 1) // 2
+    width windows. seq is in alignment order; filter the alignments first. All reads of a batch are one line of
+    bases, windows are cut from it by index arithmetic, in one pass over Arrow batches; nothing is shuffled. With
+    ``maps`` the alignments carry ref_seq (``attach_ref_slice``) and rows the map codes of both windows."""
+    df = with_cigar(alignments)
+    kinds = dict(df.dtypes)
     reverse = F.col("flag").bitwiseAND(REVERSE) != 0
-    shift = len(motifs[0]) - 1 - 2 * mod_loc
-    has_kinetics = {"fi", "ri", "fp", "rp"} <= set(df.columns)
-    df = df.withColumn("_fwd", F.when(reverse, reverse_complement("seq")).otherwise(F.col("seq"))).withColumn("_n", F.length("seq"))
-    df = df.withColumn("_rc", reverse_complement("_fwd")).withColumn("_hits", motif_hits("_fwd", motifs, mod_loc))
-    first, last = unclipped(F.col("_n"), F.col("cigar"), reverse)
-    df = df.withColumns({"_blocks": V.walk(F.col("cigar")), "_first": first, "_last": last})
-    df = df.withColumn("_refs", V.to_references(F.col("_blocks"), F.transform("_hits", lambda loc: C.alignment_place(loc, F.col("_n"), reverse))))
-    if has_kinetics:
-        df = df.withColumns({f"_{c}": S.normalised(S.frames(F.col(c)), norm) for c in ("fi", "ri", "fp", "rp")})
-    if maps:
-        solid = F.filter("cigar", lambda o: ~o["op"].isin("S", "H"))
-        df = df.withColumn("_walk", V.walk(F.when(reverse, F.reverse(solid)).otherwise(solid)))
-        df = df.withColumn("_skip", F.when(reverse, C.clip(F.col("cigar"), end=True)).otherwise(C.clip(F.col("cigar"))))
-        df = df.withColumn("_solid", F.col("_n") - C.clip(F.col("cigar")) - C.clip(F.col("cigar"), end=True))
-        df = df.withColumn("_walk", V.to_references(F.col("_walk"), F.sequence(F.lit(0), F.greatest(F.col("_solid") - 1, F.lit(0)))))
-
-    names = ["_n", "_fwd", "_rc", "_refs", "_hits", "_first", "_last", "start", *([f"_{c}" for c in ("fi", "ri", "fp", "rp")] if has_kinetics else []), *(["_walk", "_skip", "_solid", "ref_seq"] if maps else [])]
-
-    def rows_of(v: Column) -> Column:
-        """The sites of one read, v: its values, taken once."""
-        n = v["_n"]
-
-        def site(loc: Column, offset: Column) -> Column:
-            other = n - 1 - loc - shift
-            fields = {
-                "pos": F.coalesce(v["start"] + offset, F.lit(-1)), "loc": loc,
-                "f_kmer": F.substr(v["_fwd"], loc - flank + 1, F.lit(seq_len)), "r_kmer": F.substr(v["_rc"], other - flank + 1, F.lit(seq_len)),
-            }
-            if has_kinetics:
-                for name, array, at in (("f_ipd", "_fi", loc), ("f_pw", "_fp", loc), ("r_ipd", "_ri", other), ("r_pw", "_rp", other)):
-                    fields[name] = F.slice(v[array], at - flank + 1, seq_len)
-            if maps:
-                seq = F.substr(v["_fwd"], v["_skip"] + 1, v["_solid"])
-                codes = lambda at, flip: C.map_codes(v["_walk"], at - v["_skip"], flank, v["_solid"], seq, v["ref_seq"], flip, offsets=True)
-                fields |= {"f_map": codes(loc, False), "r_map": codes(loc + shift, True)}
-            return F.struct(*[c.alias(k) for k, c in fields.items()])
-
-        inside = lambda loc: (loc >= v["_first"]) & (loc < v["_last"]) if skip_unmapped else F.lit(True)
-        fits = lambda loc: window_fits(loc, n, flank, shift) & inside(loc)
-        return F.filter(F.transform(v["_hits"], lambda loc, i: F.when(fits(loc), site(loc, F.get(v["_refs"], i)))), lambda s: s.isNotNull())
-
-    rows = df.withColumn("site", F.explode(let_all(rows_of, **{c: F.col(c) for c in names})))
-    passes = [F.col(c) for c in ("fn", "rn", "sn") if c in df.columns]
-    return rows.select("contig", "site.pos", F.when(reverse, "-").otherwise("+").alias("strand"), "read_id", *[f"site.{f.name}" for f in rows.schema["site"].dataType.fields if f.name != "pos"], *passes, F.lit(label).alias("label"))
+    kinetics = set(KINETICS) <= set(kinds)
+    passing = ["contig", "strand", "read_id", *(c for c in ("fn", "rn", "sn") if c in kinds)]
+    first, last = unclipped(F.length("seq"), F.col("cigar"), reverse)
+    reads = df.select(
+        *(c for c in passing if c != "strand"), F.when(reverse, "-").otherwise("+").alias("strand"), "start", "seq", "cigar", F.coalesce(reverse, F.lit(False)).alias("reverse"),
+        first.cast("int").alias("first"), last.cast("int").alias("last"), *(KINETICS if kinetics else ()),
+        *(["ref_seq", C.reference_length(F.col("cigar")).alias("ref_length")] if maps else []),
+    )
+    windows = {f"{s}_{v}": "array<double>" for s, v in (("f", "ipd"), ("f", "pw"), ("r", "ipd"), ("r", "pw"))} if kinetics else {}
+    fields = {"pos": "bigint", "loc": "int", "f_kmer": "string", "r_kmer": "string"} | windows | ({"f_map": "array<int>", "r_map": "array<int>"} if maps else {})
+    plan = Plan(motifs, mod_loc, seq_len, norm, skip_unmapped, kinetics, maps, passing)
+    schema = ", ".join(f"{c} {t}" for c, t in (fields | {c: kinds.get(c, "string") for c in passing}).items())
+    rows = reads.mapInArrow(site_windows(plan), schema)
+    own = [c for c in fields if c not in ("pos", "loc")]
+    return rows.select("contig", F.col("pos").cast(kinds["start"]), "strand", "read_id", "loc", *own, *passing[3:], F.lit(label).alias("label"))
 
 
 def site_frequency(calls: DataFrame, by_strand: bool = True) -> DataFrame:

@@ -150,21 +150,32 @@ def x17_shrunk_kmers(spark, d):
     return fx.alignments(spark, d).select("read_id", X.shrink(F.col("seq"), 21, text=True).alias("kmer"))
 
 
-@query(f"""with h as (select *, length(seq) as n, unnest(list_filter(range(0, length(seq) - 1), lambda i: substring(seq, i + 1, 2) = 'CG')) as i from {A} where (flag & 1284) = 0 and mapq >= 1),
-  p as (select *, case when {REV} then n - 1 - i else i end as q from h where i between 10 and n - 11 and n - 2 - i between 10 and n - 11),
-  u as (select read_id, k, j, {FRAME}::double as x from (select read_id, k, j, (doc_id * 31 + j * 17 + k * 5) % 256 as c from (select *, unnest(range(0, length(seq))) as j from {A}) b, (select unnest(range(0, 4)) as k) ks) v),
-  s as (select read_id, k, avg(x) as m, stddev_pop(x) as sd from u group by read_id, k),
-  z as (select u.read_id, u.k, u.j, {NORM.format(x='(x - m) / sd')} as x from u join s on u.read_id = s.read_id and u.k = s.k)
+#: Sites of filtered alignments with a window of 21 on both strands, and their read's frames; q: place in the alignment.
+FITTING = f"""a as (select * from {A} where (flag & 1284) = 0 and mapq >= 1),
+  k as (select *, length(seq)::int as n, {", ".join(f"list_transform(range(0, length(seq)), lambda j: {FRAME.replace('c ', 'cc ').replace('(c -', '(cc -')}::double) as x{k}".replace("cc", f"((doc_id * 31 + j * 17 + {k * 5}) % 256)") for k in range(4))} from a),
+  m as (select *, {", ".join(f"list_avg(x{k}) as m{k}, list_aggregate(x{k}, 'stddev_pop') as s{k}" for k in range(4))} from k),
+  h as (select *, unnest(list_filter(range(0, n - 1), lambda i: substring(seq, i + 1, 2) = 'CG')) as i from m),
+  p as (select *, case when {REV} then n - 1 - i else i end as q from h where i between 10 and n - 11 and n - 2 - i between 10 and n - 11)"""
+
+
+def _window(k: int, centre: str) -> str:
+    """A normalised window in thousandths, as text."""
+    value = f"floor(floor((x - m{k}) / s{k} * 1e6 + 0.5) / 1e6 * 1e3 + 0.5)"
+    return f"array_to_string(list_transform(x{k}[{centre} - 9:{centre} + 11], lambda x: cast(cast({value} as bigint) as varchar)), ',')"
+
+
+def _thousandths(c):
+    return F.array_join(F.transform(c, lambda x: F.floor(x * 1e3 + 0.5).cast("string")), ",")
+
+
+@query(f"""with {FITTING}
   select contig, case when q < 5 or q in (15, 16) then -1 else start + (case when q < 15 then q - 5 when q < 25 then q - 7 else q - 4 end) end as pos,
-    case when {REV} then '-' else '+' end as strand, p.read_id, i::int as loc, substring(seq, i - 9, 21) as f_kmer, {RC.format(s='substring(seq, i - 8, 21)')} as r_kmer,
-    a.x as f_ipd, b.x as r_ipd, c.x as f_pw, e.x as r_pw
-  from p join z a on a.read_id = p.read_id and a.k = 0 and a.j = i join z b on b.read_id = p.read_id and b.k = 1 and b.j = n - 2 - i
-    join z c on c.read_id = p.read_id and c.k = 2 and c.j = i join z e on e.read_id = p.read_id and e.k = 3 and e.j = n - 2 - i""")
+    case when {REV} then '-' else '+' end as strand, read_id, i::int as loc, substring(seq, i - 9, 21) as f_kmer, {RC.format(s='substring(seq, i - 8, 21)')} as r_kmer,
+    {_window(0, "i")} as f_ipd, {_window(1, "(n - 2 - i)")} as r_ipd, {_window(2, "i")} as f_pw, {_window(3, "(n - 2 - i)")} as r_pw from p where q >= 5""")
 def a1_extracted_features(spark, d):
-    """Place, k-mers and the middle of each kinetics window."""
+    """Place, k-mers and all of each kinetics window, in thousandths."""
     got = sites.extract_features(filters.filter_alignments(_kinetics(_aligned(spark, d))), ["CG"])
-    middle = lambda c: X.half_up(F.get(c, F.lit(10)), 1e3).alias(c)
-    return got.select("contig", "pos", "strand", "read_id", "loc", "f_kmer", "r_kmer", *map(middle, ("f_ipd", "r_ipd", "f_pw", "r_pw")))
+    return got.select("contig", "pos", "strand", "read_id", "loc", "f_kmer", "r_kmer", *[_thousandths(c).alias(c) for c in ("f_ipd", "r_ipd", "f_pw", "r_pw")])
 
 
 def _tagged(spark, d):
@@ -273,6 +284,31 @@ def j14_reference_slices(spark, d):
     return joins.attach_ref_slice(df, _reference(spark, d), CHUNK).select("read_id", "ref_seq")
 
 
+#: Reference offset of alignment place {q}, null where it is not aligned.
+PLACED = "(case when {q} < 5 or {q} in (15, 16) then null when {q} < 15 then {q} - 5 when {q} < 25 then {q} - 7 else {q} - 4 end)"
+#: The same in read direction, for read place {j}.
+TURNED = "(case when " + REV + " then n - 5 - " + PLACED.format(q="(n - 1 - {j})") + " else " + PLACED.format(q="{j}") + " end)"
+CODE = f"""(case when (case when {REV} then n - 1 - j else j end) < 5 then 1 when {TURNED.format(j='j')} is null then 1
+    else (case when substring(seq, (j + 1)::int, 1) <> substring(ref_seq, ({TURNED.format(j='j')} + 1)::int, 1) then 4 else 0 end)
+       + (case when j > (case when {REV} then 0 else 5 end) and {TURNED.format(j='(j - 1)')} is not null and {TURNED.format(j='j')} <> {TURNED.format(j='(j - 1)')} + 1 then 2 else 0 end) end)"""
+MAPPED = f"""x as (select a.*, length(a.seq)::int as n, a.start % greatest(length(r.seq) - length(a.seq) + 5, 1) as s0, r.seq as rseq from {A} join {R} on a.doc_id = r.doc_id where (a.flag & 1284) = 0 and a.mapq >= 1),
+  y as (select *, case when {REV} then {RC.format(s='substring(rseq, s0 + 1, n - 4)')} else substring(rseq, s0 + 1, n - 4) end as ref_seq from x),
+  c as (select *, list_transform(range(0, n), lambda j: {CODE}) as codes from y),
+  h as (select *, unnest(list_filter(range(0, n - 1), lambda i: substring(seq, i + 1, 2) = 'CG')) as i from c),
+  p as (select *, case when {REV} then n - 1 - i else i end as q from h where i between 10 and n - 11 and n - 2 - i between 10 and n - 11)"""
+
+
+@query(f"""with {MAPPED} select read_id, i::int as loc, case when q in (15, 16) then -1 else s0 + {PLACED.format(q='q')} end as pos,
+    array_to_string(list_transform(codes[i - 9:i + 11], lambda c: cast(c as varchar)), '') as f_map, reverse(array_to_string(list_transform(codes[i - 8:i + 12], lambda c: cast(c as varchar)), '')) as r_map from p where q >= 5""")
+def a1_features_with_maps(spark, d):
+    """Map codes of both windows; a read is aligned to its own text as a contig."""
+    df = filters.filter_alignments(_aligned(spark, d)).join(fx.reads(spark, d).select("doc_id", F.length("seq").alias("_n")), "doc_id")
+    df = df.withColumn("contig", F.col("read_id")).withColumn("start", F.col("start") % F.greatest(F.col("_n") - F.length("seq") + 5, F.lit(1)))
+    got = sites.extract_features(joins.attach_ref_slice(df, _reference(spark, d), CHUNK), ["CG"], maps=True)
+    digits = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "").alias(c)
+    return got.select("read_id", "loc", "pos", digits("f_map"), digits("r_map"))
+
+
 @query(f"""with k as (select substring(seq, i + 1, 5) as kmer from (select seq, unnest(range(0, greatest(length(seq) - 4, 0))) as i from {R}) u), n as (select kmer, count(*) as n from k group by kmer)
   select kmer, n, floor(n / (sum(n) over ())::double * 1e9 + 0.5) / 1e9 as share from n""")
 def a22_kmer_distribution(spark, d):
