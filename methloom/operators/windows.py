@@ -115,14 +115,14 @@ def average_rank(df: DataFrame, column: str, by: list[str] | None = None, bucket
     return ranked.select(column, "n", (F.col("_start") + F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def smooth_sites(df: DataFrame, span: int = 500, width: int = BIN) -> DataFrame:
+def smooth_sites(df: DataFrame, span: int = 500, width: int = BIN, more: list[str] | None = None) -> DataFrame:
     """(n, x) sites with the level sum(x) / sum(n) over span/2 on either side. Contigs are cut into bins of
-    ``width`` positions; a bin has copies of the sites within span/2 of it."""
+    ``width`` positions; a bin has copies of the sites within span/2 of it. ``more``: other columns to sum alike."""
     keys, half = [c for c in ("contig", "group") if c in df.columns], span // 2
     bin_of = lambda c: F.floor(c / width)
     dealt = df.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("pos") - half), bin_of(F.col("pos") + half))))
     near = W.partitionBy(*keys, "_bin").orderBy("pos").rangeBetween(-half, half)
-    out = dealt.withColumn("smooth_n", F.sum("n").over(near)).withColumn("smooth_x", F.sum("x").over(near))
+    out = dealt.withColumns({f"smooth_{c}": F.sum(c).over(near) for c in ("n", "x", *(more or []))})
     return out.where(F.col("_bin") == bin_of(F.col("pos"))).drop("_bin").withColumn("level", F.col("smooth_x") / F.col("smooth_n"))
 
 

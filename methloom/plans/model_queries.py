@@ -111,6 +111,77 @@ def p6_diff_delta(spark, d):
     return diff.diff_sites(_replicates(spark, d, 1), _replicates(spark, d, 2), delta=0.3, p=0.5).select("contig", "pos", "significant")
 
 
+#: Groups with replicates, as ``diff.shrunk_sites`` takes them, in SQL. ``level``: its sums over the sites within 250, or a site's own.
+def _group_sql(hap: int, smoothing: bool) -> str:
+    over = "over (partition by contig order by pos range between 250 preceding and 250 following)" if smoothing else ""
+    total = lambda c: f"sum({c}) {over}" if smoothing else c
+    free = "1e0" if smoothing else "case when k > 1 then k / (k - 1)::double end"
+    return f"""(with f as (select contig, case when strand = '-' then pos - 1 else pos end as pos, depth % 2 as replicate, count(*)::double as n, sum(label)::double as x from {C} where hap = {hap} group by 1, 2, 3),
+  g as (select contig, pos, sum(n) as n, sum(x) as x, sum(n * (n - 1)) as pairs, count(*) as k, list({{'n': n, 'x': x}} order by n, x) as reps,
+    sum(n * n) as noise0, sum(n * n * (n - 1)) as noise1, sum(n * n * (n - 1) * (n - 1)) as noise2 from f group by 1, 2),
+  l as (select *, {total('x')} / {total('n')} as level, {total('n')} as all_n, {total('pairs')} as all_pairs from g)
+  select *, case when level > 0 and level < 1 and pairs > 0 then list_sum(list_transform(reps, lambda r: (r.x - r.n * level) * (r.x - r.n * level))) * ({free}) / (level * (1 - level)) - n end as moment from l)"""
+
+
+TERMS = """list_concat(list_concat(flatten(list_transform({r}, lambda r: list_transform(range(0, r.x::int), lambda k: {{'c': {m}, 'd': k - {m}, 's': 1e0}}))),
+  flatten(list_transform({r}, lambda r: list_transform(range(0, (r.n - r.x)::int), lambda k: {{'c': 1 - {m}, 'd': k - 1 + {m}, 's': 1e0}})))),
+  flatten(list_transform({r}, lambda r: list_transform(range(0, r.n::int), lambda k: {{'c': 1e0, 'd': k - 1e0, 's': -1e0}}))))"""
+OWN = "list_transform({r}, lambda r: {{'c': 1e0, 'd': r.n - 1, 's': 0.5e0 / len({r})}})"
+PRIOR = """(select ln(phi) - spread / 2 as mean, spread from (select phi, greatest(0.01e0, least(4e0, ln(1 + greatest(coalesce((mm - 2 * phi * mb + phi * phi * bb - 2 * (c0 + 2 * phi * c1 + phi * phi * c2)) / bb, 0e0), 0e0) / (phi * phi)))) as spread
+  from (select *, coalesce(greatest(1e-4, least(0.9e0, m / b)), 1e-4) as phi from (select sum(moment) as m, sum(pairs) as b, sum(moment * moment) as mm, sum(moment * pairs) as mb, sum(pairs * pairs) as bb, sum(noise0) as c0, sum(noise1) as c1, sum(noise2) as c2 from {t} where moment is not null) q) q) q)"""
+BOTH_MOMENTS = "(select " + ", ".join(f"case when a_moment is not null then a_{c} else 0 end + case when b_moment is not null then b_{c} else 0 end as {c}" for c in ("moment", "pairs", "noise0", "noise1", "noise2")) + " from j where a_moment is not null or b_moment is not null)"
+
+
+def _newton_sql(source: str, name: str, steps: int = 10) -> str:
+    """CTEs that end in ``name``: rows of ``source`` (terms, mean, spread) with phi."""
+    out, last = [f"{name}0 as materialized (select *, mean as theta from {source})"], f"{name}0"
+    part = "(t.d / (t.c + exp(theta) * t.d))"
+    for k in range(1, steps + 1):
+        out.append(f"""{name}{k}g as materialized (select *, coalesce(list_sum(list_transform(terms, lambda t: t.s * {part})), 0e0) as g, -coalesce(list_sum(list_transform(terms, lambda t: t.s * {part} * {part})), 0e0) as h from {last})""")
+        out.append(f"""{name}{k} as materialized (select * exclude (g, h, theta), least(theta + greatest(-1e0, least(1e0, (exp(theta) * g - (theta - mean) / spread) / greatest(1 / spread - exp(theta) * exp(theta) * h - exp(theta) * g, 1 / spread))), -0.05e0) as theta from {name}{k}g)""")
+        last = f"{name}{k}"
+    return ", ".join([*out, f"{name} as materialized (select *, exp(theta) as phi from {last})"])
+
+
+WALD = """select contig, pos, floor((a_level - b_level) * 1e6 + 0.5) / 1e6 as diff, floor(phi_a * 1e4 + 0.5) / 1e4 as phi_a, floor(phi_b * 1e4 + 0.5) / 1e4 as phi_b, floor(case when v > 0 then (a_level - b_level) / sqrt(v) else 0e0 end * 1e4 + 0.5) / 1e4 as z
+  from (select *, a_level * (1 - a_level) * (a_all_n + phi_a * a_all_pairs) / (a_all_n * a_all_n) + b_level * (1 - b_level) * (b_all_n + phi_b * b_all_pairs) / (b_all_n * b_all_n) as v from w) q"""
+JOINED = "j as (select a.contig, a.pos, " + ", ".join(f"{g}.{c} as {g}_{c}" for g in "ab" for c in ("level", "all_n", "all_pairs", "reps", "moment", "pairs", "noise0", "noise1", "noise2")) + " from a join b on a.contig = b.contig and a.pos = b.pos)"
+SHRUNK = f"""with a as materialized {_group_sql(1, True)}, b as materialized {_group_sql(2, True)}, {JOINED},
+  pa as (select j.*, {TERMS.format(r='a_reps', m='a_level')} as terms, p.mean, p.spread from j, {PRIOR.format(t='a')} p), {_newton_sql('pa', 'na')},
+  pb as (select j.contig, j.pos, {TERMS.format(r='b_reps', m='b_level')} as terms, p.mean, p.spread from j, {PRIOR.format(t='b')} p), {_newton_sql('pb', 'nb')},
+  w as (select na.*, na.phi as phi_a, nb.phi as phi_b from na join nb on na.contig = nb.contig and na.pos = nb.pos) {WALD}"""
+EQUAL = f"""with a as materialized {_group_sql(1, False)}, b as materialized {_group_sql(2, False)}, {JOINED},
+  pa as (select j.*, list_concat(list_concat(list_concat({TERMS.format(r='a_reps', m='a_level')}, {OWN.format(r='a_reps')}), {TERMS.format(r='b_reps', m='b_level')}), {OWN.format(r='b_reps')}) as terms, p.mean, p.spread from j, {PRIOR.format(t=BOTH_MOMENTS)} p), {_newton_sql('pa', 'na')},
+  w as (select *, phi as phi_a, phi as phi_b from na) {WALD}"""
+
+
+def _wald(df):
+    return df.select("contig", "pos", half_up(F.col("diff"), 1e6).alias("diff"), *[half_up(F.col(c), 1e4).alias(c) for c in ("phi_a", "phi_b", "z")])
+
+
+@query(SHRUNK)
+def p6_diff_shrunk(spark, d):
+    """Dispersions of each group shrunk to their common ones; smoothed levels."""
+    return _wald(diff.diff_sites(_replicates(spark, d, 1), _replicates(spark, d, 2), dispersion="shrunk"))
+
+
+@query(EQUAL)
+def p6_diff_equal_unsmoothed(spark, d):
+    """One dispersion of both groups; levels of the sites alone."""
+    return _wald(diff.diff_sites(_replicates(spark, d, 1), _replicates(spark, d, 2), dispersion="shrunk", smoothing=False, equal_disp=True))
+
+
+@query(f"""{REPLICATES.replace("250", "0")}, s as (select contig, pos, diff, case when se > 0 then {ABOVE.format(z='up')} + {ABOVE.format(z='down')} > 0.5e0 else abs(diff) > 0.3e0 end as significant from t),
+  g as (select contig, pos, sum(new) over (partition by contig order by pos rows unbounded preceding) as island from (select contig, pos, case when pos - lag(pos) over (partition by contig order by pos) < 60 then 0 else 1 end as new from s where significant) q),
+  r as (select contig, island, min(pos) as start, max(pos) + 1 as stop, count(*) as n_significant from g group by 1, 2)
+  select r.contig, r.start, r.stop as "end", r.n_significant, count(*) as n_sites, floor(avg(s.diff) * 1e6 + 0.5) / 1e6 as diff, floor(sum(s.diff) * 1e4 + 0.5) / 1e4 as area
+  from r join s on s.contig = r.contig and s.pos >= r.start and s.pos < r.stop group by r.contig, r.start, r.stop, r.n_significant having r.stop - r.start >= 20 and count(*) >= 3 and r.n_significant >= 0.3e0 * count(*)""")
+def p6_diff_regions(spark, d):
+    """Regions of sites whose difference is above a threshold."""
+    tests = diff.diff_sites(_replicates(spark, d, 1), _replicates(spark, d, 2), delta=0.3, p=0.5, smoothing=False)
+    got = diff.diff_regions(tests, dis_merge=60, minlen=20, min_sites=3, pct_sig=0.3)
+    return got.select("contig", "start", "end", "n_significant", "n_sites", half_up(F.col("diff"), 1e6).alias("diff"), half_up(F.col("area"), 1e4).alias("area"))
+
 @query(f"select contig, pos, strand, cast(least(floor(prob_1 * 20), 19) as int) as bin, count(*) as n from {C} group by 1, 2, 3, 4")
 def p7_sql_hooks(spark, d):
     scoring.register_hooks(spark)
