@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calls import half_up
+from ..sources.scratch import written
 from .joins import pair_sites
 from .windows import average_rank
 
 
-def agreement(pairs: DataFrame, x: str = "x", y: str = "y", by: list[str] | None = None, ranked_y: Column | None = None) -> DataFrame:
+def agreement(pairs: DataFrame, x: str = "x", y: str = "y", by: list[str] | None = None, ranked_y: Column | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """(by..., n_both, pearson, r2, spearman, rmse) of pairs of values; zeros below two pairs. ``ranked_y``: what
-    of y is ranked. Equal pairs are counted first: frequencies of 0 and 1 are most sites, and one row each from there on."""
+    of y is ranked; ``more``: names of further rank correlations and what of y they rank. Equal pairs are counted
+    first, as a written table: frequencies of 0 and 1 are most sites, and one row each from there on."""
     by = by or []
-    own = pairs.select(*by, F.col(x).alias("x"), F.col(y).alias("y"), (F.col(y) if ranked_y is None else ranked_y).alias("v"))
-    counted = own.groupBy(*by, "x", "y", "v").agg(F.count("*").alias("n"))
-    rank = lambda c: average_rank(counted, c, by, count="n").select(*by, c, F.col("rank").alias(f"r{c}"))
-    counted = counted.join(rank("x"), [*by, "x"]).join(rank("v"), [*by, "v"])
-    means = counted.groupBy(*by).agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"_{c}") for c in ("x", "y", "rx", "rv")])
+    ranked = {"spearman": F.col(y) if ranked_y is None else ranked_y} | (more or {})
+    own = pairs.select(*by, F.col(x).alias("x"), F.col(y).alias("y"), *[c.alias(f"v_{k}") for k, c in ranked.items()])
+    values = [f"v_{k}" for k in ranked]
+    counted = written(own.groupBy(*by, "x", "y", *values).agg(F.count("*").alias("n")))
+    ranks = [average_rank(counted, c, by, count="n").select(*by, c, F.col("rank").alias(f"r{c}")) for c in ("x", *values)]
+    for c, rank in zip(("x", *values), ranks, strict=True):
+        counted = counted.join(rank, [*by, c])
+    columns = ["x", "y", "rx", *(f"r{v}" for v in values)]
+    means = counted.groupBy(*by).agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"_{c}") for c in columns])
     centred = counted.join(means, by) if by else counted.crossJoin(F.broadcast(means))  # one row
 
     def correlation(a: str, b: str) -> Column:
@@ -29,9 +35,9 @@ def agreement(pairs: DataFrame, x: str = "x", y: str = "y", by: list[str] | None
     d, total = F.col("x") - F.col("y"), F.coalesce(F.sum("n"), F.lit(0))
     zero = lambda c: F.when(total > 1, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
     out = centred.groupBy(*by).agg(
-        total.alias("n_both"), zero(correlation("x", "y")).alias("pearson"), zero(correlation("rx", "rv")).alias("spearman"),
+        total.alias("n_both"), zero(correlation("x", "y")).alias("pearson"), *[zero(correlation("rx", f"rv_{k}")).alias(k) for k in ranked],
         zero(F.sqrt(F.sum(F.col("n") * d * d) / F.sum("n"))).alias("rmse"),
-    )
+    )
     return out.withColumn("r2", F.col("pearson") * F.col("pearson"))
 
 

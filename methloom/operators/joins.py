@@ -66,16 +66,45 @@ def restrict_to_ref_motif(sites: DataFrame, reference: DataFrame, motifs: list[s
     return sites.join(reference_sites(reference, motifs, mod_loc), ["contig", "pos", "strand"], "left_semi")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = 10_000) -> DataFrame:
+#: Heavy bins that are broadcast; a table of more is joined as Spark sees fit.
+MOST_HEAVY = 50_000
+
+
+def _heavy_bins(a: DataFrame, b: DataFrame, most: int) -> DataFrame | None:
+    """(contig, _bin, _parts_a, _parts_b) of the bins in which a side has more than ``most`` rows: into how many parts
+    to cut each side. None if there are none."""
+    one = lambda df, x, y: df.select("contig", "_bin", F.lit(x).alias("x"), F.lit(y).alias("y"))
+    counts = one(a, 1, 0).unionByName(one(b, 0, 1)).groupBy("contig", "_bin").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    # A bin with rows of one side only has no pairs.
+    heavy = counts.where((F.greatest("x", "y") > most) & (F.least("x", "y") > 0))
+    heavy = heavy.select("contig", "_bin", *[F.greatest(F.ceil(F.col(c) / most), F.lit(1)).cast("int").alias(f"_parts_{s}") for c, s in (("x", "a"), ("y", "b"))])
+    rows = heavy.limit(MOST_HEAVY + 1).collect()
+    if not rows:
+        return None
+    return heavy if len(rows) > MOST_HEAVY else F.broadcast(a.sparkSession.createDataFrame(rows, heavy.schema))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, width: int = 10_000, most: int = 200_000) -> DataFrame:
     """Pairs of intervals (contig, start, end; half open) that overlap, right's as r_start and r_end.
 
     Intervals are dealt to bins of ``width``; a pair is given in the first bin that both touch, so no
-    distinct is needed and no contig is one task."""
+    distinct is needed and no contig is one task. Bins are counted first: one in which a side has more than ``most``
+    rows is cut, each side into parts by a hash of its rows, and each part meets the other side's parts, of which
+    it gets copies: a deep locus is many tasks. Rows that are equal in every column stay together."""
     bins = lambda df: df.withColumn("_bin", F.explode(F.sequence((F.col("start") / width).cast("long"), (F.greatest(F.col("end") - 1, F.col("start")) / width).cast("long"))))
     a = bins(left)
     b = bins(right).withColumnsRenamed({"start": "r_start", "end": "r_end"})
-    pairs = a.join(b, ["contig", "_bin"]).where((F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")))
-    return pairs.where(F.col("_bin") == (F.greatest("start", "r_start") / width).cast("long")).drop("_bin")
+    keys = ["contig", "_bin"]
+    if (heavy := _heavy_bins(a, b, most)) is not None:
+        def cut(df: DataFrame, own: str, other: str) -> DataFrame:
+            place = F.pmod(F.xxhash64(*df.columns), F.coalesce(F.col(f"_parts_{own}"), F.lit(1))).cast("int")
+            copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"_parts_{other}"), F.lit(1)) - 1))
+            dealt = df.join(heavy, keys, "left").withColumn(f"_in_{own}", place).withColumn(f"_in_{other}", copies)
+            return dealt.drop("_parts_a", "_parts_b")
+
+        a, b, keys = cut(a, "a", "b"), cut(b, "b", "a"), [*keys, "_in_a", "_in_b"]
+    pairs = a.join(b, keys).where((F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")))
+    return pairs.where(F.col("_bin") == (F.greatest("start", "r_start") / width).cast("long")).drop("_bin", "_in_a", "_in_b")
 
 
 def project_calls(alignments: DataFrame, base_clip: int = 0, matches_only: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.calls import half_up
+from ..sources.scratch import written
 from .compare import agreement, classification_metrics, roc_auc, summarise_runs
 from .sites import kmer_distribution, site_frequency_aggregate
 
@@ -111,33 +112,67 @@ def balance_by_kmer(neg: DataFrame, pos: DataFrame, total: int | None = None, se
 
     A k-mer's quota is ceil (or floor) of total times its share. What is missing is filled first from
     k-mers without a quota, evenly, in hash order of k-mers until they give ``random_frac`` of it, then
-    from the negatives of any k-mer that were left over. Rows are taken in hash order. What is to be taken
-    of each k-mer is settled on the table of k-mers; rows are ranked within hash ranges of their k-mer."""
+    from the negatives of any k-mer that were left over. Rows are taken in hash order.
+
+    All is settled on counts by k-mer and hash range, a written table: what is taken of each k-mer (a running sum over
+    k-mers by ranges of their hash), which ranges have rows that are left over, and the range in which the last of
+    those that are needed lies. Only rows of ranges that give any are dealt, and ranked within their k-mer's range."""
     shares = kmer_distribution(pos)
     if total is None:
         total = pos.count()
     up = F.floor if floor else F.ceil
     quotas = shares.select("kmer", up(F.lit(total) * F.col("share")).alias("quota")).where("quota > 0")
-    sizes = neg.groupBy("kmer").agg(F.count("*").alias("n")).join(quotas, "kmer", "left")
+    order = _hash(neg, seed) if order is None else order
+    keyed = neg.withColumn("_h", order).withColumn("_b", F.shiftright("_h", 63 - RANGE_BITS))
+    counts = written(keyed.groupBy("kmer", "_b").agg(F.count("*").alias("n")))
+    sizes = counts.groupBy("kmer").agg(F.sum("n").alias("n")).join(quotas, "kmer", "left")
     own = F.when(F.col("quota").isNotNull(), F.least("n", "quota"))
     first, n_kmers = sizes.agg(F.coalesce(F.sum(own), F.lit(0)), F.count_if(F.col("quota").isNull())).first()
-    missing, take = total - first, F.coalesce(own, F.lit(0))
+    missing, plan = total - first, sizes.withColumn("_take", F.coalesce(own, F.lit(0)))
     each = (missing // n_kmers if floor else -(-missing // n_kmers)) if n_kmers and missing > 0 else 0
     if each > 0:
-        # k-mers in hash order until they give enough: a running sum over the table of k-mers
-        run = W.orderBy(F.xxhash64(F.lit(seed), "kmer") if kmer_order is None else kmer_order, "kmer").rowsBetween(W.unboundedPreceding, -1)
         even = F.when(F.col("quota").isNull(), F.least("n", F.lit(each))).otherwise(0)
-        before = F.coalesce(F.sum(even).over(run), F.lit(0))
-        take = take + F.when(before < random_frac * missing, even).otherwise(0)
-    plan = sizes.select("kmer", "n", take.alias("_take"))
-    order = _hash(neg, seed) if order is None else order
-    rows = ranked(neg, order, by=("kmer",)).join(plan, "kmer")
-    chosen = rows.where(F.col("rank") <= F.col("_take"))
-    missing = total - plan.agg(F.coalesce(F.sum("_take"), F.lit(0))).first()[0]
-    if missing > 0:
-        left = rows.where(F.col("rank") > F.col("_take")).select(*neg.columns)
-        chosen = chosen.select(*neg.columns).unionByName(ranked(left, order, most=F.lit(missing)).select(*neg.columns))
-    return chosen.select(*neg.columns)
+        kmer_order = F.xxhash64(F.lit(seed), "kmer").bitwiseAND((1 << 63) - 1) if kmer_order is None else kmer_order
+        plan = _sums_before(plan.withColumn("_even", even), kmer_order, "_even", "kmer")
+        plan = plan.withColumn("_take", F.col("_take") + F.when(F.col("_before") < random_frac * missing, F.col("_even")).otherwise(0))
+    start = F.coalesce(F.sum("n").over(W.partitionBy("kmer").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = written(counts.join(plan.select("kmer", "_take"), "kmer").withColumn("_start", start))
+    chosen = F.greatest(F.least(F.col("_take") - F.col("_start"), F.col("n")), F.lit(0))
+    left = ranges.groupBy("_b").agg(F.sum(chosen).alias("chosen"), F.sum(F.col("n") - chosen).alias("left")).orderBy("_b").collect()  # a row a range
+    missing, last = total - sum(r["chosen"] for r in left), -1
+    for r in left:
+        if missing <= 0:
+            break
+        last, rest, missing = r["_b"], missing, missing - r["left"]
+
+    def dealt(keep: Column) -> DataFrame:
+        """Rows of some ranges with their rank among all of their k-mer, and how many are taken of it."""
+        line = W.partitionBy("kmer", "_b").orderBy("_h", *neg.columns)
+        near = keyed.join(ranges.where(keep).drop("n"), ["kmer", "_b"])
+        return near.withColumn("_rank", F.col("_start") + F.row_number().over(line))
+
+    out = dealt((F.col("_start") < F.col("_take")) | (F.col("_b") <= last))
+    taken = F.col("_rank") <= F.col("_take")
+    if last < 0:
+        return out.where(taken).select(*neg.columns)
+    spare = dealt(F.col("_b") == last).where(~taken & (F.col("_b") == last)).select(*neg.columns, "_h")
+    finer = F.shiftleft("_h", RANGE_BITS).bitwiseAND((1 << 63) - 1)
+    return out.where(taken | (F.col("_b") < last)).select(*neg.columns).unionByName(ranked(spare, finer, most=F.lit(rest)).select(*neg.columns))
+
+
+#: Ranges of a hash by its first bits.
+RANGE_BITS = 10
+
+
+def _sums_before(df: DataFrame, order: Column, value: str, tie: str, bits: int = RANGE_BITS) -> DataFrame:
+    """``df`` with _before: the sum of ``value`` in the rows before each in the order of a number from 0 to 2**63, then
+    of ``tie``. Sums of the number's ranges first, then a running sum within each: no task sees all rows."""
+    df = df.withColumn("_o", order).withColumn("_p", F.shiftright("_o", 63 - bits))
+    before = F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
+    starts = df.groupBy("_p").agg(F.sum(value).alias("_s")).select("_p", F.coalesce(before, F.lit(0)).alias("_first"))  # a row a range
+    within = F.sum(value).over(W.partitionBy("_p").orderBy("_o", tie).rowsBetween(W.unboundedPreceding, -1))
+    out = df.withColumn("_within", F.coalesce(within, F.lit(0))).join(F.broadcast(starts), "_p")
+    return out.withColumn("_before", F.col("_first") + F.col("_within")).drop("_o", "_p", "_first", "_within")
 
 
 def subsample_coverage(reads: DataFrame, coverage: float, genome_size: int, seed: int = 1, length: str | Column = "length") -> DataFrame:
@@ -178,12 +213,12 @@ RUN_METRICS = ["n_sites", "n_truth", "n_both", "pearson", "r2", "spearman", "spe
 
 
 def _runs(sites: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
-    """RUN_METRICS of each run of ``sites`` (by..., site, freq) against the truth (site, freq)."""
-    keys = ["contig", "pos", "strand"]
+    """RUN_METRICS of each run of ``sites`` (by..., site, freq; written once) against the truth (site, freq)."""
+    keys, sites = ["contig", "pos", "strand"], written(sites)
     pairs = sites.select(*by, *keys, F.col("freq").alias("x")).join(truth.select(*keys, F.col("freq").alias("y")), keys)
-    plain, rounded = agreement(pairs, by=by), agreement(pairs, by=by, ranked_y=half_up(F.col("y"), 100.0))
+    stats = agreement(pairs, by=by, more={"spearman_rounded": half_up(F.col("y"), 100.0)})
     n = sites.groupBy(*by).agg(F.count("*").alias("n_sites")).crossJoin(F.broadcast(truth.agg(F.count("*").alias("n_truth"))))
-    return n.join(plain, by).join(rounded.select(*by, F.col("spearman").alias("spearman_rounded")), by)
+    return n.join(stats, by)
 
 
 def _truth(truth: DataFrame | list[DataFrame]) -> DataFrame:
@@ -210,21 +245,24 @@ def coverage_effect(tables: dict[str, DataFrame], truth: DataFrame | list[DataFr
 def coverage_sweep(calls: DataFrame, truth: DataFrame | list[DataFrame], coverages: list[float], seeds: list[int], genome_size: int,
                    read_length: int = 1, prob: str = "prob_1", mode: str = "count") -> DataFrame:
     """Reads subsampled to each coverage with each seed, their sites by count or aggregate mode held against
-    the truth: mean and sd of RUN_METRICS by coverage. In count mode coverage and seed are columns of one plan;
-    aggregate mode, whose windows are of one table, is a plan a run, united."""
+    the truth: mean and sd of RUN_METRICS by coverage. Coverage and seed are columns of one plan, whatever the number of
+    runs; in aggregate mode they are keys of the windows too. A call's share is compared with the largest one before
+    it meets the runs."""
     spark, truth = calls.sparkSession, _truth(truth)
     grid = [(float(c), int(s)) for c in coverages for s in seeds]
     n_reads = calls.agg(F.count_distinct("read_id").alias("_reads"))
     share = F.least(F.col("target") * F.lit(float(genome_size)) / (F.col("_reads") * F.lit(float(read_length))), F.lit(1.0))
-    place = text_order(F.col("read_id"), F.col("seed")) / F.lit(float(1 << 63))
-    draw = lambda runs: calls.crossJoin(F.broadcast(runs)).crossJoin(F.broadcast(n_reads)).where(place < share)
+    place = lambda s: text_order(F.col("read_id"), s) / F.lit(float(1 << 63))
+    runs = spark.createDataFrame(grid, "target double, seed int").crossJoin(n_reads).withColumn("_share", share).drop("_reads")
+    best = runs.groupBy().agg(F.max("_share").alias("_most"))
+    # A read that no seed gives a place below the largest share is in no run.
+    hope = F.least(*[place(s) for s in sorted({s for _, s in grid})], F.lit(2.0))
+    near = calls.crossJoin(F.broadcast(best)).where(hope < F.col("_most")).drop("_most")
+    kept = near.crossJoin(F.broadcast(runs)).where(place(F.col("seed")) < F.col("_share")).drop("_share")
     if mode == "count":
-        kept = draw(spark.createDataFrame(grid, "target double, seed int"))
         sites = kept.groupBy("target", "seed", "contig", "pos", "strand").agg(F.count("*").alias("coverage"), F.count_if(F.col(prob) > 0.5).alias("n_mod"))
     elif mode == "aggregate":
-        one = lambda c, s: site_frequency_aggregate(draw(spark.createDataFrame([(c, s)], "target double, seed int")).drop("target", "seed", "_reads"))
-        runs = [one(c, s).select("contig", "pos", "strand", "coverage", "n_mod").withColumns({"target": F.lit(c), "seed": F.lit(s)}) for c, s in grid]
-        sites = reduce(DataFrame.unionByName, runs)
+        sites = site_frequency_aggregate(kept, prob=prob, runs=["target", "seed"])
     else:
         raise ValueError(f"unknown mode: {mode}")
     sites = sites.withColumn("freq", F.col("n_mod") / F.col("coverage"))

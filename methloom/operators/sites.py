@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import calls as X
 from ..functions import cigar as C
+from ..functions.binding import let
 from ..functions.gather import KINETICS, Plan, site_windows
+from ..sources.scratch import written
 from .filters import REVERSE, unclipped, with_cigar
 from .joins import union_all
 from .scoring import score_windows
@@ -65,24 +67,43 @@ def site_frequency_count(calls: DataFrame, prob_cf: float = 0.0, no_amb_cov: boo
     Ambiguous calls (abs(2 p - 1) < cutoff) do not count; coverage is of the others with ``no_amb_cov``,
     else of all calls, and then a site with ambiguous calls has round(coverage * freq, 2) modified. By
     haplotype: rows of all calls (hap null) and of haplotypes 1 and 2, in one pass."""
+    got, keys = _site_counts(calls, SITE, prob_cf, by_hap, prob)
+    return _counted(got, keys, no_amb_cov)
+
+
+def _site_counts(calls: DataFrame, keys: list[str], prob_cf: float, by_hap: bool, prob: str, bins: int = 0) -> tuple[DataFrame, list[str]]:
+    """Counts of all, of kept and of modified calls of each site, and with ``bins`` of each bin of probabilities; by
+    haplotype also of haplotypes 1 and 2, in the same pass; and what a row is of."""
     kept = F.abs(2 * F.col(prob) - 1) >= prob_cf
     df = calls.withColumn("_kept", kept.cast("long")).withColumn("_mod", (kept & (F.col(prob) > 0.5)).cast("long"))
-    aggs = [F.sum("_kept").alias("n_kept"), F.sum("_mod").alias("n"), F.count("*").alias("n_all")]
-    if by_hap:
-        df = df.withColumn("hap", F.when(F.col("hap").isin(1, 2), F.col("hap")))
-        sets = df.groupingSets([[F.col(c) for c in SITE], [F.col(c) for c in [*SITE, "hap"]]], *SITE, "hap").agg(*aggs, F.grouping("hap").alias("_all"))
-        got = sets.where("_all = 1 or hap is not null").drop("_all")
-    else:
-        got = df.groupBy(*SITE).agg(*aggs)
+    bin_ = F.least(F.floor(F.col(prob) * bins), F.lit(bins - 1))
+    aggs = [F.sum("_kept").alias("n_kept"), F.sum("_mod").alias("n"), F.count("*").alias("n_all"), *[F.count_if(bin_ == k).alias(f"_{k}") for k in range(bins)]]
+    if not by_hap:
+        return df.groupBy(*keys).agg(*aggs), keys
+    df = df.withColumn("hap", F.when(F.col("hap").isin(1, 2), F.col("hap")))
+    sets = df.groupingSets([[F.col(c) for c in keys], [F.col(c) for c in [*keys, "hap"]]], *keys, "hap").agg(*aggs, F.grouping("hap").alias("_all"))
+    return sets.where("_all = 1 or hap is not null").drop("_all"), [*keys, "hap"]
+
+
+def _counted(got: DataFrame, keys: list[str], no_amb_cov: bool) -> DataFrame:
+    """Coverage, modified count and frequency from a site's counts."""
     freq = F.when(F.col("n_kept") > 0, F.col("n") / F.col("n_kept")).otherwise(0.0)
-    whole = F.col("n_kept") == F.col("n_all")
     mod = F.col("n").cast("double")
     if not no_amb_cov:
-        mod = F.when(whole, mod).otherwise(X.half_up(F.col("n_all") * freq, 100.0))
-    keys = [*SITE, "hap"] if by_hap else SITE
+        mod = F.when(F.col("n_kept") == F.col("n_all"), mod).otherwise(X.half_up(F.col("n_all") * freq, 100.0))
     return got.select(*keys, F.col("n_kept" if no_amb_cov else "n_all").alias("coverage"), mod.alias("n_mod"), freq.alias("freq"))
 
 
+def _unit(bins: int) -> Column:
+    """The histogram of unit length (6 decimals) of bin counts."""
+    hist = F.array(*[F.col(f"_{k}").cast("double") for k in range(bins)])
+
+    def scaled(h: Column) -> Column:
+        return let(F.sqrt(F.aggregate(h, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(h, lambda x: X.half_up(x / norm, 1e6)))
+
+    return let(hist, scaled)
+
+
 def fold_strands(df: DataFrame) -> DataFrame:
     """Reverse-strand rows at their forward partner's place, as forward; those at 0 are dropped."""
     df = df.where("not (strand = '-' and pos = 0)")
@@ -91,23 +112,29 @@ def fold_strands(df: DataFrame) -> DataFrame:
 
 def site_histogram(calls: DataFrame, bins: int = 20, min_cov: int = 4, keys: list[str] | None = None, prob: str = "prob_1") -> DataFrame:
     """Histogram of a site's probabilities, of unit length (6 decimals), for sites of enough calls."""
-    bin_ = F.least(F.floor(F.col(prob) * bins), F.lit(bins - 1))
-    counts = [F.count_if(bin_ == k).alias(f"_{k}") for k in range(bins)]
-    got = calls.groupBy(*(keys or SITE)).agg(F.count("*").alias("coverage"), *counts).where(F.col("coverage") >= min_cov)
-    hist = F.array(*[F.col(f"_{k}").cast("double") for k in range(bins)])
-    norm = F.sqrt(F.aggregate(hist, F.lit(0.0), lambda s, x: s + x * x))
-    return got.select(*(keys or SITE), "coverage", hist.alias("_h"), norm.alias("_n")).select(
-        *(keys or SITE), "coverage", F.transform("_h", lambda x: X.half_up(x / F.col("_n"), 1e6)).alias("hist")
-    )
-
-
-def site_frequency_aggregate(calls: DataFrame, scorer=None, bins: int = 20, min_cov: int = 4, seq_len: int = 11, prob: str = "prob_1") -> DataFrame:
-    """Sites below ``min_cov`` by counting, the others by a model over their neighbour windows, whose
-    score is pushed to the ends (X19); low sites are no neighbours."""
-    low = site_frequency_count(calls, prob=prob).where(F.col("coverage") < min_cov)
-    windows = neighbour_windows(site_histogram(calls, bins, min_cov, prob=prob), seq_len, bins=bins)
-    scored = score_windows(windows, scorer).withColumn("x", X.pushed(F.col("score"), F.col("coverage")))
-    return low.unionByName(scored.select(*SITE, "coverage", F.col("x.n_mod").alias("n_mod"), F.col("x.score").alias("freq")))
+    got, keys = _site_counts(calls, keys or SITE, 0.0, False, prob, bins)
+    return got.where(F.col("n_all") >= min_cov).select(*keys, F.col("n_all").alias("coverage"), _unit(bins).alias("hist"))
+
+
+def site_frequency_aggregate(calls: DataFrame, scorer=None, bins: int = 20, min_cov: int = 4, seq_len: int = 11, prob: str = "prob_1", prob_cf: float = 0.0,
+                             no_amb_cov: bool = False, by_hap: bool = False, discrete: bool = True, only_close: bool = False, runs: list[str] | None = None) -> DataFrame:
+    """Sites below ``min_cov`` calls by counting (with the cutoff of ``site_frequency_count``), the others by a model
+    over their neighbour windows; low sites are no neighbours. Scores are pushed to the ends (X19) or, unless
+    ``discrete``, give round(coverage * score, 2) modified.
+
+    By haplotype: rows of all calls (hap null) and of haplotypes 1 and 2, each routed by its own coverage, with
+    neighbours of its own. ``runs``: columns whose values are tables of their own. Calls are shuffled once: the counts
+    of all sets are a written table, from which both routes start."""
+    counts, keys = _site_counts(calls, [*(runs or []), *SITE], prob_cf, by_hap, prob, bins)
+    counts = written(counts)
+    low = _counted(counts.where(F.col("n_all") < min_cov), keys, no_amb_cov)
+    high = counts.where(F.col("n_all") >= min_cov).select(*keys, F.col("n_all").alias("coverage"), _unit(bins).alias("hist"))
+    scored = score_windows(neighbour_windows(high, seq_len, only_close, bins, runs=runs), scorer)
+    if discrete:
+        scored = scored.withColumn("x", X.pushed(F.col("score"), F.col("coverage"))).withColumns({"n_mod": F.col("x.n_mod"), "freq": F.col("x.score")})
+    else:
+        scored = scored.withColumns({"n_mod": X.half_up(F.col("coverage") * F.col("score"), 100.0), "freq": F.col("score")})
+    return low.unionByName(scored.select(*keys, "coverage", F.col("n_mod").cast("double").alias("n_mod"), F.col("freq").cast("double").alias("freq")))
 
 
 def combine_site_freq(dfs: list[DataFrame]) -> DataFrame:

@@ -30,14 +30,15 @@ def _by_bin(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(table.withColumnsRenamed(named), same).drop(*named.values())
 
 
-def neighbour_windows(sites: DataFrame, seq_len: int = 11, only_close: bool = False, bins: int = 20, chunk: int = 100_000) -> DataFrame:
+def neighbour_windows(sites: DataFrame, seq_len: int = 11, only_close: bool = False, bins: int = 20, chunk: int = 100_000, runs: list[str] | None = None) -> DataFrame:
     """For each site (contig, pos, strand[, hap], coverage, hist) the histograms of the seq_len sites
     around it and their distances; beyond the first and last site histograms are zeros and places are
-    1000 away from them. ``only_close``: instead of a distance whether the place before is exactly 2 away.
+    1000 away from them. ``only_close``: instead of a distance whether the place before is exactly 2 away. ``runs``:
+    more columns whose values have windows of their own.
 
     Sites are numbered along their contig by counts of bins and dealt in chunks of ``chunk`` sites, with
     copies of those next to a chunk's ends, so frames are the same as over the whole contig."""
-    keys = [c for c in ("contig", "strand", "hap") if c in sites.columns]
+    keys = [*(runs or []), *(c for c in ("contig", "strand", "hap") if c in sites.columns)]
     pad = seq_len // 2
     if chunk <= pad:
         raise ValueError("a chunk has more sites than half a window")
@@ -97,22 +98,22 @@ def position_gaps(df: DataFrame, keys: list[str], pos: str = "pos", width: int =
 def average_rank(df: DataFrame, column: str, by: list[str] | None = None, buckets: int = 64, count: str | None = None) -> DataFrame:
     """(by..., column, n, rank): the average rank of each distinct value among all rows.
 
-    Counts are summed by value, values are dealt to ranges of like number (``repartitionByRange`` keeps
-    them in order), and each range starts from the sum of those before it: a running sum with no task
-    that sees all values. ``by`` ranks within groups; ``count`` names a column that says how many rows a row stands for."""
+    Counts are summed by value, and values are dealt to ranges by approximate percentiles of all values, a row that
+    is broadcast. A range starts from the sum of those before it, and values are ordered within a range: a running
+    sum with no task that sees all values, or all of a group of ``by``, which ranks within groups. ``count`` names a
+    column that says how many rows a row stands for."""
     by = by or []
     counts = df.groupBy(*by, column).agg((F.sum(count) if count else F.count("*")).alias("n"))
-    if by:
-        line = W.partitionBy(*by).orderBy(column).rowsBetween(W.unboundedPreceding, -1)
-        before = F.coalesce(F.sum("n").over(line), F.lit(0))
-        return counts.withColumn("rank", before + (F.col("n") + 1) / 2)
     bounds = counts.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 10_000).alias("b"))
     placed = counts.crossJoin(F.broadcast(bounds)).withColumn("_p", F.size(F.filter("b", lambda x: x <= F.col(column)))).drop("b")
-    sums = placed.groupBy("_p").agg(F.sum("n").alias("s"))  # a row a range
-    starts = sums.select("_p", F.coalesce(F.sum("s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    line = W.partitionBy("_p").orderBy(column).rowsBetween(W.unboundedPreceding, -1)
-    ranked = placed.withColumn("_before", F.coalesce(F.sum("n").over(line), F.lit(0))).join(F.broadcast(starts), "_p")
-    return ranked.select(column, "n", (F.col("_start") + F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
+    sums = placed.groupBy(*by, "_p").agg(F.sum("n").alias("s"))  # a row a range of a group
+    before = F.sum("s").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
+    named = {c: f"_of_{c}" for c in (*by, "_p")}
+    starts = sums.select(*by, "_p", F.coalesce(before, F.lit(0)).alias("_start")).withColumnsRenamed(named)
+    line = W.partitionBy(*by, "_p").orderBy(column).rowsBetween(W.unboundedPreceding, -1)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()])
+    ranked = placed.withColumn("_before", F.coalesce(F.sum("n").over(line), F.lit(0))).join(starts if by else F.broadcast(starts), same)
+    return ranked.select(*by, column, "n", (F.col("_start") + F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def smooth_sites(df: DataFrame, span: int = 500, width: int = BIN, more: list[str] | None = None) -> DataFrame:

@@ -227,6 +227,7 @@ def a6_combined_strands(spark, d):
     return sites.site_frequency_count(sites.fold_strands(fx.calls(spark, d))).withColumn("freq", R6(F.col("freq")))
 
 
+FOLDED_CALLS = f"(select contig, case when strand = '-' then pos - 1 else pos end as pos, '+' as strand, prob_1, hap from {C} where not (strand = '-' and pos = 0))"
 HIST = f"""(select contig, pos, strand, count(*) as coverage, list_transform(range(0, 20), lambda k: list_count(list_filter(list(least(floor(prob_1 * 20), 19)), lambda b: b = k))::double) as h
     from (select contig, case when strand = '-' then pos - 1 else pos end as pos, '+' as strand, prob_1 from {C}) f group by 1, 2, 3 having count(*) >= 4)"""
 
@@ -269,6 +270,28 @@ def a8_site_frequency_aggregate(spark, d):
     return got.withColumn("freq", X.half_up(F.col("freq"), 1e4))
 
 
+def routed(calls: str, keys: str, kept: str = "true", least: int = 4) -> str:
+    """SQL of aggregate mode with the centre's scorer: ({keys} site, coverage, n_mod, freq) of ``calls``."""
+    return f"""with n as (select {keys} contig, pos, strand, count(*) as coverage, count(*) filter (where {kept}) as n_kept, count(*) filter (where {kept} and prob_1 > 0.5e0) as n,
+      list_transform(range(0, 20), lambda k: list_count(list_filter(list(least(floor(prob_1 * 20), 19)), lambda b: b = k))::double) as h from {calls} group by all),
+    low as (select *, case when n_kept > 0 then n / n_kept::double else 0e0 end as freq from n where coverage < {least}),
+    u as (select *, list_transform(h, lambda x: floor(x / sqrt(list_sum(list_transform(h, lambda y: y * y))) * 1e6 + 0.5) / 1e6) as w from n where coverage >= {least}),
+    m as (select *, floor(list_sum(list_transform(range(0, 20), lambda k: (k + 0.5e0) / 20 * w[k + 1])) / list_sum(w) * 1e6 + 0.5) / 1e6 as sc from u),
+    x as (select *, (case when sc > 0.66e0 then ceil(sc * coverage) when sc <= 0.33e0 then floor(sc * coverage) else floor(sc * coverage * 100 + 0.5) / 100 end)::double as mod_reads from m)
+    select {keys} contig, pos, strand, coverage, case when n_kept = coverage then n::double else floor(coverage * freq * 100 + 0.5) / 100 end as n_mod, freq from low
+    union all select {keys} contig, pos, strand, coverage, mod_reads, case when mod_reads = 0 then 0e0 else mod_reads / coverage end from x"""
+
+
+HAP_SETS = f"(select *, cast(null as int) as set from {FOLDED_CALLS} f union all select *, hap as set from {FOLDED_CALLS} f where hap in (1, 2)) c"
+
+
+@query(f"select contig, pos, strand, set as hap, coverage, n_mod, floor(freq * 1e4 + 0.5) / 1e4 as freq from ({routed(HAP_SETS, 'set,', 'abs(2 * prob_1 - 1) >= 0.25e0', 3)}) r")
+def a8_aggregate_by_hap(spark, d):
+    """All calls and each haplotype, low sites with a cutoff of probabilities."""
+    got = sites.site_frequency_aggregate(sites.fold_strands(fx.calls(spark, d)), min_cov=3, prob_cf=0.25, by_hap=True)
+    return got.withColumn("freq", X.half_up(F.col("freq"), 1e4))
+
+
 ONE = f"(select * from (select *, row_number() over (partition by read_id, read_loc order by contig, pos, strand, prob_1, depth, hap) as rn from {C}) q where rn = 1)"
 
 
@@ -414,6 +437,15 @@ def w5_average_rank(spark, d):
 FOLDED = f"(select contig, case when strand = '-' then pos - 1 else pos end as pos, cast(sum(coverage) as bigint) as n, cast(sum(n_mod) as bigint) as x from {S} group by 1, 2)"
 
 
+@query(f"""with l as (select 'all' as grp, score from {L} union all select event_type, (cast(round(value * 100) as bigint) % 256) / 256e0 from events)
+  select grp, score, count(*) as n, min(rk) as rank from (select *, rank() over (partition by grp order by score) + (count(*) over (partition by grp, score) - 1) / 2e0 as rk from l) q group by grp, score""")
+def w5_average_rank_by_group(spark, d):
+    """Ranks within groups, one of them of all rows."""
+    scores = fx.labelled(spark, d).join(fx.events(spark, d).select("event_id", "event_type"), "event_id")
+    both = scores.select(F.explode(F.array(F.lit("all"), "event_type")).alias("grp"), "score")
+    return windows.average_rank(both, "score", ["grp"])
+
+
 @query(f"""select contig, pos, n, x, cast(sum(n) over w as bigint) as smooth_n, cast(sum(x) over w as bigint) as smooth_x, floor(sum(x) over w / (sum(n) over w)::double * 1e6 + 0.5) / 1e6 as level
     from {FOLDED} f window w as (partition by contig order by pos range between 250 preceding and 250 following)""")
 def w6_smoothed_sites(spark, d):
@@ -554,9 +586,12 @@ def o11_coverage_sweep(spark, d):
     return _rounded(sampling.coverage_sweep(fx.calls(spark, d), _truth(spark, d), [1.0, 2.0], [1, 2, 3], 5000), ["target"], sampling.RUN_METRICS)
 
 
-@query()
+@query(f"""with {TRUE}, g as (select a.target, b.seed from (select unnest([1e0, 2e0]) as target) a cross join (select unnest([1, 2]) as seed) b),
+  c2 as (select c.*, (select count(distinct read_id) from {C}) as reads from {C}),
+  d as (select * from c2 cross join g where {drawn(0, 'read_id').replace("'0/' || ", "cast(seed as varchar) || '/' || ")} * 8 / 9223372036854775808e0 < least(target * 20000e0 / reads, 1e0)),
+  a as ({routed("d", "target, seed,")}), s as (select target, seed, contig, pos, strand, n_mod / coverage as freq from a), {_runs("target, seed", "target")}""")
 def o11_coverage_sweep_aggregate(spark, d):
-    got = sampling.coverage_sweep(fx.calls(spark, d), _truth(spark, d), [1.0, 2.0], [1], 5000, mode="aggregate")
+    got = sampling.coverage_sweep(fx.calls(spark, d), _truth(spark, d), [1.0, 2.0], [1, 2], 20_000, mode="aggregate")
     return _rounded(got, ["target"], sampling.RUN_METRICS)
 
 

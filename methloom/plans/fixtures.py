@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch  # noqa: F401
+
 CALLS = """
 select 'chr' || cast(l_suppkey % 5 + 1 as string) as contig,
        l_partkey * 7 + (case when l_linestatus = 'O' then 0 else 1 end) as pos,
@@ -97,9 +96,3 @@ def sitefreq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="methloom-")
-    return f"{base.rstrip('/')}/methloom-{uuid.uuid4().hex}"
