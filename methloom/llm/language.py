@@ -25,8 +25,8 @@ LETTER = regex.compile(r"\p{L}")
 #: Mark of a word's beginning in the vocabulary (fixed value).
 MARK = "▁"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Characters of a word that are segmented together: a longer run without spaces is cut at every so many,
-#: and of its segmentations those that have a piece across such a place aren't summed. It bounds memory.
+#: Characters of a word whose lattice is held at a time. A longer run without spaces goes part by part; the sums at
+#: the last places, as many as the longest piece has characters, are carried on, so that no segmentation is lost.
 TOGETHER = 4096
 
 
@@ -147,19 +147,79 @@ def _backward(width: int, arcs: dict, ends: np.ndarray, p: np.ndarray, longest:
     return beta, scale
 
 
-def _cut(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words with long ones cut, and the index of the word that each part is of."""
-    if max(map(len, words), default=0) <= TOGETHER:
-        return words, np.arange(len(words))
-    parts = [(i, w[a : a + TOGETHER]) for i, w in enumerate(words) for a in range(0, max(len(w), 1), TOGETHER)]
-    return [w for _, w in parts], np.array([i for i, _ in parts])
+def _parts(word: str, index: Pieces):
+    """(characters, arcs) of the parts of a long word; arcs begin in the part and may end behind it."""
+    for a in range(0, len(word), TOGETHER):
+        b = min(a + TOGETHER, len(word))
+        yield b - a, index.lattice([word[a : b + index.longest - 1]])[1]
+
+
+def _carried(n: int, arcs: dict, first: np.ndarray, running: np.ndarray, p: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward over a part of n characters from the sums at its first places: alpha[place, language], its scale at
+    each start, and the scale of the places behind the part."""
+    alpha, scale = np.zeros((n + longest, p.shape[1])), np.zeros((n, p.shape[1]))
+    alpha[:longest] = first
+    for start in range(n):
+        if start % 8 == 0:
+            running = _rescaled(alpha, start, start + longest, running)
+        scale[start] = running
+        for k in range(1, longest + 1):
+            if arc := arcs.get((start, k)):
+                alpha[start + k] += alpha[start] * p[arc[1][0]]
+    return alpha, scale, running
+
+
+def _long_score(word: str, index: Pieces, p: np.ndarray) -> np.ndarray:
+    """Log probability of one word of any length in each language."""
+    first, running = np.zeros((index.longest, p.shape[1])), np.zeros(p.shape[1])
+    first[0] = 1.0
+    for n, arcs in _parts(word, index):
+        alpha, _, running = _carried(n, arcs, first, running, p, index.longest)
+        first = alpha[n:]
+    return np.log(np.maximum(first[0], 1e-300)) + running
+
+
+def _long_counts(word: str, index: Pieces, p: np.ndarray, out: np.ndarray, weight: np.ndarray) -> None:
+    """Add one word's expected uses of pieces to ``out``: forward once for the sums at the parts' first places, then
+    backward part by part."""
+    longest, total = index.longest, _long_score(word, index, p)
+    first, running = np.zeros((longest, p.shape[1])), np.zeros(p.shape[1])
+    first[0] = 1.0
+    begins = []
+    for n, arcs in _parts(word, index):
+        begins.append((first, running))
+        alpha, _, running = _carried(n, arcs, first, running, p, longest)
+        first = alpha[n:]
+    after, down = np.zeros_like(first), np.zeros(p.shape[1])
+    after[0] = 1.0
+    for i in range(len(begins) - 1, -1, -1):
+        a = i * TOGETHER
+        n = min(TOGETHER, len(word) - a)
+        arcs = index.lattice([word[a : a + n + longest - 1]])[1]
+        alpha, up, _ = _carried(n, arcs, *begins[i], p, longest)
+        beta = np.concatenate([np.zeros((n, p.shape[1])), after])
+        for start in range(n - 1, -1, -1):
+            if start % 8 == 0:
+                down = _rescaled(beta, start + 1, start + longest + 1, down)
+            scale = np.exp(up[start] + down - total) * weight
+            for k in range(1, longest + 1):
+                if arc := arcs.get((start, k)):
+                    piece = arc[1][0]
+                    way = p[piece] * beta[start + k]
+                    beta[start] += way
+                    out[piece] += alpha[start] * way * scale
+        after = beta[:longest]
 
 
 def word_scores(words: list[str], index: Pieces, p: np.ndarray) -> np.ndarray:
     """Log probability of each (marked) word in each language."""
-    parts, of = _cut(words)
     out = np.zeros((len(words), p.shape[1]))
-    np.add.at(out, of, _part_scores(parts, index, p))
+    short = [i for i, w in enumerate(words) if len(w) <= TOGETHER]
+    if short:
+        out[short] = _part_scores([words[i] for i in short], index, p)
+    for i, w in enumerate(words):
+        if len(w) > TOGETHER:
+            out[i] = _long_score(w, index, p)
     return out
 
 
@@ -176,9 +236,12 @@ def _part_scores(words: list[str], index: Pieces, p: np.ndarray) -> np.ndarray:
 
 def expected_counts(words: list[str], weights: np.ndarray, index: Pieces, p: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in each language, in words of any length."""
-    words, of = _cut(words)
-    weights = weights[of]
     out = np.zeros((index.other + 1, p.shape[1]))
+    for w, weight in zip(words, weights, strict=True):
+        if len(w) > TOGETHER:
+            _long_counts(w, index, p, out, weight)
+    short = [i for i, w in enumerate(words) if len(w) <= TOGETHER]
+    words, weights = [words[i] for i in short], weights[short]
     for own in _groups(words):
         group, g_weights = [words[i] for i in own], weights[own]
         width, arcs = index.lattice(group)
@@ -199,7 +262,7 @@ def marked(words) -> list[str]:
 def learn(docs: DataFrame, names: tuple[str, ...], folds: int = 4, fold: int = 2, most_docs: int = 500, rounds: int = 2,
           smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
     """Languages and log-free piece probabilities (piece by language), from the text and lang of rows
-    that are not held out and have both: about ``most_docs`` rows a language, chosen by a hash of doc_id
+    that are not held out and have both: about ``most_docs`` rows a language, chosen by a hash of doc_id and text
     (all of them where there are no more)."""
     train = docs.where("lang is not null and text is not null").where(
         F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != fold, F.lit(True))
@@ -209,7 +272,7 @@ def learn(docs: DataFrame, names: tuple[str, ...], folds: int = 4, fold: int = 2
     if not langs:
         return [], np.zeros((len(names) + 1, 0))
     rate = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, most_docs / counts[k])))]), F.col("lang"))
-    sample = train.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < rate * (1 << 30))
+    sample = train.where(F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30)) < rate * (1 << 30))
     sample = sample.select("lang", F.col("text").cast("binary").alias("text"))
     p = np.full((len(names) + 1, len(langs)), 1.0 / (len(names) + 1))
     number = {k: i for i, k in enumerate(langs)}
@@ -248,8 +311,7 @@ def identify(docs: DataFrame, path: str | None = None, folds: int = 4, fold: int
 
     lang_pred is the learned language under which the text is most probable (of equal ones the first
     by name), score its posterior from equal priors. A null text, a text without a letter, or no
-    learned language at all gives ``und`` and score 0. Texts of any length count whole; a run without
-    spaces is summed in parts of TOGETHER characters. lang, source and doc_id are never inputs of a
+    learned language at all gives ``und`` and score 0. Texts of any length count whole. lang, source and doc_id are never inputs of a
     prediction. Repeated rows come back each; other columns are ignored; an empty table gives no rows."""
     return _identified(docs, path, folds, fold, **learning).drop("tid")
 

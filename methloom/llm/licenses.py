@@ -38,7 +38,16 @@ NOTICES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "cc-by-nc-sa",
+    "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": "cc-by-nc-nd",
+    "licensed under a creative commons attribution 3 0 unported license": "cc-by",
+    "licensed under a creative commons attribution sharealike 3 0 unported license": "cc-by-sa",
+    "licensed under a creative commons attribution noncommercial 3 0 unported license": "cc-by-nc",
     "licensed under cc by nc 4 0": "cc-by-nc",
+    "distributed under the boost software license version 1 0": "boost",
+    # GNU Affero GPL, the beginning of its notice for files.
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl",
     # MIT, whole.
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
     "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
@@ -74,6 +83,9 @@ NOTICES = {
     "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation "
     "either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even the "
     "implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details": "lgpl",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation "
+    "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the "
+    "implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details": "agpl",
     # Mozilla, the notice for files.
     "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at "
     "https mozilla org mpl 2 0": "mpl-2",

@@ -132,7 +132,7 @@ def keys(fps: DataFrame, side: int) -> DataFrame:
             arrays = [pa.array(np.concatenate(out).astype(np.int32)), b.column("fp").take(take), b.column("rep").take(take)]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "fp", "rep"])
 
-    return fps.select("fp", "rep").mapInArrow(run, "key int, fp long, rep long")
+    return fps.select("fp", "rep").mapInArrow(run, f"key int, fp long, rep {dict(fps.dtypes)['rep']}")
 
 
 def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -149,16 +149,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Equal texts and equal fingerprints are one class from the start, so copies cost one row; a null
     or empty text has fingerprint zero and is linked like any other; texts of any length count whole; a
     bit that half the shingles set, a tie, is not set. Repeated rows come back as
-    often as they came. A null doc_id is never a component's id (null if its component has no
-    other). Columns besides doc_id and text are ignored; an empty table gives an empty result."""
+    often as they came. A null doc_id links others like any, but is never a component's id (null if its
+    component has no other). Columns besides doc_id and text are ignored; an empty table gives an empty result."""
     if not 0 <= radius <= 3:
         raise ValueError("the Golay keys cover a radius of 0 to 3 bits")
     prints = written(fingerprints(docs))
-    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    comps = components(linked(fps.where("rep is not null"), radius))
-    labels = fps.join(comps, fps["rep"] == comps["node"], "left").select(
-        F.col("fp"), F.coalesce("component", "rep").alias("component_id")
-    )
+    # A fingerprint that no doc_id has stands for itself, by a number above all longs, so that it is no component's smallest.
+    beyond = F.lit(str(1 << 64)).cast("decimal(20,0)") + F.col("fp").cast("decimal(20,0)")
+    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("rep", F.coalesce(F.col("id").cast("decimal(20,0)"), beyond.cast("decimal(20,0)"))))
+    comps = components(linked(fps, radius))
+    smallest = F.when(F.col("component") <= (1 << 63) - 1, F.col("component").cast("long"))
+    labels = fps.join(comps, fps["rep"] == comps["node"], "left").select("fp", F.when(F.col("component").isNull(), F.col("id")).otherwise(smallest).alias("component_id"))
     return prints.join(labels, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
