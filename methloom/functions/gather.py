@@ -112,6 +112,14 @@ def _hits(seq: np.ndarray, end: np.ndarray, motifs: list[str]) -> np.ndarray:
     return at[at + k <= end[at]]
 
 
+def read_hits(seq: pa.Array, motifs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of every hit in a column of sequences."""
+    data, start, n = _texts(seq)
+    row = _row(n)
+    at = _hits(data, (start + n)[row], motifs)
+    return row[at], at - start[row[at]]
+
+
 def _ragged(values: np.ndarray, inside: np.ndarray, null: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Rows of a matrix as lists of those that are inside."""
     sizes = np.where(null, 0, inside.sum(axis=1))

@@ -99,6 +99,64 @@ def fit_classifier(features: DataFrame, label: str = "label", vector: str = "vec
     return LogisticRegression(maxIter=rounds, regParam=0.01, weightCol="weight").fit(df)
 
 
+def fit_logistic(features: DataFrame, label: str = "label", vector: str = "vector", positive_weight: float = 1.0, rounds: int = 12,
+                 penalty: float = 0.01, fold: Column | None = None, folds: int = 0) -> np.ndarray:
+    """P5: weights [models, 1 + length of the vectors] (intercept first) of logistic regressions by iteratively
+    reweighted least squares: least of the weighted log loss, summed, and half ``penalty`` times the squares of the
+    weights but the intercept.
+
+    Each round is one aggregate: tasks sum gradient and outer products over their rows, the sums are added by
+    entry, and the driver solves a system of the vector's length. The last model is of all rows; with ``fold``
+    (0 to folds - 1; rows of one contig or read in one fold) model k is of all rows but those of fold k. Rows with
+    a null label or vector are left out; nulls in a vector are 0."""
+    df = features.where(F.col(label).isNotNull() & F.col(vector).isNotNull())
+    df = df.select(
+        F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("x"), F.col(label).cast("double").alias("y"),
+        (F.lit(-1) if fold is None else F.pmod(fold, F.lit(folds))).cast("int").alias("fold"),
+    )
+    size = df.agg(F.max(F.size("x"))).first()[0]
+    if size is None:
+        raise ValueError("no labelled rows")
+    beta = np.zeros((folds + 1, size + 1))
+
+    def sums(batches: Iterator, beta: np.ndarray) -> Iterator:
+        import pyarrow as pa
+
+        out = np.zeros((len(beta), beta.shape[1] + 1, beta.shape[1]))
+        for b in batches:
+            x = np.asarray(b.column("x").flatten(), dtype=float).reshape(b.num_rows, -1)
+            x, y, own = np.insert(x, 0, 1.0, axis=1), np.asarray(b.column("y")), np.asarray(b.column("fold"))
+            weight = np.where(y == 1, positive_weight, 1.0)
+            for k in range(len(beta)):
+                z = x @ beta[k]
+                p = np.exp(-np.logaddexp(0, -z))
+                w = weight * (own != k)
+                out[k, 0] += (w * (y - p)) @ x
+                out[k, 1:] += (x * (w * p * (1 - p))[:, None]).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], names=["i", "v"])
+
+    ridge = np.full(size + 1, float(penalty))
+    ridge[0] = 0.0
+    for _ in range(rounds):
+        got = df.mapInArrow(lambda b, beta=beta: sums(b, beta), "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()  # a row an entry
+        total = np.zeros((folds + 1) * (size + 2) * (size + 1))
+        total[got["i"].to_numpy()] = got["v"].to_numpy()
+        total = total.reshape(folds + 1, size + 2, size + 1)
+        slope, curve = total[:, 0] - ridge * beta, total[:, 1:] + np.diag(np.maximum(ridge, 1e-12))
+        beta = beta + np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+    return beta
+
+
+def apply_logistic(features: DataFrame, weights: np.ndarray, vector: str = "vector", fold: Column | None = None) -> DataFrame:
+    """``features`` with prob_1 and predicted by ``fit_logistic``'s last model or, with ``fold``, each row by the model
+    that its fold was left out of; an expression, without a fitted object in the plan."""
+    beta = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in weights])
+    own = F.get(beta, F.lit(len(weights) - 1) if fold is None else F.pmod(fold, F.lit(len(weights) - 1)).cast("int"))
+    return features.withColumn("_w", own).withColumn("prob_1", 1 / (1 + F.exp(-F.aggregate(
+        F.zip_with(vector, F.slice("_w", 2, 1 << 30), lambda x, w: F.coalesce(x.cast("double"), F.lit(0.0)) * w), F.get("_w", F.lit(0)), lambda s, x: s + x,
+    )))).withColumn("predicted", (F.col("prob_1") > 0.5).cast("int")).drop("_w")
+
+
 def apply_classifier(model, features: DataFrame, vector: str = "vector") -> DataFrame:
     """``features`` with prob_1 and predicted by a fitted classifier: its weights as an expression, so the plan
     holds no fitted object."""
@@ -118,9 +176,13 @@ def fit_regressor(windows: DataFrame, target: str = "freq", rounds: int = 10):
 
 
 def register_hooks(spark: SparkSession, scorer: Scorer | None = None) -> None:
-    """SQL names: ``site_score(array<double>)`` (a vectorised scorer), the table function
-    ``motif_sites(seq, motif)`` and ``prob_bin(p, bins)`` for histograms as plain aggregates."""
-    from pyspark.sql.functions import pandas_udf, udtf
+    """SQL names: ``site_score(array<double>)`` (a vectorised scorer), the table functions
+    ``motif_sites(seq, motif)`` and, for whole tables, ``read_motifs(table(reads), motif)`` (read_id, loc; a batch of
+    reads at once), the aggregate ``prob_histogram(p)`` (20 bins, unit length, 6 decimals) and ``prob_bin(p, bins)``."""
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udtf, pandas_udf, udtf
+
+    from ..functions.gather import read_hits
 
     own = scorer or Linear()
 
@@ -136,6 +198,21 @@ def register_hooks(spark: SparkSession, scorer: Scorer | None = None) -> None:
                 yield (at,)
                 at = seq.find(motif, at + 1)
 
+    @pandas_udf("array<double>")
+    def prob_histogram(p: pd.Series) -> list:
+        p = p.dropna().to_numpy(dtype=float)
+        h = np.bincount(np.clip(np.floor(p * 20).astype(int), 0, 19), minlength=20).astype(float)
+        norm = np.sqrt((h * h).sum())
+        return list(np.floor(h / norm * 1e6 + 0.5) / 1e6 if norm else h)
+
+    @arrow_udtf(returnType="read_id string, loc int")
+    class ReadMotifs:
+        def eval(self, batch: pa.RecordBatch, motif: pa.Array):
+            row, loc = read_hits(batch.column("seq"), [motif[0].as_py()])
+            yield pa.table({"read_id": batch.column("read_id").take(pa.array(row)), "loc": pa.array(loc, pa.int32())})
+
+    spark.udf.register("prob_histogram", prob_histogram)
+    spark.udtf.register("read_motifs", ReadMotifs)
     spark.udf.register("site_score", site_score)
     spark.udtf.register("motif_sites", MotifSites)
     spark.sql("create or replace temporary function prob_bin(p double, bins int) returns int return cast(least(floor(p * bins), bins - 1) as int)")

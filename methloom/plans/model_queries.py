@@ -111,6 +111,35 @@ def p6_diff_delta(spark, d):
     return diff.diff_sites(_replicates(spark, d, 1), _replicates(spark, d, 2), delta=0.3, p=0.5).select("contig", "pos", "significant")
 
 
+#: Newton steps of a regression on two features, a system of three by Cramer's rule.
+TWO = "(select vec_id, list_sum(list_transform(ipd, lambda x: x::double)) as u, list_sum(list_transform(pw, lambda x: x::double)) as v, (label % 2)::double as y from " + FEATURES + ")"
+
+
+def _newton_step(k: int) -> str:
+    p = "(1e0 / (1e0 + exp(-(b0 + b1 * u + b2 * v))))"
+    w = f"(case when y = 1 then 2e0 else 1e0 end)"
+    h = f"({w} * {p} * (1 - {p}))"
+    det = lambda m: "+".join(f"({m[0][i]}) * (({m[1][(i + 1) % 3]}) * ({m[2][(i + 2) % 3]}) - ({m[1][(i + 2) % 3]}) * ({m[2][(i + 1) % 3]}))" for i in range(3))
+    a = [["h00", "h01", "h02"], ["h01", "h11 + 0.5e0", "h12"], ["h02", "h12", "h22 + 0.5e0"]]
+    g = ["g0", "g1 - 0.5e0 * b1", "g2 - 0.5e0 * b2"]
+    swapped = lambda j: [[g[r] if c == j else a[r][c] for c in range(3)] for r in range(3)]
+    return f"""m{k} as materialized (select b0, b1, b2, sum({w} * (y - {p})) as g0, sum({w} * (y - {p}) * u) as g1, sum({w} * (y - {p}) * v) as g2, sum({h}) as h00, sum({h} * u) as h01, sum({h} * v) as h02,
+      sum({h} * u * u) as h11, sum({h} * u * v) as h12, sum({h} * v * v) as h22 from f, n{k - 1} group by b0, b1, b2),
+    n{k} as materialized (select {", ".join(f"b{j} + ({det(swapped(j))}) / ({det(a)}) as b{j}" for j in range(3))} from m{k})"""
+
+
+@query(f"""with f as (select * from {TWO} t), n0 as (select 0e0 as b0, 0e0 as b1, 0e0 as b2), {", ".join(_newton_step(k) for k in range(1, 9))}
+  select term, floor(weight * 1e6 + 0.5) / 1e6 as weight from (select unnest([0, 1, 2]) as term, unnest([b0, b1, b2]) as weight from n8) t""")
+def p5_fitted_weights(spark, d):
+    """A regression by reweighted least squares, positives weighed twice."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    df = _features(spark, d).withColumns({"vector": F.array(total("ipd"), total("pw")), "y": (F.col("label") % 2).cast("int")})
+    weights = scoring.fit_logistic(df, "y", positive_weight=2.0, rounds=8, penalty=0.5)[-1]
+    # The sums of all rows are in them; as rows of a table derived from the features.
+    one = df.groupBy().agg(F.count("*").alias("_n")).select(F.posexplode(F.array(*[F.lit(float(w)) for w in weights])).alias("term", "w"))
+    return one.select("term", half_up(F.col("w"), 1e6).alias("weight"))
+
+
 #: Groups with replicates, as ``diff.shrunk_sites`` takes them, in SQL. ``level``: its sums over the sites within 250, or a site's own.
 def _group_sql(hap: int, smoothing: bool) -> str:
     over = "over (partition by contig order by pos range between 250 preceding and 250 following)" if smoothing else ""
@@ -186,3 +215,19 @@ def p6_diff_regions(spark, d):
 def p7_sql_hooks(spark, d):
     scoring.register_hooks(spark)
     return spark.sql("select contig, pos, strand, prob_bin(prob_1, 20) as bin, count(*) as n from {calls} group by 1, 2, 3, 4", calls=fx.calls(spark, d))
+
+
+@query(f"""select contig, pos, strand, array_to_string(list_transform(h, lambda x: cast(cast(floor(x / sqrt(list_sum(list_transform(h, lambda y: y * y))) * 1e4 + 0.5) as int) as varchar)), ',') as hist
+  from (select contig, pos, strand, list_transform(range(0, 20), lambda k: list_count(list_filter(list(least(floor(prob_1 * 20), 19)), lambda b: b = k))::double) as h from {C} group by 1, 2, 3) g""")
+def p7_histogram_aggregate(spark, d):
+    """Histograms by an aggregate under a SQL name."""
+    scoring.register_hooks(spark)
+    got = spark.sql("select contig, pos, strand, prob_histogram(prob_1) as h from {calls} group by contig, pos, strand", calls=fx.calls(spark, d))
+    return got.select("contig", "pos", "strand", F.array_join(F.transform("h", lambda x: F.floor(x * 1e4 + 0.5).cast("int").cast("string")), ",").alias("hist"))
+
+
+@query(f"select read_id, unnest(list_filter(range(0, length(seq) - 1), lambda i: substring(seq, i + 1, 2) = 'CG'))::int as loc from ({fx.D_READS}) r where length(seq) > 1")
+def p7_motif_table(spark, d):
+    """Motif sites by a table function over a table of reads."""
+    scoring.register_hooks(spark)
+    return spark.sql("select read_id, loc from read_motifs(table(select read_id, seq from {reads}), 'CG')", reads=fx.reads(spark, d))
