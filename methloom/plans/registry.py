@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import alignment_queries, call_queries, model_queries, stream_queries  # noqa: E402, F401
+from . import alignment_queries, call_queries, layout_queries, model_queries, stream_queries  # noqa: E402, F401

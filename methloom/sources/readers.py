@@ -80,10 +80,15 @@ def read_reference(spark: SparkSession, path: Paths, chunk_len: int = 100_000, o
     placed = placed.select(F.coalesce("contig", "prior").alias("contig"), start.alias("at"), "bases").where("contig is not null")
     stop = F.col("at") + F.length("bases")
     first, last = F.greatest(F.floor((F.col("at") - overlap) / chunk_len), F.lit(0)), F.floor((stop - 1) / chunk_len)
-    parts = placed.withColumn("stop", stop).withColumn("k", F.explode(F.sequence(first, last))).withColumn("chunk_start", F.col("k") * chunk_len)
-    low, high = F.greatest("at", "chunk_start"), F.least(F.col("stop"), F.col("chunk_start") + chunk_len + overlap)
-    part = F.struct(low.alias("at"), F.substr("bases", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("bases"))
-    got = parts.groupBy("contig", "chunk_start").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+
+    def cut(k: Column) -> Column:
+        """What a line has of chunk k. Bytes are cut out in constant time, characters by walking from the line's start."""
+        low, high = F.greatest(F.col("at"), k * chunk_len), F.least(stop, k * chunk_len + chunk_len + overlap)
+        bases = F.substring(F.col("_bytes"), (low - F.col("at") + 1).cast("int"), (high - low).cast("int"))
+        return F.struct((k * chunk_len).alias("chunk_start"), F.struct(low.alias("at"), bases.cast("string").alias("bases")).alias("part"))
+
+    parts = placed.withColumn("_bytes", F.col("bases").cast("binary")).select("contig", F.explode(F.transform(F.sequence(first, last), cut)).alias("c"))
+    got = parts.groupBy("contig", "c.chunk_start").agg(F.array_sort(F.collect_list("c.part")).alias("parts"))
     return got.select("contig", "chunk_start", F.array_join(F.transform("parts", lambda x: x["bases"]), "").alias("seq"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calls as X
@@ -76,10 +76,22 @@ def write_by_hap(df: DataFrame, path: str) -> None:
 
 
 def write_by_contig(df: DataFrame, path: str) -> None:
-    """K6: one folder a contig; reading the parent merges them."""
+    """K6: one folder a contig; ``merged_by_contig`` merges them."""
     df.write.partitionBy("contig").parquet(path)
 
 
+def merged_by_contig(spark: SparkSession, path: str, contigs: DataFrame | None = None) -> DataFrame:
+    """K6: the folders of ``write_by_contig`` as one table in the order of a contig table (contig, rank; those that it
+    lacks come last) or of names, then place and strand; files that are written of it are in that order."""
+    schema = dict(spark.read.parquet(path).dtypes)
+    df = spark.read.schema(", ".join(f"`{c}` {'string' if c == 'contig' else t}" for c, t in schema.items())).parquet(path)
+    cols = ["contig", "pos", *(["strand"] if "strand" in schema else [])]
+    if contigs is not None:
+        df = df.join(contigs.select("contig", F.col("rank").alias("_rank")), "contig", "left").withColumn("_rank", F.coalesce("_rank", F.lit(1 << 30)))
+        cols = ["_rank", *cols]
+    return df.repartitionByRange(*cols).sortWithinPartitions(*cols).drop("_rank")
+
+
 def _cigar_text(cigar: Column) -> Column:
     text = F.array_join(F.transform(cigar, lambda o: F.concat(o["len"].cast("string"), o["op"])), "")
     return F.when(text == "", "*").otherwise(text)
