@@ -9,8 +9,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from . import walks as V
+from .modtags import PROBABILITIES
 from .sequence import COMPLEMENTS, LETTERS
 from .signal import MAD_SCALE
 
@@ -120,6 +123,38 @@ def read_hits(seq: pa.Array, motifs: list[str]) -> tuple[np.ndarray, np.ndarray]
     return row[at], at - start[row[at]]
 
 
+def placed_calls(ops: Column, skips: Column, ml: Column, seq: Column, reverse: Column, base: str = "C") -> Column:
+    """(loc, prob, offset) of each call of a read on an aligned base, from its CIGAR, skips, bytes and sequence, loc and
+    sequence in alignment order: ``modtags.decode`` and ``walks.to_references`` in one pass over a batch. No calls
+    where skips and bytes differ in number or go beyond the read's bases."""
+    other = int(COMPLEMENT[ord(base)])
+
+    @F.arrow_udf("array<struct<loc:int,prob:double,offset:int>>")
+    def calls(ops: pa.Array, skips: pa.Array, ml: pa.Array, seq: pa.Array, reverse: pa.Array) -> pa.Array:
+        n, m, value = V.sizes(skips), V.sizes(ml), V.ints(skips.flatten())
+        sound = ~np.asarray(skips.is_null()) & (n == m)
+        data, start, size = _texts(seq)
+        back = np.asarray(pc.fill_null(reverse, False))
+        hits = np.flatnonzero(data == np.where(back, other, ord(base))[_row(size)])
+        low, high = np.searchsorted(hits, start), np.searchsorted(hits, start + size)
+        row = _row(n)
+        ordinal = V.before(value + 1, n) + value
+        beyond = ordinal >= (high - low)[row]
+        sound &= np.bincount(row, beyond, len(n)) == 0
+        # Bases are counted as the read was sequenced, on reverse reads from the end.
+        at = np.where(sound[row], np.where(back[row], high[row] - 1 - ordinal, low[row] + ordinal), 0)
+        loc = hits[at] - start[row] if len(hits) else np.zeros(len(row), dtype=np.int64)
+        offset, aligned = V.offsets_of(*V.blocks_of(ops), row, loc)
+        keep = np.flatnonzero(aligned & sound[row])
+        byte = V.ints(ml.flatten())[((np.cumsum(m) - m)[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row])[keep]] if len(keep) else np.empty(0, np.int64)
+        known = (byte >= 0) & (byte < 256)
+        fields = [pa.array(loc[keep], pa.int32()), pa.array(np.array(PROBABILITIES)[np.where(known, byte, 0)], pa.float64(), mask=~known), pa.array(offset[keep], pa.int32())]
+        counts = np.bincount(row[keep], minlength=len(n))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.StructArray.from_arrays(fields, ["loc", "prob", "offset"]))
+
+    return calls(ops, skips, ml, seq, reverse)
+
+
 def _ragged(values: np.ndarray, inside: np.ndarray, null: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Rows of a matrix as lists of those that are inside."""
     sizes = np.where(null, 0, inside.sum(axis=1))

@@ -9,10 +9,13 @@ from .binding import let
 from .walks import places_of, skips_of
 
 
+#: Probability of a byte: byte / 256 with a millionth added, 6 decimals as Python rounds them; 0 is 0.
+PROBABILITIES = [round(b / 256 + 1e-6, 6) if b else 0.0 for b in range(256)]
+
+
 def byte_probability(ml: Column) -> Column:
-    """Probability of a byte: byte / 256 with a millionth added, 6 decimals as Python rounds them; 0 is 0."""
-    table = F.array(*[F.lit(round(b / 256 + 1e-6, 6) if b else 0.0) for b in range(256)])
-    return F.get(table, ml.cast("int"))
+    """Probability of a byte, null beyond 255."""
+    return F.get(F.array(*map(F.lit, PROBABILITIES)), ml.cast("int"))
 
 
 def probability_byte(p: Column) -> Column:

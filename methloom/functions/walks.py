@@ -27,7 +27,7 @@ def _lists(values: pa.Array, sizes: np.ndarray, null) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values, mask=pa.array(null, pa.bool_()))
 
 
-def _before(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def before(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sum of the values before each one in its list."""
     total = np.concatenate([[0], np.cumsum(values)])
     return total[:-1] - np.repeat(total[np.cumsum(sizes) - sizes], sizes)
@@ -46,7 +46,7 @@ def blocks_of(ops: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarr
     the query and reference places where they begin."""
     n, flat = sizes(ops), ops.flatten()
     op, length = flat.field("op"), ints(flat.field("len"))
-    moves = lambda kinds: _before(np.where(np.asarray(pc.is_in(op, pa.array(kinds))), length, 0), n)
+    moves = lambda kinds: before(np.where(np.asarray(pc.is_in(op, pa.array(kinds))), length, 0), n)
     return n, op, length, moves(QUERY), moves(REFERENCE)
 
 
@@ -120,7 +120,7 @@ def places_of(skips: Column, seq: Column, base: str) -> Column:
         n, value = sizes(skips), ints(skips.flatten())
         hits, start, size = _bases(seq, base)
         row, low = np.repeat(np.arange(len(n)), n), np.searchsorted(hits, start)
-        ordinal = _before(value + 1, n) + value
+        ordinal = before(value + 1, n) + value
         beyond = ordinal >= (np.searchsorted(hits, start + size) - low)[row]
         at = np.where(beyond, 0, low[row] + ordinal)
         places = hits[at] - start[row] if len(hits) else np.zeros(len(value), dtype=np.int64)

@@ -11,6 +11,7 @@ from ..functions import calls as X
 from ..functions import cigar as C
 from ..functions import modtags as M
 from ..functions import walks as V
+from ..functions.gather import placed_calls
 from ..functions.sequence import motif_hits, reverse_complement
 from .filters import REVERSE, clipped_pairs, with_cigar
 
@@ -109,17 +110,16 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 10_000, most: i
 
 def project_calls(alignments: DataFrame, base_clip: int = 0, matches_only: bool = True) -> DataFrame:
     """(read_id, contig, pos, strand, prob, hap) of every decoded call on a matched base: MM/ML
-    through the CIGAR. No shuffle."""
+    through the CIGAR, in one pass over Arrow batches. No shuffle."""
     df = with_cigar(alignments)
     reverse = F.col("flag").bitwiseAND(REVERSE) != 0
     reads = df.select(
         "read_id", "contig", "start", F.when(reverse, "-").otherwise("+").alias("strand"), F.coalesce("hap", F.lit(0)).alias("hap"),
-        V.walk(F.col("cigar")).alias("blocks"), M.decode(F.col("mm"), F.col("ml"), forward_sequence(df), reverse).alias("calls"),
-    )
-    offsets = V.to_references(F.col("blocks"), F.transform("calls", lambda c: c["loc"]))
-    both = F.zip_with("calls", "offsets", lambda c, o: F.struct(c["loc"].alias("loc"), c["prob"].alias("prob"), o.alias("offset")))
+        placed_calls(F.col("cigar"), M.skips(F.col("mm")), F.col("ml"), F.col("seq"), reverse).alias("calls"), *([V.walk(F.col("cigar")).alias("blocks")] if base_clip else []),
+    )
     kept = ["read_id", "contig", "start", "strand", "hap", *(["blocks"] if base_clip else [])]
-    calls = reads.withColumn("offsets", offsets).select(*kept, F.explode(F.filter(both, lambda c: c["offset"].isNotNull())).alias("call"))
+    # The filter keeps Spark from testing the array's size before the function that makes it has run.
+    calls = reads.select(*kept, F.explode(F.filter("calls", lambda c: c["offset"].isNotNull())).alias("call"))
     if base_clip:
         calls = calls.where(clipped_pairs(F.col("blocks"), F.col("call.loc"), base_clip, matches_only))
     placed = calls.withColumn("offset", F.col("call.offset"))

@@ -156,3 +156,32 @@ def test_normalised_like_the_column_expression(spark, method):
     want = [r[0] for r in df.orderBy("i").select(S.normalised(F.col("x"), method)).collect()]
     got = gather.normalised(np.concatenate(lists), np.array([len(x) for x in lists]), method)
     assert got == pytest.approx(np.concatenate([w for w in want if w]), abs=2e-6)
+
+
+def test_placed_calls_like_decoding_and_looking_up(spark):
+    """One pass gives what decoding and the lookup of references give, over odd tags and CIGARs."""
+    from methloom.functions import cigar as C
+    from methloom.functions import modtags as M
+    from methloom.functions import walks as V
+    from methloom.operators.joins import forward_sequence
+
+    rng, rows = random.Random(12), []
+    for r in reads(80):
+        if r[4] is None or not r[4].isascii():
+            continue
+        forward = turned(r[4]) if r[2] & 16 else r[4]
+        total = forward.count("C")
+        taken = sorted(rng.sample(range(total), rng.randrange(0, total + 1))) if total else []
+        skips = [b - a - 1 for a, b in zip([-1, *taken], taken, strict=False)]
+        kind = rng.randrange(9)
+        mm = None if kind == 0 or not skips else "C+m?," + ",".join(map(str, [*skips[:-1], skips[-1] + 900 * (kind == 1)])) + ";"
+        rows.append((r[3], r[2], r[4], r[5], mm, None if kind == 2 else [rng.randrange(256) for _ in range(len(skips) - (kind == 3))]))
+    rows += [("none", 0, None, None, None, None), ("empty", 16, "", "", "C+m,0;", [1])]
+    df = spark.createDataFrame(rows, "read_id string, flag int, seq string, cigar string, mm string, ml array<int>").withColumn("cigar", C.parse(F.col("cigar")))
+    reverse = F.col("flag").bitwiseAND(16) != 0
+    decoded = df.withColumn("calls", M.decode(F.col("mm"), F.col("ml"), forward_sequence(df), reverse))
+    offsets = V.to_references(V.walk(F.col("cigar")), F.transform("calls", lambda c: c["loc"]))
+    both = F.filter(F.zip_with("calls", offsets, lambda c, o: F.struct(c["loc"].alias("loc"), c["prob"].alias("prob"), o.alias("offset"))), lambda c: c["offset"].isNotNull())
+    want = {r.read_id: r.c or [] for r in decoded.select("read_id", both.alias("c")).collect()}
+    got = {r.read_id: r.c for r in df.select("read_id", gather.placed_calls(F.col("cigar"), M.skips(F.col("mm")), F.col("ml"), F.col("seq"), reverse).alias("c")).collect()}
+    assert got == want and sum(map(len, got.values())) > 100
