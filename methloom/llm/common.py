@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset and the master is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
         base = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="methloom-"))
     return f"{base.rstrip('/')}/methloom-{uuid.uuid4().hex}"
 
