@@ -98,7 +98,8 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 10_000, most: i
     keys = ["contig", "_bin"]
     if (heavy := _heavy_bins(a, b, most)) is not None:
         def cut(df: DataFrame, own: str, other: str) -> DataFrame:
-            place = F.pmod(F.xxhash64(*df.columns), F.coalesce(F.col(f"_parts_{own}"), F.lit(1))).cast("int")
+            hashed = [c for c, t in df.dtypes if "map<" not in t]  # Spark hashes no maps
+            place = F.pmod(F.xxhash64(*hashed), F.coalesce(F.col(f"_parts_{own}"), F.lit(1))).cast("int")
             copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"_parts_{other}"), F.lit(1)) - 1))
             dealt = df.join(heavy, keys, "left").withColumn(f"_in_{own}", place).withColumn(f"_in_{other}", copies)
             return dealt.drop("_parts_a", "_parts_b")

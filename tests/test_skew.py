@@ -28,6 +28,12 @@ def test_overlaps_at_one_deep_locus(spark, hot_a, hot_b):
         assert set(got.columns) == {"contig", "start", "end", "name", "r_start", "r_end", "other"}
 
 
+def test_rows_with_maps(spark):
+    left = spark.createDataFrame(spans(1, 0, 30, "a"), SPAN).withColumn("tags", F.create_map(F.lit("k"), F.col("name")))
+    right = spark.createDataFrame(spans(2, 0, 2, "b"), SPAN).drop("name")
+    assert joins.overlap_join(left, right, 1_000, 10).count() == joins.overlap_join(left, right, 1_000).count() == 60
+
+
 def test_a_deep_bin_is_cut_evenly(spark, monkeypatch):
     left = spark.createDataFrame(spans(1, 50, 20_000, "a"), SPAN)
     right = spark.createDataFrame(spans(2, 50, 2, "b"), SPAN)
