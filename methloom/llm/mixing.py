@@ -9,11 +9,15 @@ evenly over its line from a seeded place. A document takes as many tokens as it
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 
@@ -60,6 +64,56 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return got
 
 
+def least_points(rows: DataFrame, measure: Callable[[Column], Column], spans: dict[int, tuple[float, float, int]], ways: int = 64) -> dict[int, tuple[float, float, int]]:
+    """For each k of ``spans`` (k: low, high, goal) the ends (low, high) of the search and what is left of goal at high.
+
+    The sum of ``measure`` over the rows of k falls as its point grows, is goal or more at low and at most goal at high.
+    A search ends where the sum at high is goal (low is high then), or where no double lies between. A round is one
+    aggregate with at most ``ways`` sums a k; the driver sees these alone."""
+    ends, left = {k: span[:2] for k, span in spans.items()}, {k: span[2] for k, span in spans.items()}
+    while True:
+        points = {}
+        for k, (low, high) in ends.items():
+            spread = np.geomspace if low > 0 and high > 2 * low else np.linspace
+            inside = np.unique(spread(low, high, ways + 2))
+            points[k] = inside[(inside > low) & (inside < high)].tolist() if left[k] else []
+        asked = [(k, p) for k, p in points.items() if p]
+        if not asked:
+            return {k: (high if not left[k] else low, high, left[k]) for k, (low, high) in ends.items()}
+        asked = rows.sparkSession.createDataFrame(asked, "k int, points array<double>")
+        each = rows.join(asked, "k").select("*", F.posexplode("points").alias("i", "point"))
+        sums = each.groupBy("k", "i").agg(F.sum(measure(F.col("point"))).alias("n")).collect()
+        for k, i, n in sorted(sums, key=lambda r: (r["k"], r["i"])):
+            low, high = ends[k]
+            point, goal = points[k][i], spans[k][2]
+            if n > goal:
+                ends[k] = (point, high)
+            elif point < high:
+                ends[k], left[k] = (low, point), goal - n
+
+
+def quotas(shards: DataFrame, seats: dict[int, int], most: int) -> DataFrame:
+    """``shards`` (k, shard, tokens, blocks) with their quota of the ``seats`` of k, by the highest quotients
+    tokens / (2 s + 1), none above ``most`` times its blocks; equal quotients go by shard number.
+
+    The divisor of each k is searched by aggregates over its shards, and so is the last shard that gets one of the seats
+    left between equal quotients. The driver holds a row a source."""
+    at = lambda d: F.least(F.floor(F.col("tokens") / d + 0.5), F.col("blocks") * most)
+    tops = {r["k"]: r for r in shards.groupBy("k").agg(F.max("tokens").alias("tokens"), F.max("shard").alias("shard")).collect()}
+    found = least_points(shards, at, {k: (1 / (2 * n + 2), max(4.0 * tops[k]["tokens"], 1.0), n) for k, n in seats.items()})
+    local = lambda rows, schema: shards.sparkSession.createDataFrame(rows, schema)
+    ends = local([(k, low, high) for k, (low, high, _) in found.items()], "k int, low double, high double")
+    marked = shards.join(ends, "k").withColumn("tie", at(F.col("low")) > at(F.col("high")))
+    # A tie's shard gets a seat if its number is below the source's mark.
+    below = lambda p: (F.col("shard") + p < F.col("n")).cast("int")
+    n = {k: tops[k]["shard"] + 1 for k in found}
+    counted = local(list(n.items()), "k int, n int")
+    ties = least_points(marked.where("tie").join(counted, "k"), below, {k: (-1.0, float(n[k]), left) for k, (_, _, left) in found.items() if left})
+    marks = local([(k, float(n[k] - ties[k][1]) if k in ties else 0.0) for k in found], "k int, mark double")
+    extra = (F.col("tie") & (F.col("shard") < F.col("mark"))).cast("int")
+    return marked.join(marks, "k").select(*shards.columns, (at(F.col("high")) + extra).alias("quota"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0,
         block: int = 32, shard_docs: int = 20_000, seed: int = 1, whole: bool = False) -> DataFrame:
     """One row a document: doc_id, size, source, source_size, target, taken; with ``whole`` all its columns,
@@ -67,9 +121,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
     Sources go by code point, null last (a source of its own), and take ``weights`` in turn. A null
     or empty text has size 0 and takes 0. Equal doc_ids are ordered by a hash of their text; fully
-    equal rows share one place and are interchangeable; texts of any length are counted whole. The tables that meet on the driver hold a
-    row a source and a row a shard (``shard_docs`` documents): the mixture's own table. Other
-    columns are ignored."""
+    equal rows share one place and are interchangeable; texts of any length are counted whole. The driver's table
+    holds a row a source, the mixture's own table; the table of shards (``shard_docs`` documents each) stays distributed.
+    Other columns are ignored."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []
     base = docs.select(
         "doc_id", "source", F.xxhash64("text").alias("_t"), *row,
@@ -78,41 +132,34 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     spark = docs.sparkSession
     n_shards = max(8, -(-base.count() // shard_docs))
     base = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", "_t", F.lit(seed)), F.lit(n_shards)).cast("int"))
-    shards = base.groupBy("source", "shard").agg(F.sum("size").alias("tokens")).toPandas()
+    # One key without nulls, so that places and quotas meet in one shuffle.
+    base = base.withColumn("line", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "shard"))
+    shards = written(base.groupBy("line").agg(F.sum("size").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / block)))
     mixed = ("doc_id", "size", "source", "source_size", "target", "taken")
     kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in mixed] if whole else []
-    if shards.empty:
+    sums = shards.groupBy("line.none", "line.name").agg(F.sum("tokens").alias("tokens"), F.sum("blocks").alias("blocks")).collect()
+    if not sums:
         return base.select("doc_id", "size", "source", F.lit(0).cast("long").alias("source_size"),
                            F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), *kept)
-    named = sorted({s for s in shards["source"] if isinstance(s, str)}, key=lambda s: [ord(c) for c in s])
-    order = {s: i for i, s in enumerate(named)}
-    shards["k"] = [order.get(s, len(named)) if isinstance(s, str) else len(named) for s in shards["source"]]
-    shards = shards.sort_values(["k", "shard"], ignore_index=True)
-    sizes = shards.groupby("k")["tokens"].sum()
-    ks = sizes.index.to_numpy()
-    goal = targets(sizes.tolist(), [weights[k % len(weights)] for k in ks], share, most)
-    blocks = -(-shards["tokens"].to_numpy() // block)
-    shards["blocks"] = blocks
-    caps = shards.groupby("k")["blocks"].sum().to_numpy() * int(most)
+    # Strings compare by code point; weights count the sources from the first.
+    sums.sort(key=lambda r: (r["none"], r["name"]))
+    sizes, blocks = (np.array([r[c] for r in sums], dtype=np.int64) for c in ("tokens", "blocks"))
+    goal = targets(sizes.tolist(), [weights[k % len(weights)] for k in range(len(sums))], share, most)
+    caps = blocks * int(most)
     # Targets in blocks as full as the source's own are on average (the last of a shard is cut short).
-    votes = goal * (caps / int(most)) / np.maximum(sizes.to_numpy(), 1)
-    quota = sainte_lague(votes, round(votes.sum()), caps)
-    rows = []
-    for k, t, size, q in zip(ks, goal, sizes, quota, strict=True):
-        own = shards[shards["k"] == k]
-        part = sainte_lague(own["tokens"].to_numpy(), q, own["blocks"].to_numpy() * int(most))
-        rows += [
-            (named[k] if k < len(named) else None, int(s), int(size), float(t), int(b), int(p))
-            for s, b, p in zip(own["shard"], own["blocks"], part, strict=True)
-        ]
-    plan = spark.createDataFrame(
-        rows, "_source string, _shard int, source_size long, target double, blocks long, quota long"
+    votes = goal * blocks / np.maximum(sizes, 1)
+    seats = sainte_lague(votes, round(votes.sum()), caps)
+    table = spark.createDataFrame(
+        [(k, r["none"], r["name"], int(sizes[k]), float(goal[k])) for k, r in enumerate(sums)],
+        "k int, none boolean, name string, source_size long, target double",
     )
+    numbered = shards.select("line", "line.*", "tokens", "blocks").join(table, ["none", "name"]).drop("none", "name")
+    plan = quotas(numbered, {k: int(n) for k, n in enumerate(seats)}, int(most)).drop("k", "shard", "tokens")
     # Place of each document on its shard's line; a shard holds about shard_docs documents of all sources.
-    line = W.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "_t", "size")
+    line = W.partitionBy("line").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "_t", "size")
     placed = base.withColumn("stop", F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)))
     placed = placed.withColumn("start", F.col("stop") - F.col("size"))
-    joined = placed.join(plan, (F.col("source").eqNullSafe(F.col("_source"))) & (F.col("shard") == F.col("_shard")))
+    joined = placed.join(plan, "line")
     chosen = _chosen_tokens(F.col("start"), F.col("stop"), block, seed)
     rounds = F.floor(F.col("quota") / F.greatest("blocks", F.lit(1)))
     return joined.select(

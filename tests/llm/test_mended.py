@@ -1,11 +1,16 @@
 """Cases that once went wrong: links over rows without an id, long words, learning from rows without an id,
-licenses that differ by a word."""
+licenses that differ by a word, mixtures block by block."""
+
+import collections
+import random
+import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from methloom.llm import language, licenses, simhash
+from methloom.llm import language, licenses, mixing, simhash
 
 
 def test_links_over_a_fingerprint_without_id(spark, monkeypatch):
@@ -64,3 +69,69 @@ def test_telling_words(spark):
         if label is not None and own - ({label} - {""}) or (label and label not in got[i].labels.split(",")):
             wrong[i] = (text, label, got[i].labels)
     assert not wrong
+
+
+def places_of(spark, docs, n_shards, seed=1):
+    """Rows of ``docs`` on their shards' lines: {(source, shard): [(doc_id, size), ...]} in the seeded order."""
+    word = re.compile(rb"[^\x20\x09-\x0D]+")
+    shard = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)), F.lit(n_shards)).cast("int")
+    rows = docs.select("doc_id", "text", "source", shard.alias("shard"), F.xxhash64("doc_id", F.lit(seed + 1)).alias("h")).collect()
+    lines = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.h, r.doc_id)):
+        lines[r.source, r.shard].append((r.doc_id, len(word.findall((r.text or "").encode()))))
+    return lines
+
+
+@pytest.mark.parametrize("shard_docs", [20_000, 40])
+def test_mixing_takes_the_blocks_it_chose(spark, shard_docs):
+    """``taken`` of every document, block by block: quotas by single seats, blocks by the spread walk."""
+    rng, most, block = random.Random(4), 2, 32
+    docs = spark.createDataFrame(
+        [(i, " ".join("w" * rng.randrange(0, 90)) if i % 9 else None, rng.choice(["a", "b", "b", "b", "c", "", None])) for i in range(400)],
+        "doc_id long, text string, source string",
+    )
+    got = {r.doc_id: r for r in mixing.mix(docs, shard_docs=shard_docs).collect()}
+    lines = places_of(spark, docs, max(8, -(-400 // shard_docs)))
+    shards = {key: sum(size for _, size in own) for key, own in lines.items()}
+    names = sorted({k[0] for k in lines if k[0] is not None}) + [None]
+    size, blocks = collections.Counter(), collections.Counter()
+    for (source, _), n in shards.items():
+        size[source] += n
+        blocks[source] += -(-n // block)
+    goal = mixing.targets([size[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))])
+    votes = [g * blocks[s] / size[s] for g, s in zip(goal, names, strict=True)]
+    seats = by_single_seats(votes, round(sum(votes)), [most * blocks[s] for s in names])
+    starts = {(r.source, r.shard): r.c for r in spark.createDataFrame([(*k, max(-(-n // block), 1)) for k, n in shards.items()], "source string, shard int, n long")
+              .select("source", "shard", F.pmod(F.xxhash64("source", "shard", F.lit(1)), "n").alias("c")).collect()}
+    for s, n in zip(names, seats, strict=True):
+        own = sorted((k for k in shards if k[0] == s), key=lambda k: k[1])
+        for key, quota in zip(own, by_single_seats([shards[k] for k in own], n, [most * -(-shards[k] // block) for k in own]), strict=True):
+            whole, rest = divmod(quota, max(-(-shards[key] // block), 1))
+            n_blocks, at = max(-(-shards[key] // block), 1), 0
+            walk = [(i + starts[key] + 1) * rest // n_blocks - (i + starts[key]) * rest // n_blocks for i in range(n_blocks)]
+            assert sum(walk) == rest
+            for doc, n_words in lines[key]:
+                want = whole * n_words + sum(walk[t // block] for t in range(at, at + n_words))
+                assert (got[doc].size, got[doc].taken) == (n_words, want)
+                at += n_words
+
+
+def by_single_seats(votes, seats, most):
+    """Highest quotients one at a time, equal ones by position."""
+    out = [0] * len(votes)
+    for _ in range(min(seats, sum(m for v, m in zip(votes, most, strict=True) if v > 0))):
+        quotient = [Fraction(v) / (2 * g + 1) if g < m else -1 for v, g, m in zip(votes, out, most, strict=True)]
+        out[quotient.index(max(quotient))] += 1
+    return out
+
+
+def test_quotas_of_shards_are_exact(spark):
+    """Ties without end, caps that bind, empty shards, sources without seats: as by single seats."""
+    rng = random.Random(9)
+    tokens = {0: [64] * 50, 1: [rng.randrange(1, 500) for _ in range(40)], 2: [0] * 5, 3: [1] * 30 + [10_000], 4: [7], 5: [rng.choice([0, 1, 33]) for _ in range(60)]}
+    seats = {0: 173, 1: 211, 2: 0, 3: 600, 4: 2, 5: 41}
+    rows = [(k, i, t, -(-t // 32)) for k, own in tokens.items() for i, t in enumerate(own)]
+    shards = spark.createDataFrame(rows, "k int, shard int, tokens long, blocks long")
+    got = {(r.k, r.shard): r.quota for r in mixing.quotas(shards, seats, 2).collect()}
+    for k, own in tokens.items():
+        assert [got[k, i] for i in range(len(own))] == by_single_seats(own, seats[k], [2 * -(-t // 32) for t in own]), k
