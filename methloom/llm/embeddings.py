@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mixed, written
+from .common import components, mixed, scratch, written
 
 COSINE = 0.9
 #: Slack in angles for arithmetic in doubles, so that bounds never exclude a partner.
@@ -173,13 +173,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, **parameters) ->
     valid = F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("gid", F.when(valid, F.col("gid")))
     distinct = written(rows.where("gid is not null").groupBy("gid", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low")))
-    found = None
-    for r in distinct.select(F.size("embedding").alias("n")).distinct().collect():  # lengths: one, as a rule
-        got = links(distinct.where(F.size("embedding") == r["n"]), cosine, **parameters)
-        found = got if found is None else found.union(got)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "gid long, n long, root long")
-    found = written(found)
+    # A table of links grows by a job for each length that two vectors or more have (one length, as a rule).
+    path, schema = scratch(vectors.sparkSession), "gid long, n long, root long"
+    vectors.sparkSession.createDataFrame([], schema).write.parquet(path)
+    for r in distinct.groupBy(F.size("embedding").alias("n")).count().where("count > 1").collect():
+        links(distinct.where(F.size("embedding") == r["n"]), cosine, **parameters).write.mode("append").parquet(path)
+    found = vectors.sparkSession.read.schema(schema).parquet(path)
     comps = components(found.select(F.col("gid").alias("src"), F.col("root").alias("dst")))
     counts = found.groupBy("gid").agg(F.sum("n").alias("n"))
     named = distinct.select("gid", "low", "copies").join(comps.withColumnRenamed("node", "gid"), "gid", "left")

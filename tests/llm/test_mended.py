@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from methloom.llm import language, licenses, mixing, simhash
+from methloom.llm import embeddings, language, licenses, mixing, simhash
 
 
 def test_links_over_a_fingerprint_without_id(spark, monkeypatch):
@@ -135,3 +135,19 @@ def test_quotas_of_shards_are_exact(spark):
     got = {(r.k, r.shard): r.quota for r in mixing.quotas(shards, seats, 2).collect()}
     for k, own in tokens.items():
         assert [got[k, i] for i in range(len(own))] == by_single_seats(own, seats[k], [2 * -(-t // 32) for t in own]), k
+
+
+def test_vectors_of_many_lengths(spark):
+    """Each length links its own vectors; a vector alone in its length links with its copies only."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in range(1, 7):
+        base = rng.normal(size=(3, n))
+        rows += [(10 * n + i, v.tolist()) for i, v in enumerate([*base, base[0] * 2 + 1e-3])]
+    rows += [(100, [1.0] * 9), (101, [1.0] * 9), (102, [1.0] * 12), (103, []), (104, None)]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    vectors = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v}
+    for i, _ in rows:
+        near = [j for j in vectors if i in vectors and j != i and len(vectors[j]) == len(vectors[i]) and vectors[i] @ vectors[j] >= 0.9]
+        assert got[i].n_links == len(near), i
+    assert got[101].component_id == 100 and got[102].kept and got[104].kept
