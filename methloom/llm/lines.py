@@ -17,12 +17,12 @@ Sets are 32-bit hashes, so a false match of two runs is possible, too.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, discard, written
@@ -71,7 +71,7 @@ def alike(a: Column, b: Column, similarity: float) -> Column:
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
-    """(lid, sketch, key) of every distinct line and band. Equal lines meet in the partial aggregate. A row
+    """(lid, sketch, keys) of every distinct line: a key for each band. Equal lines meet in the partial aggregate. A row
     holds four runs, so the aggregate looks a line up once for them (a line's last run may come again)."""
     rng = random.Random(6)
     low, places = (1 << 31) - 1, range(4)
@@ -87,7 +87,7 @@ def band_keys(lines: DataFrame) -> DataFrame:
     keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     nibble = lambda k: F.shiftleft(F.shiftright(f"m{k}", 12).bitwiseAND(15).cast("long"), 4 * k)
     sketch = reduce(lambda a, b: a.bitwiseOR(b), map(nibble, range(16)))
-    return mins.select("lid", sketch.alias("sketch"), F.explode(F.array(*keys)).alias("key"))
+    return mins.select("lid", sketch.alias("sketch"), F.array(*keys).alias("keys"))
 
 
 def _promising(a: Column, b: Column) -> Column:
@@ -98,61 +98,85 @@ def _promising(a: Column, b: Column) -> Column:
     return F.bit_count(apart) <= 16 - ALIKE
 
 
-def met(keys: DataFrame) -> DataFrame:
-    """The rows of ``keys`` (key, lid, sketch) whose key more than one lid has."""
-    return written(keys.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").drop("n"))
+def met(lines: DataFrame) -> DataFrame:
+    """(key, lid, sketch, rep, rep_sketch) of the keys that more than one of ``lines`` (lid, sketch, keys) has.
+    A bucket's smallest lid is its representative. Buckets are counted by partial aggregates and their rows
+    meet one row each, so a bucket of any size is many tasks' work."""
+    lines = written(lines)
+    each = lines.select("lid", "sketch", F.explode("keys").alias("key"))
+    buckets = each.groupBy("key").agg(F.count("*").alias("n"), F.min("lid").alias("rep"), F.min_by("sketch", "lid").alias("rep_sketch"))
+    members = written(each.join(buckets.where("n > 1").drop("n"), "key"))
+    discard(lines)
+    return members
 
 
 def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """``rows`` (key, lid, sketch) with their component, of the buckets that are not all of one."""
+    """``rows`` (key, lid, sketch) with their component and their bucket's largest one (main), of the buckets
+    that are not all of one."""
     labelled = rows.join(comps, rows["lid"] == comps["node"], "left").select("key", "lid", "sketch", F.coalesce("component", "lid").alias("component"))
-    bucket = W.partitionBy("key")
-    ends = labelled.withColumn("a", F.min("component").over(bucket)).withColumn("z", F.max("component").over(bucket))
-    return written(ends.where("a <> z").drop("a", "z"))
+    labelled = written(labelled)
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mains = parts.groupBy("key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    out = written(labelled.join(mains.where("k > 1").drop("k"), "key"))
+    discard(labelled)
+    return out
+
+
+def _classed(rows: DataFrame, similarity: float, near: bool) -> DataFrame:
+    """``rows`` with the class of their number of ``runs``, two steps of 1/similarity wide; with ``near`` a row
+    for each class (one or two) in which sets of that similarity can be."""
+    place = F.log(F.size("runs")) / max(-math.log(similarity), 0.01)
+    at = lambda d: F.floor((place + d) / 2).cast("int")
+    # A hair more than a step, so that rounding hides no class.
+    return rows.withColumn("size_class", F.explode(F.array_distinct(F.array(at(-1.001), at(1.001)))) if near else at(0))
 
 
 def _rest(left: DataFrame, sets: Callable[[DataFrame], DataFrame], long: DataFrame | None, similar: Callable[[DataFrame], DataFrame], promising, similarity: float) -> list[DataFrame]:
     """Tables (src, dst) of the links that are left in buckets of several components. ``left`` has key, lid,
-    sketch, component.
+    sketch, component, main.
 
-    A bucket's largest component is its home. A line away from it is compared with the home's lines of all
-    open buckets at once, so a line's set moves once, whatever the number of its buckets."""
-    counts = left.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    rows = written(left.join(counts, "key"))
+    A bucket's largest component (main) is its home. A line away from it is compared with the home's lines of all
+    open buckets at once, so a line's set moves once or twice, whatever the number of its buckets. Lines
+    whose numbers of runs are too far apart never meet."""
+    rows = left
     x, y = F.col("x.sketch"), F.col("y.sketch")
     exact = promising(x, y) & alike(F.col("x.runs"), F.col("y.runs"), similarity)
     away, home = rows.where("component <> main"), rows.where("component = main")
-    faces = sets(away.select("lid", "sketch", "main").distinct()).alias("x")
-    homes = sets(home.select("lid", "sketch", "main").distinct()).alias("y")
-    found = written(faces.join(homes, (F.col("x.main") == F.col("y.main")) & exact, "left_semi").select("lid", "main"))
+    faces = _classed(sets(away.select("lid", "sketch", "main").distinct()), similarity, True).alias("x")
+    homes = _classed(sets(home.select("lid", "sketch", "main").distinct()), similarity, False).alias("y")
+    sized = F.col("x.size_class") == F.col("y.size_class")
+    found = written(faces.join(homes, (F.col("x.main") == F.col("y.main")) & sized & exact, "left_semi").select("lid", "main"))
     # Lines without a partner at home, with the others that are away in their buckets.
     lone = written(away.join(found, ["lid", "main"], "left_anti").select("key", "lid", "sketch", "component"))
     others = away.join(lone.select("key").distinct(), "key", "left_semi").select("key", "lid", "sketch", "component")
     differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-    met_ = written(sets(lone).alias("x").join(sets(others).alias("y"), differ & exact).select(F.col("x.lid").alias("src"), F.col("y.lid").alias("dst")).distinct())
+    met_ = written(_classed(sets(lone), similarity, True).alias("x").join(_classed(sets(others), similarity, False).alias("y"), differ & sized & exact).select(F.col("x.lid").alias("src"), F.col("y.lid").alias("dst")).distinct())
     out = [found.select(F.col("lid").alias("src"), F.col("main").alias("dst")), met_]
     if long is not None:
         pairs = rows.join(long, "lid", "left_semi").alias("x").join(rows.alias("y"), differ & promising(x, y))
         pairs = pairs.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct()
         out.append(written(similar(pairs)))
-    discard(rows)
     discard(lone)
     return out
 
 
+def dealt_to(pairs: int) -> int:
+    """Tasks for so many pairs of texts: about 2,000 pairs each, more of them beyond 20,000 tasks."""
+    return min(1 + pairs // 2000, 20_000)
+
+
 def grouped(members: DataFrame, similar: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame],
             similarity: float, promising=_promising, long: DataFrame | None = None) -> DataFrame:
-    """(node, component) of the lids of ``members`` (key, lid, sketch) that are similar to another of their buckets.
+    """(node, component) of the lids of ``members`` (as ``met`` gives them) that are similar to another of their buckets.
 
     ``similar`` gives the links (src, dst) among pairs (a, b); ``sets`` adds their sets (runs) to rows of
     lids, null for those of ``long``, which ``similar`` compares."""
-    bucket = W.partitionBy("key")
-    led = members.withColumn("rep", F.min_by(F.struct("lid", "sketch"), F.xxhash64("lid", F.lit(1))).over(bucket))
-    pairs = led.where((F.col("lid") != F.col("rep.lid")) & promising(F.col("sketch"), F.col("rep.sketch")))
-    found = written(similar(pairs.select(F.least("lid", "rep.lid").alias("a"), F.greatest("lid", "rep.lid").alias("b")).distinct()))
+    others = members.where("lid <> rep")
+    pairs = others.where(promising(F.col("sketch"), F.col("rep_sketch")))
+    found = written(similar(pairs.select(F.col("rep").alias("a"), F.col("lid").alias("b")).distinct()))
     comps = components(found)
     # A representative has met its whole bucket, and a bucket of two lines is done.
-    left = _open(led.where("lid <> rep.lid").select("key", "lid", "sketch"), comps)
+    left = _open(others.select("key", "lid", "sketch"), comps)
     if not left.isEmpty():
         rest = _rest(left, sets, long, similar, promising, similarity)
         comps = components(reduce(DataFrame.union, rest, found))
@@ -173,7 +197,7 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, long: int =
 
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs)
-        n = 1 + pairs.count() // 2000
+        n = dealt_to(pairs.count())
         a = texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"))
         b = texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b"))
         both = pairs.join(a, "a").repartition(n, "b").join(b, "b")

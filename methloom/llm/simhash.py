@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, components, mixed, pieces, written
-from .lines import LONG, grouped, met
+from .lines import LONG, dealt_to, grouped, met
 
 RADIUS = 3
 SHINGLE = 3
@@ -200,13 +200,13 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     rows = written(text.mapInArrow(run, "doc_id long, tid long, lid long, sketch long, keys array<long>"))
     distinct = rows.groupBy("lid").agg(F.min(F.struct("tid", "sketch", "keys")).alias("x"))
-    members = met(distinct.select("lid", "x.sketch", F.explode("x.keys").alias("key")))
+    members = met(distinct.select("lid", "x.sketch", "x.keys"))
     wanted = distinct.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "x.tid")
     texts = written(text.join(wanted, "tid").groupBy("lid").agg(F.min("text").alias("text")))
 
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs)
-        n = 1 + pairs.count() // 2000
+        n = dealt_to(pairs.count())
         both = pairs.join(texts.toDF("a", "text_a"), "a").repartition(n, "b").join(texts.toDF("b", "text_b"), "b")
 
         def compare(batches):
