@@ -151,3 +151,20 @@ def test_vectors_of_many_lengths(spark):
         near = [j for j in vectors if i in vectors and j != i and len(vectors[j]) == len(vectors[i]) and vectors[i] @ vectors[j] >= 0.9]
         assert got[i].n_links == len(near), i
     assert got[101].component_id == 100 and got[102].kept and got[104].kept
+
+
+def test_sets_of_near_sizes_share_a_size_class(spark):
+    """Any two sizes of a ratio of 0.8 or more have a class in common, exact ratios (4 and 5) too; far ones have none."""
+    from methloom.llm import lines
+
+    sets = spark.range(1, 401).selectExpr("id", "sequence(1, int(id)) as runs")
+    one = {r.id: r.size_class for r in lines._classed(sets, 0.8, False).select("id", "size_class").collect()}
+    near = {}
+    for r in lines._classed(sets, 0.8, True).select("id", "size_class").collect():
+        near.setdefault(r.id, set()).add(r.size_class)
+    for a in range(1, 401):
+        for b in range(1, 401):
+            if min(a, b) * 5 >= max(a, b) * 4:
+                assert one[b] in near[a], (a, b)
+            elif max(a, b) > 3 * min(a, b):
+                assert one[b] not in near[a], (a, b)
