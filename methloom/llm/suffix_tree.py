@@ -11,9 +11,12 @@ Tishby 1996, with absolute counts). A state's distribution is smoothed with the
 number of symbols seen (Witten and Bell), so it sums to one; a token is scored by its longest state.
 
 A branch may be too large for a part. Contexts that occur more than ``part_tokens`` times are the
-*head*: each takes ``p_min`` of the corpus or less often does not count as an entry there, so the head has
-at most 1/p_min entries a level and goes to all tasks; its tokens are dealt by one more word, and
-tokens whose whole context is in the head are scored where they are read.
+*head*. They are learned by joins and aggregates over all of their next words; their number, how many kinds
+of next word each has and whether it is a state go to all tasks, with the next words that take ``p_min`` of the
+corpus or more (at most 1/p_min a level). Tokens of the head are dealt by one more word. What the head says of a token
+that is not listed so is asked: the texts send each such (context, next word) once a piece to a part of its own,
+which has all of its counts and tells the parts that need it. So the size of a part decides
+where a token is scored and never how.
 
 Tokens travel in packed arrays, some ten bytes each, once: from the texts to the parts. Parts answer with
 one number a document (and the counts of rare words, which a word's own part knows).
@@ -28,6 +31,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -118,7 +122,8 @@ class Codes:
 @dataclass
 class Model:
     """What all tasks know: common words, totals, and the head's levels (sorted contexts, whether each is a
-    state, the log of its rest, sorted context index << 32 | symbol of its entries, their log probability)."""
+    state, the log of what its listed entries leave to others, sorted context index << 32 | symbol of its listed
+    entries, their log probability, how many tokens and how many kinds of them follow it)."""
 
     words: np.ndarray
     ranks: np.ndarray
@@ -159,33 +164,61 @@ class Model:
             out[at[_looked_up(level[0], self.context([w[at] for w in words[:k]])) >= 0]] = k
         return out
 
-    def head_log(self, words: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray) -> np.ndarray:
-        """Log probability of each token after its first ``levels`` levels, which are in the head."""
-        out = self.root(symbol)
-        for k, (contexts, is_state, rest, entries, logs) in enumerate(self.levels, 1):
+    def head(self, words: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each token after its first ``levels`` levels, which are in the head, and the first level
+        that does not list it (0: all do, and the probability is exact; else it shares alike what the listed ones leave)."""
+        out, first = self.root(symbol), np.zeros(len(symbol), dtype=np.uint8)
+        for k, (contexts, is_state, rest, entries, logs, _, _) in enumerate(self.levels, 1):
             at = np.flatnonzero(levels >= k)
             state = _looked_up(contexts, self.context([w[at] for w in words[:k]]))
             at, state = at[is_state[state]], state[is_state[state]]
             entry = _looked_up(entries, state << 32 | np.minimum(symbol[at], RARE).astype(np.int64))
             out[at] = np.where(entry >= 0, logs[entry] if len(logs) else 0.0, out[at] + rest[state])
-        return out
+            new = at[entry < 0]
+            first[new] = np.where(first[new] == 0, k, first[new])
+        return out, first
 
-    def add_level(self, contexts: np.ndarray, totals: np.ndarray, at: np.ndarray, symbol: np.ndarray, count: np.ndarray, last_words) -> None:
-        """contexts (sorted) and all tokens after each; its entries: context index, symbol, count."""
-        words = last_words(contexts[at]) if len(at) else [np.empty(0, np.int64)]
-        lower = self.head_log(words, symbol, np.full(len(at), len(self.levels)))
-        inside, kinds = np.bincount(at, count, len(contexts)), np.bincount(at, minlength=len(contexts))
-        said = np.bincount(at, np.exp(lower), len(contexts))
-        won = np.bincount(at, count * (np.log(count / totals[at]) - lower), len(contexts)).astype(float)
-        out = totals - inside
-        some = out > 0
-        won[some] += out[some] * np.log(out[some] / totals[some] / np.maximum(1 - said[some], 1e-12))
-        left = out + np.maximum(kinds, 1)
-        whole = totals + np.maximum(kinds, 1)
-        logs = np.log((count + left[at] * np.exp(lower)) / whole[at])
+    def head_log(self, words: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        return self.head(words, symbol, levels)[0]
+
+    def told(self, words: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Exact log probability of tokens that level ``first`` does not list, after ``levels`` levels; the tokens hold,
+        with their counts in training, all there are of each (context of that level, symbol)."""
+        log = self.head_log(words, symbol, first - 1)
+        for k, (contexts, is_state, _, _, _, totals, kinds) in enumerate(self.levels, 1):
+            at = np.flatnonzero((first <= k) & (levels >= k))
+            state = _looked_up(contexts, self.context([w[at] for w in words[:k]]))
+            at, state = at[is_state[state]], state[is_state[state]]
+            _, gram = np.unique(_gram([w[at] for w in words], symbol[at], np.full(len(at), k)), return_inverse=True)
+            c = np.bincount(gram, count[at])[gram] if len(at) else np.empty(0)
+            log[at] = np.log((c + kinds[state] * np.exp(log[at])) / (totals[state] + kinds[state]))
+        return log
+
+    def add_level(self, contexts: np.ndarray, is_state: np.ndarray, totals: np.ndarray, kinds: np.ndarray, at: np.ndarray, symbol: np.ndarray, lower: np.ndarray, logs: np.ndarray) -> None:
+        """contexts (sorted), and the listed entries: context index, symbol, log probability without and with this level."""
+        left = 1 - np.bincount(at, np.exp(logs), len(contexts))
+        below = 1 - np.bincount(at, np.exp(lower), len(contexts))
         code = at.astype(np.int64) << 32 | symbol.astype(np.int64)
         order = np.argsort(code)
-        self.levels.append((contexts, won > self.gain * (kinds + some), np.log(left / whole), code[order], logs[order]))
+        self.levels.append((contexts, is_state, np.log(np.maximum(left, 1e-12) / np.maximum(below, 1e-12)), code[order], logs[order], totals, kinds))
+
+
+def _gram(words: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Key of each token with its first ``levels`` words before, which are in the head."""
+    low, key = np.uint64(0xFFFFFFFF), np.zeros(len(symbol), dtype=np.uint64)
+    for k, w in enumerate(words, 1):
+        at = np.flatnonzero(levels >= k)
+        key[at] = mixed(key[at] * np.uint64(BASE) + w[at].astype(np.uint64) + np.uint64(k))
+    return mixed(key ^ ((symbol.astype(np.uint64) & low) * np.uint64(BASE)))
+
+
+def _part(words: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray, n_parts: int) -> np.ndarray:
+    """The part of each token: of the first words before it that are not in the head; where all are, of them and itself."""
+    key, low = words[0].copy(), np.uint64(0xFFFFFFFF)
+    for k in range(1, len(words) + 1):
+        at = np.flatnonzero(levels >= k)
+        key[at] = mixed(key[at] * np.uint64(BASE) + (words[k][at] if k < len(words) else symbol[at] & low) + np.uint64(k))
+    return (mixed(key * np.uint64(BASE) + np.uint64(7)) % np.uint64(n_parts)).astype(np.uint16 if n_parts < 1 << 16 else np.uint32)
 
 
 def learn_head(docs: DataFrame, folds: int, fold: int, depth: int, least: int, gain: float, p_min: float, part_tokens: int) -> Model:
@@ -217,7 +250,7 @@ def learn_head(docs: DataFrame, folds: int, fold: int, depth: int, least: int, g
         codes = Codes(model.words, model.ranks)
         for b in pieces(batches, "text", PIECE):
             symbol, words, _ = _sequence(b.column("text").to_pylist(), codes, model.depth)
-            symbol, inside = np.minimum(symbol, RARE), np.arange(len(symbol))
+            symbol, inside = symbol & np.uint64(0xFFFFFFFF), np.arange(len(symbol))
             for k in range(1, model.depth + 1):
                 inside = inside[words[k - 1][inside] <= hot]
                 own = [w[inside] for w in words[:k]]
@@ -229,20 +262,46 @@ def learn_head(docs: DataFrame, folds: int, fold: int, depth: int, least: int, g
     text = training.select(F.col("text").cast("binary").alias("text"))
     table = written(text.mapInArrow(grams, "level int, context long, symbol long, c long").groupBy("level", "context", "symbol").agg(F.sum("c").alias("c")))
     sums = table.groupBy("level", "context").agg(F.sum("c").alias("n")).where(F.col("n") >= floor)
-    contexts = sums.toPandas()  # at most 2**16 rows a level
-    entries = table.join(F.broadcast(sums), ["level", "context"]).where((F.col("symbol") < RARE) & (F.col("c") >= p_min * total)).toPandas()  # at most 1 / p_min rows a level
+
+    def rooted(batches):
+        for b in batches:
+            lower = shared.value.root(np.asarray(b.column("symbol")).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lower)], names=[*b.schema.names, "lower"])
+
+    said, spare = None, [table]
     for k in range(1, depth + 1):
-        own = contexts[contexts["level"] == k].sort_values("context")
-        keys, n = own["context"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
-        if not len(keys):
+        own = table.where(F.col("level") == k).join(F.broadcast(sums.where(F.col("level") == k).drop("level")), "context").select("context", "symbol", "c", "n")
+        if said is None:
+            own = own.mapInArrow(rooted, "context long, symbol long, c long, n long, lower double")
+        else:
+            shorter = said.select(F.col("context").alias("shorter"), F.col("symbol").alias("_symbol"), F.col("log").alias("lower"))
+            own = own.join(shorter, (F.shiftright("context", 20) == F.col("shorter")) & (F.col("symbol") == F.col("_symbol"))).select("context", "symbol", "c", "n", "lower")
+        own = written(own)
+        won = F.sum(F.col("c") * (F.log(F.col("c") / F.col("n")) - F.col("lower")))
+        found = own.groupBy("context").agg(F.first("n").alias("total"), F.count("*").alias("kinds"), won.alias("won"))
+        states = written(found.withColumn("is_state", (F.col("total") >= least) & (F.col("won") > gain * F.col("kinds"))))
+        spare += [own, states]
+        contexts = states.toPandas().sort_values("context")  # at most 2**16 rows a level
+        if not len(contexts):
             break
-        mine = entries[entries["level"] == k]
-        last = lambda c, k=k: [c >> 20 * (k - 1 - i) & ((1 << 20) - 1) for i in range(k)]
-        model.add_level(keys, n, _looked_up(keys, mine["context"].to_numpy(np.int64)), mine["symbol"].to_numpy(np.int64), mine["c"].to_numpy(np.int64), last)
-    discard(table)
+        kinds, lower = F.col("kinds"), F.col("lower")
+        log = F.when(F.col("is_state"), F.log((F.col("c") + kinds * F.exp(lower)) / (F.col("n") + kinds))).otherwise(lower)
+        said = own.join(F.broadcast(states.select("context", "kinds", "is_state")), "context").withColumn("log", log)
+        mine = said.where(F.col("is_state") & (F.col("symbol") < RARE) & (F.col("c") >= p_min * total)).select("context", "symbol", "lower", "log").toPandas()  # at most 1 / p_min rows
+        keys = contexts["context"].to_numpy(np.int64)
+        stats = (contexts["is_state"].to_numpy(bool), contexts["total"].to_numpy(np.int64), contexts["kinds"].to_numpy(np.int64))
+        at = _looked_up(keys, mine["context"].to_numpy(np.int64))
+        model.add_level(keys, *stats, at, mine["symbol"].to_numpy(np.int64), mine["lower"].to_numpy(float), mine["log"].to_numpy(float))
+    for df in spare:
+        discard(df)
     return model
 
 
+def _cuts(sorted_: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values start, and the end."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(sorted_)) + 1, [len(sorted_)]]) if len(sorted_) else np.array([0])
+
+
 def _sequence(texts: list[bytes | None], codes: Codes, depth: int):
     """Code of each token, of the 1st, 2nd, ... word before it, and the texts' lengths in tokens."""
     code, lengths = codes.of(texts)
@@ -256,10 +315,17 @@ def _sequence(texts: list[bytes | None], codes: Codes, depth: int):
     return code, words, lengths
 
 
-def _part_logs(model: Model, words: list[np.ndarray], symbol: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each token of a part, and how often its first context word was seen in training."""
+def _part_logs(model: Model, words: list[np.ndarray], symbol: np.ndarray, train: np.ndarray, keys: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each token of a part, and how often its first context word was seen in training. What the
+    head says of tokens that it does not list is ``told`` by sorted ``keys``."""
     levels = model.in_head(words)
-    log = model.head_log(words, symbol, levels)
+    log, first = model.head(words, symbol, levels)
+    asked = np.flatnonzero(first)
+    if len(asked):
+        at = _looked_up(keys, _gram([w[asked] for w in words], symbol[asked], levels[asked]))
+        if (at < 0).any():
+            raise ValueError("a token of the head was not told")
+        log[asked] = told[at]
     context, seen = np.zeros(len(symbol), dtype=np.uint64), np.zeros(len(symbol), dtype=np.uint32)
     for k in range(1, model.depth + 1):
         context = mixed(context * np.uint64(BASE) + words[k - 1] + np.uint64(k))
@@ -298,8 +364,49 @@ def scores(docs: DataFrame, folds: int = 10, fold: int = 0, depth: int = 3, leas
     text = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     n_parts = max(8, -(-model.total // part_tokens))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    ask_types, told_types = (np.uint8, np.uint8) + (np.uint32,) * (depth + 3), (np.uint64, np.float64)
     home_types, sent_types, back_types = (np.int64, np.int64, np.int64, np.float64, np.float64), (np.uint32, np.uint8) + (np.uint32,) * (depth + 2), (np.uint32, np.float32)
 
+    def ask(batches):
+        """(entry, blob): the distinct tokens of a piece that the head does not list, with their count in training and
+        the parts that need them. All of one (context, symbol) are of one entry."""
+        model = shared.value
+        codes = Codes(model.words, model.ranks)
+        for b in pieces(batches, "text", PIECE):
+            held = [held_out(i, folds, fold) for i in b.column("doc_id").to_pylist()]
+            symbol, words, lengths = _sequence(b.column("text").to_pylist(), codes, model.depth)
+            levels = model.in_head(words)
+            at = np.flatnonzero(levels)
+            first = model.head([w[at] for w in words], symbol[at], levels[at])[1]
+            at, first = at[first > 0], first[first > 0]
+            symbol, levels, words = symbol[at], levels[at], [w[at] for w in words]
+            part = _part(words, symbol, levels, n_parts).astype(np.uint32)
+            key = _gram(words, symbol, levels) + part * np.uint64(BASE)
+            _, one, gram = np.unique(key, return_index=True, return_inverse=True)
+            count = np.bincount(gram, ~np.repeat(np.array(held, dtype=bool), lengths)[at], len(one))
+            # Words beyond the head do not tell tokens apart.
+            words = [np.where(levels[one] >= k, w[one], 0) for k, w in enumerate(words, 1)]
+            entry = (_gram(words, symbol[one], first[one]) % np.uint64(n_parts)).astype(np.uint32)
+            order = np.argsort(entry, kind="stable")
+            arrays = [levels[one].astype(np.uint8), first[one], *(x.astype(np.uint32) for x in (part[one], count, *words, symbol[one]))]
+            cuts = _cuts(entry[order])
+            blobs = [_packed(*(x[order[a:z]] for x in arrays)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(entry[order[cuts[:-1]]] if len(order) else [], pa.int64()), pa.array(blobs, pa.binary())], names=["entry", "blob"])
+
+    def answer(t: pa.Table) -> pa.Table:
+        """What the head says of an entry's tokens, for each part (piece -1)."""
+        levels, first, part, count, *words, symbol = (np.concatenate(x) for x in zip(*(_unpacked(x, *ask_types) for x in t.column("blob").to_pylist()), strict=True))
+        log = shared.value.told(words, symbol, levels, first, count)
+        key = _gram(words, symbol, levels)
+        order = np.lexsort((key, part))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(part[order]) != 0) | (np.diff(key[order]) != 0)
+        order = order[new]
+        cuts = _cuts(part[order])
+        blobs = [_packed(key[order[a:z]], log[order[a:z]]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        none = pa.ListArray.from_arrays(pa.array([0] * (len(blobs) + 1), pa.int32()), pa.array([], pa.int64()))
+        return pa.table({"part": pa.array(part[order[cuts[:-1]]].astype(np.int32)), "piece": pa.array([-1] * len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary()), "ids": none})
+
     def deal(batches):
         """(part, piece, blob) of the tokens that meet in a part, and each piece's documents (part -1)."""
         model, piece = shared.value, TaskContext.get().partitionId() << 32
@@ -311,21 +418,19 @@ def scores(docs: DataFrame, folds: int = 10, fold: int = 0, depth: int = 3, leas
             starts, common = np.cumsum(lengths) - lengths, symbol < RARE
             base = np.where(common, known_log[np.where(common, symbol, 0)], 0.0)
             levels = model.in_head(words)
-            here = levels == model.depth
+            whole = np.flatnonzero(levels == model.depth)
+            head_log, first = model.head([w[whole] for w in words], symbol[whole], levels[whole])
+            here = whole[first == 0]
             log = np.zeros(len(symbol))
-            log[here] = model.head_log([w[here] for w in words], symbol[here], levels[here]) / np.log(10.0)
+            log[here] = head_log[first == 0] / np.log(10.0)
             of_doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
-            key = words[0].copy()
-            for k in range(1, model.depth):
-                deeper = levels >= k
-                key[deeper] = mixed(key[deeper] * np.uint64(BASE) + words[k][deeper] + np.uint64(k))
-            part = (mixed(key * np.uint64(BASE) + np.uint64(7)) % np.uint64(n_parts)).astype(np.uint16 if n_parts < 1 << 16 else np.uint32)
-            away = np.flatnonzero(~here)
+            part = _part(words, symbol, levels, n_parts)
+            away = np.delete(np.arange(len(symbol)), here)
             order = away[np.argsort(part[away], kind="stable")]
             train = ~np.repeat(np.array(held, dtype=bool), lengths)
             low = [w.astype(np.uint32) for w in (*words, symbol)]
             high = (words[0] >> np.uint64(32)).astype(np.uint32)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)]]) if len(order) else [0]
+            cuts = _cuts(part[order])
             parts, blobs = [-1], [_packed(*(np.asarray(x) for x in (
                 np.array(held, dtype=np.int64), lengths.astype(np.int64), np.add.reduceat(common.astype(np.int64), starts),
                 np.add.reduceat(base, starts), np.add.reduceat(log, starts))))]
@@ -341,10 +446,15 @@ def scores(docs: DataFrame, folds: int = 10, fold: int = 0, depth: int = 3, leas
 
     def meet(t: pa.Table) -> pa.Table:
         """Learn a part's branches and score its tokens: one answer for each piece."""
-        piece, blobs = t.column("piece").to_pylist(), t.column("blob").to_pylist()
         if t.column("part")[0].as_py() < 0:
             return t.select(["piece", "part", "blob", "ids"])  # a piece's own documents
         model = shared.value
+        told = [_unpacked(x, *told_types) for x in t.filter(pc.less(t.column("piece"), 0)).column("blob").to_pylist()]
+        keys, told = (np.concatenate([x[i] for x in told]) if told else np.empty(0, told_types[i]) for i in (0, 1))
+        order = np.argsort(keys)
+        keys, told = keys[order], told[order]
+        t = t.filter(pc.greater_equal(t.column("piece"), 0))
+        piece, blobs = t.column("piece").to_pylist(), t.column("blob").to_pylist()
         columns = [[] for _ in sent_types]
         for x in blobs:
             for own, got in zip(columns, _unpacked(x, *sent_types), strict=True):
@@ -355,7 +465,7 @@ def scores(docs: DataFrame, folds: int = 10, fold: int = 0, depth: int = 3, leas
         rare_word = words[0] >= RARE
         # The word before is known by its whole hash, if it is rare.
         words[0] = words[0] | high.astype(np.uint64) << np.uint64(32)
-        log, seen = _part_logs(model, words, symbol, train)
+        log, seen = _part_logs(model, words, symbol, train, keys, told)
         base = np.where(rare_word, seen.astype(np.int64), -1)
         out, at = [], 0
         for step in steps:
@@ -389,6 +499,9 @@ def scores(docs: DataFrame, folds: int = 10, fold: int = 0, depth: int = 3, leas
         return pa.table([pa.array(c) for c in columns], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     sent = text.mapInArrow(deal, "part int, piece long, blob binary, ids array<long>")
+    if model.levels:
+        asked = text.mapInArrow(ask, "entry long, blob binary")
+        sent = sent.union(asked.groupBy("entry").applyInArrow(answer, "part int, piece long, blob binary, ids array<long>"))
     spread = F.when(F.col("part") < 0, F.col("piece")).otherwise(F.lit(-1))
     back = sent.groupBy("part", spread.alias("own")).applyInArrow(meet, "piece long, part int, blob binary, ids array<long>")
     out = back.groupBy("piece").applyInArrow(gather, ROW)

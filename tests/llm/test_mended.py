@@ -1,5 +1,5 @@
 """Cases that once went wrong: links over rows without an id, long words, learning from rows without an id,
-licenses that differ by a word, mixtures block by block."""
+licenses that differ by a word, mixtures block by block, a tree that a part's size changed, a stage without its method."""
 
 import collections
 import random
@@ -9,8 +9,9 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_operators import _held, _token_lists, brute_fingerprint, brute_tree, sentence
 
-from methloom.llm import embeddings, language, licenses, mixing, simhash
+from methloom.llm import embeddings, language, licenses, mixing, simhash, suffix_tree
 
 
 def test_links_over_a_fingerprint_without_id(spark, monkeypatch):
@@ -168,3 +169,19 @@ def test_sets_of_near_sizes_share_a_size_class(spark):
                 assert one[b] in near[a], (a, b)
             elif max(a, b) > 3 * min(a, b):
                 assert one[b] not in near[a], (a, b)
+
+
+@pytest.mark.parametrize("p_min", [1e-6, 1e-3, 1e-2])
+@pytest.mark.parametrize("depth", [1, 3])
+def test_suffix_tree_is_the_same_for_parts_of_any_size(spark, p_min, depth):
+    """Scores equal the brute-force tree wherever tokens meet, also of next words too rare to be listed with the head."""
+    rng = random.Random(21)
+    phrases = [sentence(rng, 6, 200) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(phrases) if rng.random() < 0.5 else sentence(rng, 5, 200) for _ in range(rng.randrange(1, 25)))) for i in range(120)]
+    df = spark.createDataFrame([*rows, (None, rows[5][1]), (500, None)], "doc_id long, text string")
+    rows = df.collect()
+    toks, held = _token_lists(rows), _held(rows)
+    want = sorted(brute_tree(toks, held, depth=depth, p_min=p_min)[3])
+    for part_tokens in (10, 100, 750_000):
+        got = sorted(r.score for r in suffix_tree.scores(df, depth=depth, p_min=p_min, part_tokens=part_tokens).collect())
+        assert got == pytest.approx(want, rel=1e-5), part_tokens
