@@ -32,7 +32,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8).
+    """One document of each group of near-duplicates: fingerprints at 3 bits or fewer, as op1 links them, or
+    five-word shingles of a Jaccard similarity of 0.8.
 
     The smallest doc_id of a group stays (null last, then the smallest text hash; of repeated rows all).
     Texts without words, null and empty ones, are one group. Texts of any length count whole; an

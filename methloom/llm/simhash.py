@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, components, mixed, pieces, written
+from .common import BASE, components, discard, mixed, pieces, written
 from .lines import LONG, dealt_to, grouped, met
 
 RADIUS = 3
@@ -181,6 +181,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, tid, component) of each row: tid is the hash of its text, component joins texts whose
+    fingerprints the Golay keys link (RADIUS bits or fewer, as ``near_duplicates``) and texts whose
     sets of five-word shingles are alike. Texts of the same words are one from the start, so are texts
     without words."""
     text = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text"))
@@ -189,16 +190,17 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         for b in pieces(batches, "text"):
             texts = b.column("text").to_pylist()
             lids = np.array([xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split())) for t in texts], dtype=np.uint64)
+            fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64)
             sets = [np.unique(shingles(t, STAGE_SHINGLE)) for t in texts]
             sketch = np.array([_folded(s) for s in sets], dtype=np.uint64)
             keys = np.concatenate([band_keys(s) for s in sets]).view(np.int64)
             ends = pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("tid"), pa.array(lids.view(np.int64)), pa.array(sketch.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys))],
-                names=["doc_id", "tid", "lid", "sketch", "keys"],
+                [b.column("doc_id"), b.column("tid"), *(pa.array(x.view(np.int64)) for x in (lids, fps, sketch)), pa.ListArray.from_arrays(ends, pa.array(keys))],
+                names=["doc_id", "tid", "lid", "fp", "sketch", "keys"],
             )
 
-    rows = written(text.mapInArrow(run, "doc_id long, tid long, lid long, sketch long, keys array<long>"))
+    rows = written(text.mapInArrow(run, "doc_id long, tid long, lid long, fp long, sketch long, keys array<long>"))
     distinct = rows.groupBy("lid").agg(F.min(F.struct("tid", "sketch", "keys")).alias("x"))
     members = met(distinct.select("lid", "x.sketch", "x.keys"))
     wanted = distinct.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "x.tid")
@@ -236,12 +238,17 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= APART
     comps = grouped(members, similar, sets, similarity, near, texts.where(is_long).select("lid") if any_long else None)
+    prints = rows.select("fp", "lid").distinct()
+    fps = written(prints.groupBy("fp").agg(F.min("lid").alias("rep")))
+    equal = prints.join(fps, "fp").where("lid <> rep").select(F.col("lid").alias("src"), F.col("rep").alias("dst"))
+    comps = components(linked(fps).union(equal).union(comps.toDF("src", "dst")))
+    discard(fps)
     found = rows.select("doc_id", "tid", "lid").join(comps, rows["lid"] == comps["node"], "left")
     return found.select("doc_id", "tid", F.coalesce("component", "lid").alias("component"))
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each component (the smallest doc_id, null last, then the smallest
+    """``docs`` with one document of each component of ``similar_texts`` (the smallest doc_id, null last, then the smallest
     text hash; of repeated rows all). Texts without words are one component; texts of any length count
     whole; other columns pass, whatever their names; an empty table stays empty."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")

@@ -9,7 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_operators import _held, _token_lists, brute_fingerprint, brute_tree, sentence
+from test_operators import _held, _token_lists, brute_fingerprint, brute_tree, components, sentence
 
 from methloom.llm import embeddings, language, licenses, mixing, simhash, suffix_tree
 
@@ -185,3 +185,26 @@ def test_suffix_tree_is_the_same_for_parts_of_any_size(spark, p_min, depth):
     for part_tokens in (10, 100, 750_000):
         got = sorted(r.score for r in suffix_tree.scores(df, depth=depth, p_min=p_min, part_tokens=part_tokens).collect())
         assert got == pytest.approx(want, rel=1e-5), part_tokens
+
+
+def test_stage_links_fingerprints_in_radius(spark):
+    """The pipeline's stage comes through SimHash: texts at 3 bits or fewer are one, whatever their sets of shingles, also
+    in a chain with similar ones; others stay."""
+    rng = random.Random(31)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    rows = []
+    for g in range(4):
+        block = " ".join(word() for _ in range(30))
+        for k in range(12):
+            tail = [word() for _ in range(25 + 5 * k)]
+            rows.append((100 * g + k, " ".join([block] * 40 + tail)))
+        rows.append((100 * g + 50, " ".join([block] * 40 + tail[:-1] + [word()])))
+    fps = [brute_fingerprint(t) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    n = len(rows)
+    by_bits = [(i, j) for i in range(n) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    by_sets = [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    comp = components(n, by_bits + by_sets)
+    assert any(fps[i] != fps[j] for i, j in set(by_bits) - set(by_sets)) and len(set(comp)) < len(set(components(n, by_sets)))
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({min(rows[j][0] for j in range(n) if comp[j] == c) for c in comp})
