@@ -137,26 +137,29 @@ def _rest(left: DataFrame, sets: Callable[[DataFrame], DataFrame], long: DataFra
 
     A bucket's largest component (main) is its home. A line away from it is compared with the home's lines of all
     open buckets at once, so a line's set moves once or twice, whatever the number of its buckets. Lines
-    whose numbers of runs are too far apart never meet."""
+    whose numbers of runs are too far apart never meet. The sets of all these lines are made once, into a table."""
     rows = left
+    made = written(sets(left.select("lid").distinct()))
+    with_sets = lambda rows: rows.join(made, "lid")
     x, y = F.col("x.sketch"), F.col("y.sketch")
     exact = promising(x, y) & alike(F.col("x.runs"), F.col("y.runs"), similarity)
     away, home = rows.where("component <> main"), rows.where("component = main")
-    faces = _classed(sets(away.select("lid", "sketch", "main").distinct()), similarity, True).alias("x")
-    homes = _classed(sets(home.select("lid", "sketch", "main").distinct()), similarity, False).alias("y")
+    faces = _classed(with_sets(away.select("lid", "sketch", "main").distinct()), similarity, True).alias("x")
+    homes = _classed(with_sets(home.select("lid", "sketch", "main").distinct()), similarity, False).alias("y")
     sized = F.col("x.size_class") == F.col("y.size_class")
     found = written(faces.join(homes, (F.col("x.main") == F.col("y.main")) & sized & exact, "left_semi").select("lid", "main"))
     # Lines without a partner at home, with the others that are away in their buckets.
     lone = written(away.join(found, ["lid", "main"], "left_anti").select("key", "lid", "sketch", "component"))
     others = away.join(lone.select("key").distinct(), "key", "left_semi").select("key", "lid", "sketch", "component")
     differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-    met_ = written(_classed(sets(lone), similarity, True).alias("x").join(_classed(sets(others), similarity, False).alias("y"), differ & sized & exact).select(F.col("x.lid").alias("src"), F.col("y.lid").alias("dst")).distinct())
+    met_ = written(_classed(with_sets(lone), similarity, True).alias("x").join(_classed(with_sets(others), similarity, False).alias("y"), differ & sized & exact).select(F.col("x.lid").alias("src"), F.col("y.lid").alias("dst")).distinct())
     out = [found.select(F.col("lid").alias("src"), F.col("main").alias("dst")), met_]
     if long is not None:
         pairs = rows.join(long, "lid", "left_semi").alias("x").join(rows.alias("y"), differ & promising(x, y))
         pairs = pairs.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct()
         out.append(written(similar(pairs)))
     discard(lone)
+    discard(made)
     return out
 
 
