@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
-from itertools import islice
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Numbers, discard, mixed, pieces, written
+from .common import BASE, discard, mixed, pieces, written
 
 #: The end of a text: no word holds a line feed.
 END = b"\n"
@@ -60,11 +59,6 @@ def in_training(folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != fold, F.lit(True))
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """The tokens of a text: its words, A-Z lower-cased, and an end."""
-    return (text or b"").lower().split() + [END]
-
-
 def word_hash(word: bytes) -> int:
     """As Spark's xxhash64 of the word."""
     return xxhash.xxh64_intdigest(word, 42)
@@ -78,10 +72,15 @@ def _looked_up(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
+def _packed_runs(cuts: np.ndarray, *arrays: np.ndarray) -> list[bytes]:
+    """Each run of arrays of one length, by planes of bytes, compressed."""
+    planes = np.concatenate([np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T for a in arrays])
+    compress = zstandard.ZstdCompressor(level=1).compress
+    return [compress(planes[:, a:z].tobytes()) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, by planes of bytes, compressed."""
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return _packed_runs(np.array([0, len(arrays[0])]), *arrays)[0]
 
 
 def _unpacked(blob: bytes, *types) -> list[np.ndarray]:
@@ -95,28 +94,85 @@ def _unpacked(blob: bytes, *types) -> list[np.ndarray]:
     return out
 
 
-class Codes:
-    """Codes of words, each looked up once: ``words`` are the common words' hashes, sorted, with their ranks."""
+#: Bytes as tokens have them, and which of them words are made of.
+LOWER, WORD = np.arange(256, dtype=np.uint8), np.ones(256, dtype=bool)
+LOWER[65:91] += 32
+WORD[[9, 10, 11, 12, 13, 32]] = False
+
+
+def _placed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and where each value starts and the last ends."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (binary, null: none), A-Z lower-cased, end to end, and their number in each text."""
+    data, offsets = _placed(pc.fill_null(texts, b""))
+    inside = WORD[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = offsets[:-1][offsets[:-1] < len(data)]
+    first[starts] = inside[starts]
+    counts = np.diff(np.searchsorted(np.flatnonzero(first), offsets))
+    kept = LOWER[data[inside]]
+    places = np.append(np.flatnonzero(first[inside]), len(kept)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(kept)]), counts
+
+
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    return h << np.uint64(by) | h >> np.uint64(64 - by)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """``word_hash`` of each word, those below 32 bytes by lanes of all words at once."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    data, offsets = _placed(words)
+    data = np.append(data, np.zeros(8, dtype=np.uint8))
+    start, size = offsets[:-1], np.diff(offsets)
+    lanes = {width: np.ndarray(len(data) - 7, f"<u{width}", data, strides=(1,)) for width in (8, 4, 1)}
+    at_lane = lambda width, places: lanes[width][places].astype(np.uint64)
+    h = np.uint64(42) + p5 + size.astype(np.uint64)
+    for i in range(3):
+        at = np.flatnonzero((size >= 8 * i + 8) & (size < 32))
+        h[at] = _turned(h[at] ^ _turned(at_lane(8, start[at] + 8 * i) * p2, 31) * p1, 27) * p1 + p4
+    at = np.flatnonzero(size & 4)
+    h[at] = _turned(h[at] ^ at_lane(4, start[at] + (size[at] & ~7)) * p1, 23) * p2 + p3
+    for i in range(3):
+        at = np.flatnonzero((size & 3) > i)
+        h[at] = _turned(h[at] ^ at_lane(1, start[at] + (size[at] & ~3) + i) * p5, 11) * p1
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(size >= 32):
+        h[i] = word_hash(data[offsets[i] : offsets[i + 1]].tobytes())
+    return h
+
 
-    most = 400_000
+class Codes:
+    """Codes of words: ``words`` are the common words' hashes, sorted, with their ranks."""
 
     def __init__(self, words: np.ndarray, ranks: np.ndarray):
         self.words, self.ranks = words, ranks
-        self.numbers, self.codes = Numbers(), np.empty(0, dtype=np.uint64)
-
-    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the texts' words with an end each, end to end, and their number in each text."""
-        if len(self.numbers) > self.most:
-            self.numbers, self.codes = Numbers(), np.empty(0, dtype=np.uint64)
-        number = self.numbers.__getitem__
-        found = [np.fromiter(map(number, w), np.uint32, len(w)) for w in (words_of(t) for t in texts)]
-        new = list(islice(self.numbers, len(self.codes), None))
-        h = np.fromiter(map(word_hash, new), np.uint64, len(new))
+
+    def coded(self, h: np.ndarray) -> np.ndarray:
         at = _looked_up(self.words, h)
         # A rare word's code keeps its whole hash: the upper half is dropped where identity need not be exact.
         rare = h & np.uint64(0xFFFFFFFF7FFFFFFF) | np.uint64(RARE)
-        self.codes = np.concatenate([self.codes, np.where(at >= 0, self.ranks[at] if len(self.ranks) else 0, rare).astype(np.uint64)])
-        return self.codes[np.concatenate(found)], np.array([len(w) for w in found])
+        return np.where(at >= 0, self.ranks[at] if len(self.ranks) else 0, rare).astype(np.uint64)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the texts' words with an end each, end to end, and their number in each text. Each word
+        of the batch is looked up once."""
+        words, counts = split_words(texts)
+        words, lengths = words.dictionary_encode(), counts + 1
+        ends = np.cumsum(lengths) - 1
+        out = np.full(int(lengths.sum()), self.coded(np.array([word_hash(END)], dtype=np.uint64))[0])
+        inside = np.ones(len(out), dtype=bool)
+        inside[ends] = False
+        out[inside] = self.coded(word_hashes(words.dictionary))[np.asarray(words.indices)]
+        return out, lengths
 
 
 @dataclass
@@ -249,7 +305,7 @@ def learn_head(docs: DataFrame, folds: int, fold: int, depth: int, least: int, g
         model = shared.value
         codes = Codes(model.words, model.ranks)
         for b in pieces(batches, "text", PIECE):
-            symbol, words, _ = _sequence(b.column("text").to_pylist(), codes, model.depth)
+            symbol, words, _ = _sequence(b.column("text"), codes, model.depth)
             symbol, inside = symbol & np.uint64(0xFFFFFFFF), np.arange(len(symbol))
             for k in range(1, model.depth + 1):
                 inside = inside[words[k - 1][inside] <= hot]
@@ -302,7 +358,7 @@ def _cuts(sorted_: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(sorted_)) + 1, [len(sorted_)]]) if len(sorted_) else np.array([0])
 
 
-def _sequence(texts: list[bytes | None], codes: Codes, depth: int):
+def _sequence(texts: pa.Array, codes: Codes, depth: int):
     """Code of each token, of the 1st, 2nd, ... word before it, and the texts' lengths in tokens."""
     code, lengths = codes.of(texts)
     place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -327,26 +383,33 @@ def _part_logs(model: Model, words: list[np.ndarray], symbol: np.ndarray, train:
             raise ValueError("a token of the head was not told")
         log[asked] = told[at]
     context, seen = np.zeros(len(symbol), dtype=np.uint64), np.zeros(len(symbol), dtype=np.uint32)
+    lasting = np.ones(len(symbol), dtype=bool)
     for k in range(1, model.depth + 1):
         context = mixed(context * np.uint64(BASE) + words[k - 1] + np.uint64(k))
-        at = np.flatnonzero(levels < k)
+        at = np.flatnonzero(lasting & (levels < k))
+        if not len(at):
+            continue
+        of = np.asarray(pa.array(context[at]).dictionary_encode().indices)
+        n = np.bincount(of, train[at]).astype(np.int64)
+        if k == 1:
+            seen[at] = n.astype(np.uint32)[of]
+        # A context that is too rare for a state has only such ones below it.
+        enough = n[of] >= model.least
+        lasting[at[~enough]] = False
+        at, of = at[enough], of[enough]
         if not len(at):
             continue
-        key = mixed(context[at] ^ (symbol[at].astype(np.uint64) * np.uint64(BASE)))
-        _, first, gram = np.unique(key, return_index=True, return_inverse=True)
-        del key
+        _, first, gram = np.unique(mixed(context[at] ^ (symbol[at].astype(np.uint64) * np.uint64(BASE))), return_index=True, return_inverse=True)
         count = np.bincount(gram, train[at], len(first)).astype(np.int64)
-        keys, of = np.unique(context[at][first], return_inverse=True)
-        n, kinds = np.bincount(of, count, len(keys)), np.bincount(of, count > 0, len(keys))
+        of = of[first]
+        kinds = np.bincount(of, count > 0, len(n))
         lower = log[at][first]
         some = np.flatnonzero(count)
-        won = np.bincount(of[some], count[some] * (np.log(count[some] / n[of[some]]) - lower[some]), len(keys))
+        won = np.bincount(of[some], count[some] * (np.log(count[some] / n[of[some]]) - lower[some]), len(n))
         is_state = (n >= model.least) & (won > model.gain * kinds)
         own = np.flatnonzero(is_state[of])
         lower[own] = np.log((count[own] + kinds[of[own]] * np.exp(lower[own])) / (n[of[own]] + kinds[of[own]]))
         log[at] = lower[gram]
-        if k == 1:
-            seen[at] = n[of].astype(np.uint32)[gram]
     return log, seen
 
 
@@ -374,7 +437,7 @@ def scores(docs: DataFrame, folds: int = 10, fold: int = 0, depth: int = 3, leas
         codes = Codes(model.words, model.ranks)
         for b in pieces(batches, "text", PIECE):
             held = [held_out(i, folds, fold) for i in b.column("doc_id").to_pylist()]
-            symbol, words, lengths = _sequence(b.column("text").to_pylist(), codes, model.depth)
+            symbol, words, lengths = _sequence(b.column("text"), codes, model.depth)
             levels = model.in_head(words)
             at = np.flatnonzero(levels)
             first = model.head([w[at] for w in words], symbol[at], levels[at])[1]
@@ -390,7 +453,7 @@ def scores(docs: DataFrame, folds: int = 10, fold: int = 0, depth: int = 3, leas
             order = np.argsort(entry, kind="stable")
             arrays = [levels[one].astype(np.uint8), first[one], *(x.astype(np.uint32) for x in (part[one], count, *words, symbol[one]))]
             cuts = _cuts(entry[order])
-            blobs = [_packed(*(x[order[a:z]] for x in arrays)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+            blobs = _packed_runs(cuts, *(x[order] for x in arrays))
             yield pa.RecordBatch.from_arrays([pa.array(entry[order[cuts[:-1]]] if len(order) else [], pa.int64()), pa.array(blobs, pa.binary())], names=["entry", "blob"])
 
     def answer(t: pa.Table) -> pa.Table:
@@ -403,7 +466,7 @@ def scores(docs: DataFrame, folds: int = 10, fold: int = 0, depth: int = 3, leas
         new[1:] = (np.diff(part[order]) != 0) | (np.diff(key[order]) != 0)
         order = order[new]
         cuts = _cuts(part[order])
-        blobs = [_packed(key[order[a:z]], log[order[a:z]]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        blobs = _packed_runs(cuts, key[order], log[order])
         none = pa.ListArray.from_arrays(pa.array([0] * (len(blobs) + 1), pa.int32()), pa.array([], pa.int64()))
         return pa.table({"part": pa.array(part[order[cuts[:-1]]].astype(np.int32)), "piece": pa.array([-1] * len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary()), "ids": none})
 
@@ -414,7 +477,7 @@ def scores(docs: DataFrame, folds: int = 10, fold: int = 0, depth: int = 3, leas
         known_log = np.log10((model.counts + 0.1) / model.whole)
         for b in pieces(batches, "text", PIECE):
             held = [held_out(i, folds, fold) for i in b.column("doc_id").to_pylist()]
-            symbol, words, lengths = _sequence(b.column("text").to_pylist(), codes, model.depth)
+            symbol, words, lengths = _sequence(b.column("text"), codes, model.depth)
             starts, common = np.cumsum(lengths) - lengths, symbol < RARE
             base = np.where(common, known_log[np.where(common, symbol, 0)], 0.0)
             levels = model.in_head(words)
@@ -434,11 +497,11 @@ def scores(docs: DataFrame, folds: int = 10, fold: int = 0, depth: int = 3, leas
             parts, blobs = [-1], [_packed(*(np.asarray(x) for x in (
                 np.array(held, dtype=np.int64), lengths.astype(np.int64), np.add.reduceat(common.astype(np.int64), starts),
                 np.add.reduceat(base, starts), np.add.reduceat(log, starts))))]
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                own = order[a:z]
-                doc = np.diff(of_doc[own], prepend=np.uint32(0))
-                parts.append(int(part[own[0]]))
-                blobs.append(_packed(doc, train[own].astype(np.uint8), high[own], *(x[own] for x in low)))
+            doc = of_doc[order]
+            step = np.diff(doc, prepend=np.uint32(0))
+            step[cuts[:-1]] = doc[cuts[:-1]]  # in each part from 0
+            parts += part[order[cuts[:-1]]].tolist()
+            blobs += _packed_runs(cuts, step, train[order].astype(np.uint8), high[order], *(x[order] for x in low))
             ids = [b.column("doc_id")] + [pa.nulls(0, pa.int64())] * (len(parts) - 1)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.concat_arrays(ids))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([piece] * len(parts), pa.int64()), pa.array(blobs, pa.binary()), ids], names=["part", "piece", "blob", "ids"])

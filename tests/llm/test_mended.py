@@ -7,6 +7,7 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import _held, _token_lists, brute_fingerprint, brute_tree, components, sentence
@@ -171,6 +172,19 @@ def test_sets_of_near_sizes_share_a_size_class(spark):
                 assert one[b] not in near[a], (a, b)
 
 
+def test_words_of_a_batch_are_those_of_each_text():
+    texts = [None, b"", b"  One\xa0tWo ", b"C", b"\xc3\x84b C\x0b", b"d\n\n\x0be f\r", b"z" * 31 + b" " + b"Y" * 32 + b" " + b"q" * 100]
+    for skipped in range(len(texts) + 1):
+        column = pa.array(texts, pa.binary()).slice(skipped)
+        words, counts = suffix_tree.split_words(column)
+        want = [(t or b"").lower().split() for t in texts[skipped:]]
+        assert words.to_pylist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    words = pa.array([bytes(range(33, 33 + n)) for n in range(80)])
+    assert suffix_tree.word_hashes(words).tolist() == [suffix_tree.word_hash(w) for w in words.to_pylist()]
+    code, lengths = suffix_tree.Codes(np.sort(suffix_tree.word_hashes(words[:3])), np.array([7, 8, 9])).of(pa.array([b"! a", None]))
+    assert lengths.tolist() == [3, 1] and code[2] == code[3] and 7 <= code[0] <= 9 and code[1] >= suffix_tree.RARE
+
+
 @pytest.mark.parametrize("p_min", [1e-6, 1e-3, 1e-2])
 @pytest.mark.parametrize("depth", [1, 3])
 def test_suffix_tree_is_the_same_for_parts_of_any_size(spark, p_min, depth):
