@@ -102,12 +102,9 @@ def met(lines: DataFrame) -> DataFrame:
     """(key, lid, sketch, rep, rep_sketch) of the keys that more than one of ``lines`` (lid, sketch, keys) has.
     A bucket's smallest lid is its representative. Buckets are counted by partial aggregates and their rows
     meet one row each, so a bucket of any size is many tasks' work."""
-    lines = written(lines)
-    each = lines.select("lid", "sketch", F.explode("keys").alias("key"))
+    each = lines.select("lid", "sketch", F.explode("keys").alias("key")).repartition("key")
     buckets = each.groupBy("key").agg(F.count("*").alias("n"), F.min("lid").alias("rep"), F.min_by("sketch", "lid").alias("rep_sketch"))
-    members = written(each.join(buckets.where("n > 1").drop("n"), "key"))
-    discard(lines)
-    return members
+    return written(each.join(buckets.where("n > 1").drop("n").hint("shuffle_hash"), "key"))
 
 
 def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 licenses that differ by a word, mixtures block by block, a tree that a part's size changed, a stage without its method."""
 
 import collections
+import pathlib
 import random
 import re
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import _held, _token_lists, brute_fingerprint, brute_tree, components, sentence
 
-from methloom.llm import embeddings, language, licenses, mixing, simhash, suffix_tree
+from methloom.llm import common, embeddings, language, licenses, lines, mixing, simhash, suffix_tree
 
 
 def test_links_over_a_fingerprint_without_id(spark, monkeypatch):
@@ -172,6 +174,28 @@ def test_sets_of_near_sizes_share_a_size_class(spark):
                 assert one[b] not in near[a], (a, b)
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Tables of buckets come by one shuffle, and its files go with the query that wrote them."""
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    there = lambda: {f.name for d in folders for f in pathlib.Path(d).glob("*/shuffle_*")}
+    before, was = there(), spark.conf.get(common.CLEANUP)
+    rows = [(lid, lid * 7, [lid // 3, lid // 50, -lid]) for lid in range(2000)]
+    members = lines.met(spark.createDataFrame(rows, "lid long, sketch long, keys array<long>"))
+    buckets = collections.defaultdict(set)
+    for lid, _, keys in rows:
+        for key in keys:
+            buckets[key].add(lid)
+    want = {(k, lid, lid * 7, min(own), min(own) * 7) for k, own in buckets.items() if len(own) > 1 for lid in own}
+    got = [tuple(r) for r in members.select("key", "lid", "sketch", "rep", "rep_sketch").collect()]
+    assert set(got) == want
+    assert spark.conf.get(common.CLEANUP) == was
+    for _ in range(50):
+        if there() <= before:
+            break
+        time.sleep(0.1)
+    assert there() <= before
+
+
 def test_words_of_a_batch_are_those_of_each_text():
     texts = [None, b"", b"  One\xa0tWo ", b"C", b"\xc3\x84b C\x0b", b"d\n\n\x0be f\r", b"z" * 31 + b" " + b"Y" * 32 + b" " + b"q" * 100]
     for skipped in range(len(texts) + 1):
