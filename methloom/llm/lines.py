@@ -34,6 +34,10 @@ SIMILARITY = 0.8
 ALIKE = 9
 #: Lines of more runs than this are compared by rows of runs, others by arrays of runs.
 LONG = 20_000
+#: Words of 64 bits in the map of a set's parities.
+WORDS = 16
+#: Texts of so few pairs are picked out by a broadcast of the pairs, before they are dealt.
+FEW = 10_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -119,10 +123,28 @@ def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return out
 
 
-def _classed(rows: DataFrame, similarity: float, near: bool) -> DataFrame:
-    """``rows`` with the class of their number of ``runs``, two steps of 1/similarity wide; with ``near`` a row
-    for each class (one or two) in which sets of that similarity can be."""
-    place = F.log(F.size("runs")) / max(-math.log(similarity), 0.01)
+def _maps(rows: DataFrame) -> DataFrame:
+    """(lid, size, w0, w1, ...) of the sets (runs) of ``rows``: a bit tells if an odd number of a set's members
+    fall on it. So two maps differ in no more bits than their sets in members."""
+    # An inner explode would put a filter on the sets below their join, where they are made for all texts.
+    each = rows.select("lid", F.explode_outer("runs").alias("run")).where("run is not null").select("lid", F.xxhash64("run").alias("h"))
+    bits = each.select("lid", F.shiftright("h", 6).bitwiseAND(WORDS - 1).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    word = lambda k: F.bit_xor(F.when(F.col("w") == k, F.col("bit")).otherwise(F.lit(0).cast("long")))
+    return bits.groupBy("lid").agg(F.count("*").alias("size"), *[word(k).alias(f"w{k}") for k in range(WORDS)])
+
+
+def _maybe(similarity: float) -> Column:
+    """Can the sets of two rows x and y (size and map) have that Jaccard similarity? No pair that has it is refused."""
+    p, q = round(similarity * 10**6), 10**6
+    a, b = F.col("x.size"), F.col("y.size")
+    apart = reduce(lambda m, n: m + n, [F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(WORDS)]).cast("long")
+    return (F.least(a, b) * q >= F.greatest(a, b) * p) & (apart * F.lit(p + q).cast("long") <= (a + b) * (q - p))
+
+
+def _classed(rows: DataFrame, similarity: float, near: bool, size: Column | None = None) -> DataFrame:
+    """``rows`` with the class of their number of ``runs`` (or ``size``), two steps of 1/similarity wide; with
+    ``near`` a row for each class (one or two) in which sets of that similarity can be."""
+    place = F.log(F.size("runs") if size is None else size) / max(-math.log(similarity), 0.01)
     at = lambda d: F.floor((place + d) / 2).cast("int")
     # A hair more than a step, so that rounding hides no class.
     return rows.withColumn("size_class", F.explode(F.array_distinct(F.array(at(-1.001), at(1.001)))) if near else at(0))
@@ -133,30 +155,44 @@ def _rest(left: DataFrame, sets: Callable[[DataFrame], DataFrame], long: DataFra
     sketch, component, main.
 
     A bucket's largest component (main) is its home. A line away from it is compared with the home's lines of all
-    open buckets at once, so a line's set moves once or twice, whatever the number of its buckets. Lines
-    whose numbers of runs are too far apart never meet. The sets of all these lines are made once, into a table."""
+    open buckets at once, so a line's map moves once or twice, whatever the number of its buckets. Lines
+    whose numbers of runs are too far apart never meet. Maps of the sets' parities, made once into a table, tell
+    which lines can have a partner at all; only their sets are moved and compared."""
     rows = left
-    made = written(sets(left.select("lid").distinct()))
-    with_sets = lambda rows: rows.join(made, "lid")
+    maps = written(_maps(sets(left.select("lid").distinct())))
     x, y = F.col("x.sketch"), F.col("y.sketch")
-    exact = promising(x, y) & alike(F.col("x.runs"), F.col("y.runs"), similarity)
-    away, home = rows.where("component <> main"), rows.where("component = main")
-    faces = _classed(with_sets(away.select("lid", "sketch", "main").distinct()), similarity, True).alias("x")
-    homes = _classed(with_sets(home.select("lid", "sketch", "main").distinct()), similarity, False).alias("y")
     sized = F.col("x.size_class") == F.col("y.size_class")
-    found = written(faces.join(homes, (F.col("x.main") == F.col("y.main")) & sized & exact, "left_semi").select("lid", "main"))
+    maybe = sized & promising(x, y) & _maybe(similarity)
+    exact = sized & promising(x, y) & alike(F.col("x.runs"), F.col("y.runs"), similarity)
+
+    def closest(a: DataFrame, b: DataFrame, on: Column) -> tuple[DataFrame, DataFrame]:
+        """The rows of ``a`` (by classes of near sizes) and of ``b`` that can have a partner in the other, with their sets."""
+        near = _classed(a.join(maps, "lid"), similarity, True, F.col("size"))
+        own = _classed(b.join(maps, "lid"), similarity, False, F.col("size"))
+        kept = written(near.alias("x").join(own.alias("y"), on & maybe, "left_semi").select(*a.columns, "size_class"))
+        others = written(own.alias("y").join(near.alias("x"), on & maybe, "left_semi").select(*b.columns, "size_class"))
+        made = written(sets(kept.select("lid").union(others.select("lid")).distinct()))
+        scrap.extend([kept, others, made])
+        return kept.join(made, "lid").alias("x"), others.join(made, "lid").alias("y")
+
+    scrap: list[DataFrame] = []
+    away, home = rows.where("component <> main"), rows.where("component = main")
+    same = F.col("x.main") == F.col("y.main")
+    faces, homes = closest(away.select("lid", "sketch", "main").distinct(), home.select("lid", "sketch", "main").distinct(), same)
+    found = written(faces.join(homes, same & exact, "left_semi").select("lid", "main").distinct())
     # Lines without a partner at home, with the others that are away in their buckets.
     lone = written(away.join(found, ["lid", "main"], "left_anti").select("key", "lid", "sketch", "component"))
     others = away.join(lone.select("key").distinct(), "key", "left_semi").select("key", "lid", "sketch", "component")
     differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-    met_ = written(_classed(with_sets(lone), similarity, True).alias("x").join(_classed(with_sets(others), similarity, False).alias("y"), differ & sized & exact).select(F.col("x.lid").alias("src"), F.col("y.lid").alias("dst")).distinct())
+    singles, partners = closest(lone, others, differ)
+    met_ = written(singles.join(partners, differ & exact).select(F.col("x.lid").alias("src"), F.col("y.lid").alias("dst")).distinct())
     out = [found.select(F.col("lid").alias("src"), F.col("main").alias("dst")), met_]
     if long is not None:
         pairs = rows.join(long, "lid", "left_semi").alias("x").join(rows.alias("y"), differ & promising(x, y))
         pairs = pairs.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct()
         out.append(written(similar(pairs)))
-    discard(lone)
-    discard(made)
+    for df in [lone, maps, *scrap]:
+        discard(df)
     return out
 
 
@@ -197,9 +233,12 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, long: int =
 
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs)
-        n = dealt_to(pairs.count())
-        a = texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"))
-        b = texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b"))
+        count = pairs.count()
+        n, own = dealt_to(count), texts
+        if count <= FEW:
+            own = texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("lid"))), "lid", "left_semi")
+        a = own.select(F.col("lid").alias("a"), F.col("line").alias("line_a"))
+        b = own.select(F.col("lid").alias("b"), F.col("line").alias("line_b"))
         both = pairs.join(a, "a").repartition(n, "b").join(b, "b")
         long_pair = (F.length("line_a") > long) | (F.length("line_b") > long)
         short = both.where(~long_pair) if any_long else both

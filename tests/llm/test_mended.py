@@ -174,6 +174,46 @@ def test_sets_of_near_sizes_share_a_size_class(spark):
                 assert one[b] not in near[a], (a, b)
 
 
+def test_maps_of_parities_refuse_no_pair_that_is_similar(spark):
+    """Links of buckets are those of brute force, and most sets below the similarity need not be moved to see it."""
+    from methloom.llm import lines
+
+    rng, rows = random.Random(4), []
+    for family in range(12):
+        base = rng.sample(range(10**9), rng.choice([5, 9, 40, 300]))
+        for share in (0, 0.02, 0.1, 0.11, 0.12, 0.15, 0.2, 0.3, 0.3, 0.5):
+            n = round(share * len(base))
+            own = base[: len(base) - n] + rng.sample(range(10**9), n)
+            rows.append((len(rows) * 7919 % 1000, family, own))
+    # One set without members, one that is not given (a long line's): neither is ever compared here.
+    rows += [(2000, 0, []), (2001, 0, None)]
+    table = spark.createDataFrame(rows, "lid long, family long, runs array<int>").cache()
+    size = {lid: len(own or []) for lid, _, own in rows}
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    links = {(a, b) for a, i, x in rows for b, j, y in rows if a < b and i == j and x and y and 10 * jaccard(x, y) >= 8}
+    apart = {(a, b) for a, i, x in rows for b, j, y in rows if a < b and i == j and x and y and 100 * jaccard(x, y) < 65}
+    maps = lines._maps(table)
+    assert {r.lid: r["size"] for r in maps.collect()} == {lid: n for lid, n in size.items() if n}
+    possible = {tuple(r) for r in maps.alias("x").join(maps.alias("y"), F.col("x.lid") < F.col("y.lid")).where(lines._maybe(0.8)).select("x.lid", "y.lid").collect()}
+    assert links <= possible and len(apart) > 100 and not apart & possible
+
+    root = {lid: lid for lid in size}
+    for _ in rows:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    members = lines.met(table.select("lid", F.lit(0).cast("long").alias("sketch"), F.array("family", F.col("family") + 100).alias("keys")))
+    sets = lambda some: some.join(table.select("lid", "runs"), "lid")
+
+    def similar(pairs):
+        x, y = (table.select(F.col("lid").alias(c), F.col("runs").alias(f"r{c}")) for c in "ab")
+        both = pairs.join(x, "a").join(y, "b").where("size(ra) > 0 and size(rb) > 0")
+        return both.where(lines.alike(F.col("ra"), F.col("rb"), 0.8)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+    got = {r.node: r.component for r in lines.grouped(members, similar, sets, 0.8, lambda a, b: F.lit(True)).collect()}
+    assert got == {lid: c for lid, c in root.items() if list(root.values()).count(c) > 1}
+    table.unpersist()
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     """Tables of buckets come by one shuffle, and its files go with the query that wrote them."""
     folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
