@@ -10,7 +10,8 @@ A bucket is not compared pair by pair. Its members first meet a representative,
 the bucket, so small buckets are done. Where several components are left, the lines outside of a
 bucket's largest component are compared with that by a semi-join on the exact similarity (one row a
 line, however many partners it has there), and the few that find none with the others outside of it by a
-join on the exact similarity, which gives links between different components only. What can be lost:
+join on the exact similarity, which gives links between different components only. Maps of the sets' parities, which
+refuse no similar pair, tell first which lines need their sets there. What can be lost:
 pairs that share no band, pairs whose sketches agree in fewer than ALIKE places (below 0.003 of those wanted).
 Sets are 32-bit hashes, so a false match of two runs is possible, too.
 """
