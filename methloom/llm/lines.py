@@ -63,9 +63,10 @@ def _exploded(lines: DataFrame, *columns: str) -> DataFrame:
 
 
 def run_set(line: Column) -> Column:
-    """The distinct hashes of a line's runs. The outer lambda binds the encoded line, which would else be made for each run."""
-    one = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _count(u) - 1), lambda i: F.hash(_run(u, i))))
-    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), one), F.lit(0))
+    """The distinct hashes of a line's runs. The outer lambda binds the encoded line, which would else be made for each run.
+    Lambdas are not compiled: positions come as they are used, and what can be done outside of them is."""
+    one = lambda u: F.transform(F.sequence(F.lit(1), 2 * _count(u) - 1, F.lit(2)), lambda at: F.hash(F.substring(u, at, F.lit(2 * SHINGLE))))
+    return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), one), F.lit(0)))
 
 
 def alike(a: Column, b: Column, similarity: float) -> Column:

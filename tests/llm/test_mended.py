@@ -214,6 +214,21 @@ def test_maps_of_parities_refuse_no_pair_that_is_similar(spark):
     table.unpersist()
 
 
+def test_sets_of_runs_are_made_distinct_outside_of_lambdas(spark):
+    """Odd texts have the sets of brute force, in the order of their first runs; what is not per run is compiled, not in a lambda."""
+    texts = ["", "short", "abcdef", "abcdefg", "é𝄞 wide 𝄞𝄞", "tick " * 40, "aaaaaaaaaaaa", "\x00\t nul"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    out = df.select("id", lines.run_set(F.col("line")).alias("runs"))
+    runs = lambda u: [u[2 * i : 2 * i + 12] for i in range(max(1, len(u) // 2 - 5))]
+    each = [(i, k, bytearray(r)) for i, t in enumerate(texts) for k, r in enumerate(dict.fromkeys(runs(t.encode("utf-16-be"))))]
+    want = collections.defaultdict(list)
+    for r in spark.createDataFrame(each, "id long, k long, run binary").select("id", "k", F.hash("run").alias("h")).orderBy("id", "k").collect():
+        want[r.id].append(r.h)
+    assert {r.id: r.runs for r in out.collect()} == want
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "array_distinct(" in plan and "lambdafunction(array_distinct(" not in plan, plan
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     """Tables of buckets come by one shuffle, and its files go with the query that wrote them."""
     folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
