@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 from math import comb
@@ -11,6 +12,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.calls import half_up
 from ..sources.scratch import written
@@ -59,13 +61,29 @@ def shuffle_rows(df: DataFrame, seed: int = 1, *others: DataFrame, order: Column
 
 def out_of_order(df: DataFrame, order: Column) -> DataFrame:
     """``df`` with out_of_order: 1 where a row's ``order`` is below that of the row before it, as partitions and
-    their rows stand now, else 0. The rows before partitions' first ones come from a table of partitions."""
+    their rows stand now, else 0. Rows and their places are written as a table first: evaluated again, ranges would be
+    cut at other sampled bounds than those of the table of partitions that has the rows before partitions' first ones."""
     placed = df.withColumn("_o", order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    schema = T.StructType([*placed.schema.fields, T.StructField("_prior", placed.schema["_o"].dataType)])
+
+    def shifted(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        last = None
+        for b in batches:
+            o = b.column("_o")
+            if not len(o):
+                continue
+            last = pa.nulls(1, o.type) if last is None else last
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.concat_arrays([last, o])[: len(o)]], names=[*b.schema.names, "_prior"])
+            last = o[-1:]
+
+    placed = written(placed.mapInArrow(shifted, schema))
     last = placed.groupBy("_p").agg(F.max_by("_o", "_i").alias("_last"))
     before = last.select(F.col("_p").alias("_q"), F.lag("_last").over(W.orderBy("_p")).alias("_before"))  # a row a partition
-    prior = F.lag("_o").over(W.partitionBy("_p").orderBy("_i"))
-    out = placed.withColumn("_prior", prior).join(F.broadcast(before), F.col("_p") == F.col("_q"))
-    wrong = F.coalesce((F.coalesce("_prior", "_before") > F.col("_o")).cast("int"), F.lit(0))
+    out = placed.join(F.broadcast(before), F.col("_p") == F.col("_q"))
+    prior = F.when(F.col("_i").bitwiseAND((1 << 33) - 1) == 0, F.col("_before")).otherwise(F.col("_prior"))
+    wrong = F.coalesce((prior > F.col("_o")).cast("int"), F.lit(0))
     return out.withColumn("out_of_order", wrong).drop("_o", "_p", "_i", "_prior", "_q", "_before")
 
 

@@ -50,6 +50,32 @@ def test_a_deep_bin_is_cut_evenly(spark, monkeypatch):
     assert joins.overlap_join(left, right.select("contig", "start", "end"), 1_000, 1_000).count() == pairs.count()
 
 
+@pytest.fixture
+def ranges_apart(spark):
+    """Small ranges stay partitions of their own."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_shuffled_rows_of_sampled_ranges_are_in_order(spark, ranges_apart):
+    df = spark.range(40_000).select("id", (F.col("id") / 7).alias("x"), F.lit("text").alias("s"))
+    for seed in range(4):
+        order = sampling.text_order(F.col("id").cast("string"), seed)
+        got = sampling.out_of_order(sampling.shuffle_rows(df, order=order), order).agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("out_of_order").alias("bad"))
+        row = got.first()
+        assert (row.n, row.bad) == (40_000, 0) and row.x == pytest.approx(40_000 * 39_999 / 14)
+
+
+def test_rows_out_of_order_are_counted(spark):
+    """Within partitions and at their seams, as rows stand; a null is never out of order, nor the row after it."""
+    places = [5, 3, 4, None, 1, 0, 2, 7, 6, None, 8, 8]
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(i, x) for i, x in enumerate(places)], 3), "i int, x int")
+    assert df.select(F.spark_partition_id()).distinct().count() == 3
+    got = {r.i: r.out_of_order for r in sampling.out_of_order(df, F.col("x")).collect()}
+    assert got == {i: int(i > 0 and None not in (x, places[i - 1]) and x < places[i - 1]) for i, x in enumerate(places)}
+
+
 def test_ranks_within_groups(spark):
     rng = random.Random(4)
     rows = [(None if i % 50 == 0 else "big" if i % 5 else f"g{i % 3}", None if i % 97 == 0 else rng.randrange(400) / 7) for i in range(6_000)]
