@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from methloom.operators import joins, sampling, sites, windows
-from methloom.sources import scratch
+from methloom.sources import scratch, writers
 
 SPAN = "contig string, start long, end long, name string"
 
@@ -67,6 +67,17 @@ def test_shuffled_rows_of_sampled_ranges_are_in_order(spark, ranges_apart):
         assert (row.n, row.bad) == (40_000, 0) and row.x == pytest.approx(40_000 * 39_999 / 14)
 
 
+def test_contigs_merged_over_sampled_ranges_are_in_order(spark, ranges_apart, tmp_path):
+    names = ["c2", "c1", "c3"]
+    df = spark.range(60_000).select(F.get(F.array(*map(F.lit, names)), (F.col("id") % 3).cast("int")).alias("contig"), F.xxhash64("id").alias("pos"), (F.col("id") % 7).alias("coverage"))
+    writers.write_by_contig(df, f"file://{tmp_path}/sites")
+    ranks = spark.createDataFrame([(c, i) for i, c in enumerate(names)], "contig string, rank int")
+    for _ in range(4):
+        merged = writers.merged_by_contig(spark, f"file://{tmp_path}/sites", ranks)
+        got = sampling.out_of_order(merged, F.struct(F.array_position(F.array(*map(F.lit, names)), F.col("contig")), "pos"))
+        assert tuple(got.agg(F.count("*"), F.sum("coverage"), F.sum("out_of_order")).first()) == (60_000, sum(i % 7 for i in range(60_000)), 0)
+
+
 def test_rows_out_of_order_are_counted(spark):
     """Within partitions and at their seams, as rows stand; a null is never out of order, nor the row after it."""
     places = [5, 3, 4, None, 1, 0, 2, 7, 6, None, 8, 8]
