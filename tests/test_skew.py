@@ -28,6 +28,18 @@ def test_overlaps_at_one_deep_locus(spark, hot_a, hot_b):
         assert set(got.columns) == {"contig", "start", "end", "name", "r_start", "r_end", "other"}
 
 
+def test_overlaps_of_long_and_short_intervals(spark):
+    """Every pair once, whatever the levels of its two; a row is dealt to few bins, however long it is."""
+    rng = random.Random(5)
+    some = lambda n, p, most: [(f"c{rng.randrange(2)}", s := rng.randrange(3_000_000), s + int(10 ** rng.uniform(0, most)), f"{p}{i}") for i in range(n)]
+    whole = [("c0", 0, 1 << 40, "whole")]
+    for a, b in ((some(200, "a", 7) + whole, some(200, "b", 7) + whole), (some(100, "a", 7) + whole, some(300, "b", 0)), (some(300, "a", 0), some(100, "b", 6) + whole), (whole, [])):
+        left, right = spark.createDataFrame(a, SPAN), spark.createDataFrame(b, SPAN).withColumnRenamed("name", "other")
+        want = sorted((x[3], y[3]) for x in a for y in b if x[0] == y[0] and x[1] < y[2] and y[1] < x[2])
+        for most in (60, 10_000_000):
+            assert sorted((r.name, r.other) for r in joins.overlap_join(left, right, 10, most).collect()) == want
+
+
 def test_rows_with_maps(spark):
     left = spark.createDataFrame(spans(1, 0, 30, "a"), SPAN).withColumn("tags", F.create_map(F.lit("k"), F.col("name")))
     right = spark.createDataFrame(spans(2, 0, 2, "b"), SPAN).drop("name")
