@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -175,10 +176,61 @@ def fit_regressor(windows: DataFrame, target: str = "freq", rounds: int = 10):
     return GBTRegressor(maxIter=rounds, maxDepth=4, seed=1).fit(df)
 
 
+#: A function of Spark's registry that puts its one argument into an expression; compiled by Spark's own compiler, on the driver only.
+BUILDER = """
+import org.apache.spark.sql.catalyst.analysis.UnresolvedAttribute;
+import org.apache.spark.sql.catalyst.expressions.Expression;
+
+public class ExpressionBuilder extends scala.runtime.AbstractFunction1 {
+  private Expression body;
+
+  public ExpressionBuilder of(Expression body) {
+    ExpressionBuilder out = new ExpressionBuilder();
+    out.body = body;
+    return out;
+  }
+
+  public Object apply(Object args) {
+    if (((scala.collection.Seq) args).size() != 1) throw new IllegalArgumentException("one argument is expected");
+    final Object arg = ((scala.collection.Seq) args).apply(0);
+    return body.transform(new scala.runtime.AbstractPartialFunction() {
+      public boolean isDefinedAt(Object e) { return e instanceof UnresolvedAttribute; }
+      public Object applyOrElse(Object e, scala.Function1 other) { return isDefinedAt(e) ? arg : other.apply(e); }
+    });
+  }
+}"""
+
+
+@cache
+def _builder(gateway):
+    """One class for each JVM: the gateway knows methods by the name of their class."""
+    compiler = gateway.jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.cook(BUILDER)
+    return compiler.getClassLoader().loadClass("ExpressionBuilder").newInstance()
+
+
+def register_expression(spark: SparkSession, name: str, sql: str) -> None:
+    """A SQL name for an expression of one argument, which it names p. Unlike in SQL's own functions aggregates may be in it."""
+    state = spark._jsparkSession.sessionState()
+    builder = _builder(spark.sparkContext._gateway).of(state.sqlParser().parseExpression(sql))
+    state.functionRegistry().createOrReplaceTempFunction(name, builder, "scala_udf")
+
+
+def _histogram_sql(bins: int) -> str:
+    """``prob_histogram`` by counts that are summed in parts: null and NaN are in no bin."""
+    place = f"case when p is not null and not isnan(cast(p as double)) then least(greatest(floor(cast(p as double) * {bins}), 0), {bins - 1}) end"
+    counts = ", ".join(f"cast(count_if({place} = {k}) as double)" for k in range(bins))
+    unit = "transform(h, x -> if(n > 0, floor(x / n * 1e6 + 0.5) / 1e6, x))"
+    norm = "sqrt(aggregate(h, 0e0, (s, x) -> s + x * x))"
+    return f"get(transform(array(array({counts})), h -> get(transform(array({norm}), n -> {unit}), 0)), 0)"
+
+
 def register_hooks(spark: SparkSession, scorer: Scorer | None = None) -> None:
     """SQL names: ``site_score(array<double>)`` (a vectorised scorer), the table functions
     ``motif_sites(seq, motif)`` and, for whole tables, ``read_motifs(table(reads), motif)`` (read_id, loc; a batch of
-    reads at once), the aggregate ``prob_histogram(p)`` (20 bins, unit length, 6 decimals) and ``prob_bin(p, bins)``."""
+    reads at once), the aggregate ``prob_histogram(p)`` (20 bins, unit length, 6 decimals; over windows
+    ``prob_histogram_over(p)``) and ``prob_bin(p, bins)``. The aggregate is an expression of counts: a call of Python for each group would take
+    all the time where groups are small."""
     import pyarrow as pa
     from pyspark.sql.functions import arrow_udtf, pandas_udf, udtf
 
@@ -211,7 +263,11 @@ def register_hooks(spark: SparkSession, scorer: Scorer | None = None) -> None:
             row, loc = read_hits(batch.column("seq"), [motif[0].as_py()])
             yield pa.table({"read_id": batch.column("read_id").take(pa.array(row)), "loc": pa.array(loc, pa.int32())})
 
-    spark.udf.register("prob_histogram", prob_histogram)
+    spark.udf.register("prob_histogram_over", prob_histogram)
+    if hasattr(spark, "_jvm"):
+        register_expression(spark, "prob_histogram", _histogram_sql(20))
+    else:  # a client without a JVM
+        spark.udf.register("prob_histogram", prob_histogram)
     spark.udtf.register("read_motifs", ReadMotifs)
     spark.udf.register("site_score", site_score)
     spark.udtf.register("motif_sites", MotifSites)

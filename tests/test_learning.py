@@ -58,3 +58,19 @@ def test_hooks_over_tables(spark):
     calls = spark.createDataFrame([("x", 0.0), ("x", 0.01), ("x", 1.0), ("y", None)], "k string, p double")
     hist = {r.k: list(r.h) for r in spark.sql("select k, prob_histogram(p) as h from {c} group by k", c=calls).collect()}
     assert hist["x"][0] == pytest.approx(2 / 5**0.5, abs=1e-6) and hist["x"][19] == pytest.approx(1 / 5**0.5, abs=1e-6) and hist["y"] == [0.0] * 20
+
+
+def test_histogram_aggregate_calls_no_python(spark):
+    """An expression of counts, equal to the Python aggregate for any argument, with or without groups; registered again, it still works."""
+    rng = np.random.default_rng(3)
+    values = [None, float("nan"), -0.5, 0.0, 0.05, 0.95, 1.0, 7.5, *rng.random(300)]
+    calls = spark.createDataFrame([(i % 40, float(p) if p is not None else None) for i, p in enumerate(values)] + [(99, None)], "k int, p double")
+    for _ in range(2):
+        scoring.register_hooks(spark)
+        text = "select k, prob_histogram{over}(1 - p) as h from {c} group by k"
+        got, want = (spark.sql(text.replace("{over}", over), c=calls) for over in ("", "_over"))
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.k: list(r.h) for r in got.collect()} == {r.k: list(r.h) for r in want.collect()}
+        assert len(spark.sql("select prob_histogram(p) as h from {c}", c=calls).first().h) == 20
+    over = spark.sql("select prob_histogram_over(p) over (partition by k) as h from {c}", c=calls)
+    assert over.count() == calls.count()
