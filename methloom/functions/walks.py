@@ -92,6 +92,45 @@ def to_references(blocks: Column, queries: Column) -> Column:
     return reference_offsets(blocks, queries)
 
 
+def _inner(blocks: pa.Array, queries: pa.Array, n: int, matches_only: bool, aligned: bool) -> pa.Array:
+    k, flat, m = sizes(blocks), blocks.flatten(), sizes(queries)
+    op, (length, q, r) = flat.field("op"), (ints(flat.field(c)) for c in ("len", "q", "r"))
+    counted = np.asarray(pc.is_in(op, pa.array(BOTH)) if matches_only else pc.invert(pc.is_in(op, pa.array(["H", "P"]))))
+    pairs, row, places = np.where(counted, length, 0), np.repeat(np.arange(len(m)), m), ints(queries.flatten())
+    ok = np.asarray(queries.flatten().is_valid())
+    if len(q):
+        line, first = np.arange(len(k)) << 33, np.cumsum(k) - k
+        at = np.searchsorted(q + np.repeat(line, k), places + line[row], "right") - 1
+        known = at >= first[row]
+        at = np.where(known, at, 0)
+        # Of the block that a place is in, pairs up to the place; of a deletion or skip before it, all.
+        moves = np.asarray(pc.is_in(op, pa.array(QUERY)))[at]
+        here = np.where(counted[at], np.where(moves, np.clip(places - q[at], 0, length[at]), length[at]), 0)
+        rank = np.where(known, before(pairs, k)[at] + here, 0)
+        total = np.bincount(np.repeat(np.arange(len(k)), k), pairs, len(k)).astype(np.int64)
+        ok &= (rank >= n) & (rank < total[row] - n)
+        if aligned:
+            ok &= offsets_of(k, op, length, q, r, row, places)[1]
+    else:
+        ok[:] = False
+    index = np.arange(len(places)) - np.repeat(np.cumsum(m) - m, m)
+    null = pc.or_(queries.is_null(), blocks.is_null())
+    return _lists(pa.array(index[ok], pa.int32()), np.bincount(row[ok], minlength=len(m)), null)
+
+
+def inner_places(blocks: Column, queries: Column, n: int, matches_only: bool = True, aligned: bool = False) -> Column:
+    """Which of an array of query places (their indices, from 0) aren't among the first or last n aligned pairs, and
+    with ``aligned`` are aligned themselves; see ``filters.clipped_pairs``. About a million places at a time."""
+
+    @F.arrow_udf("array<int>")
+    def unclipped_places(blocks: pa.Array, queries: pa.Array) -> pa.Array:
+        ends = np.cumsum(sizes(queries))
+        cuts = [0, *(np.flatnonzero(np.diff(ends >> 20)) + 1).tolist(), len(ends)]
+        return pa.concat_arrays([_inner(blocks[a:z], queries[a:z], n, matches_only, aligned) for a, z in zip(cuts, cuts[1:], strict=False)])
+
+    return unclipped_places(blocks, queries)
+
+
 def skips_of(locs: Column, seq: Column, base: str) -> Column:
     """How many of a base are skipped before each of the ascending places; null if one is not that base, or without places."""
 

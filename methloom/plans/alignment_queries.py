@@ -77,9 +77,8 @@ def f6_outside_clips(spark, d):
 
 @query(f"select read_id, length(seq)::bigint - 7 - 2 * 3 as n from {A}")
 def f11_clipped_pairs(spark, d):
-    df = fx.alignments(spark, d).select("read_id", C.blocks(C.parse(F.col("cigar"))).alias("b"), F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("q"))
-    ok = C.to_reference(F.col("b"), F.col("q")).isNotNull() & filters.clipped_pairs(F.col("b"), F.col("q"), 3)
-    return df.where(ok).groupBy("read_id").agg(F.count("*").alias("n"))
+    df = fx.alignments(spark, d).select("read_id", V.walk(C.parse(F.col("cigar"))).alias("b"), F.sequence(F.lit(0), F.length("seq") - 1).alias("q"))
+    return df.select("read_id", F.size(V.inner_places(F.col("b"), F.col("q"), 3, aligned=True)).cast("long").alias("n")).where("n > 0")
 
 
 @query(f"select read_id, start, ref_end from {A} where contig = 'chr2' and ref_end > 1000 and start < 3000")

@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from methloom.functions import gather
+from methloom.functions import cigar as C
+from methloom.functions import gather, walks
+from methloom.functions import modtags as M
 from methloom.functions import signal as S
-from methloom.operators import sites
+from methloom.operators import filters, joins, sites
 
 COMPLEMENT = dict(zip("ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN", strict=True))
 SCHEMA = "contig string, start long, flag int, read_id string, seq string, cigar string, fi array<int>, ri array<int>, fp array<int>, rp array<int>, fn int, ref_seq string"
@@ -185,3 +187,27 @@ def test_placed_calls_like_decoding_and_looking_up(spark):
     want = {r.read_id: r.c or [] for r in decoded.select("read_id", both.alias("c")).collect()}
     got = {r.read_id: r.c for r in df.select("read_id", gather.placed_calls(F.col("cigar"), M.skips(F.col("mm")), F.col("ml"), F.col("seq"), reverse).alias("c")).collect()}
     assert got == want and sum(map(len, got.values())) > 100
+
+
+def test_places_inside_of_clipped_pairs(spark):
+    """Those of all places of reads at once are those of each place alone, over every kind of operation, beyond both ends and for nulls."""
+    rng = random.Random(8)
+    cigars = ["", "*", "3H", "4D"] + ["".join(f"{rng.randrange(1, 7)}{rng.choice('M=XIDNSHP')}" for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    reads = spark.createDataFrame([(i, c, [*range(-2, 45), None, 3]) for i, c in enumerate(cigars)] + [(-1, "9=", None)], "i int, cigar string, q array<int>")
+    places = reads.select("i", C.blocks(C.parse(F.col("cigar"))).alias("b"), "q").select("i", "b", F.posexplode("q").alias("k", "x"))
+    for n, matches_only, aligned in ((0, True, False), (2, True, True), (3, False, False), (1, False, True)):
+        ok = filters.clipped_pairs(F.col("b"), F.col("x"), n, matches_only)
+        ok = ok & C.to_reference(F.col("b"), F.col("x")).isNotNull() if aligned else ok
+        want = {(r.i, r.k) for r in places.where(ok & F.col("x").isNotNull()).select("i", "k").collect()}
+        got = reads.select("i", walks.inner_places(walks.walk(C.parse(F.col("cigar"))), F.col("q"), n, matches_only, aligned).alias("k"))
+        assert {(r.i, k) for r in got.collect() for k in r.k or []} == want and want
+
+
+def test_calls_of_clipped_pairs(spark):
+    seq = "CGCGCGCGCG"
+    reads = spark.createDataFrame([("a", 0, "c", 100, "10=", seq), ("b", 16, "c", 50, "2S8=", seq), ("d", 0, "c", 0, "10=", "A" * 10)], "read_id string, flag int, contig string, start long, cigar string, seq string")
+    hits = F.when(F.col("read_id") != "d", F.array(*map(F.lit, range(0, 10, 2))))
+    df = reads.withColumn("mm", M.mm_text(M.encode_skips(hits, joins.forward_sequence(reads)))).withColumn("ml", F.transform(hits, lambda i: i * 10)).withColumn("hap", F.lit(0))
+    at = lambda n: sorted((r.read_id, r.pos) for r in joins.project_calls(df, n).collect())
+    assert at(0) == [("a", p) for p in range(100, 110, 2)] + [("b", p) for p in range(51, 59, 2)]
+    assert at(3) == [("a", 104), ("a", 106), ("b", 53)]
